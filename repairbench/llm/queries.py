@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from . import line_dedup
+from .line_dedup import op2_line_dedup
 from .ngram_jaccard import op1_ngram_jaccard_join
+from .packing import op10_packing
+from .token_files import op8_token_files
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join,)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_line_dedup, op8_token_files, op10_packing)}
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op2_line_dedup": line_dedup.ORACLE}
