@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table whose rows hold whole texts: Arrow batches are kept to 1,000 rows, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
 class Scratch:
     """Written tables that cut lineage. They lie in spark.checkpoint.dir, which all executors share.
 

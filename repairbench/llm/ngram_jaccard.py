@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Scratch, bytes_list, chunks, small
+from .common import Scratch, bytes_list, chunks, read_table, small
 from .components import connected_components
 from .shingles import SIZE, shingle_sets
 
@@ -236,4 +236,4 @@ def _fits(x: str, y: str, percent: int):
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_jaccard_join(read_table(spark, sf_dir, "documents"))

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bytes_list, chunks
+from .common import Scratch, bytes_list, chunks, read_table
 from .tokens import library_encoder
 
 FIELDS = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -167,5 +167,5 @@ def pack_tokens(docs: DataFrame, vocabulary: str, end_id: int = 0, length: int =
 def op10_packing(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    packed = pack_tokens(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    packed = pack_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

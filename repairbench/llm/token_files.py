@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, bytes_list, chunks, small
+from .common import Scratch, bytes_list, chunks, read_table, small
 from .tokens import WordEncoder, library_encoder
 
 SEGMENT_TOKENS = 1 << 20
@@ -135,5 +135,5 @@ def op8_token_files(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = f"{Scratch(spark, 'tokens').root}/files"
-    write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, public_tokenizers.path("word_bpe_49k.json"))
+    write_token_files(read_table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
     return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))

@@ -8,29 +8,48 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
-import numpy as np
-
-_CACHE_LIMIT = 200_000
 #: A space between bytes that may belong to white space, or such a space at the end of the text.
 UNSURE = re.compile(rb"[\x09-\x0d\x20\x80-\x8a\x9f\xa0\xa8\xa9\xaf] (?:[\x09-\x0d\x20\xc2\xe1\xe2\xe3]|\Z)")
 
 
+class Recent(dict):
+    """A bounded memo: when full, it starts anew, and entries of the generation before move over on use."""
+
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.old = most, {}
+
+    def missing(self, keys: set) -> list:
+        """Keys it doesn't hold; those that it still remembers are taken back."""
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+        out = []
+        for k in keys.difference(self):
+            if (v := self.old.get(k)) is None:
+                out.append(k)
+            else:
+                self[k] = v
+        return out
+
+
 class SpacedEncoder:
     """Texts of a byte-level tokenizer whose words carry the space before them; parts split before spaces."""
 
-    def __init__(self, encode):
-        """encode: list of byte strings -> list of id lists."""
-        self.encode, self.cache = encode, {}
+    def __init__(self, encode, memo: int = 200_000):
+        """encode: list of byte strings -> list of their ids as little-endian unsigned 32-bit integers."""
+        self.encode, self.cache = encode, Recent(memo)
 
     def parts(self, text: bytes) -> list[bytes]:
         """Parts of the text; each but the first lacks the space that it starts with."""
         head, *rest = text.split(b" ")
-        return [b"\0" + head, *rest]  # \0 marks a part without that space
+        return [b"\xff" + head, *rest]  # no text holds \xff; it marks a part without that space
 
     def whole(self, part: bytes) -> bytes:
         """What the part stands for."""
-        return part[1:] if part[:1] == b"\0" else b" " + part
+        return part[1:] if part[:1] == b"\xff" else b" " + part
 
     def sure(self, text: bytes) -> bool:
         return not UNSURE.search(text)
@@ -38,14 +57,11 @@ class SpacedEncoder:
     def __call__(self, texts: list[bytes | None]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         cache = self.cache
-        if len(cache) > _CACHE_LIMIT:
-            cache.clear()
         split = [self.parts(t or b"") if self.sure(t or b"") else None for t in texts]
-        new = list(set().union(*(p for p in split if p)).difference(cache))
-        for part, ids in zip(new, self.encode([self.whole(p) for p in new]), strict=True):
-            cache[part] = np.array(ids, "<u4").tobytes()
+        new = cache.missing(set().union(*(p for p in split if p)))
+        cache.update(zip(new, self.encode([self.whole(p) for p in new]), strict=True))
         uncut = iter(self.encode([t for t, p in zip(texts, split, strict=True) if p is None]))
-        return [np.array(next(uncut), "<u4").tobytes() if p is None else b"".join(map(cache.__getitem__, p)) for p in split]
+        return [next(uncut) if p is None else b"".join(map(cache.__getitem__, p)) for p in split]
 
 
 class WordEncoder(SpacedEncoder):
@@ -73,8 +89,8 @@ def library_encoder(path: str, kind: type = SpacedEncoder) -> SpacedEncoder:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
 
-        def encode(texts: list[bytes]) -> list[list[int]]:
-            return [e.ids for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)] if texts else []
+        def encode(texts: list[bytes]) -> list[bytes]:
+            return [array("I", e.ids).tobytes() for e in tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)] if texts else []
 
         _open[path, kind] = kind(encode)
     return _open[path, kind]
