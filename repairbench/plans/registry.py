@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import claim_queries, price_queries, text_queries
+
+QUERIES = price_queries.QUERIES | claim_queries.QUERIES | text_queries.QUERIES
+ORACLES = price_queries.ORACLES | claim_queries.ORACLES | text_queries.ORACLES
