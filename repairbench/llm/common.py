@@ -51,7 +51,7 @@ class Scratch:
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hints a broadcast if the (materialised) side has at most `limit` rows; else Spark shuffles."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    return F.broadcast(df) if df.count() <= limit else df
 
 
 def bytes_list(column: pa.Array) -> list[bytes | None]:

@@ -8,15 +8,15 @@
 4. Lists of a shingle give group pairs that pass the size and position filters; groups then expand to
    their classes, and pairs are verified on whole sets.
 
-A list is never expanded into all its pairs: first each list verifies its members against one pivot, and
-what that links is one component; further rounds take only members of other components. When what is left
-is linear in the lists, all pairs of different components that pass the filters are verified. Pairs inside
-a component can't change it, so the components are exact.
+A list is never expanded into all its pairs. In star rounds its members are verified against a few pivots, and
+what is linked shares a label. Later rounds keep only lists with several labels. What is left in the end, pairs
+of different labels, is verified to the last pair: short lists by a join, long lists block against block inside
+tasks that give out links only. Pairs under one label can't change a component, so the components are exact.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,9 @@ from .components import connected_components
 from .shingles import SIZE, shingle_sets
 
 #: Counters of the sketch (2 ** bits; 2 bytes each in a task, 1 byte each when broadcast) and of one block.
-SKETCH_BITS, BLOCK_BITS = 21, 16
+SKETCH_BITS, BLOCK_BITS = 22, 16
+#: Pivots of the star rounds, at most; lists above LONG rows are finished in blocks of these sizes.
+PIVOTS, LONG, FEW_BLOCK, ALL_BLOCK = (1, 4, 4, 4), 48, 64, 1024
 _MASK = np.uint64((1 << SKETCH_BITS) - 1)
 
 
@@ -123,7 +125,41 @@ def _verified(batches, percent: int):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = SIZE, star_rounds: int = 6) -> DataFrame:
+def _block_links(table: pa.Table, percent: int) -> pa.Table:
+    """Links between the few (open labels) and all rows of a block pair: for each of the few, one for each label."""
+    table = table.combine_chunks()
+    cid, label, few = table["cid"].to_numpy(), table["label"].to_numpy(), table["few"].to_numpy(zero_copy_only=False)
+    sets = [np.frombuffer(x, np.uint64) for x in table["s"].to_pylist()]
+    n = np.fromiter(map(len, sets), np.int64, len(sets))
+    x, y = np.flatnonzero(few), np.flatnonzero(~few)
+    if not len(x) or not len(y):
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    known = np.unique(np.concatenate([sets[i] for i in x]))
+    both = np.zeros((len(x), len(y)), np.float32)
+    sides = []
+    for side in (x, y):
+        flat, owner = np.concatenate([sets[i] for i in side]), np.repeat(np.arange(len(side)), n[side])
+        at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+        hit = known[at] == flat
+        order = np.argsort(at[hit], kind="stable")
+        sides.append((at[hit][order], owner[hit][order], len(side)))
+    for c in range(0, len(known), 2048):
+        part = []
+        for at, owner, rows in sides:
+            i, j = np.searchsorted(at, (c, c + 2048))
+            m = np.zeros((rows, 2048), np.float32)
+            m[owner[i:j], at[i:j] - c] = 1
+            part.append(m)
+        both += part[0] @ part[1].T
+    linked = (100 * both >= percent * (n[x][:, None] + n[y][None, :] - both)) & (label[x][:, None] != label[y][None, :])
+    out = []
+    for i in np.flatnonzero(linked.any(axis=1)):
+        at = y[np.flatnonzero(linked[i])]
+        out += [(cid[x[i]], cid[k]) for k in at[np.unique(label[at], return_index=True)[1]]]
+    return pa.table({"a": pa.array([int(a) for a, _ in out], pa.int64()), "b": pa.array([int(b) for _, b in out], pa.int64())})
+
+
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, size: int = SIZE) -> DataFrame:
     """One row for each input row: doc_id, n_shingles, component_id.
 
     Two documents link when 100 * |A & B| >= percent * |A | B| over their sets of `size`-word shingles;
@@ -149,82 +185,141 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = filled.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("cid"))
     member = scratch.save(filled.join(classes, ["n", "hi", "lo"]).select("doc_id", "cid"))
     copies = member.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("cid")).alias("stands")).where("NOT stands").select("doc_id")
-    reps = base.where("doc_id IS NOT NULL").join(small(scratch.save(copies)), "doc_id", "left_anti")
+    reps = base.where("doc_id IS NOT NULL").join(small(copies), "doc_id", "left_anti")
 
     sigs = scratch.save(reps.mapInArrow(partial(_prefixes, size=size, percent=percent, sketch=sketch), "cid long, n long, digest long, prefix binary"))
+    lists = _lists(sigs, scratch)
+
+    verify = partial(_verify, base=base, scratch=scratch, size=size, percent=percent)
+    labels, links, by_token = None, [], Window.partitionBy("token")
+    repeated = member.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b")
+    if not repeated.isEmpty():
+        links = [scratch.save(member.join(repeated, "doc_id").where("cid <> a").select("a", F.col("cid").alias("b")).distinct())]
+        labels = _relabel(None, links[0], scratch)
+    tested, now = None, lists.withColumn("label", F.col("cid"))
+    for k, pivots in enumerate((*PIVOTS, 0)):
+        if labels is not None:
+            old = labels.select(F.col("node").alias("cid"), F.col("label").alias("new"))
+            now = now.join(small(old), "cid", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
+        # Lists under one label have nothing left to say.
+        both = now.withColumn("lo", F.min("label").over(by_token)).withColumn("hi", F.max("label").over(by_token))
+        now = scratch.save(both.where("lo <> hi").select("token", "cid", "n", "pos", "label"))
+        most = None
+        if k:
+            per_label = now.groupBy("token", "label").agg(F.count("*").alias("c"))
+            most = per_label.groupBy("token").agg(F.sum("c").alias("total"), F.max(F.struct("c", "label")).alias("m"))
+            most = scratch.save(most.select("token", "total", F.col("m.label").alias("main"), (F.col("total") - F.col("m.c")).alias("few")))
+            work, total = most.agg(F.sum(F.col("few") * F.col("total")), F.sum("total")).first()
+            if not total:
+                break
+            pivots = 0 if work <= 8 * total else pivots
+        pairs = _star_pairs(now, k, pivots, percent) if pivots else _short_pairs(now, most, percent)
+        done = verify(pairs, tested)
+        links.append(done.where("linked").select("a", "b"))
+        if not pivots:
+            links.append(_long_links(now, most, base, scratch, size, percent))
+            break
+        labels = _relabel(labels, links[-1], scratch)
+        tested = done if tested is None else scratch.save(tested.unionByName(done))
+
+    edges = reduce(DataFrame.unionByName, links)
+    if labels is not None:
+        at = labels.select("node", F.col("label").alias("to"))
+        for side in ("a", "b"):
+            edges = edges.join(small(at.withColumnRenamed("node", side)), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+    found = connected_components(edges.where("a <> b").select("a", "b"), scratch)
+    out = rows.join(member.groupBy("doc_id").agg(F.min("cid").alias("cid")), "doc_id", "left").withColumn("root", F.col("cid"))
+    if labels is not None:
+        out = out.join(small(labels.select(F.col("node").alias("root"), F.col("label").alias("first"))), "root", "left").withColumn("root", F.coalesce("first", "root"))
+    out = out.join(small(found.select(F.col("node").alias("root"), F.col("component").alias("last"))), "root", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("last", "root", "doc_id").alias("component_id"))
+
+
+def _lists(sigs: DataFrame, scratch: Scratch) -> DataFrame:
+    """token, cid, n, pos: the classes behind each shingle that several groups post, and those of each larger group."""
     several = sigs.groupBy("n", "digest").agg(F.min("cid").alias("gid"), F.count("*").alias("c")).where("c > 1").drop("c")
-    group = scratch.save(sigs.select("cid", "n", "digest").join(small(scratch.save(several)), ["n", "digest"]).select("gid", "cid", "n").distinct())
+    group = scratch.save(sigs.select("cid", "n", "digest").join(small(several), ["n", "digest"]).select("gid", "cid", "n").distinct())
     rest = group.where("cid <> gid").select("cid", F.col("n").alias("gn")).distinct()
-    # A repeated id may have several sets; it stays with all of them if one of them leads its group.
     posting = sigs.join(small(rest), (sigs.cid == rest.cid) & (sigs.n == rest.gn), "left_anti").select("cid", "n", "prefix")
     posting = posting.mapInArrow(_postings, "token long, cid long, n int, pos int")
-    by_token = Window.partitionBy("token")
-    lists = scratch.save(posting.withColumn("c", F.count("*").over(by_token)).where("c > 1").drop("c"))
+    lists = scratch.save(posting.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c"))
     scratch.drop(sigs)
-
-    # Groups expand to their classes; a group of several classes is itself a list.
     others = group.where("cid <> gid").select(F.col("gid").alias("cid"), F.col("cid").alias("other"), F.col("n").cast("int").alias("n"))
-    expanded = lists.unionByName(lists.join(small(others), ["cid", "n"]).select("token", F.col("other").alias("cid"), "n", "pos"))
-    expanded = expanded.unionByName(group.select(F.xxhash64(F.lit("group"), "gid", "n").alias("token"), "cid", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos")))
-    lists = scratch.save(expanded)
-
-    labels = spark.createDataFrame([], "node long, component long")
-    repeated = member.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b")
-    twins = member.join(repeated, "doc_id").select("a", F.col("cid").alias("b"))
-    tested = spark.createDataFrame([], "a long, b long, linked boolean")
-    fits = partial(_fits, percent=percent)
-
-    def labelled() -> DataFrame:
-        joined = lists.join(small(labels), lists.cid == labels.node, "left").select("token", "cid", "n", "pos", F.coalesce("component", "cid").alias("comp"))
-        # Lists within one component have nothing left to say.
-        return joined.withColumn("lo", F.min("comp").over(by_token)).withColumn("hi", F.max("comp").over(by_token)).where("lo <> hi").drop("lo", "hi")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.save(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
-        needed = scratch.save(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        sets = scratch.save(base.join(small(needed), "doc_id", "left_semi").mapInArrow(partial(_whole_sets, size=size), "cid long, s binary"))
-        both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("sb")), "b")
-        done = scratch.save(both.select("a", "b", "sa", "sb").mapInArrow(partial(_verified, percent=percent), "a long, b long, linked boolean"))
-        scratch.drop(sets)
-        return done
-
-    def relabel(old: DataFrame, edges: DataFrame) -> DataFrame:
-        at = lambda side: F.coalesce(f"{side}.component", f"e.{side}")
-        mapped = edges.alias("e").join(old.alias("a"), F.col("e.a") == F.col("a.node"), "left").join(old.alias("b"), F.col("e.b") == F.col("b.node"), "left").select(at("a").alias("a"), at("b").alias("b"))
-        new = connected_components(mapped, scratch).alias("new")
-        moved = old.alias("old").join(new, F.col("old.component") == F.col("new.node"), "left").select(F.col("old.node").alias("node"), F.coalesce("new.component", "old.component").alias("component"))
-        fresh = new.join(old.alias("old"), F.col("new.node") == F.col("old.node"), "left_anti").select("node", "component")
-        return scratch.save(moved.unionByName(fresh))
-
-    if not twins.isEmpty():
-        labels = relabel(labels, twins)
-    for k in range(star_rounds + 1):
-        open_lists = scratch.save(labelled())
-        per_comp = open_lists.groupBy("token", "comp").agg(F.count("*").alias("c"))
-        most = scratch.save(per_comp.groupBy("token").agg(F.sum("c").alias("all"), F.max(F.struct("c", "comp")).alias("m")).select("token", "all", F.col("m.comp").alias("main"), (F.col("all") - F.col("m.c")).alias("minor")))
-        left = most.agg(F.sum(F.col("minor") * F.col("all")), F.sum("all")).first()
-        if not left[0]:
-            break
-        last = left[0] <= 16 * left[1] or k == star_rounds
-        if last:
-            mine = open_lists.join(most, "token")
-            a, b = mine.where("comp <> main").alias("a"), open_lists.alias("b")
-            main = F.col("b.comp") == F.col("a.main")
-            cond = (F.col("a.token") == F.col("b.token")) & (F.col("a.comp") != F.col("b.comp")) & (main | (F.col("a.cid") < F.col("b.cid"))) & fits("a", "b")
-            pairs = a.join(b, cond).select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b"))
-        else:
-            pivot = F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), "cid", "n", "pos", "comp")).over(by_token)
-            starred = open_lists.withColumn("p", pivot).where("comp <> p.comp").select("cid", F.struct("cid", "n", "pos").alias("x"), "p")
-            pairs = starred.where(fits("x", "p")).select(F.least("x.cid", "p.cid").alias("a"), F.greatest("x.cid", "p.cid").alias("b"))
-        done = verify(pairs)
-        labels = relabel(labels, done.where("linked").select("a", "b"))
-        if last:
-            break
-        tested = done if k == 0 else scratch.save(tested.unionByName(done))
-
-    placed = rows.join(member.select("doc_id", "cid").groupBy("doc_id").agg(F.min("cid").alias("cid")), "doc_id", "left")
-    out = placed.join(small(labels), placed.cid == labels.node, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "cid", "doc_id").alias("component_id"))
+    expanded = lists.join(small(others), ["cid", "n"]).select("token", F.col("other").alias("cid"), "n", "pos")
+    whole = group.select(F.xxhash64(F.lit("group"), "gid", "n").alias("token"), "cid", F.col("n").cast("int").alias("n"), F.lit(0).alias("pos"))
+    return lists.unionByName(expanded).unionByName(whole)
+
+
+def _star_pairs(now: DataFrame, k: int, pivots: int, percent: int) -> DataFrame:
+    """Pairs of a few pivots of each list (the smallest hashes of this round) with its other members."""
+    order = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("cid", F.lit(k)), "cid", "pos"))
+    starred = now.withColumn("order", order)
+    pivot = F.collect_list(F.when(F.col("order") <= pivots, F.struct("cid", "n", "pos", "label"))).over(Window.partitionBy("token"))
+    starred = starred.withColumn("p", pivot).select("label", F.struct("cid", "n", "pos").alias("x"), F.explode("p").alias("p"))
+    starred = starred.where((F.col("label") != F.col("p.label")) & _fits("x", "p", percent))
+    return starred.select(F.least("x.cid", "p.cid").alias("a"), F.greatest("x.cid", "p.cid").alias("b"))
+
+
+def _short_pairs(now: DataFrame, most: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different labels in lists of LONG rows at most."""
+    mine = now.join(most.where(F.col("total") <= LONG), "token")
+    a, b = mine.where("label <> main").alias("a"), now.alias("b")
+    differ = (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("a.main")) | (F.col("a.cid") < F.col("b.cid")))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & differ & _fits("a", "b", percent))
+    return pairs.select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b"))
+
+
+def _long_links(now: DataFrame, most: DataFrame, base: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
+    """Links of different labels in longer lists: those outside its main label against all, block by block."""
+    long = most.where(F.col("total") > LONG)
+    rows = now.join(long, "token")
+    parts = lambda n, block: F.ceil(F.col(n) / block).cast("int")
+    place = lambda n, block: F.pmod(F.xxhash64("cid"), parts(n, block)).cast("int")
+    other = lambda n, block: F.explode(F.sequence(F.lit(0), parts(n, block) - 1))
+    few = rows.where("label <> main").select("token", "cid", "label", F.lit(True).alias("few"), place("few", FEW_BLOCK).alias("i"), other("total", ALL_BLOCK).alias("j"))
+    every = rows.select("token", "cid", "label", F.lit(False).alias("few"), other("few", FEW_BLOCK).alias("i"), place("total", ALL_BLOCK).alias("j"))
+    needed = scratch.save(rows.select(F.col("cid").alias("doc_id")).distinct())
+    sets = base.join(small(needed), "doc_id", "left_semi").mapInArrow(partial(_whole_sets, size=size), "cid long, s binary")
+    blocks = few.unionByName(every).join(sets, "cid").select("token", "i", "j", "cid", "label", "few", "s")
+
+    def linked(table: pa.Table) -> pa.Table:
+        return _block_links(table, percent)
+
+    return scratch.save(blocks.groupBy("token", "i", "j").applyInArrow(linked, "a long, b long").distinct())
+
+
+def _verify(pairs: DataFrame, tested: DataFrame | None, base: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
+    """a, b, linked: the pairs not tested yet, verified on whole sets."""
+    pairs = pairs.distinct()
+    pairs = scratch.save(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    sets = scratch.save(base.join(small(needed), "doc_id", "left_semi").mapInArrow(partial(_whole_sets, size=size), "cid long, s binary"))
+    first, second = (sets.select(F.col("cid").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    both = pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb")
+    done = scratch.save(both.mapInArrow(partial(_verified, percent=percent), "a long, b long, linked boolean"))
+    scratch.drop(sets)
+    return done
+
+
+def _relabel(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, label: labels that the links join take the smallest one in reach of two steps.
+
+    Rows of one label are connected; the reverse holds only after the last step of the whole operator.
+    """
+    edges = links.select("a", "b")
+    if labels is not None:
+        for side in ("a", "b"):
+            edges = edges.join(small(labels.select(F.col("node").alias(side), F.col("label").alias("to"))), side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+    edges = edges.where("a <> b").select("a", "b")
+    near = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+    near = scratch.save(near.select("node", F.least("node", "m").alias("to")))
+    far = near.select(F.col("node").alias("to"), F.col("to").alias("next"))
+    moved = near.join(small(far), "to", "left").select("node", F.coalesce("next", "to").alias("to"))
+    if labels is None:
+        return scratch.save(moved.select("node", F.col("to").alias("label")))
+    kept = labels.join(small(moved.select(F.col("node").alias("label"), "to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+    fresh = moved.join(small(labels.select("node")), "node", "left_anti").select("node", F.col("to").alias("label"))
+    return scratch.save(kept.unionByName(fresh))
 
 
 def _fits(x: str, y: str, percent: int):
