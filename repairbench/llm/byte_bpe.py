@@ -102,7 +102,7 @@ class DuckBpe:
         """Ids (little-endian 32-bit) of texts: those of their pattern matches in order."""
         find, kept = self.pattern.findall, self.kept
         split = [find(p.decode()) for p in parts]
-        new = kept.missing({m for s in split for m in s})
+        new = kept.missing(m for s in split for m in s)
         long = [w for w in new if len(w) > LONG_WORD]
         kept.update((w, self.merge_long(w.encode())) for w in long)
         new = [w for w in new if len(w) <= LONG_WORD] if long else new
@@ -127,7 +127,7 @@ class DuckBpe:
         for x in ids:
             raw, at = x.astype("<i4").tobytes(), (np.flatnonzero(self.starts[x]) * 4).tolist()
             cut.append([raw[i:j] for i, j in pairwise([0, *at, len(raw)])])
-        new = self.decoded.missing(set().union(*cut))
+        new = self.decoded.missing(x for c in cut for x in c)
         for i in range(0, len(new), QUERY_WORDS):
             self.decoded.update(zip(new[i : i + QUERY_WORDS], self.decode_runs(new[i : i + QUERY_WORDS]), strict=True))
         return [b"".join(map(self.decoded.__getitem__, c)) for c in cut]

@@ -21,9 +21,8 @@ from functools import partial, reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .common import Scratch, bytes_list, chunks, read_table, small
@@ -188,7 +187,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = base.where("doc_id IS NOT NULL").join(small(copies), "doc_id", "left_anti")
 
     sigs = scratch.save(reps.mapInArrow(partial(_prefixes, size=size, percent=percent, sketch=sketch), "cid long, n long, digest long, prefix binary"))
-    lists = _lists(sigs, scratch)
+    lists = _lists(sigs, scratch, percent)
 
     verify = partial(_verify, base=base, scratch=scratch, size=size, percent=percent)
     labels, links, by_token = None, [], Window.partitionBy("token")
@@ -235,14 +234,19 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("last", "root", "doc_id").alias("component_id"))
 
 
-def _lists(sigs: DataFrame, scratch: Scratch) -> DataFrame:
+def _lists(sigs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     """token, cid, n, pos: the classes behind each shingle that several groups post, and those of each larger group."""
     several = sigs.groupBy("n", "digest").agg(F.min("cid").alias("gid"), F.count("*").alias("c")).where("c > 1").drop("c")
     group = scratch.save(sigs.select("cid", "n", "digest").join(small(several), ["n", "digest"]).select("gid", "cid", "n").distinct())
     rest = group.where("cid <> gid").select("cid", F.col("n").alias("gn")).distinct()
     posting = sigs.join(small(rest), (sigs.cid == rest.cid) & (sigs.n == rest.gn), "left_anti").select("cid", "n", "prefix")
     posting = posting.mapInArrow(_postings, "token long, cid long, n int, pos int")
-    lists = scratch.save(posting.withColumn("c", F.count("*").over(Window.partitionBy("token"))).where("c > 1").drop("c"))
+    # A row stays if some row of its list can pass the position filter with it, as far as the list's extremes tell.
+    by_token = Window.partitionBy("token")
+    reach = (F.lit(100).cast("long") * F.col("n")) - (100 + percent) * F.col("pos").cast("long")
+    told = posting.withColumn("reach", reach).withColumn("most", F.max("reach").over(by_token)).withColumn("least", F.min("n").over(by_token)).withColumn("c", F.count("*").over(by_token))
+    told = told.where((F.col("c") > 1) & (F.col("most") >= percent * F.col("n").cast("long")) & (F.col("reach") >= percent * F.col("least").cast("long")))
+    lists = scratch.save(told.withColumn("c", F.count("*").over(by_token)).where("c > 1").select("token", "cid", "n", "pos"))
     scratch.drop(sigs)
     others = group.where("cid <> gid").select(F.col("gid").alias("cid"), F.col("cid").alias("other"), F.col("n").cast("int").alias("n"))
     expanded = lists.join(small(others), ["cid", "n"]).select("token", F.col("other").alias("cid"), "n", "pos")
@@ -255,8 +259,9 @@ def _star_pairs(now: DataFrame, k: int, pivots: int, percent: int) -> DataFrame:
     order = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("cid", F.lit(k)), "cid", "pos"))
     starred = now.withColumn("order", order)
     pivot = F.collect_list(F.when(F.col("order") <= pivots, F.struct("cid", "n", "pos", "label"))).over(Window.partitionBy("token"))
-    starred = starred.withColumn("p", pivot).select("label", F.struct("cid", "n", "pos").alias("x"), F.explode("p").alias("p"))
-    starred = starred.where((F.col("label") != F.col("p.label")) & _fits("x", "p", percent))
+    starred = starred.withColumn("p", pivot).select("label", F.struct("cid", "n", "pos").alias("x"), "p")
+    fitting = F.filter("p", lambda p: (F.col("label") != p["label"]) & _fits(F.col("x"), p, percent))
+    starred = starred.select("x", F.explode(fitting).alias("p"))
     return starred.select(F.least("x.cid", "p.cid").alias("a"), F.greatest("x.cid", "p.cid").alias("b"))
 
 
@@ -265,7 +270,7 @@ def _short_pairs(now: DataFrame, most: DataFrame, percent: int) -> DataFrame:
     mine = now.join(most.where(F.col("total") <= LONG), "token")
     a, b = mine.where("label <> main").alias("a"), now.alias("b")
     differ = (F.col("a.label") != F.col("b.label")) & ((F.col("b.label") == F.col("a.main")) | (F.col("a.cid") < F.col("b.cid")))
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & differ & _fits("a", "b", percent))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & differ & _fits(F.struct("a.n", "a.pos"), F.struct("b.n", "b.pos"), percent))
     return pairs.select(F.least("a.cid", "b.cid").alias("a"), F.greatest("a.cid", "b.cid").alias("b"))
 
 
@@ -322,9 +327,9 @@ def _relabel(labels: DataFrame | None, links: DataFrame, scratch: Scratch) -> Da
     return scratch.save(kept.unionByName(fresh))
 
 
-def _fits(x: str, y: str, percent: int):
+def _fits(x: Column, y: Column, percent: int) -> Column:
     """Size filter, and position filter: what overlap is still possible from this shared shingle on."""
-    nx, ny, px, py = (F.col(f"{t}.{c}").cast(T.LongType()) for t, c in ((x, "n"), (y, "n"), (x, "pos"), (y, "pos")))
+    nx, ny, px, py = (t[c].cast("long") for t, c in ((x, "n"), (y, "n"), (x, "pos"), (y, "pos")))
     alike = (100 * F.least(nx, ny)) >= (percent * F.greatest(nx, ny))
     # overlap >= percent / (100 + percent) * (nx + ny), in integers
     return alike & ((100 + percent) * F.least(nx - px, ny - py) >= percent * (nx + ny))

@@ -9,11 +9,18 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterable
+from itertools import chain, filterfalse
 
 import numpy as np
 
 #: A space between bytes that may belong to white space, or such a space at the end of the text.
 UNSURE = re.compile(rb"[\x09-\x0d\x20\x80-\x8a\x9f\xa0\xa8\xa9\xaf] (?:[\x09-\x0d\x20\xc2\xe1\xe2\xe3]|\Z)")
+#: A letter of ASCII (lower case) or of Latin-1, and a comma or stop that may belong to a longer run of signs.
+_LETTER = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
+_IN_RUN = re.compile(rb"(?<![A-Za-z0-9])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[,.][ \n]")
+#: A stop and a line end before more white space, or what may be some.
+_BLANK_NEXT = re.compile(rb"\.\n(?:[\x09-\x0d\x20\xc2\xe1\xe2\xe3]|\Z)")
 
 
 class Recent(dict):
@@ -23,13 +30,13 @@ class Recent(dict):
         super().__init__()
         self.most, self.old = most, {}
 
-    def missing(self, keys: set) -> list:
-        """Keys it doesn't hold; those that it still remembers are taken back."""
+    def missing(self, keys: Iterable) -> list:
+        """Distinct keys it doesn't hold; those that it still remembers are taken back."""
         if len(self) > self.most:
             self.old = dict(self)
             self.clear()
         out = []
-        for k in keys.difference(self):
+        for k in set(filterfalse(self.__contains__, keys)):
             if (v := self.old.get(k)) is None:
                 out.append(k)
             else:
@@ -38,16 +45,23 @@ class Recent(dict):
 
 
 class SpacedEncoder:
-    """Texts of a byte-level tokenizer whose words carry the space before them; parts split before spaces."""
+    """Texts of a byte-level tokenizer whose words carry the space before them.
+
+    Parts split before spaces, before a comma or stop after a letter or digit, and after a stop and line end.
+    """
 
     def __init__(self, encode, memo: int = 300_000):
         """encode: list of byte strings -> list of their ids as little-endian unsigned 32-bit integers."""
         self.encode, self.cache = encode, Recent(memo)
 
     def parts(self, text: bytes) -> list[bytes]:
-        """Parts of the text; each but the first lacks the space that it starts with."""
+        """Parts of the text. Those marked stand for themselves, the others for a space and themselves."""
+        if not _IN_RUN.search(text):
+            text = text.replace(b", ", b" \xff, ").replace(b". ", b" \xff. ")
+            if not _BLANK_NEXT.search(text):
+                text = text.replace(b".\n", b" \xff.\n \xff")
         head, *rest = text.split(b" ")
-        return [b"\xff" + head, *rest]  # no text holds \xff; it marks a part without that space
+        return [b"\xff" + head, *rest]  # no text holds \xff
 
     def whole(self, part: bytes) -> bytes:
         """What the part stands for."""
@@ -60,17 +74,12 @@ class SpacedEncoder:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         cache = self.cache
         split = [self.parts(t or b"") if self.sure(t or b"") else None for t in texts]
-        new = cache.missing(set().union(*(p for p in split if p)))
+        new = cache.missing(chain.from_iterable(p for p in split if p))
         cache.update(zip(new, self.encode([self.whole(p) for p in new]), strict=True))
         uncut = iter(self.encode([t for t, p in zip(texts, split, strict=True) if p is None]))
         return [next(uncut) if p is None else b"".join(map(cache.__getitem__, p)) for p in split]
 
 
-#: A letter of ASCII (lower case) or of Latin-1, and a comma or stop that may belong to a longer run of signs.
-_LETTER = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
-_IN_RUN = re.compile(rb"(?<![a-z0-9])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[,.][ \n]")
-
-
 class WordEncoder(SpacedEncoder):
     """Texts of a tokenizer that lower-cases, drops white space and splits signs from letters.
 
@@ -93,6 +102,8 @@ class WordEncoder(SpacedEncoder):
 _open: dict[tuple, SpacedEncoder] = {}
 #: Single words of letters, with and without the space before them: each is one match of either pattern.
 _PLAIN = {SpacedEncoder: re.compile(rb" (?:[A-Z]|" + _LETTER + rb")+"), WordEncoder: re.compile(_LETTER + rb"+")}
+#: The same with ASCII signs after them, but for the apostrophe.
+_SIGNED = {k: re.compile(rb"(" + p.pattern + rb")([!-&(-/:-@\[-`{-~]+)") for k, p in _PLAIN.items()}
 
 
 def library_encoder(path: str, kind: type = SpacedEncoder) -> SpacedEncoder:
@@ -103,10 +114,21 @@ def library_encoder(path: str, kind: type = SpacedEncoder) -> SpacedEncoder:
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        memo, signed = Recent(50_000), _SIGNED[kind].fullmatch
         plain, joint = _PLAIN[kind].fullmatch, b"" if kind is SpacedEncoder else b" "
 
         def encode(texts: list[bytes]) -> list[bytes]:
-            """Plain words go through the library together, a thousand in one text; it numbers their tokens by word."""
+            """Plain words go through the library together, a thousand in one text; it numbers their tokens by word.
+
+            A word with signs after it is the word and the signs.
+            """
+            ends = [signed(t) for t in texts]
+            inner = memo.missing([x for m in ends if m for x in m.groups()])
+            memo.update(zip(inner, whole(inner), strict=True))
+            alone = iter(whole([t for t, m in zip(texts, ends, strict=True) if not m]))
+            return [memo[m[1]] + memo[m[2]] if m else next(alone) for m in ends]
+
+        def whole(texts: list[bytes]) -> list[bytes]:
             out: list[bytes | None] = [None] * len(texts)
             words = [i for i, t in enumerate(texts) if plain(t)]
             for k in range(0, len(words), 1000):
