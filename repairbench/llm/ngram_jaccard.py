@@ -44,7 +44,7 @@ def _sets(batch: pa.RecordBatch, size: int):
 
 def _digests(batches, size: int):
     """A row for each document (kind 0), then the task's counts in blocks (kind 1)."""
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
+    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
     for batch in batches:
         rows = []
         for doc_id, s in _sets(batch, size):
@@ -125,7 +125,7 @@ def _verified(batches, percent: int):
 
 
 def _block_links(table: pa.Table, percent: int) -> pa.Table:
-    """Links between the few (open labels) and all rows of a block pair: for each of the few, one for each label."""
+    """Links between the few (open labels) and all rows of a block pair, as many as it takes to join their labels."""
     table = table.combine_chunks()
     cid, label, few = table["cid"].to_numpy(), table["label"].to_numpy(), table["few"].to_numpy(zero_copy_only=False)
     sets = [np.frombuffer(x, np.uint64) for x in table["s"].to_pylist()]
@@ -151,10 +151,21 @@ def _block_links(table: pa.Table, percent: int) -> pa.Table:
             part.append(m)
         both += part[0] @ part[1].T
     linked = (100 * both >= percent * (n[x][:, None] + n[y][None, :] - both)) & (label[x][:, None] != label[y][None, :])
+    root = {v: v for v in label.tolist()}
+
+    def find(v: int) -> int:
+        while root[v] != v:
+            root[v] = v = root[root[v]]
+        return v
+
     out = []
     for i in np.flatnonzero(linked.any(axis=1)):
-        at = y[np.flatnonzero(linked[i])]
-        out += [(cid[x[i]], cid[k]) for k in at[np.unique(label[at], return_index=True)[1]]]
+        at, own = y[np.flatnonzero(linked[i])], int(label[x[i]])
+        for k in at[np.unique(label[at], return_index=True)[1]]:
+            p, q = find(own), find(int(label[k]))
+            if p != q:
+                root[p] = q
+                out.append((cid[x[i]], cid[k]))
     return pa.table({"a": pa.array([int(a) for a, _ in out], pa.int64()), "b": pa.array([int(b) for _, b in out], pa.int64())})
 
 
@@ -337,3 +348,19 @@ def _fits(x: Column, y: Column, percent: int) -> Column:
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(read_table(spark, sf_dir, "documents"))
+
+
+ORACLE = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+sizes AS (SELECT doc_id, len(s) AS n FROM sets),
+rows AS (SELECT doc_id, unnest(s) AS x FROM sets),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM rows a JOIN rows b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN sizes x ON a = x.doc_id JOIN sizes y ON b = y.doc_id WHERE 100 * c >= 75 * (x.n + y.n - c)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS d, doc_id AS m FROM sizes UNION SELECT e.b, r.m FROM reach r JOIN edges e ON r.d = e.a)
+SELECT doc_id, n AS n_shingles, min(m) AS component_id FROM sizes JOIN reach ON doc_id = d GROUP BY ALL
+"""

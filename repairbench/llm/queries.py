@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_top_k, line_dedup
+from . import chat_format, exact_top_k, line_dedup, ngram_jaccard
 from .byte_bpe import op6_byte_bpe
 from .chat_format import op4_chat_format
 from .exact_top_k import op3_exact_top_k
@@ -20,4 +20,4 @@ _ALL = (
 )
 QUERIES = {f.__name__: f for f in _ALL}
 
-ORACLES = {"op2_line_dedup": line_dedup.ORACLE, "op3_exact_top_k": exact_top_k.ORACLE, "op4_chat_format": chat_format.ORACLE}
+ORACLES = {"op1_ngram_jaccard_join": ngram_jaccard.ORACLE, "op2_line_dedup": line_dedup.ORACLE, "op3_exact_top_k": exact_top_k.ORACLE, "op4_chat_format": chat_format.ORACLE}
