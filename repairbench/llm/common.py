@@ -59,7 +59,7 @@ def bytes_list(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 
 
-def chunks(texts: list[bytes | None], most: int = 1 << 20):
+def chunks(texts: list[bytes | None], most: int = 1 << 18):
     """Ranges (start, end) of consecutive texts of about `most` bytes together, at least one text each."""
     start = total = 0
     for i, t in enumerate(texts):
