@@ -30,26 +30,33 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
+def _on_tree(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """Joins by tree and `key`; a null tree equals itself. Of both sides' keys the left ones stay."""
+    right = right.withColumnsRenamed({"tree": "_tree", key: "_key"})
+    joined = left.join(right, F.col("tree").eqNullSafe(F.col("_tree")) & (F.col(key) == F.col("_key")), how)
+    return joined.drop("_tree", "_key")
+
+
 def reply_paths(messages: DataFrame, scratch: Scratch, branches: int | None) -> DataFrame:
     """messages(tree, node, parent, score) -> tree, leaf, node, depth: the best `branches` paths of each tree (None: all)."""
     links = scratch.save(messages.select("tree", "node", "parent", "score"))
     jump = links.where("parent IS NOT NULL").select("tree", "node", F.col("parent").alias("up"))
-    reach = links.join(links.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct(), ["tree", "node"], "left_anti")
+    reach = _on_tree(links, links.where("parent IS NOT NULL").select("tree", F.col("parent").alias("node")).distinct(), "node", "left_anti")
     reach = scratch.save(reach.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up_steps")))
     jump, step = scratch.save(jump), 1
     while not jump.isEmpty():
         # A leaf knows its last `step` ancestors; those of each, `step` further up, are the next ones.
         ahead = jump.select("tree", "node", "up")
-        more = reach.join(ahead, ["tree", "node"]).select("tree", "leaf", F.col("up").alias("node"), (F.col("up_steps") + step).alias("up_steps"))
+        more = _on_tree(reach, ahead, "node").select("tree", "leaf", F.col("up").alias("node"), (F.col("up_steps") + step).alias("up_steps"))
         reach = scratch.save(reach.unionByName(more))
-        twice = ahead.alias("a").join(ahead.alias("b"), (F.col("a.tree") == F.col("b.tree")) & (F.col("a.up") == F.col("b.node")))
+        twice = ahead.alias("a").join(ahead.alias("b"), F.col("a.tree").eqNullSafe(F.col("b.tree")) & (F.col("a.up") == F.col("b.node")))
         jump = scratch.save(twice.select("a.tree", "a.node", "b.up"))
         step *= 2
     if branches is not None:
-        scored = reach.join(links.select("tree", "node", "score"), ["tree", "node"]).groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
+        scored = _on_tree(reach, links.select("tree", "node", "score"), "node").groupBy("tree", "leaf").agg(F.sum("score").alias("score"))
         place = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc_nulls_last("score"), "leaf"))
         chosen = scored.withColumn("place", place).where(F.col("place") <= branches).select("tree", "leaf")
-        reach = reach.join(chosen, ["tree", "leaf"])
+        reach = _on_tree(reach, chosen, "leaf")
     depth = F.max("up_steps").over(Window.partitionBy("tree", "leaf")) - F.col("up_steps")
     return reach.select("tree", "leaf", "node", depth.alias("depth"))
 
@@ -60,13 +67,14 @@ def format_chats(messages: DataFrame, branches: int | None = 1, loss_role: str =
     `loss` holds code point ranges of `formatted` to train on, the escaped texts of `loss_role`, in order.
     Null roles and texts are empty. A node id is unique in its tree; a parent that is null or not in the tree
     makes a root. Parents must not form a cycle. Ties of score go to the smaller leaf, null scores come last.
+    Messages without a tree (null) are one tree of their own.
     """
     scratch = Scratch(messages.sparkSession, "chats")
     own = messages.select("tree", "node", "parent", "role", "text", F.col("score").cast("double").alias("score"))
     known = own.select("tree", F.col("node").alias("parent"), F.lit(True).alias("known"))
-    rooted = own.join(known, ["tree", "parent"], "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("parent"), "score")
+    rooted = _on_tree(own, known, "parent", "left").select("tree", "node", F.when(F.col("known"), F.col("parent")).alias("parent"), "score")
     paths = reply_paths(rooted, scratch, branches)
-    return _written(paths.join(own.select("tree", "node", "role", "text"), ["tree", "node"]), loss_role)
+    return _written(_on_tree(paths, own.select("tree", "node", "role", "text"), "node"), loss_role)
 
 
 def _written(turns: DataFrame, loss_role: str) -> DataFrame:
@@ -96,7 +104,8 @@ def loss_text(formatted: Column, loss: Column) -> Column:
 def conversation_messages(rows: DataFrame) -> DataFrame:
     """conversations(conv_id, turn, role, text) as reply chains: each row answers the one before it.
 
-    Rows go by turn (nulls first), then role and text, so ties and repeated rows have their place too.
+    Rows go by turn (nulls first), then role and text, so ties and repeated rows have their place too. All rows
+    with a null conv_id are one conversation, that of conv_id null.
     """
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     node = F.row_number().over(order).cast("long")

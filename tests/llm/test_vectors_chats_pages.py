@@ -118,3 +118,20 @@ def test_pipeline_stages_on_their_own_input(spark):
 def test_stages_take_empty_tables(spark, name):
     docs = spark.read.parquet(f"{TINY}/documents.parquet").limit(0)
     assert dict(corpus_pipeline.STAGES)[name](spark, docs, TINY).collect() == []
+
+
+def test_chats_without_a_tree_are_one_tree(spark, tmp_path):
+    import duckdb
+
+    from repairbench.llm.chat_format import ORACLE
+
+    rows = [(None, 1, None, "user", "q", 1.0), (None, 2, 1, "assistant", "low", 1.0), (None, 3, 1, "assistant", "high", 2.0), (0, 1, None, "user", "other", 1.0)]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    out = {r.tree: [x.text for x in r.t] for r in format_chats(df).select("tree", read_chats(F.col("formatted")).alias("t")).collect()}
+    assert out == {None: ["q", "high"], 0: ["other"]} and format_chats(df, branches=None).count() == 3
+    talk = [(c, t, ("user", "assistant")[t % 2], f"{c} </turn> {t}") for c in (None, 0, 1) for t in range(5)]
+    spark.createDataFrame(talk, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.conv_id: tuple(r) for r in op4_chat_format(spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert set(got) == {None, 0, 1, -7} and got == {r[0]: r for r in db.sql(ORACLE).fetchall()}
