@@ -115,10 +115,18 @@ best AS (SELECT m.*, count(*) OVER (PARTITION BY line_id) AS candidates, row_num
 SELECT l.line_id, CASE WHEN NOT labour THEN item_id END AS item_id, CASE WHEN NOT labour THEN confidence::DOUBLE END AS confidence, CASE WHEN labour OR item_id IS NULL THEN 'no_match' ELSE decision END AS decision, coalesce(candidates, 0) AS candidates
 FROM l LEFT JOIN best ON l.line_id = best.line_id AND place = 1""")
 def j1_j2_j4_map_lines(spark, sf_dir):
+    """The rungs that SQL can express, J1 and J2; `j1_j4_map_lines` is the whole ladder."""
     lines, items = _mapping(spark, sf_dir)
     return M.map_lines(lines, items, fuzzy_least=None)
 
 
+@query()
+def j1_j4_map_lines(spark, sf_dir):
+    """The whole ladder: J1, J2, then J3 for what is left. SQL can't score the third rung."""
+    lines, items = _mapping(spark, sf_dir)
+    return M.map_lines(lines, items)
+
+
 @query()
 def j3_match_fuzzy(spark, sf_dir):
     lines, items = _mapping(spark, sf_dir)

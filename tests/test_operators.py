@@ -168,3 +168,45 @@ def test_streams(spark, tmp_path):
     query = jobs.p90_alerts(stream()).writeStream.format("memory").queryName("alerts").option("checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert [(r.line_id, r.history, r.p90, r.late) for r in spark.sql("SELECT * FROM alerts").collect()] == [(7, 7, 620, False)]
+
+
+def test_registered_ladder_equals_brute_force(spark, tmp_path):
+    from functools import cache
+
+    from repairbench.plans import registry, text_queries as Q
+
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").orderBy("p_partkey").limit(60).write.parquet(f"{tmp_path}/part.parquet")
+    lines, items = Q._mapping(spark, str(tmp_path))
+    key = lambda c: T.part_number_key(F.col(c))
+    lines = lines.select("line_id", "kind", key("part_number").alias("pn"), T.apply_invoice_aliases(T.normalise_description(F.col("description"))).alias("text")).collect()
+    items = items.select("item_id", T.normalise_description(F.col("name")).alias("name"), F.transform("synonyms", T.normalise_description).alias("synonyms"), F.transform("part_numbers", T.part_number_key).alias("pns")).collect()
+
+    def ratio(a, b):
+        @cache
+        def common(i, j):
+            if i == len(a) or j == len(b):
+                return 0
+            return 1 + common(i + 1, j + 1) if a[i] == b[j] else max(common(i + 1, j), common(i, j + 1))
+
+        return 2 * common(0, 0) / (len(a) + len(b))
+
+    @cache
+    def score(a, b):
+        x, y = set(a.split()), set(b.split())
+        both, left, right = (sorted(s) for s in (x & y, x - y, y - x))
+        if both and not (left and right):
+            return 1.0
+        pairs = [(both + left, both + right), (both, both + left), (both, both + right)][: 3 if both else 1]
+        return max(round(ratio(" ".join(p), " ".join(q)) + 1e-12, 4) for p, q in pairs)
+
+    want = {}
+    for r in lines:
+        hits = [(1.0, i.item_id, "exact_part_number") for i in items if r.pn and r.pn in i.pns]
+        hits = hits or [(0.99 if r.text == i.name else 0.98, i.item_id, "synonym") for i in items if r.text in (i.name, *i.synonyms)]
+        hits = hits or [(max(score(r.text, n) for n in (i.name, *i.synonyms)), i.item_id, "fuzzy") for i in items]
+        hits = sorted((h for h in hits if h[0] >= 0.45), key=lambda h: (-h[0], h[1]))[:8]
+        best = hits[0] if hits and r.kind == "part" else (None, None, "no_match")
+        want[r.line_id] = (best[1], best[0], best[2], len(hits))
+    got = {r.line_id: (r.item_id, r.confidence, r.decision, r.candidates) for r in registry.QUERIES["j1_j4_map_lines"](spark, str(tmp_path)).collect()}
+    assert got == want
+    assert {"exact_part_number", "synonym", "fuzzy", "no_match"} == {d for _, _, d, _ in got.values()}
