@@ -1,7 +1,9 @@
 """Main text of web pages by two-pass block rules.
 
 Pass one classifies blocks of text by where they stand, their link density, length and stop-word density: good,
-bad, or undecided (short, or few stop words). Pass two lets undecided blocks inherit the label of the nearest
+bad, or undecided. In an article, long blocks of few links are good; on a page without one they are good if they
+hold stop words or if no such block does (another language). Short blocks, and on a page of a known language its
+long blocks of few stop words, are undecided. Pass two lets undecided blocks inherit the label of the nearest
 decided block of their part of the page. A part with nothing decided is kept.
 """
 
@@ -135,12 +137,19 @@ def main_text(page: str | None, rules: Rules = Rules()) -> str:
     """The article's text, blocks joined by one space; empty if there is none."""
     blocks = blocks_of(page or "")
     articles = any(b.part for b in blocks)
+    unknown = []  # long blocks of few stop words on a page without an article
     for b in blocks:
-        words = _WORD.findall(b.text.lower())
-        stop = sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
-        if b.outside or (articles and not b.part) or b.linked > rules.link_density * len(b.text) or (not b.part and "\N{COPYRIGHT SIGN}" in b.text):
+        short = len(b.text) < rules.short
+        if b.outside or (articles and not b.part) or b.linked > rules.link_density * len(b.text) or (short and not b.part and "\N{COPYRIGHT SIGN}" in b.text):
             b.label = "bad"
-        elif len(b.text) >= rules.short and stop >= rules.stop_words:
+        elif not short:
+            words = [] if b.part else _WORD.findall(b.text.lower())
+            if b.part or words and sum(w in STOP_WORDS for w in words) >= rules.stop_words * len(words):
+                b.label = "good"
+            else:
+                unknown.append(b)
+    if not any(b.label == "good" for b in blocks):
+        for b in unknown:
             b.label = "good"
     ahead, behind = _decided(blocks, 1), _decided(blocks, -1)
     kept = []

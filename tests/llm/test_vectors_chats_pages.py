@@ -135,3 +135,14 @@ def test_chats_without_a_tree_are_one_tree(spark, tmp_path):
     db = duckdb.connect()
     db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     assert set(got) == {None, 0, 1, -7} and got == {r[0]: r for r in db.sql(ORACLE).fetchall()}
+
+
+def test_long_blocks_need_no_stop_words():
+    fin = "Metsän laidalla seisoi vanha talo, jonka ikkunoista näkyi järvelle saakka koko pitkän kesän ajan."
+    links = f"<p><a href=x>{'Lue lisää uutisia täältä ' * 4}</a></p>"
+    numbers = "1024 2048 4096 8192 Aho Berg Cederqvist Dahl Ek Forss Grahn Hult Ilves Juslin 16384 32768"
+    for page in (f"<article><p>{fin}</p>{links}<p>{numbers}</p></article>", f"<p>{fin}</p>{links}<p>{numbers}</p>"):
+        assert main_text(page) == f"{fin} {numbers}"
+    known = "The quick brown fox of the forest is in the house and it was on the way to the river, as they have said."
+    assert main_text(f"<p>{known}</p><p>\N{COPYRIGHT SIGN} {known}</p><p>\N{COPYRIGHT SIGN} 2024 Shop</p>") == f"{known} \N{COPYRIGHT SIGN} {known}"
+    assert main_text(f"<p>{known}</p>{links}<p>{numbers}</p>{links}") == known
