@@ -1,14 +1,15 @@
 """Quality classifier: random-indexing word vectors pooled per document, a two-layer numpy network, temperature.
 
 Every word falls in a bucket of a hashed vocabulary, and each bucket has a sparse random index vector. A word's
-vector is its own index vector plus the normalised sum of the index vectors around it in a bounded sample of
-labelled documents. A document is the mean of its words' vectors and of their squares, with a few shape ratios.
+vector is its own index vector plus the normalised sum of the index vectors around it in all documents, labelled
+or not. A document is the mean of its words' vectors and of their squares, with a few shape ratios.
 A network of two layers is trained on the labelled sample; its logit over a temperature, fitted on a part kept
 apart from training, is the probability.
 """
 
 from __future__ import annotations
 
+import zlib
 from functools import partial
 
 import numpy as np
@@ -21,19 +22,24 @@ from .common import bytes_list, chunks, read_table, small
 from .shingles import word_hashes
 
 DIM, NONZERO, BUCKETS, WINDOW = 48, 6, 1 << 14, 2
-#: Labelled documents that the word vectors and the network are fitted on, at most.
+#: Labelled documents that the network and its temperature are fitted on, at most.
 SAMPLE = 12_000
 HIDDEN, EPOCHS, RATE, BATCH, DECAY = 24, 60, 3e-3, 128, 1e-4
 _SHAPES = 8
 WIDTH = 2 * DIM + _SHAPES
 
 
+def _index() -> list[tuple[np.ndarray, np.ndarray]]:
+    """The places and signs of the few plus and minus ones of each bucket."""
+    rng = np.random.default_rng(11)
+    return [(rng.integers(0, DIM, BUCKETS), rng.choice([-1.0, 1.0], BUCKETS).astype(np.int64)) for _ in range(NONZERO)]
+
+
 def index_vectors() -> np.ndarray:
     """A sparse random vector of a few plus and minus ones for each bucket."""
-    rng = np.random.default_rng(11)
     out = np.zeros((BUCKETS, DIM), np.float32)
-    for _ in range(NONZERO):
-        out[np.arange(BUCKETS), rng.integers(0, DIM, BUCKETS)] += rng.choice([-1.0, 1.0], BUCKETS).astype(np.float32)
+    for place, sign in _index():
+        out[np.arange(BUCKETS), place] += sign.astype(np.float32)
     return out / np.sqrt(NONZERO)
 
 
@@ -42,8 +48,8 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
 
 
 def _contexts(batches):
-    """The task's sums of index vectors around each bucket's words, in one row a block of buckets."""
-    index, total = index_vectors(), np.zeros((BUCKETS, DIM), np.float32)
+    """The task's sums of plus and minus ones around each bucket's words, whole numbers, in one row a block of buckets."""
+    index, total = _index(), np.zeros(BUCKETS * DIM, np.int64)
     for batch in batches:
         texts = bytes_list(batch.column(0))
         for i, j in chunks(texts):
@@ -54,32 +60,31 @@ def _contexts(batches):
                 left, right = b[:-step], b[step:]
                 same = doc[:-step] == doc[step:]
                 left, right = left[same], right[same]
-                pairs, times = np.unique(np.concatenate([left * BUCKETS + right, right * BUCKETS + left]), return_counts=True)
-                for k in range(0, len(pairs), 50_000):
-                    p = pairs[k : k + 50_000]
-                    np.add.at(total, p // BUCKETS, index[p % BUCKETS] * times[k : k + 50_000, None].astype(np.float32))
-    size = BUCKETS // 16
-    yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([total[k * size : (k + 1) * size].tobytes() for k in range(16)], pa.binary())], ["k", "sums"])
+                for at, near in ((left * DIM, right), (right * DIM, left)):
+                    for place, sign in index:
+                        np.add.at(total, at + place[near], sign[near])
+    size = BUCKETS * DIM // 16
+    yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([zlib.compress(total[k * size : (k + 1) * size].tobytes(), 1) for k in range(16)], pa.binary())], ["k", "sums"])
 
 
 def _added(batches):
     held: dict[int, np.ndarray] = {}
     for batch in batches:
         for k, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x = np.frombuffer(raw, np.float32)
+            x = np.frombuffer(zlib.decompress(raw), np.int64)
             held[k] = held[k] + x if k in held else x
     for k, x in held.items():
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["k", "sums"])
 
 
 def word_vectors(texts: DataFrame, text_col: str) -> np.ndarray:
-    """A vector for each bucket from the texts of the (bounded) sample."""
+    """A vector for each bucket from all texts; the sums are of fixed size and exact, in whatever order they merge."""
     parts = texts.select(F.col(text_col).cast("string")).mapInArrow(_contexts, "k int, sums binary")
-    sums = {r.k: np.frombuffer(r.sums, np.float32) for r in parts.repartition(16, "k").mapInArrow(_added, "k int, sums binary").collect()}
+    sums = {r.k: np.frombuffer(r.sums, np.int64) for r in parts.repartition(16, "k").mapInArrow(_added, "k int, sums binary").collect()}
     index = index_vectors()
     if not sums:
         return index
-    context = np.concatenate([sums[k] for k in range(16)]).reshape(BUCKETS, DIM)
+    context = (np.concatenate([sums[k] for k in range(16)]).reshape(BUCKETS, DIM) / np.sqrt(NONZERO)).astype(np.float32)
     norm = np.linalg.norm(context, axis=1, keepdims=True)
     return index + context / np.maximum(norm, 1)
 
@@ -206,8 +211,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """The input with held_out, score (0 to 1, higher: label 1 likelier) and predicted (1 if score >= 0.5).
 
     Labels are learned from ids whose crc32 (of the id as text) modulo 3 is not 1; the others are held out.
-    The fit takes at most `sample` labelled ids, those of the smallest hash; every fifth of them, by another
-    hash, sets the temperature only. Text alone makes a score: words, and shapes of the text.
+    The word vectors come from all texts. The network takes at most `sample` labelled ids, those of the smallest
+    hash; every fifth of them, by another hash, sets the temperature only. Text alone makes a score: words, and shapes of the text.
 
     Null labels and ids are not learned from; of several labels of an id the largest counts. Null and empty
     texts are scored like any other. With labels of one kind, or none, every score is their smoothed share.
@@ -220,7 +225,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     marks = marks.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
     chosen = marks.orderBy(F.xxhash64("_id"), "_id").limit(sample).cache()
     learned = data.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text")).join(small(chosen), "_id")
-    vectors = spark.sparkContext.broadcast(word_vectors(learned, "_text"))
+    vectors = spark.sparkContext.broadcast(word_vectors(data, text_col))
     fitted = learned.select("_id", "_y", "_text").mapInArrow(partial(_featured, vectors=vectors), "doc_id long, y int, x binary")
     # At most `sample` ids; rows that repeat an id count once.
     kept = fitted.groupBy("doc_id").agg(F.max("y").alias("y"), F.min("x").alias("x")).orderBy("doc_id").toPandas()

@@ -146,3 +146,24 @@ def test_long_blocks_need_no_stop_words():
     known = "The quick brown fox of the forest is in the house and it was on the way to the river, as they have said."
     assert main_text(f"<p>{known}</p><p>\N{COPYRIGHT SIGN} {known}</p><p>\N{COPYRIGHT SIGN} 2024 Shop</p>") == f"{known} \N{COPYRIGHT SIGN} {known}"
     assert main_text(f"<p>{known}</p>{links}<p>{numbers}</p>{links}") == known
+
+
+def test_word_vectors_come_from_all_texts(spark, monkeypatch):
+    from repairbench.llm import quality
+    from repairbench.llm.shingles import word_hashes
+
+    texts = [(i, f"alpha beta gamma delta word{i} omega") for i in range(40)] + [(99, None), (100, "")]
+    seen, real = [], quality.word_vectors
+    monkeypatch.setattr(quality, "word_vectors", lambda *a: seen.append(real(*a)) or seen[0])
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    quality.score_quality(docs, spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int"), sample=4)
+    index = quality.index_vectors()
+    context = np.zeros(index.shape)
+    for _, t in texts:
+        b = quality._buckets(word_hashes([(t or "").encode()])[0])
+        for i in range(len(b)):
+            for j in range(max(0, i - quality.WINDOW), min(len(b), i + quality.WINDOW + 1)):
+                if i != j:
+                    context[b[i]] += index[b[j]]
+    want = index + context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1)
+    assert np.allclose(seen[0], want, atol=1e-5)
