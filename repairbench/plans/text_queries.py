@@ -81,6 +81,17 @@ def t12_t13_redact(spark, sf_dir):
     return docs.select("doc_id", F.sha2("text", 256).alias("original_sha256"), F.coalesce(F.try_element_at(counts, F.lit("EMAIL")), F.lit(0)).cast("long").alias("emails"), F.array_contains(flags, "IGNORE_INSTRUCTIONS").alias("ignores"))
 
 
+@query()
+def t12_t13_redact_all(spark, sf_dir):
+    """All counts, all flags and the redacted text's digest, null texts included; RE2 has no look-around for SQL."""
+    text = F.col("text")
+    counts, after = T.redaction_counts(text), T.redacted(text)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("original_sha256"), F.sha2(after, 256).alias("redacted_sha256"), counts.alias("counts"), T.injection_flags(after).alias("flags"))
+    found = [F.coalesce(F.try_element_at("counts", F.lit(name)), F.lit(0)).cast("long").alias(name.lower() + "s") for name, _ in T.REDACTIONS]
+    flags = [F.array_contains("flags", name).alias(name.lower()) for name, _ in T.INJECTIONS]
+    return rows.select("doc_id", "original_sha256", "redacted_sha256", *found, *flags)
+
+
 @query("""SELECT page_id, CASE WHEN position('#' IN url) > 0 THEN left(url, position('#' IN url) - 1) ELSE url END AS identity, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host,
  regexp_extract(url, '^https?://([^/?#]*)', 1) LIKE '%.example.org' AS allowed FROM pages""")
 def t15_url_identity(spark, sf_dir):
