@@ -3,21 +3,23 @@
 With a vector cut in segments of length l, each of mean m and deviation s, the inner product of two vectors is
 at most the sum of l * (m1 * m2 + s1 * s2) over segments (Cauchy-Schwarz within a segment), which is a lower
 bound on their distance. Bounds go from few long segments to many short ones; only pairs whose bound reaches
-the query's present k-th score are looked at again, and the survivors get their exact score.
+the query's present k-th score are looked at again, and the surviving pairs get their exact score. The k-th score
+starts from a sample of rows, so every block of rows knows a threshold from the beginning.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import best, in_blocks, split_group, top_k, usable
+from .vectors import ROW_BLOCK, best, keep_best, kth, search_blocks, usable, with_least
 
 RESOLUTIONS = (4, 16)
-TILE = 512
-OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+#: Rows whose bounds are taken at once, and the share of pairs above which a whole block product is cheaper.
+TILE, DENSE = 512, 0.05
 
 
 def segment_statistics(v: np.ndarray, segments: int) -> np.ndarray:
@@ -29,60 +31,78 @@ def segment_statistics(v: np.ndarray, segments: int) -> np.ndarray:
     return np.hstack([means * np.sqrt(size), spread])
 
 
-def _search(table: pa.Table, k: int) -> pa.Table:
-    q_ids, q, r_ids, r = split_group(table)
-    if not len(q_ids) or not len(r_ids):
-        return OUT.empty_table()
-    exact = np.abs(q).max() * np.abs(r).max() * q.shape[1] < 2.0**52
-    if not exact:  # beyond doubles: integers of 64 bits
-        q, r = q.astype(np.int64), r.astype(np.int64)
-    # Rows near their queries first: long vectors have the high scores, and raise the thresholds early.
-    tiles = np.array_split(np.argsort(-np.linalg.norm(r.astype(float), axis=1), kind="stable"), max(1, len(r_ids) // TILE))
-    levels = [(segment_statistics(q.astype(float), s), segment_statistics(r.astype(float), s)) for s in RESOLUTIONS]
-    held_s, held_i = np.full((len(q_ids), k), -np.inf), np.full((len(q_ids), k), np.iinfo(np.int64).max)
-    for tile in tiles:
-        tile = np.sort(tile)
-        rows, columns = np.arange(len(q_ids)), tile
-        for stats_q, stats_r in levels:
-            bound = stats_q[rows] @ stats_r[columns].T
-            reach = bound * (1 + 1e-9) + 1e-6 >= held_s[rows, -1][:, None]
-            rows, columns = rows[reach.any(axis=1)], columns[reach.any(axis=0)]
-        if not len(rows) or not len(columns):
-            continue
-        scores = (q[rows] @ r[columns].T).astype(float)
-        scores[q_ids[rows][:, None] == r_ids[columns][None, :]] = -np.inf
-        mask = top_k(scores, k)
-        width = int(mask.sum(axis=1).max(initial=0))
-        new_s, new_i = np.full((len(rows), width), -np.inf), np.full((len(rows), width), np.iinfo(np.int64).max)
-        i, j = np.nonzero(mask)
-        at = (np.cumsum(mask, axis=1) - 1)[i, j]
-        new_s[i, at], new_i[i, at] = scores[i, j], r_ids[columns][j]
-        s, ids = np.hstack([held_s[rows], new_s]), np.hstack([held_i[rows], new_i])
-        order = np.lexsort((ids, -s), axis=1)[:, :k]
-        held_s[rows], held_i[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(ids, order, 1)
-    i, j = np.nonzero(held_s > -np.inf)
-    ids = held_i[i, j]
-    if exact:
-        score = held_s[i, j].astype(np.int64)
-    else:
-        score = np.array([int((q[a] * r[np.searchsorted(r_ids, b)]).sum()) for a, b in zip(i, ids, strict=True)], np.int64)
-    return pa.table([pa.array(q_ids[i]), pa.array(ids), pa.array(score)], schema=OUT)
-
-
-def exact_top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 1024, row_block: int = 4096) -> DataFrame:
+def grid(v: np.ndarray) -> np.ndarray:
+    return np.floor(64 * v)
+
+
+def _score(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Lower bounds of scores: exact products, less what rounding could add to large ones."""
+    s = grid(q) @ grid(r).T
+    return s - 1e-9 * np.abs(s)
+
+
+def _index(ids: np.ndarray, v: np.ndarray):
+    # Long vectors first: they have the high scores, and raise the thresholds early.
+    order = np.argsort(-np.linalg.norm(v, axis=1), kind="stable")
+    r = grid(v[order])
+    return ids[order], r, [segment_statistics(r, s) for s in RESOLUTIONS]
+
+
+def pairwise(a: np.ndarray, b: np.ndarray, dense: bool, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Inner products of the pairs (a[i], b[j]): from a block product if that is cheaper, else one by one."""
+    return (a @ b.T)[i, j] if dense else np.einsum("ij,ij->i", a[i], b[j])
+
+
+def _search(index, q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int):
+    ids, r, levels = index
+    q = grid(q)
+    if np.abs(q).max() * np.abs(r).max() * q.shape[1] >= 2.0**52:
+        return _search_large(ids, r, q_ids, q, k)
+    own = [segment_statistics(q, s) for s in RESOLUTIONS]
+    none = np.zeros(0, np.int64)
+    held = (none, none, np.zeros(0))
+    for a in range(0, len(ids), TILE):
+        b = slice(a, a + TILE)
+        floor = kth(held, k, least)
+        i, j = np.nonzero(q_ids[:, None] != ids[b][None, :])
+        size = len(q_ids) * len(ids[b])
+        for mine, theirs in zip(own, levels, strict=True):
+            bound = pairwise(mine, theirs[b], len(i) > DENSE * size, i, j)
+            reach = bound + 1e-9 * np.abs(bound) + 1e-6 >= floor[i]
+            i, j = i[reach], j[reach]
+        if len(i):
+            s = pairwise(q, r[b], len(i) > DENSE * size, i, j)
+            good = s >= floor[i]
+            held = keep_best(held, (i[good], ids[b][j[good]], s[good]), k)
+    at, found, s = held
+    return q_ids[at], found, s.astype(np.int64)
+
+
+def _search_large(ids: np.ndarray, r: np.ndarray, q_ids: np.ndarray, q: np.ndarray, k: int):
+    """Products beyond the integers that doubles hold: whole numbers of any size; scores end at those of 64 bits."""
+    whole = [[int(x) for x in row] for row in r.tolist()]
+    out: tuple[list, list, list] = ([], [], [])
+    low, high = -(1 << 63), (1 << 63) - 1
+    for a, row in zip(q_ids.tolist(), q.tolist(), strict=True):
+        row = [int(x) for x in row]
+        scored = sorted((-min(max(sum(x * y for x, y in zip(row, w, strict=True)), low), high), b) for b, w in zip(ids.tolist(), whole, strict=True) if a != b)
+        for s, b in scored[:k]:
+            for c, x in zip(out, (a, b, -s), strict=True):
+                c.append(x)
+    return tuple(np.array(c, np.int64) for c in out)
+
+
+def exact_top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", row_block: int = ROW_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each query its k rows of largest integer inner product, ties to the smaller id.
 
     Components become floor(64 * x) first. A query's own id is no candidate. Rows with a null id, and vectors
     that are null, empty or hold null or non-finite components take no part, nor do pairs of unequal length.
-    Repeated rows are candidates of their own. An empty side gives no rows.
+    Repeated rows are candidates of their own. An empty side gives no rows. Products too large for doubles are
+    taken in whole numbers, and scores stop at the largest and smallest long.
     """
-    grid = lambda df: usable(df, id_col, vec_col).select("id", F.transform("v", lambda x: F.floor(x * 64).cast("double")).alias("v"))
-    pairs = in_blocks(grid(queries), grid(rows), query_block, row_block)
-
-    def search(table: pa.Table) -> pa.Table:
-        return _search(table, k)
-
-    found = pairs.groupBy("q_block", "r_block", "dim").applyInArrow(search, "query_id long, vec_id long, score long")
+    real = lambda df: usable(df, id_col, vec_col).where(~F.exists("v", lambda x: F.abs(x) >= 2.0**1017))
+    asked = with_least(real(queries), real(rows), _score, k)
+    found = search_blocks(asked, real(rows), _index, partial(_search, k=k), "long", row_block)
     return best(found, k, [F.desc("score"), F.asc("vec_id")])
 
 

@@ -1,23 +1,24 @@
 """Approximate nearest neighbours: stable projections in a kd-tree, a chi-square test to stop.
 
-Vectors of length one go through a few 2-stable (Gaussian) projections. Each block of rows has a kd-tree over its
-projections; a query takes leaves in the order of their projected distance and verifies their rows on the
-original vectors. If a row lies within distance d, its squared projected distance over d squared follows a
-chi-square law of `projections` degrees. So once the next leaf is further than the quantile `sure` of that law
-times the present k-th distance, any row nearer than that would have been met with probability `sure`.
+Vectors of length one go through a few 2-stable (Gaussian) projections, and each block of rows has one kd-tree over
+its projections. A query walks down the tree, takes the leaves it reaches in the order of their projected distance,
+and verifies rows on the original vectors. If a row lies within distance d, its squared projected distance over d
+squared follows a chi-square law of `projections` degrees. So a node, leaf or row further than the quantile `sure` of
+that law times the present k-th distance is left out: a nearer row would have been met with probability `sure`.
+The k-th distance starts from a sample of rows.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import best, in_blocks, split_group, usable
+from .vectors import ROW_BLOCK, best, keep_best, kth, search_blocks, usable, with_least
 
-PROJECTIONS, SURE, LEAF = 8, 0.97, 64
-OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+PROJECTIONS, SURE, LEAF = 8, 0.97, 256
 
 
 def chi_square_quantile(degrees: int, p: float) -> float:
@@ -33,62 +34,109 @@ def chi_square_quantile(degrees: int, p: float) -> float:
     return x
 
 
-def kd_leaves(points: np.ndarray, leaf: int = LEAF) -> list[np.ndarray]:
-    """Rows of the leaves of a kd-tree: cut at the median of the widest side, until `leaf` rows are left."""
-    stack, out = [np.arange(len(points))], []
-    while stack:
-        rows = stack.pop()
-        if len(rows) <= leaf:
-            out.append(rows)
-            continue
-        side = np.ptp(points[rows], axis=0).argmax()
-        order = np.lexsort((rows, points[rows, side]))
-        stack += [rows[order[: len(rows) // 2]], rows[order[len(rows) // 2 :]]]
-    return out
-
-
-def _search(table: pa.Table, k: int, projections: int, sure: float, seed: int) -> pa.Table:
-    q_ids, q, r_ids, r = split_group(table)
-    if not len(q_ids) or not len(r_ids):
-        return OUT.empty_table()
-    q_unit, r_unit = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (q, r))
-    across = np.random.default_rng(seed).standard_normal((q.shape[1], projections))
-    q_low, r_low = q_unit @ across, r_unit @ across
-    leaves = kd_leaves(r_low)
-    floor_, ceil_ = (np.array([f(r_low[x], axis=0) for x in leaves]) for f in (np.min, np.max))
-    limit = chi_square_quantile(projections, sure)
-    found_q, found_r, found_s = [], [], []
-    for i in range(len(q_ids)):
-        away = (np.maximum(np.maximum(floor_ - q_low[i], q_low[i] - ceil_), 0) ** 2).sum(axis=1)
-        ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        for leaf in np.argsort(away, kind="stable"):
-            # squared distance of unit vectors: 2 - 2 cos
-            if len(scores) >= k and away[leaf] > limit * max(0.0, 2 - 2 * scores[-1]):
-                break
-            rows = leaves[leaf][r_ids[leaves[leaf]] != q_ids[i]]
-            ids, scores = np.concatenate([ids, r_ids[rows]]), np.concatenate([scores, r_unit[rows] @ q_unit[i]])
-            order = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[order], scores[order]
-        found_q += [q_ids[i]] * len(ids)
-        found_r += ids.tolist()
-        found_s += scores.tolist()
-    return pa.table([pa.array(found_q, pa.int64()), pa.array(found_r, pa.int64()), pa.array(found_s, pa.float64())], schema=OUT)
-
-
-def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", query_block: int = 1024, row_block: int = 4096, projections: int = PROJECTIONS, sure: float = SURE, seed: int = 7) -> DataFrame:
+def unit(v: np.ndarray) -> np.ndarray:
+    """Vectors of length one; scaled by their largest component first, so that no square over- or underflows."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+
+
+def _cosines(q: np.ndarray, r: np.ndarray) -> np.ndarray:
+    return unit(q) @ unit(r).T - 1e-9
+
+
+class KdTree:
+    """Cuts at the median of a node's widest side until `leaf` rows are left; each node knows its box."""
+
+    def __init__(self, points: np.ndarray, leaf: int = LEAF):
+        self.rows = np.arange(len(points))
+        self.low, self.high, self.left, self.span = [], [], [], []
+        todo = [(0, len(points))]
+        for a, b in todo:  # children are added behind, in pairs
+            rows = self.rows[a:b]
+            box = points[rows]
+            self.low.append(box.min(axis=0))
+            self.high.append(box.max(axis=0))
+            self.span.append((a, b))
+            if b - a <= leaf:
+                self.left.append(-1)
+                continue
+            side = np.ptp(box, axis=0).argmax()
+            self.rows[a:b] = rows[np.lexsort((rows, box[:, side]))]
+            self.left.append(len(todo))
+            todo += [(a, (a + b) // 2), ((a + b) // 2, b)]
+        self.low, self.high, self.left, self.span = (np.array(x) for x in (self.low, self.high, self.left, self.span))
+
+    def reached(self, points: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(point, leaf, squared distance) of the leaves whose path of boxes lies within each point's limit."""
+        q, node = np.arange(len(points)), np.zeros(len(points), np.int64)
+        out = []
+        while len(q):
+            away = (np.maximum(np.maximum(self.low[node] - points[q], points[q] - self.high[node]), 0) ** 2).sum(axis=1)
+            near = away <= limit[q]
+            q, node, away = q[near], node[near], away[near]
+            end = self.left[node] < 0
+            out.append((q[end], node[end], away[end]))
+            q, node = np.repeat(q[~end], 2), np.repeat(self.left[node[~end]], 2)
+            node[1::2] += 1
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _index(ids: np.ndarray, v: np.ndarray, projections: int, seed: int):
+    across = np.random.default_rng(seed).standard_normal((v.shape[1], projections))
+    r = unit(v)
+    low = r @ across
+    tree = KdTree(low)
+    return ids[tree.rows], r[tree.rows], low[tree.rows], tree, across
+
+
+def _search(index, q_ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int, limit: float, count=None):
+    ids, r, r_low, tree, across = index
+    q = unit(q)
+    q_low = q @ across
+    none = np.zeros(0, np.int64)
+    held, floor = (none, none, np.zeros(0)), least
+    reach = lambda s: limit * np.maximum(0.0, 2 - 2 * s)  # squared distance of unit vectors: 2 - 2 cos
+    who, leaf, away = tree.reached(q_low, reach(floor))
+    order = np.lexsort((leaf, away, who))
+    who, leaf, away = who[order], leaf[order], away[order]
+    first = np.flatnonzero(np.diff(who, prepend=-1))
+    place = np.arange(len(who)) - np.repeat(first, np.diff(np.append(first, len(who))))
+    # In round t each query takes its t-th leaf; queries at the same leaf share a product.
+    by_round = np.argsort(place, kind="stable")
+    for at in np.split(by_round, np.flatnonzero(np.diff(place[by_round])) + 1) if len(by_round) else []:
+        at = at[away[at] <= reach(floor[who[at]])]
+        found = []
+        at = at[np.argsort(leaf[at], kind="stable")]
+        for some in np.split(at, np.flatnonzero(np.diff(leaf[at])) + 1) if len(at) else []:
+            a, b = tree.span[leaf[some[0]]]
+            w = who[some]
+            far = ((q_low[w][:, None, :] - r_low[a:b][None, :, :]) ** 2).sum(axis=2)
+            i, j = np.nonzero((far <= reach(floor[w])[:, None]) & (q_ids[w][:, None] != ids[a:b][None, :]))
+            if count is not None:
+                count.append(len(i))
+            near = (q[w] @ r[a:b].T)[i, j] >= floor[w][i] - 1e-9
+            i, j = w[i[near]], a + j[near]
+            # the same sum for equal vectors, whatever block they are in
+            found.append((i, ids[j], (q[i] * r[j]).sum(axis=1)))
+        if found:
+            held = keep_best(held, tuple(np.concatenate(x) for x in zip(*found, strict=True)), k)
+            floor = kth(held, k, least)
+    at, found, s = held
+    return q_ids[at], found, s
+
+
+def nearest(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", row_block: int = ROW_BLOCK, projections: int = PROJECTIONS, sure: float = SURE, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: for each query the k nearest rows found, by cosine, ties to the smaller id.
 
     A query's own id is no candidate. Rows with a null id, and vectors that are null, empty, zero or hold null or
     non-finite components take no part, nor do pairs of unequal length. Repeated rows are candidates of their
     own. Every row is indexed, in the block it falls in. `projections` is even. An empty side gives no rows.
+    While a query has fewer than k rows nothing is left out, so it gets k rows if there are as many.
     """
     real = lambda df: usable(df, id_col, vec_col).where(F.exists("v", lambda x: x != 0))
-    pairs = in_blocks(real(queries), real(rows), query_block, row_block)
-
-    def search(table: pa.Table) -> pa.Table:
-        return _search(table, k, projections, sure, seed)
-
-    found = pairs.groupBy("q_block", "r_block", "dim").applyInArrow(search, "query_id long, vec_id long, score double")
+    asked = with_least(real(queries), real(rows), _cosines, k)
+    search = partial(_search, k=k, limit=chi_square_quantile(projections, sure))
+    found = search_blocks(asked, real(rows), partial(_index, projections=projections, seed=seed), search, "double", row_block)
     return best(found, k, [F.desc("score"), F.asc("vec_id")])
 
 

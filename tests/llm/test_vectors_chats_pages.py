@@ -31,7 +31,7 @@ def usable(rows):
 
 def test_exact_top_k(spark):
     rows, df = vectors(spark)
-    got = exact_top_k(df, df.where("vec_id % 20 = 0"), 7, query_block=5, row_block=40)
+    got = exact_top_k(df, df.where("vec_id % 20 = 0"), 7, row_block=40)
     good, want = [(i, np.floor(64 * v)) for i, v in usable(rows)], []
     for i, v in good:
         if i % 20 == 0:
@@ -43,7 +43,7 @@ def test_exact_top_k(spark):
 
 def test_nearest_recall_and_ties(spark):
     rows, df = vectors(spark)
-    got = nearest(df, df.where("vec_id % 20 = 0"), 5, query_block=5, row_block=80).collect()
+    got = nearest(df, df.where("vec_id % 20 = 0"), 5, row_block=80).collect()
     good = [(i, v / np.linalg.norm(v)) for i, v in usable(rows) if np.linalg.norm(v)]
     hit = total = 0
     for i, v in good:
@@ -55,6 +55,50 @@ def test_nearest_recall_and_ties(spark):
     assert abs(chi_square_quantile(8, 0.95) - 15.507) < 0.01
 
 
+def test_exact_top_k_of_negative_ties_and_huge_products(spark):
+    rows = [(0, [1000.0, 0.0, 0.0])] + [(i, [-1e6, 0.0 if i <= 1500 else 7.0, 0.0]) for i in range(1, 3001)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = exact_top_k(df, df.where("vec_id = 0"), 5, row_block=900).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == [1, 2, 3, 4, 5] and {r.score for r in got} == {-64000 * 64000000}
+    huge = spark.createDataFrame([(0, [1e9, 3.0]), (1, [1e9, 1.0]), (2, [1e9, 2.0]), (3, [-1e300, 0.0]), (4, [1.7e308, 0.0])], "vec_id long, embedding array<double>")
+    got = exact_top_k(huge, huge.where("vec_id = 0"), 5).orderBy("rank").collect()
+    top = 64_000_000_000**2
+    assert [(r.vec_id, r.score) for r in got] == [(1, (1 << 63) - 1), (2, (1 << 63) - 1), (3, -(1 << 63))] and top > 1 << 63
+    mid = spark.createDataFrame([(0, [2e7, 3.0]), (1, [2e7, 1.0]), (2, [2e7, 2.0])], "vec_id long, embedding array<double>")
+    got = exact_top_k(mid, mid.where("vec_id = 0"), 5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(2, 1_280_000_000**2 + 192 * 128), (1, 1_280_000_000**2 + 192 * 64)]
+
+
+def test_nearest_on_given_clustered_and_extreme_vectors(spark):
+    from functools import partial
+
+    from repairbench.llm import nearest as module
+
+    rows = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    got = {}
+    for r in nearest(rows, rows.where("vec_id % 50 = 0"), 5).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    data = sorted((r.vec_id, r.embedding) for r in rows.collect())
+    ids, u = np.array([i for i, _ in data]), module.unit(np.array([v for _, v in data], float))
+    hit = total = 0
+    for i in np.flatnonzero(ids % 50 == 0):
+        s = u @ u[i]
+        s[i] = -2
+        want = set(ids[np.lexsort((ids, -s))[:5]].tolist())
+        hit, total = hit + len(want & got[int(ids[i])]), total + 5
+    assert hit >= 0.9 * total
+    # Clusters: most rows are never verified.
+    rng = np.random.default_rng(4)
+    v = np.repeat(rng.normal(size=(40, 32)), 100, axis=0) + 0.01 * rng.normal(size=(4000, 32))
+    count, many = [], np.arange(4000)
+    module._search(module._index(many, v, 8, 7), many[::50], v[::50], np.full(80, -np.inf), 5, chi_square_quantile(8, 0.97), count)
+    assert sum(count) < 0.2 * 80 * 4000
+    odd = spark.createDataFrame([(1, [1e200, 1e200]), (2, [1e-200, 1e-200]), (3, [1.0, -1.0]), (4, [5.0, 5.0])], "vec_id long, embedding array<double>")
+    found = nearest(odd, odd.where("vec_id = 1"), 3).orderBy("rank").collect()
+    assert [r.vec_id for r in found] == [2, 4, 3] and abs(found[0].score - 1) < 1e-12
+    assert nearest(odd.limit(0), odd, 3).collect() == [] and nearest(odd, odd.limit(0), 3).collect() == []
+
+
 def test_chats_read_back(spark):
     odd = ["", "\\", "</turn>", "<says>\\<turn>", "\\### Assistant: </turn> ok", "<<turn>", "\\n", "a\nb é漢", "<\\/turn>"]
     df = spark.createDataFrame([(t,) for t in odd], "t string")
