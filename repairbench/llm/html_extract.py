@@ -1,16 +1,21 @@
 """Main text of web pages by two-pass block rules.
 
-Pass one classifies blocks of text by where they stand, their link density, length and stop-word density: good,
-bad, or undecided. In an article, long blocks of few links are good; on a page without one they are good if they
-hold stop words or if no such block does (another language). Short blocks, and on a page of a known language its
-long blocks of few stop words, are undecided. Pass two lets undecided blocks inherit the label of the nearest
-decided block of their part of the page. A part with nothing decided is kept.
+Pass one classifies blocks of text by stop-word density, length and link density: good, bad, or undecided. Long blocks
+of few links are good in an article; on a page without one they are good if they hold stop words or if no such block
+does (another language). Long blocks that are all link, runs of linked blocks, and linked or short copyright lines outside an
+article, are bad. Short blocks, paragraphs of an article with links in them, and long blocks of few stop words are undecided. Pass two lets undecided blocks
+inherit the label of the nearest decided block of their part of the page. A part with nothing decided is kept.
+
+Elements that hold no article text (navigation, footers, buttons) make their blocks bad. Class and id names, and forms,
+only weigh: a marked element is left out unless it holds most of a page's good text and no article stands outside it, or unless
+nothing good would be left without it.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 from functools import partial
 
@@ -28,7 +33,7 @@ STOP_WORDS = frozenset(
     el los las y del se por con una su para es al lo como más o pero sus fue son""".split()
 )
 # Elements that hold no article text, elements whose content is no markup, and block elements.
-OUTSIDE = frozenset("nav header footer aside form button select textarea label fieldset dialog menu iframe object svg canvas template noscript figure video audio head title".split())
+OUTSIDE = frozenset("nav header footer aside button select textarea label fieldset dialog menu iframe object svg canvas template noscript video audio head title".split())
 RAW = "script|style|textarea|title|noscript|template|iframe|svg"
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +44,8 @@ MARKS = frozenset(
     notice notices alert popup modal overlay share sharing social related recommended newsletter subscribe signup login
     search form copyright legal disclaimer skip pagination pager tags hidden""".split()
 )
+# With these in its name, a class or id speaks of the page around such a part.
+AROUND = frozenset("with without has no free layout page body".split())
 
 _TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:"[^"]*"|'[^']*'|[^>"'])*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:"[^"<]*"|'[^'<]*'|[^>"'])*)>|<[a-zA-Z/!?][^>]*(?:>|\Z)""", re.S | re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -54,6 +61,9 @@ class Rules:
     short: int = 70
     stop_words: float = 0.2
     link_density: float = 0.33
+    all_links: float = 0.8
+    link_run: int = 3
+    most: float = 0.7
 
 
 @dataclass
@@ -61,16 +71,17 @@ class Block:
     text: str
     linked: int  # characters inside links
     part: int  # which article (or the page itself) it stands in
-    outside: bool
+    outside: bool  # in an element that holds no article text
+    marks: tuple[int, ...] = ()  # the elements around it whose names say that they aren't the article, outermost first
     label: str = ""
 
 
 def _marked(attrs: str) -> bool:
-    if _HIDDEN.search(attrs):
-        return True
     for m in _NAMES.finditer(attrs):
-        if MARKS.intersection(_SPLIT.split(m[1].lower())):
-            return True
+        for name in m[1].strip("\"'").lower().split():
+            words = set(_SPLIT.split(name))
+            if words & MARKS and not words & AROUND:
+                return True
     return False
 
 
@@ -78,14 +89,13 @@ def blocks_of(page: str) -> list[Block]:
     """Blocks in page order. Unclosed parts end where an article begins or an outer element closes."""
     out: list[Block] = []
     text: list[str] = []
-    state = {"linked": 0, "parts": 0, "link": False}
-    stack: list[tuple[str, bool, int]] = []  # open elements that are not inline, whether they lie outside, their part
+    state = {"linked": 0, "parts": 0, "link": False, "marks": 0}
+    stack: list[tuple[str, bool, int, tuple]] = [("", False, 0, ())]  # open elements that are not inline: outside or not, part, marks
 
     def flush() -> None:
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            _, outside, part = stack[-1] if stack else ("", False, 0)
-            out.append(Block(joined, state["linked"], part, outside))
+            out.append(Block(joined, state["linked"], stack[-1][2], stack[-1][1], stack[-1][3]))
         text.clear()
         state["linked"] = 0
 
@@ -114,35 +124,69 @@ def blocks_of(page: str) -> list[Block]:
             state["link"] = False
             if tag in VOID or attrs.endswith("/"):
                 continue
-            _, outside, part = stack[-1] if stack else ("", False, 0)
+            _, outside, part, marks = stack[-1]
             if close:
                 if any(x[0] == tag for x in stack):
                     while stack.pop()[0] != tag:
                         pass
-            elif tag in ("article", "main"):
-                # One that begins in a marked block of an article is a comment; else what is open outside was never closed.
-                if not (outside and part):
+                continue
+            if tag == "form" or tag not in ("html", "body") and _marked(attrs):
+                state["marks"] += 1
+                marks = (*marks, state["marks"])
+            if tag in ("article", "main"):
+                # One in a marked or outer element of an article belongs to it; else what is open outside was never closed.
+                if not (part and (outside or marks)):
                     state["parts"] += 1
                     outside, part = False, state["parts"]
-                stack.append((tag, outside, part))
-            elif tag != "p" or _marked(attrs):
-                stack.append((tag, outside or tag in OUTSIDE or (tag not in ("html", "body") and _marked(attrs)), part))
+                stack.append((tag, outside, part, marks))
+            elif tag != "p" or marks != stack[-1][3] or _HIDDEN.search(attrs):
+                outer = tag in OUTSIDE and not (tag == "header" and part) or bool(_HIDDEN.search(attrs))
+                stack.append((tag, outside or outer, part, marks))
     if at < len(page):
         add(page[at:])
     flush()
     return out
 
 
-def main_text(page: str | None, rules: Rules = Rules()) -> str:
-    """The article's text, blocks joined by one space; empty if there is none."""
-    blocks = blocks_of(page or "")
-    articles = any(b.part for b in blocks)
-    unknown = []  # long blocks of few stop words on a page without an article
+def _long_and_plain(b: Block, rules: Rules) -> bool:
+    return not b.outside and len(b.text) >= rules.short and b.linked <= rules.link_density * len(b.text)
+
+
+def _left_out(blocks: list[Block], rules: Rules) -> set[int]:
+    """The marked elements whose blocks don't count: see the module's text."""
+    inside: dict[int, int] = defaultdict(int)
+    total = bare = 0
     for b in blocks:
-        short = len(b.text) < rules.short
-        if b.outside or (articles and not b.part) or b.linked > rules.link_density * len(b.text) or (short and not b.part and "\N{COPYRIGHT SIGN}" in b.text):
+        if _long_and_plain(b, rules):
+            n = len(b.text)
+            total += n
+            bare += n * (not b.marks)
+            for k in b.marks:
+                inside[k] += n
+    out = {k for b in blocks for k in b.marks}
+    for k in sorted(inside):  # outer elements come before those they hold
+        article = any(b.part and k not in b.marks and not out.intersection(b.marks) and _long_and_plain(b, rules) for b in blocks)
+        if not bare or inside[k] > rules.most * total and not article:
+            out.discard(k)
+            bare = sum(len(b.text) for b in blocks if not out.intersection(b.marks) and _long_and_plain(b, rules))
+    return out
+
+
+def classify(blocks: list[Block], rules: Rules = Rules()) -> None:
+    """Pass one: sets the labels "good" and "bad"; undecided blocks keep ""."""
+    marked = _left_out(blocks, rules)
+    away = [b.outside or bool(marked.intersection(b.marks)) for b in blocks]
+    articles = any(b.part and not out for b, out in zip(blocks, away, strict=True))
+    unknown, run = [], []  # long blocks of few stop words on a page without an article; linked blocks in a row
+    for b, out in zip(blocks, away, strict=True):
+        short, linked = len(b.text) < rules.short, b.linked > rules.link_density * len(b.text)
+        run = [*run, b] if not out and b.linked > rules.all_links * len(b.text) else []
+        if out or articles and not b.part or short and not b.part and (linked or "\N{COPYRIGHT SIGN}" in b.text):
             b.label = "bad"
-        elif not short:
+        elif len(run) >= rules.link_run or run and not (short and b.part):
+            for x in run if len(run) >= rules.link_run else [b]:
+                x.label = "bad"
+        elif not short and not linked:
             words = [] if b.part else _WORD.findall(b.text.lower())
             if b.part or words and sum(w in STOP_WORDS for w in words) >= rules.stop_words * len(words):
                 b.label = "good"
@@ -151,23 +195,37 @@ def main_text(page: str | None, rules: Rules = Rules()) -> str:
     if not any(b.label == "good" for b in blocks):
         for b in unknown:
             b.label = "good"
+
+
+def inherit(blocks: list[Block]) -> list[Block]:
+    """Pass two: the blocks that are good, or undecided and nearest to a good one of their part (before wins over after)."""
     ahead, behind = _decided(blocks, 1), _decided(blocks, -1)
     kept = []
     for i, b in enumerate(blocks):
         near = [(abs(j - i), j > i, blocks[j].label) for j in (ahead[i], behind[i]) if j is not None]
         if b.label == "good" or not b.label and (not near or min(near)[2] == "good"):
-            kept.append(b.text)
-    return " ".join(kept)
+            kept.append(b)
+    return kept
+
+
+def main_text(page: str | None, rules: Rules = Rules()) -> str:
+    """The article's text, blocks joined by one space; empty if there is none."""
+    blocks = blocks_of(page or "")
+    classify(blocks, rules)
+    return " ".join(b.text for b in inherit(blocks))
 
 
 def _decided(blocks: list[Block], step: int) -> list[int | None]:
-    """For each block the last decided block of its part that comes before it (step 1) or after it (step -1)."""
+    """For each block the last decided block of its part that comes before it (step 1) or after it (step -1).
+
+    What stands in an element without article text says nothing about its neighbours.
+    """
     last: dict[int, int] = {}
     out: list[int | None] = [None] * len(blocks)
     for i in range(len(blocks))[::step]:
         b = blocks[i]
         out[i] = last.get(b.part)
-        if b.label and not b.outside:
+        if b.label and not b.outside and not (b.label == "bad" and b.marks):
             last[b.part] = i
     return out
 
@@ -181,7 +239,7 @@ def _extract(batches, rules: Rules):
 def extract_html(pages: DataFrame, rules: Rules = Rules(), id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: one row for each row. Null and empty pages, and pages without text, give "".
 
-    Pages without an article or main element are classified as a whole. Broken markup (unclosed elements, a page
+    Pages without an article or main element are classified as a whole. Pages may have any length. Broken markup (unclosed elements, a page
     that ends inside a tag) loses the broken tag only. Ids and urls pass through, null or repeated as they are.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))

@@ -9,7 +9,7 @@ import pytest
 import corpus_pipeline
 from repairbench.llm.chat_format import escape, format_chats, loss_text, op4_chat_format, read_chats, unescape
 from repairbench.llm.exact_top_k import exact_top_k
-from repairbench.llm.html_extract import extract_html, main_text
+from repairbench.llm.html_extract import Block, classify, extract_html, inherit, main_text
 from repairbench.llm.nearest import chi_square_quantile, nearest
 from repairbench.llm.quality import score_quality
 from pyspark.sql import functions as F
@@ -192,6 +192,54 @@ def test_long_blocks_need_no_stop_words():
     assert main_text(f"<p>{known}</p>{links}<p>{numbers}</p>{links}") == known
 
 
+KNOWN = "The quick brown fox of the forest is in the house and it was on the way to the river, as they have said."
+
+
+def test_names_only_weigh():
+    side = f"<div class='sidebar'><p>{KNOWN}</p></div>"
+    for page in (f"<div class='layout with-sidebar'><p>{KNOWN}</p>{side}</div>", f"<div id='comment-free legal-notice-text'><p>{KNOWN}</p></div>", f"<form action=x><div><p>{KNOWN}</p></div><button>Send</button></form>", f"<div class='promo'><p>{KNOWN}</p></div><footer>{KNOWN}</footer>"):
+        assert main_text(page) == KNOWN
+    article = f"<article><header><h1>Title</h1></header><p>{KNOWN}</p></article>"
+    comments = f"<section id=comments><article class=comment><p>{KNOWN} {KNOWN} {KNOWN}</p></article></section>"
+    assert main_text(article + comments) == main_text(comments + article) == f"Title {KNOWN}"
+    assert main_text(f"<main><p>{KNOWN}</p><div class='comments'><p>{KNOWN} {KNOWN} {KNOWN}</p></div></main>") == KNOWN
+
+
+def test_an_article_keeps_its_linked_and_captioned_blocks():
+    linked = "<p>See <a href=x>the longest of all the linked sentences of this page</a> for it.</p>"
+    page = f"<article><p>{KNOWN}</p>{linked}<figure><img src=x><figcaption>A caption</figcaption></figure><p>\N{COPYRIGHT SIGN} {KNOWN}</p><ul><li><a>One</a><li><a>Two</a><li><a>Three</a></ul></article>"
+    assert main_text(page) == f"{KNOWN} See the longest of all the linked sentences of this page for it. A caption \N{COPYRIGHT SIGN} {KNOWN}"
+
+
+def test_two_passes_against_brute_force():
+    import random
+
+    rng = random.Random(12)
+    for _ in range(300):
+        blocks = []
+        for _ in range(rng.randrange(1, 25)):
+            text = rng.choice(["Short one", KNOWN, "Wxyz " * 30, "Menu"]).strip()
+            blocks.append(Block(text, rng.choice([0, 0, 0, len(text)]), rng.choice([0, 0, 1]), rng.random() < 0.1))
+        classify(blocks)
+        kept = []
+        for i, b in enumerate(blocks):
+            decided = [(abs(i - j), j > i, x.label) for j, x in enumerate(blocks) if x.label and not x.outside and x.part == b.part and j != i]
+            if b.label == "good" or not b.label and (not decided or min(decided)[2] == "good"):
+                kept.append(b)
+        assert [id(b) for b in inherit(blocks)] == [id(b) for b in kept]
+        for b in blocks:
+            if b.outside or (b.part == 0 and any(x.part and not x.outside for x in blocks)):
+                assert b.label == "bad"
+            elif len(b.text) >= 70 and not b.linked and b.part:
+                assert b.label == "good"
+
+
+def test_pages_empty_and_repeated(spark):
+    df = spark.createDataFrame([(1, "u", f"<p>{KNOWN}"), (1, "u", f"<p>{KNOWN}"), (2, None, "")], "page_id long, url string, html string")
+    assert sorted((r.page_id, r.text) for r in extract_html(df).collect()) == [(1, KNOWN), (1, KNOWN), (2, "")]
+    assert extract_html(df.limit(0)).collect() == []
+
+
 def test_word_vectors_come_from_all_texts(spark, monkeypatch):
     from repairbench.llm import quality
     from repairbench.llm.shingles import word_hashes
