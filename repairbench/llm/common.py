@@ -11,14 +11,21 @@ from pyspark.sql import functions as F
 
 #: Most rows of a side that may be broadcast (of a few fixed-width columns each: tens of MB).
 BROADCAST_ROWS = 1_000_000
+#: Bytes of an Arrow batch (a longer text is a batch of its own).
+BATCH_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table whose rows hold whole texts: Arrow batches are kept to 1,000 rows, as texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+    """A table whose rows hold whole texts."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches to Python workers end at this many bytes, as texts may be long; a setting of this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 class Scratch:
     """Written tables that cut lineage. They lie in spark.checkpoint.dir, which all executors share.
 

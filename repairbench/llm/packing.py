@@ -16,8 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bytes_list, chunks, read_table
-from .tokens import library_encoder
+from .common import Scratch, read_table
+from .tokens import flat_texts, library_encoder, text_chunks
 
 FIELDS = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _COLUMNS = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
@@ -111,10 +111,12 @@ def _pack(batches, path: str, end_id: int, length: int, windows: int):
     encode, end = library_encoder(path), np.array([end_id], "<u4").tobytes()
     packer = Packer(length, windows, part << 32)
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), bytes_list(batch.column(1))
-        for i, j in chunks(texts):
-            for doc_id, tokens in zip(ids[i:j], encode(texts[i:j]), strict=True):
-                packer.add_document(doc_id, tokens + end)
+        (raw, offsets), keys = flat_texts(batch.column(1)), batch.column(0).to_pylist()
+        for i, j in text_chunks(offsets):
+            ids, at = encode(raw, offsets[i : j + 1])
+            tokens, at = ids.tobytes(), (4 * at).tolist()
+            for k in range(j - i):
+                packer.add_document(keys[i + k], tokens[at[k] : at[k + 1]] + end)
                 if len(packer.out) >= _OUT_ROWS:
                     yield _batch(packer.out, [(part, -1)] * len(packer.out))
                     packer.out = []

@@ -30,30 +30,44 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        for i, base in enumerate((_M, _INV)):
-            p = np.full(n, base, np.uint64)
-            p[0] = 1
-            _powers[i] = np.multiply.accumulate(p)
-    return _powers[0], _powers[1]
+#: Bytes hashed at once (cut at white space; a longer word is hashed whole), and the longest power tables kept.
+PIECE, KEPT_POWERS = 1 << 18, 1 << 19
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    if len(_powers[0]) >= n:
+        return _powers
+    made = []
+    for base in (_M, _INV):
+        p = np.full(n, base, np.uint64)
+        p[0] = 1
+        made.append(np.multiply.accumulate(p))
+    if n <= KEPT_POWERS:
+        _powers[:] = made
+    return made
 
 
 def word_hashes(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words of all texts in order, and for text i the range bounds[i]:bounds[i + 1]."""
     lengths = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
     buf = np.frombuffer(b" ".join([t or b"" for t in texts] + [b""]), np.uint8)
-    power, inverse = _power_tables(len(buf) + 1)
-    inside = ~_SPACE[buf]
-    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    edge = np.flatnonzero(np.diff((~_SPACE[buf]).view(np.int8), prepend=0, append=0))
     start, end = edge[::2], edge[1::2]
-    total = np.zeros(len(buf) + 1, np.uint64)
+    h, i = [np.zeros(0, np.uint64)], 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(end, start[i] + PIECE, side="right")))
+        h.append(_hashes(buf[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i]))
+        i = j
+    return mix(np.concatenate(h)), np.searchsorted(start, np.concatenate([[0], np.cumsum(lengths)]))
+
+
+def _hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    power, inverse = _power_tables(len(buf) + 1)
     v = _BYTE[buf]
     v *= power[: len(buf)]
+    total = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(v, out=total[1:])
-    h = (total[end] - total[start]) * inverse[start]
-    bounds = np.searchsorted(start, np.concatenate([[0], np.cumsum(lengths)]))
-    return mix(h), bounds
+    return (total[end] - total[start]) * inverse[start]
 
 
 def shingle_sets(texts: list[bytes | None], size: int = SIZE) -> Iterator[np.ndarray]:

@@ -18,8 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, bytes_list, chunks, read_table, small
-from .tokens import WordEncoder, library_encoder
+from .common import Scratch, read_table, small
+from .tokens import flat_texts, library_encoder, text_chunks
 
 SEGMENT_TOKENS = 1 << 20
 LEVEL = pa.struct([("codes", pa.binary()), ("more", pa.binary()), ("ranks", pa.binary())])
@@ -69,24 +69,28 @@ class Codes:
 
 
 def _segments(batches, path: str, end_id: int, most: int):
-    part, encode, end = TaskContext.get().partitionId(), library_encoder(path, WordEncoder), np.array([end_id], "<u4").tobytes()
-    doc_ids, parts, held, segment = [], [], 0, 0
+    part, encode, end = TaskContext.get().partitionId(), library_encoder(path), np.array([end_id], "<u4")
+    doc_ids, sizes, parts, held, segment = [], [], [], 0, 0
 
     def row() -> pa.RecordBatch:
-        ids = np.frombuffer(b"".join(parts), "<u4")
-        row = {"part": part, "segment": segment, "doc_ids": doc_ids, "doc_tokens": [len(p) // 4 for p in parts], "n_tokens": len(ids), "levels": encode_codes(ids)}
+        ids = np.concatenate(parts)
+        row = {"part": part, "segment": segment, "doc_ids": doc_ids, "doc_tokens": sizes, "n_tokens": len(ids), "levels": encode_codes(ids)}
         return pa.RecordBatch.from_pylist([row], SCHEMA)
 
     for batch in batches:
-        ids, texts = batch.column(0).to_pylist(), bytes_list(batch.column(1))
-        for i, j in chunks(texts):
-            for doc_id, tokens in zip(ids[i:j], encode(texts[i:j]), strict=True):
-                doc_ids.append(doc_id)
-                parts.append(tokens + end)
-                held += len(tokens) // 4 + 1
+        (raw, offsets), keys = flat_texts(batch.column(1)), batch.column(0).to_pylist()
+        for i, j in text_chunks(offsets):
+            ids, at = encode(raw, offsets[i : j + 1])
+            at = at.tolist()
+            for k in range(j - i):
+                n = at[k + 1] - at[k] + 1
+                doc_ids.append(keys[i + k])
+                sizes.append(n)
+                parts += [ids[at[k] : at[k + 1]], end]
+                held += n
                 if held >= most:
                     yield row()
-                    doc_ids, parts, held, segment = [], [], 0, segment + 1
+                    doc_ids, sizes, parts, held, segment = [], [], [], 0, segment + 1
     if parts:
         yield row()
 
@@ -112,16 +116,21 @@ def token_directory(files: DataFrame) -> DataFrame:
     return files.select("part", "segment", inside.alias("inside")).join(small(before), "part").select("part", "segment", (F.col("base") + F.col("inside")).alias("first"))
 
 
-def _read(batches):
+def _read(batches, at_once: int = 1 << 18):
+    """The documents of each segment, whose ids are looked up `at_once` or one document at a time."""
     for batch in batches:
         for row in batch.to_pylist():
-            codes, at, out = Codes(row["levels"]), 0, []
-            for doc_id, n in zip(row["doc_ids"], row["doc_tokens"], strict=True):
-                out.append((doc_id, row["first"] + at, n, codes[np.arange(at, at + n)].astype("<u4").tobytes()))
-                at += n
-            for i in range(0, len(out), 1000):
-                doc_id, start, n, ids = zip(*out[i : i + 1000], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "start", "n_tokens", "ids"])
+            codes, sizes = Codes(row["levels"]), np.array(row["doc_tokens"], np.int64)
+            ends = np.cumsum(sizes)
+            i, start = 0, 0
+            while i < len(sizes):
+                j = max(i + 1, int(np.searchsorted(ends, start + at_once, side="right")))
+                raw = codes[np.arange(start, ends[j - 1])].astype("<u4").view(np.uint8)
+                places = (4 * (np.append(ends[i:j] - sizes[i:j], ends[j - 1]) - start)).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), j - i, [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(raw))])
+                firsts = row["first"] + ends[i:j] - sizes[i:j]
+                yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"][i:j], pa.int64()), pa.array(firsts), pa.array(sizes[i:j]), ids], ["doc_id", "start", "n_tokens", "ids"])
+                i, start = j, int(ends[j - 1])
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,8 @@
-"""Exact token ids of whole texts by a public tokenizer, with a bounded cache over runs between spaces.
+"""Exact token ids of whole texts by a public tokenizer: texts are cut into parts, distinct parts are encoded once.
 
-A text splits where no match of the tokenizer's pattern can cross, so the ids of a text are those of its
-parts in order. Where that isn't sure (white space on both sides of a space), the text is encoded whole.
+A text is cut only where no match of the tokenizer's pattern can cross, whatever stands around, so the ids of a
+text are those of its parts in order. Cuts are found on the bytes of many texts at once, parts are numbered by
+Arrow's dictionary encoding, and the ids of a text are gathered from those of its distinct parts.
 """
 
 from __future__ import annotations
@@ -9,141 +10,186 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterable
-from itertools import chain, filterfalse
+from collections.abc import Callable
 
 import numpy as np
-
-#: A space between bytes that may belong to white space, or such a space at the end of the text.
-UNSURE = re.compile(rb"[\x09-\x0d\x20\x80-\x8a\x9f\xa0\xa8\xa9\xaf] (?:[\x09-\x0d\x20\xc2\xe1\xe2\xe3]|\Z)")
-#: A letter of ASCII (lower case) or of Latin-1, and a comma or stop that may belong to a longer run of signs.
-_LETTER = rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])"
-_IN_RUN = re.compile(rb"(?<![A-Za-z0-9])(?<!\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])[,.][ \n]")
-#: A stop and a line end before more white space, or what may be some.
-_BLANK_NEXT = re.compile(rb"\.\n(?:[\x09-\x0d\x20\xc2\xe1\xe2\xe3]|\Z)")
-
-
-class Recent(dict):
-    """A bounded memo: when full, it starts anew, and entries of the generation before move over on use."""
-
-    def __init__(self, most: int):
-        super().__init__()
-        self.most, self.old = most, {}
-
-    def missing(self, keys: Iterable) -> list:
-        """Distinct keys it doesn't hold; those that it still remembers are taken back."""
-        if len(self) > self.most:
-            self.old = dict(self)
-            self.clear()
-        out = []
-        for k in set(filterfalse(self.__contains__, keys)):
-            if (v := self.old.get(k)) is None:
-                out.append(k)
-            else:
-                self[k] = v
-        return out
-
-
-class SpacedEncoder:
-    """Texts of a byte-level tokenizer whose words carry the space before them.
-
-    Parts split before spaces, before a comma or stop after a letter or digit, and after a stop and line end.
-    """
-
-    def __init__(self, encode, memo: int = 200_000):
-        """encode: list of byte strings -> list of their ids as little-endian unsigned 32-bit integers."""
-        self.encode, self.cache = encode, Recent(memo)
-
-    def parts(self, text: bytes) -> list[bytes]:
-        """Parts of the text. Those marked stand for themselves, the others for a space and themselves."""
-        if not _IN_RUN.search(text):
-            text = text.replace(b", ", b" \xff, ").replace(b". ", b" \xff. ")
-            if not _BLANK_NEXT.search(text):
-                text = text.replace(b".\n", b" \xff.\n \xff")
-        head, *rest = text.split(b" ")
-        return [b"\xff" + head, *rest]  # no text holds \xff
-
-    def whole(self, part: bytes) -> bytes:
-        """What the part stands for."""
-        return part[1:] if part[:1] == b"\xff" else b" " + part
-
-    def sure(self, text: bytes) -> bool:
-        return not UNSURE.search(text)
-
-    def __call__(self, texts: list[bytes | None]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        cache = self.cache
-        split = [self.parts(t or b"") if self.sure(t or b"") else None for t in texts]
-        new = cache.missing(chain.from_iterable(p for p in split if p))
-        cache.update(zip(new, self.encode([self.whole(p) for p in new]), strict=True))
-        uncut = iter(self.encode([t for t, p in zip(texts, split, strict=True) if p is None]))
-        return [next(uncut) if p is None else b"".join(map(cache.__getitem__, p)) for p in split]
-
-
-class WordEncoder(SpacedEncoder):
-    """Texts of a tokenizer that lower-cases, drops white space and splits signs from letters.
-
-    Parts are what lies between ASCII white space; a comma or stop after a letter or digit is a part of its own.
+import pyarrow as pa
+
+#: Parts remembered between chunks (twice as many at most), and the longest part that is.
+MEMO, MEMO_BYTES = 120_000, 48
+
+_SPACE, _LETTER, _SIGN, _LEAD = 1, 2, 4, 8  # kinds of bytes
+_KIND = np.zeros(256, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KIND[[*range(48, 58), *range(65, 91), *range(97, 123)]] = _LETTER  # and digits
+_KIND[[x for x in range(33, 127) if not _KIND[x] and x != 39]] = _SIGN
+_KIND[0xC3:0xE0] = _LEAD  # two-byte characters, none of which is white space
+#: Last bytes of characters outside ASCII that are no white space, whatever comes before.
+_NO_SPACE = np.zeros(256, bool)
+_NO_SPACE[[x for x in range(0x80, 0xC0) if not (x <= 0x8A or x in (0x9F, 0xA0, 0xA8, 0xA9, 0xAF))]] = True
+_NO_SPACE[33:127] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACES = _KIND == _SPACE
+#: Letters of Latin-1 by their second byte after 0xC3.
+_LATIN = np.zeros(256, bool)
+_LATIN[[x for x in range(0x80, 0xC0) if x not in (0x97, 0xB7)]] = True
+
+
+def flat_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of an Arrow string column behind each other, and where each begins (and the last ends)."""
+    column = (column.fill_null("") if column.null_count else column).cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    raw = np.frombuffer(data, np.uint8) if data is not None and at[-1] else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
+
+
+def text_chunks(offsets: np.ndarray, most: int = 1 << 21):
+    """Ranges (start, end) of consecutive texts of about `most` bytes together, at least one text each."""
+    i, n = 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + most, side="right")) - 1)
+        yield i, min(j, n)
+        i = min(j, n)
+
+
+def cuts(raw: np.ndarray) -> np.ndarray:
+    """A mask of bytes before which no match of the patterns served can be going on.
+
+    White space after what is none; an ASCII sign (no apostrophe) after a letter or digit; a letter or digit after
+    such a sign; what surely is no white space after a single line end. Letters here are ASCII and Latin-1.
     """
-
-    def parts(self, text: bytes) -> list[bytes]:
-        text = text.lower()  # A-Z only, as the tokenizer does and more
-        if not _IN_RUN.search(text):
-            text = text.replace(b", ", b" , ").replace(b". ", b" . ").replace(b".\n", b" .\n").replace(b",\n", b" ,\n")
-        return text.split()
-
-    def whole(self, part: bytes) -> bytes:
-        return part
-
-    def sure(self, text: bytes) -> bool:
-        return True
-
-
-_open: dict[tuple, SpacedEncoder] = {}
-#: Single words of letters, with and without the space before them: each is one match of either pattern.
-_PLAIN = {SpacedEncoder: re.compile(rb" (?:[A-Z]|" + _LETTER + rb")+"), WordEncoder: re.compile(_LETTER + rb"+")}
-#: The same with ASCII signs after them, but for the apostrophe.
-_SIGNED = {k: re.compile(rb"(" + p.pattern + rb")([!-&(-/:-@\[-`{-~]+)") for k, p in _PLAIN.items()}
-
-
-def library_encoder(path: str, kind: type = SpacedEncoder) -> SpacedEncoder:
-    """An encoder by the tokenizers library, kept for the life of the Python worker."""
-    if (path, kind) not in _open:
+    out = np.zeros(len(raw), bool)
+    if len(raw) < 2:
+        return out
+    kind, solid = _KIND[raw], _NO_SPACE[raw]
+    second = (raw[1:] >= 0x80) & (kind[:-1] == _LEAD)
+    solid[1:] |= second
+    letter = kind == _LETTER
+    letter[1:] |= (raw[:-1] == 0xC3) & _LATIN[raw[1:]]
+    space, sign = _SPACES[raw], kind == _SIGN
+    out[1:] = (space[1:] & solid[:-1]) | (sign[1:] & letter[:-1]) | ((kind[1:] == _LETTER) & sign[:-1])
+    ends = (raw[1:-1] == 10) & solid[:-2] & ((kind[2:] & (_LETTER | _SIGN | _LEAD)) > 0)
+    out[2:] |= ends
+    return out
+
+
+def gather(flat: np.ndarray, first: np.ndarray, size: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches flat[first:first + size] in the order of `codes`, and where each begins (and the last ends)."""
+    n = size[codes]
+    end = np.concatenate([[0], np.cumsum(n)])
+    return flat[np.arange(end[-1]) + np.repeat(first[codes] - end[:-1], n)], end
+
+
+class Memo:
+    """A bounded memo of what `make` gives for byte strings: when full, it starts anew, and what is used again of the generation before moves over."""
+
+    def __init__(self, make: Callable[[list[bytes]], list[bytes]], most: int = MEMO):
+        self.make, self.most, self.now, self.old = make, most, {}, {}
+
+    def __call__(self, keys: list[bytes]) -> list[bytes]:
+        """Values of distinct keys."""
+        if len(self.now) > self.most:
+            self.now, self.old = {}, self.now
+        now, old = self.now, self.old
+        values = list(map(now.get, keys))
+        absent = []
+        for i in [i for i, v in enumerate(values) if v is None]:
+            if (v := old.get(keys[i])) is None:
+                absent.append(i)
+            else:
+                values[i] = now[keys[i]] = v
+        for i, v in zip(absent, self.make([keys[i] for i in absent]), strict=True):
+            values[i] = v
+            if len(keys[i]) <= MEMO_BYTES:
+                now[keys[i]] = v
+        return values
+
+    def stretches(self, raw: np.ndarray, starts: np.ndarray, width: type) -> tuple[np.ndarray, np.ndarray]:
+        """For parts of `raw` that begin at `starts`: their values behind each other, as numbers of `width`, and where each begins."""
+        places = np.append(starts, len(raw)).astype(np.int32)
+        parts = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(places), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+        values = self(parts.dictionary.to_pylist())
+        size = np.fromiter(map(len, values), np.int64, len(values)) // np.dtype(width).itemsize
+        return gather(np.frombuffer(b"".join(values), width), np.cumsum(size) - size, size, parts.indices.to_numpy())
+
+
+class Encoder:
+    """Ids of texts. `encode` gives for byte strings their ids as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, encode: Callable[[list[bytes]], list[bytes]], lower: bool = False, most: int = MEMO):
+        self.memo, self.lower = Memo(encode, most), lower
+
+    def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For texts raw[offsets[i]:offsets[i + 1]]: the ids of all, and where each text's begin (and the last's end)."""
+        raw = raw[offsets[0] : offsets[-1]]
+        at = offsets - offsets[0]
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(at), np.int64)
+        raw = _LOWER[raw] if self.lower else raw
+        mask = cuts(raw)
+        mask[at[:-1][at[:-1] < len(raw)]] = True
+        starts = np.flatnonzero(mask)
+        ids, first = self.memo.stretches(raw, starts, np.uint32)
+        return ids, first[np.searchsorted(starts, at)]
+
+    def encode_texts(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each of a few texts."""
+        offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
+        ids, at = self(np.frombuffer(b"".join(texts), np.uint8), offsets)
+        return [ids[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
+
+
+_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+#: Parts that are one match of the pattern, whatever stands around them: a space or none, then letters or signs.
+_PLAIN = re.compile(rb"( ?)(?:" + _LETTERS + rb"|[!-&(-/:-@\[-`{-~]+)")
+
+_open: dict[str, Encoder] = {}
+
+
+def library_encoder(path: str) -> Encoder:
+    """An encoder by the tokenizers library, kept while a Python worker serves the same file (one at a time)."""
+    if path not in _open:
+        _open.clear()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        memo, signed = Recent(50_000), _SIGNED[kind].fullmatch
-        plain, joint = _PLAIN[kind].fullmatch, b"" if kind is SpacedEncoder else b" "
-
-        def encode(texts: list[bytes]) -> list[bytes]:
-            """Plain words go through the library together, a thousand in one text; it numbers their tokens by word.
-
-            A word with signs after it is the word and the signs.
-            """
-            ends = [signed(t) for t in texts]
-            inner = memo.missing([x for m in ends if m for x in m.groups()])
-            memo.update(zip(inner, whole(inner), strict=True))
-            alone = iter(whole([t for t, m in zip(texts, ends, strict=True) if not m]))
-            return [memo[m[1]] + memo[m[2]] if m else next(alone) for m in ends]
-
-        def whole(texts: list[bytes]) -> list[bytes]:
-            out: list[bytes | None] = [None] * len(texts)
-            words = [i for i, t in enumerate(texts) if plain(t)]
-            for k in range(0, len(words), 1000):
-                some = words[k : k + 1000]
-                found = tokenizer.encode(joint.join([texts[i] for i in some]).decode(), add_special_tokens=False)
-                raw, at = array("I", found.ids).tobytes(), np.array(found.word_ids)
-                first = np.flatnonzero(np.diff(at, prepend=-1)) * 4
-                if len(first) != len(some):
+        # One kind drops white space, takes lower case and ends words by a mark; the other begins them with their space.
+        drops = tokenizer.normalizer is not None
+        edge = np.zeros(tokenizer.get_vocab_size(), bool)
+        for token, i in tokenizer.get_vocab().items():
+            edge[i] = token.endswith("</w>") if drops else token.startswith("\u0120")
+
+        def together(out: list, parts: list[bytes], which: list[int], joint: bytes) -> None:
+            """A thousand parts in one text, taken apart at the tokens that end (or begin) a word."""
+            for k in range(0, len(which), 1000):
+                some = which[k : k + 1000]
+                ids = np.array(tokenizer.encode(joint.join([parts[i] for i in some]).decode(), add_special_tokens=False).ids, "<u4")
+                at = np.flatnonzero(edge[ids])
+                if len(at) != len(some):
                     continue  # not one match each; they are encoded one by one below
-                for i, a, b in zip(some, first.tolist(), [*first[1:].tolist(), len(raw)], strict=True):
+                ends = at + 1 if drops else np.append(at[1:], len(ids))
+                raw, a = ids.tobytes(), 0
+                for i, b in zip(some, (4 * ends).tolist(), strict=True):
                     out[i] = raw[a:b]
+                    a = b
+
+        def encode(parts: list[bytes]) -> list[bytes]:
+            out: list[bytes | None] = [None] * len(parts)
+            led, bare = [], []
+            for i, p in enumerate(parts):
+                if m := _PLAIN.fullmatch(p):
+                    (led if m[1] else bare).append(i)
+            together(out, parts, led, b"")
+            if drops:
+                together(out, parts, bare, b" ")
             rest = [i for i, x in enumerate(out) if x is None]
-            for i, e in zip(rest, tokenizer.encode_batch_fast([texts[i].decode() for i in rest], add_special_tokens=False) if rest else [], strict=True):
+            for i, e in zip(rest, tokenizer.encode_batch_fast([parts[i].decode() for i in rest], add_special_tokens=False) if rest else [], strict=True):
                 out[i] = array("I", e.ids).tobytes()
             return out
 
-        _open[path, kind] = kind(encode)
-    return _open[path, kind]
+        _open[path] = Encoder(encode, lower=drops)
+    return _open[path]

@@ -15,7 +15,7 @@ from repairbench.llm.common import Scratch
 from repairbench.llm.line_dedup import line_dedup
 from repairbench.llm.packing import pack_tokens
 from repairbench.llm.token_files import Codes, encode_codes, read_token_files, write_token_files
-from repairbench.llm.tokens import SpacedEncoder, WordEncoder, library_encoder
+from repairbench.llm.tokens import library_encoder
 
 ODD = [None, "", " ", "a  b", "a \n b.", "x, y. Z.\nnext", "don't,  'tis", "é, à.", "…, .. ,", "\x00 \x1c", "<|endoftext|> a", "漢字 " * 40, "k" * 3000, "word " * 2000, "a.\n\nb", "S.\n", " ,", "réaux$$$ x!!"]
 
@@ -26,13 +26,15 @@ def fuzz(n):
     return ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("file, kind", [("byte_bpe_50k.json", SpacedEncoder), ("word_bpe_49k.json", WordEncoder)])
-def test_encoders_equal_the_library(file, kind):
-    texts = [t for t in ODD if t is not None] + fuzz(4000)
+@pytest.mark.parametrize("file", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoders_equal_the_library(file):
+    texts = [t for t in ODD if t is not None] + fuzz(6000)
     plain = Tokenizer.from_file(P.path(file))
     plain.encode_special_tokens = True
     want = [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
-    assert library_encoder(P.path(file), kind)([t.encode() for t in texts]) == want
+    raw = [t.encode() for t in texts]
+    assert library_encoder(P.path(file)).encode_texts(raw) == want
+    assert [x for t in raw[:200] for x in library_encoder(P.path(file)).encode_texts([t])] == want[:200]
 
 
 def test_bpe_equals_tiktoken_and_decodes(spark):
@@ -48,10 +50,25 @@ def test_bpe_equals_tiktoken_and_decodes(spark):
         assert r.ids == known.encode_ordinary(text) and bytes(r.decoded) == text.encode()
 
 
-def test_long_words_merge_by_the_same_rule():
-    bpe = DuckBpe(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
-    words = [b"a" * 150, b"abcab" * 30, " thereforeandéñß".encode() * 5, b"x"]
-    assert [bpe.merge_long(w) for w in words] == bpe.merge(words)
+def test_long_words_and_bounded_queries(monkeypatch):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    known = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(6)
+    words = ["a" * 150, "abcab" * 30, "thereforeandéñß" * 5, "k" * 20000, "漢字國語中文" * 60, "x"] + ["".join(rng.choice(a) for _ in range(n)) for a in ("etaoin", "abc", "thing") for n in (66, 130, 700)]
+    want = [np.array(known.encode_ordinary(w), "<i4").tobytes() for w in words]
+    raw = [w.encode() for w in words]
+    assert DuckBpe(path, P.PATTERN).merge(raw) == want
+    monkeypatch.setattr("repairbench.llm.byte_bpe.STATE_ROWS", 2000)  # each query stops early and goes on from its last state
+    assert DuckBpe(path, P.PATTERN).merge(raw[:3] + raw[5:9]) == want[:3] + want[5:9]
+
+
+def test_bpe_takes_empty_tables_and_repeated_rows(spark):
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    df = spark.createDataFrame([(1, "one two"), (1, "one two"), (None, "x"), (2, None)], "doc_id long, text string")
+    rows = bpe_decode(bpe_encode(df, path, P.PATTERN), path, P.PATTERN).collect()
+    assert sorted((str(r.doc_id), bytes(r.decoded)) for r in rows) == [("1", b"one two"), ("1", b"one two"), ("2", b""), ("None", b"x")]
+    assert bpe_decode(bpe_encode(df.limit(0), path, P.PATTERN), path, P.PATTERN).collect() == []
 
 
 def brute_lines(rows):
