@@ -45,6 +45,10 @@ def reply_paths(messages: DataFrame, scratch: Scratch, branches: int | None) ->
     reach = scratch.save(reach.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).alias("up_steps")))
     jump, step = scratch.save(jump), 1
     while not jump.isEmpty():
+        if step >= 64 and step > links.groupBy("tree").count().agg(F.max("count")).first()[0]:
+            # Longer than any tree has nodes: what still goes up runs in a circle.
+            reach = _on_tree(reach, jump.select("tree", F.col("node").alias("leaf")).distinct(), "leaf", "left_anti")
+            break
         # A leaf knows its last `step` ancestors; those of each, `step` further up, are the next ones.
         ahead = jump.select("tree", "node", "up")
         more = _on_tree(reach, ahead, "node").select("tree", "leaf", F.col("up").alias("node"), (F.col("up_steps") + step).alias("up_steps"))
@@ -66,8 +70,8 @@ def format_chats(messages: DataFrame, branches: int | None = 1, loss_role: str =
 
     `loss` holds code point ranges of `formatted` to train on, the escaped texts of `loss_role`, in order.
     Null roles and texts are empty. A node id is unique in its tree; a parent that is null or not in the tree
-    makes a root. Parents must not form a cycle. Ties of score go to the smaller leaf, null scores come last.
-    Messages without a tree (null) are one tree of their own.
+    makes a root. Messages whose parents run in a circle are on no path. Repeated rows are repeated turns. Ties of score go to the smaller leaf, null scores come last.
+    Messages without a tree (null) are one tree of their own. Texts may have any length, an empty table gives none.
     """
     scratch = Scratch(messages.sparkSession, "chats")
     own = messages.select("tree", "node", "parent", "role", "text", F.col("score").cast("double").alias("score"))

@@ -61,6 +61,14 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+def free_name(name: str, *frames: DataFrame) -> str:
+    """A column name that none of the tables has."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def bytes_list(column: pa.Array) -> list[bytes | None]:
     """The UTF-8 bytes of an Arrow string column."""
     return column.cast(pa.large_binary()).to_pylist()

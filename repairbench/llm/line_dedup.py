@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bytes_list, read_table, small
+from .common import Scratch, bytes_list, free_name, read_table, small
 
 _SPACE = b" \t\n\x0b\x0c\r"
 #: Bits of one filter: about 8 for each expected key, between these powers of two (64 MB at most).
@@ -126,7 +126,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     `min_chars` code points in at least `min_docs` rows lose all their lines, but for the row of the largest id.
 
     A null or empty text is one empty line, and comes back as an empty text. Every row counts as a document;
-    of rows that share the largest id all keep the line. Rows with a null id count, and never hold the
+    of rows that share the largest id all keep the line. Texts may have any length. Rows with a null id count, and never hold the
     largest. Input columns named n_lines or n_dropped are replaced; all others pass through.
     """
     spark = docs.sparkSession
@@ -148,12 +148,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = suspects.groupBy("hi", "lo").agg(F.count("*").alias("c"), F.max("doc_id").alias("keeper")).where(F.col("c") >= min_docs).drop("c")
     repeated = scratch.save(repeated)
     lost = suspects.join(small(repeated), ["hi", "lo"]).where("doc_id IS NULL OR keeper IS NULL OR doc_id < keeper")
-    lost = scratch.save(lost.select("doc_id", "hi", "lo").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias("_lost")).withColumnRenamed("doc_id", "_lost_id"))
+    gone, key = free_name("lost", data), free_name("lost_id", data)
+    lost = lost.select("doc_id", "hi", "lo").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("hi", "lo")).alias(gone))
+    lost = scratch.save(lost.withColumnRenamed("doc_id", key))
 
-    joined = data.join(small(lost, 250_000), F.col(id_col).cast("long").eqNullSafe(F.col("_lost_id")), "left").drop("_lost_id")
+    joined = data.join(small(lost, 250_000), F.col(id_col).cast("long").eqNullSafe(F.col(key)), "left").drop(key)
     joined = joined.withColumn(text_col, F.col(text_col).cast("string"))
     names = [*data.columns, "n_lines", "n_dropped"]
-    fields = joined.drop("_lost").schema.add("n_lines", "long").add("n_dropped", "long")
+    fields = joined.drop(gone).schema.add("n_lines", "long").add("n_dropped", "long")
     return joined.mapInArrow(partial(_rewritten, least=least, text_at=data.columns.index(text_col), names=names), fields)
 
 

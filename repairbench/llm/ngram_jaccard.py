@@ -33,6 +33,8 @@ from .shingles import SIZE, shingle_sets
 SKETCH_BITS, BLOCK_BITS = 22, 16
 #: Pivots of the star rounds, at most; lists above LONG rows are finished in blocks of these sizes.
 PIVOTS, LONG, FEW_BLOCK, ALL_BLOCK = (1, 4, 4, 4), 48, 64, 1024
+#: Tasks that the copies of one text are dealt to.
+SALTS = 16
 _MASK = np.uint64((1 << SKETCH_BITS) - 1)
 
 
@@ -177,7 +179,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Null or empty texts, and texts without words: n_shingles 0, linked with nothing, component_id = doc_id.
     Rows with a null id keep their n_shingles, have a null component_id and take no part. Rows that share an
-    id are one document with the links of all its texts. Other columns are ignored, an empty table gives none.
+    id are one document with the links of all its texts. Sets hold 64-bit hashes of shingles. Other columns are ignored, an empty table gives none.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
@@ -192,8 +194,11 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sketch = spark.sparkContext.broadcast(b"".join(found.get(k, empty) for k in range(blocks)))
 
     filled = rows.where("n > 0 AND doc_id IS NOT NULL")
-    classes = filled.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("cid"))
-    member = scratch.save(filled.join(classes, ["n", "hi", "lo"]).select("doc_id", "cid"))
+    classes = filled.groupBy("n", "hi", "lo").agg(F.min("doc_id").alias("cid"), F.count("*").alias("c")).where("c > 1")
+    # Copies of one text may be a third of all rows: their class goes to several tasks, each gets some of them.
+    salted = filled.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    classes = classes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("c")
+    member = scratch.save(salted.join(classes, ["n", "hi", "lo", "salt"], "left").select("doc_id", F.coalesce("cid", "doc_id").alias("cid")))
     copies = member.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("cid")).alias("stands")).where("NOT stands").select("doc_id")
     reps = base.where("doc_id IS NOT NULL").join(small(copies), "doc_id", "left_anti")
 

@@ -2,8 +2,7 @@
 
 Every word falls in a bucket of a hashed vocabulary, and each bucket has a sparse random index vector. A word's
 vector is its own index vector plus the normalised sum of the index vectors around it in all documents, labelled
-or not. A document is the mean of its words' vectors and of their squares, with a few shape ratios.
-A network of two layers is trained on the labelled sample; its logit over a temperature, fitted on a part kept
+or not. A document is the mean of its words' vectors and of their squares. A network of two layers is trained on the labelled sample; its logit over a temperature, fitted on a part kept
 apart from training, is the probability.
 """
 
@@ -25,8 +24,7 @@ DIM, NONZERO, BUCKETS, WINDOW = 48, 6, 1 << 14, 2
 #: Labelled documents that the network and its temperature are fitted on, at most.
 SAMPLE = 12_000
 HIDDEN, EPOCHS, RATE, BATCH, DECAY = 24, 60, 3e-3, 128, 1e-4
-_SHAPES = 8
-WIDTH = 2 * DIM + _SHAPES
+WIDTH = 2 * DIM
 
 
 def _index() -> list[tuple[np.ndarray, np.ndarray]]:
@@ -89,14 +87,8 @@ def word_vectors(texts: DataFrame, text_col: str) -> np.ndarray:
     return index + context / np.maximum(norm, 1)
 
 
-_ALPHA = np.zeros(256, np.uint8)
-_ALPHA[list(range(65, 91)) + list(range(97, 123)) + list(range(128, 256))] = 1
-_UPPER = np.zeros(256, np.uint8)
-_UPPER[65:91] = 1
-
-
 def features(texts: list[bytes | None], vectors: np.ndarray) -> np.ndarray:
-    """One row for each text: mean and mean square of its word vectors, and shape ratios in 0 to 1."""
+    """One row for each text: mean and mean square of its word vectors (zeros without words)."""
     h, bounds = word_hashes(texts)
     b, n = _buckets(h), np.diff(bounds)
     out = np.zeros((len(texts), WIDTH), np.float32)
@@ -109,23 +101,6 @@ def features(texts: list[bytes | None], vectors: np.ndarray) -> np.ndarray:
             v, at = vectors[b[lo:hi]], first[c : c + 64] - lo
             out[rows, :DIM] = np.add.reduceat(v, at, axis=0) / n[rows, None]
             out[rows, DIM : 2 * DIM] = np.add.reduceat(v * v, at, axis=0) / n[rows, None]
-    again = np.zeros(len(h), np.float32)
-    again[1:] = h[1:] == h[:-1]
-    for i in filled:
-        s, e = bounds[i], bounds[i + 1]
-        raw = np.frombuffer(texts[i], np.uint8)
-        alpha, upper = int(_ALPHA[raw].sum()), int(_UPPER[raw].sum())
-        lines = texts[i].count(b"\n") + 1
-        words = e - s
-        x = out[i, 2 * DIM :]
-        x[0] = again[s + 1 : e].mean() if words > 1 else 0
-        x[1] = len(np.unique(h[s:e])) / words
-        x[2] = alpha / len(raw)
-        x[3] = upper / max(1, alpha)
-        x[4] = 1 - (alpha + words) / (len(raw) + words)
-        x[5] = min(1.0, np.log1p(words) / 10)
-        x[6] = min(1.0, np.log1p(words / lines) / 6)
-        x[7] = min(1.0, len(raw) / words / 20)
     return out
 
 
@@ -212,11 +187,12 @@ def score_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 
     Labels are learned from ids whose crc32 (of the id as text) modulo 3 is not 1; the others are held out.
     The word vectors come from all texts. The network takes at most `sample` labelled ids, those of the smallest
-    hash; every fifth of them, by another hash, sets the temperature only. Text alone makes a score: words, and shapes of the text.
+    hash; every fifth of them, by another hash, sets the temperature only. Words alone make a score.
 
     Null labels and ids are not learned from; of several labels of an id the largest counts. Null and empty
     texts are scored like any other. With labels of one kind, or none, every score is their smoothed share.
-    A null id is not held out. Columns named like the new ones are replaced, all others pass through.
+    A null id is not held out. Repeated rows are scored alike, texts of any length whole; an empty table gives none.
+    Columns named like the new ones are replaced, all others pass through.
     """
     spark = docs.sparkSession
     data = docs.drop("held_out", "score", "predicted")

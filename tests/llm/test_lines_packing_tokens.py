@@ -91,10 +91,10 @@ def test_line_dedup(spark):
     rng = random.Random(2)
     pool = [("Line number %d with É " % k) + "x" * rng.choice((10, 18, 19, 20, 21, 40)) for k in range(30)]
     rows = [(i, "\n".join(rng.choice(["  %s ", "%s", "%s\r"]) % rng.choice(pool) for _ in range(rng.randrange(0, 9)))) for i in range(60)]
-    rows += [(100, None), (101, ""), (102, "\n\n"), (None, "\n".join(pool)), (59, "\n".join(pool + pool))]
-    df = spark.createDataFrame([(i, t, "k", 7) for i, t in rows], "doc_id long, text string, _k string, n_lines int")
+    rows += [(100, None), (101, ""), (102, "\n\n"), (None, "\n".join(pool)), (60, ("w" * 50 + "\n") * 20000), (59, "\n".join(pool + pool))]
+    df = spark.createDataFrame([(i, t, "k", 7) for i, t in rows], "doc_id long, text string, lost string, n_lines int")
     got = line_dedup(df)
-    assert got.columns == ["doc_id", "text", "_k", "n_lines", "n_dropped"]
+    assert got.columns == ["doc_id", "text", "lost", "n_lines", "n_dropped"]
     assert sorted(((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()), key=repr) == brute_lines(rows)
     assert line_dedup(df.limit(0)).collect() == []
 

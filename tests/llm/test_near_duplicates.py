@@ -62,6 +62,11 @@ def test_large_group_of_near_copies(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_many_copies_and_very_long_texts(spark):
+    rows = [(i, "one text that many rows hold as it is") for i in range(400)] + [(1000 + i, " ".join(f"v{k}" for k in range(60000 + i))) for i in range(2)]
+    assert run(spark, rows) == sorted([(i, 5, 0) for i in range(400)] + brute(rows[400:]), key=repr)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 

@@ -114,6 +114,14 @@ def test_chats_read_back(spark):
     assert format_chats(df.limit(0)).collect() == []
 
 
+def test_chats_with_circles_ties_and_long_texts(spark):
+    rows = [(1, 1, 3, "user", "a", 1.0), (1, 2, 1, "user", "b", 1.0), (1, 3, 2, "user", "c", 1.0), (1, 4, 3, "user", "hangs on the circle", 9.0)]
+    rows += [(2, 1, None, "user", "q" * 200000, 1.0), (2, 2, 1, "assistant", "tie", 5.0), (2, 3, 1, "assistant", "tie too", 5.0)]
+    df = spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double")
+    out = format_chats(df).select("tree", "leaf", read_chats(F.col("formatted")).alias("t")).collect()
+    assert [(r.tree, r.leaf, [len(x.text) for x in r.t]) for r in out] == [(2, 2, [200000, 3])]
+
+
 def test_chat_query_holds_the_sample(spark):
     row = op4_chat_format(spark, TINY).where("conv_id = -7").first()
     text = r"\### Assistant: </turn> ok"
@@ -140,6 +148,9 @@ def test_quality_on_held_out_rows(spark):
     truth = {r.doc_id: r.quality for r in labels.collect()}
     held = [r.predicted == truth[r.doc_id] for r in rows if r.held_out and r.doc_id in truth]
     assert np.mean(held) > 0.95
+    many = labels.select("doc_id", "quality").unionByName(labels.select("doc_id", F.lit(None).cast("int").alias("quality"))).unionByName(labels.select("doc_id", F.lit(0).alias("quality")))
+    twice = score_quality(docs.unionByName(docs.limit(40)), many).collect()
+    assert len(twice) == docs.count() + 40 and all(len({r.score for r in twice if r.doc_id == i}) == 1 for i in {r.doc_id for r in twice})
     none = score_quality(odd.limit(2), labels.limit(0)).collect()
     assert {r.score for r in none} == {0.5}
 
@@ -164,6 +175,35 @@ def test_stages_take_empty_tables(spark, name):
     assert dict(corpus_pipeline.STAGES)[name](spark, docs, TINY).collect() == []
 
 
+def test_pooled_vectors_against_brute_force():
+    from repairbench.llm import quality
+    from repairbench.llm.shingles import word_hashes
+
+    vectors = quality.index_vectors()
+    texts = [b"one two two three", b"", None, b"  \t", b"x" * 5000, b"a b " * 700]
+    got = quality.features(texts, vectors)
+    for t, x in zip(texts, got, strict=True):
+        v = vectors[quality._buckets(word_hashes([t])[0])]
+        want = np.concatenate([v.mean(axis=0), (v * v).mean(axis=0)]) if len(v) else np.zeros(quality.WIDTH)
+        assert np.allclose(x, want, atol=1e-5)
+
+
+def test_pipeline_takes_nulls_extra_and_clashing_columns(spark):
+    texts = [None, "", "same words here for both of them", "same words here for both of them", "A line of its own, long enough to count for more than forty.\nx"]
+    rows = [(i if i < 4 else None, t, "en", "s", len(t or ""), "k", 7, "m") for i, t in enumerate(texts)] + [(1, "", "en", "s", 0, "k", 7, "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, other_id string, row int, lost string")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, TINY)
+        if name != "packing":
+            assert out.columns == docs.columns
+        if name == "near_duplicates":
+            assert sorted(str(r.doc_id) for r in out.collect()) == ["0", "1", "2", "None"]
+        elif name == "lines":
+            assert out.count() == 6
+        else:
+            out.collect()
+
+
 def test_chats_without_a_tree_are_one_tree(spark, tmp_path):
     import duckdb
 
