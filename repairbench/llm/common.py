@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +29,23 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def tidied(work):
+    """Work on the batches of a task that gives free memory back to the system when they end.
+
+    Python workers serve tasks of many stages; without this each keeps the most that any stage has needed.
+    """
+
+    @wraps(work)
+    def run(batches, *args, **named):
+        yield from work(batches, *args, **named)
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+        if trim:
+            trim(0)
+
+    return run
+
+
 class Scratch:
     """Written tables that cut lineage. They lie in spark.checkpoint.dir, which all executors share.
 

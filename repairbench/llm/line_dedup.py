@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bytes_list, free_name, read_table, small
+from .common import Scratch, bytes_list, free_name, read_table, small, tidied
 
 _SPACE = b" \t\n\x0b\x0c\r"
 #: Bits of one filter: about 8 for each expected key, between these powers of two (64 MB at most).
@@ -48,6 +48,7 @@ def _set(packed: np.ndarray, at: np.ndarray) -> None:
     np.bitwise_or.at(packed, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
 
 
+@tidied
 def _filters(batches, least: int, bits: int):
     once, twice = np.zeros(1 << (bits - 3), np.uint8), np.zeros(1 << (bits - 3), np.uint8)
     for batch in batches:
@@ -66,6 +67,7 @@ def _filters(batches, least: int, bits: int):
             yield pa.RecordBatch.from_arrays([pa.array([k // BLOCK], pa.int64()), pa.array([once[k : k + BLOCK].tobytes()], pa.binary()), pa.array([twice[k : k + BLOCK].tobytes()], pa.binary())], ["k", "once", "twice"])
 
 
+@tidied
 def _merged(batches):
     held: dict[int, list[np.ndarray]] = {}
     for batch in batches:
@@ -85,6 +87,7 @@ def _halves(key: bytes) -> tuple[int, int]:
     return (d >> 64) - (1 << 63), (d & (1 << 64) - 1) - (1 << 63)
 
 
+@tidied
 def _suspects(batches, least: int, bits: int, twice):
     packed = np.frombuffer(twice.value, np.uint8)
     for batch in batches:
@@ -101,6 +104,7 @@ def _suspects(batches, least: int, bits: int, twice):
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, hi, lo)], ["doc_id", "hi", "lo"])
 
 
+@tidied
 def _rewritten(batches, least: int, text_at: int, names: list[str]):
     for batch in batches:
         *columns, lost = batch.columns

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Scratch, bytes_list, chunks, read_table, small
+from .common import Scratch, bytes_list, chunks, read_table, small, tidied
 from .components import connected_components
 from .shingles import SIZE, shingle_sets
 
@@ -44,6 +44,7 @@ def _sets(batch: pa.RecordBatch, size: int):
         yield from zip(ids[i:j], shingle_sets(texts[i:j], size), strict=True)
 
 
+@tidied
 def _digests(batches, size: int):
     """A row for each document (kind 0), then the task's counts in blocks (kind 1)."""
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
@@ -67,6 +68,7 @@ def _digests(batches, size: int):
         )
 
 
+@tidied
 def _sum_blocks(batches):
     """Adds up the blocks of a partition as they stream by; gives classes of frequency, a byte for each counter."""
     total: dict[int, np.ndarray] = {}
@@ -79,6 +81,7 @@ def _sum_blocks(batches):
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([rank.tobytes()], pa.binary())], ["lo", "block"])
 
 
+@tidied
 def _prefixes(batches, size: int, percent: int, sketch):
     rank = np.frombuffer(sketch.value, np.uint8)
     for batch in batches:
@@ -92,6 +95,7 @@ def _prefixes(batches, size: int, percent: int, sketch):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.int64()), pa.array(prefix, pa.binary())], ["cid", "n", "digest", "prefix"])
 
 
+@tidied
 def _postings(batches):
     for batch in batches:
         ids, n, prefix = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
@@ -105,6 +109,7 @@ def _postings(batches):
                 )
 
 
+@tidied
 def _whole_sets(batches, size: int):
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
@@ -112,6 +117,7 @@ def _whole_sets(batches, size: int):
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], ["cid", "s"])
 
 
+@tidied
 def _verified(batches, percent: int):
     for batch in batches:
         a, b, sa, sb = (c.to_pylist() for c in batch.columns)

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, read_table
+from .common import Scratch, read_table, tidied
 from .tokens import flat_texts, library_encoder, text_chunks
 
 FIELDS = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
@@ -106,6 +106,7 @@ def _batch(rows: list[tuple], more: list[tuple] = ()) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names)
 
 
+@tidied
 def _pack(batches, path: str, end_id: int, length: int, windows: int):
     part = TaskContext.get().partitionId()
     encode, end = library_encoder(path), np.array([end_id], "<u4").tobytes()
@@ -120,6 +121,7 @@ def _pack(batches, path: str, end_id: int, length: int, windows: int):
                 if len(packer.out) >= _OUT_ROWS:
                     yield _batch(packer.out, [(part, -1)] * len(packer.out))
                     packer.out = []
+    encode.memo.clear()
     yield _batch(packer.out, [(part, -1)] * len(packer.out))
     packer.out, rows = [], []
     for k, (_, pieces) in enumerate(packer.open):
@@ -128,6 +130,7 @@ def _pack(batches, path: str, end_id: int, length: int, windows: int):
     yield _batch(packer.out, rows)
 
 
+@tidied
 def _merge(batches, length: int, windows: int):
     packer = Packer(length, windows, _MERGED + (TaskContext.get().partitionId() << 32))
     key, pieces = None, []

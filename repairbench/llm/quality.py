@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bytes_list, chunks, read_table, small
+from .common import bytes_list, chunks, read_table, small, tidied
 from .shingles import word_hashes
 
 DIM, NONZERO, BUCKETS, WINDOW = 48, 6, 1 << 14, 2
@@ -45,6 +45,7 @@ def _buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - 14)).astype(np.int64)
 
 
+@tidied
 def _contexts(batches):
     """The task's sums of plus and minus ones around each bucket's words, whole numbers, in one row a block of buckets."""
     index, total = _index(), np.zeros(BUCKETS * DIM, np.int64)
@@ -65,6 +66,7 @@ def _contexts(batches):
     yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([zlib.compress(total[k * size : (k + 1) * size].tobytes(), 1) for k in range(16)], pa.binary())], ["k", "sums"])
 
 
+@tidied
 def _added(batches):
     held: dict[int, np.ndarray] = {}
     for batch in batches:
@@ -166,6 +168,7 @@ class Constant:
         return np.full(len(x), self.share)
 
 
+@tidied
 def _featured(batches, vectors):
     for batch in batches:
         ids, y, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist(), bytes_list(batch.column(2))
@@ -174,6 +177,7 @@ def _featured(batches, vectors):
             yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array(y[i:j], pa.int32()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
 
 
+@tidied
 def _scored(batches, vectors, model, text_at: int, names: list[str]):
     for batch in batches:
         texts, p = bytes_list(batch.column(text_at)), []

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Parts remembered between chunks (twice as many at most), and the longest part that is.
-MEMO, MEMO_BYTES = 120_000, 48
+MEMO, MEMO_BYTES = 100_000, 48
 
 _SPACE, _LETTER, _SIGN, _LEAD = 1, 2, 4, 8  # kinds of bytes
 _KIND = np.zeros(256, np.uint8)
@@ -45,7 +45,7 @@ def flat_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def text_chunks(offsets: np.ndarray, most: int = 1 << 21):
+def text_chunks(offsets: np.ndarray, most: int = 1 << 20):
     """Ranges (start, end) of consecutive texts of about `most` bytes together, at least one text each."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -106,6 +106,10 @@ class Memo:
                 now[keys[i]] = v
         return values
 
+    def clear(self) -> None:
+        """Forgets everything, at the end of a task."""
+        self.now, self.old = {}, {}
+
     def stretches(self, raw: np.ndarray, starts: np.ndarray, width: type) -> tuple[np.ndarray, np.ndarray]:
         """For parts of `raw` that begin at `starts`: their values behind each other, as numbers of `width`, and where each begins."""
         places = np.append(starts, len(raw)).astype(np.int32)
