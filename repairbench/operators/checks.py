@@ -11,7 +11,8 @@ from repairbench.functions.text import registration_key, supplier_key
 
 def _check(code: str, expected: Column, found: Column, tolerance: int) -> Column:
     status = F.when(expected.isNull() | found.isNull(), "not_applicable").when(F.abs(expected - found) <= tolerance, "pass").otherwise("fail")
-    return F.struct(F.lit(code).alias("code"), expected.alias("expected"), found.alias("found"), status.alias("status"))
+    shown = F.when(expected.isNull() | found.isNull(), F.lit("MISSING_VALUE")).otherwise(F.lit(code))
+    return F.struct(shown.alias("code"), expected.alias("expected"), found.alias("found"), status.alias("status"))
 
 
 def validate_lines(lines: DataFrame, tolerance: int = 2) -> DataFrame:
@@ -33,8 +34,10 @@ def validate_invoices(invoices: DataFrame, lines: DataFrame, tolerance: int = 5,
     summary_only = F.col("line_labour").isNull() & F.col("labour").isNotNull() & (F.col("labour") != 0)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     subtotal = zero("line_all") + F.when(summary_only, F.col("labour")).otherwise(0)
+    labour_check = _check("LABOUR_TOTAL_MISMATCH", F.when(~summary_only, zero("line_labour")), F.col("labour"), tolerance)
+    labour_check = labour_check.withField("code", F.when(summary_only, "LABOUR_TOTAL_MISMATCH").otherwise(labour_check["code"]))
     checks = F.array(
-        _check("LABOUR_TOTAL_MISMATCH", F.when(~summary_only, zero("line_labour")), F.col("labour"), tolerance),
+        labour_check,
         _check("PARTS_TOTAL_MISMATCH", zero("line_parts"), F.col("parts"), tolerance),
         _check("SUBTOTAL_MISMATCH", subtotal, F.col("subtotal"), tolerance),
         _check("VAT_MISCALC", half_up(F.col("subtotal") * F.col("vat_rate"), F.lit(100)), F.col("vat"), vat_tolerance),

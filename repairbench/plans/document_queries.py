@@ -80,7 +80,7 @@ c AS (SELECT invoice_ref, 'LABOUR_TOTAL_MISMATCH' AS code, CASE WHEN ll IS NULL
  UNION ALL SELECT invoice_ref, 'SUBTOTAL_MISMATCH', (coalesce(la, 0) + CASE WHEN ll IS NULL THEN 10000 ELSE 0 END)::BIGINT, subtotal, 5 FROM j LEFT JOIN s USING (invoice_ref)
  UNION ALL SELECT invoice_ref, 'VAT_MISCALC', (2 * subtotal * 20 + 100) // 200, vat, 2 FROM j
  UNION ALL SELECT invoice_ref, 'TOTAL_MISMATCH', subtotal + vat, gross, 5 FROM j)
-SELECT invoice_ref, code, expected, found, CASE WHEN expected IS NULL OR found IS NULL THEN 'not_applicable' WHEN abs(expected - found) <= tol THEN 'pass' ELSE 'fail' END AS status FROM c""")
+SELECT invoice_ref, CASE WHEN (expected IS NULL OR found IS NULL) AND NOT (code = 'LABOUR_TOTAL_MISMATCH' AND expected IS NULL) THEN 'MISSING_VALUE' ELSE code END AS code, expected, found, CASE WHEN expected IS NULL OR found IS NULL THEN 'not_applicable' WHEN abs(expected - found) <= tol THEN 'pass' ELSE 'fail' END AS status FROM c""")
 def g13_invoice_checks(spark, sf_dir):
     gross = pence(F.col("o_totalprice"))
     sub = F.expr("gross * 5 div 6")

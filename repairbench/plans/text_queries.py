@@ -75,21 +75,17 @@ def t10_parse_money_date(spark, sf_dir):
 @query(r"""SELECT doc_id, sha256(text) AS original_sha256, len(regexp_extract_all(text, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b')) AS emails,
  regexp_matches(text, '(?i)ignore\s+(?:all\s+)?(?:previous|prior|system)\s+instructions') AS ignores FROM documents WHERE text IS NOT NULL""")
 def t12_t13_redact(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    counts, text = T.redaction_counts(F.col("text")), T.redacted(F.col("text"))
-    flags = T.injection_flags(text)
-    return docs.select("doc_id", F.sha2("text", 256).alias("original_sha256"), F.coalesce(F.try_element_at(counts, F.lit("EMAIL")), F.lit(0)).cast("long").alias("emails"), F.array_contains(flags, "IGNORE_INSTRUCTIONS").alias("ignores"))
+    rows = T.redact(table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text"), "text")
+    return rows.select("doc_id", F.sha2("text", 256).alias("original_sha256"), F.col("n_email").alias("emails"), F.array_contains("flags", "IGNORE_INSTRUCTIONS").alias("ignores"))
 
 
 @query()
 def t12_t13_redact_all(spark, sf_dir):
     """All counts, all flags and the redacted text's digest, null texts included; RE2 has no look-around for SQL."""
-    text = F.col("text")
-    counts, after = T.redaction_counts(text), T.redacted(text)
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("original_sha256"), F.sha2(after, 256).alias("redacted_sha256"), counts.alias("counts"), T.injection_flags(after).alias("flags"))
-    found = [F.coalesce(F.try_element_at("counts", F.lit(name)), F.lit(0)).cast("long").alias(name.lower() + "s") for name, _ in T.REDACTIONS]
+    rows = T.redact(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    found = [F.col(f"n_{name.lower()}").alias(name.lower() + "s") for name, _ in T.REDACTIONS]
     flags = [F.array_contains("flags", name).alias(name.lower()) for name, _ in T.INJECTIONS]
-    return rows.select("doc_id", "original_sha256", "redacted_sha256", *found, *flags)
+    return rows.select("doc_id", F.sha2("text", 256).alias("original_sha256"), F.sha2("redacted", 256).alias("redacted_sha256"), *found, *flags)
 
 
 @query("""SELECT page_id, CASE WHEN position('#' IN url) > 0 THEN left(url, position('#' IN url) - 1) ELSE url END AS identity, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host,

@@ -67,3 +67,15 @@ def upsert_catalogue(current: DataFrame, incoming: DataFrame) -> DataFrame:
     columns = [F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in current.columns]
     change = F.when(F.col("o.make").isNull(), "created").when(F.col("n.make").isNull(), "kept").otherwise("updated")
     return both.select(*columns, change.alias("change"))
+
+
+def import_report(items: DataFrame, history: DataFrame, gold: DataFrame) -> DataFrame:
+    """One row: what an import holds. items(reference_price), history(document_role), gold(invoice_number), kept out of it."""
+    rows = items.select(F.lit("item").alias("kind"), F.col("reference_price").isNotNull().alias("priced"))
+    rows = rows.unionByName(history.select(F.lit("history").alias("kind"), F.col("document_role").alias("role")), allowMissingColumns=True)
+    rows = rows.unionByName(gold.select(F.lit("gold").alias("kind"), F.col("invoice_number").alias("number")), allowMissingColumns=True)
+    count = lambda test, name: F.count(F.when(F.expr(test), True)).alias(name)
+    return rows.agg(
+        count("kind = 'item'", "item_rows"), count("kind = 'item' AND priced", "priced"), count("kind = 'item' AND NOT priced", "missing_price"),
+        count("kind = 'history'", "history_rows"), count("role = 'invoice'", "invoice_rows"), count("role = 'estimate'", "estimate_rows"), count("kind = 'gold'", "gold_rows"), F.countDistinct("number").alias("gold_invoices"),
+    )
