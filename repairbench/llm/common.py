@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Most rows of a side that may be broadcast (of a few fixed-width columns each: tens of MB).
 BROADCAST_ROWS = 1_000_000
 #: Bytes of an Arrow batch (a longer text is a batch of its own).
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,7 @@ def tidied(work):
     def run(batches, *args, **named):
         yield from work(batches, *args, **named)
         gc.collect()
+        pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
         if trim:
             trim(0)

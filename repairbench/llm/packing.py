@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, read_table, tidied
-from .tokens import flat_texts, library_encoder, text_chunks
+from .tokens import close_encoders, flat_texts, library_encoder, text_chunks
 
 FIELDS = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _COLUMNS = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
@@ -121,7 +121,8 @@ def _pack(batches, path: str, end_id: int, length: int, windows: int):
                 if len(packer.out) >= _OUT_ROWS:
                     yield _batch(packer.out, [(part, -1)] * len(packer.out))
                     packer.out = []
-    encode.memo.clear()
+    encode = None
+    close_encoders()
     yield _batch(packer.out, [(part, -1)] * len(packer.out))
     packer.out, rows = [], []
     for k, (_, pieces) in enumerate(packer.open):

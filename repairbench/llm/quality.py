@@ -93,17 +93,14 @@ def features(texts: list[bytes | None], vectors: np.ndarray) -> np.ndarray:
     """One row for each text: mean and mean square of its word vectors (zeros without words)."""
     h, bounds = word_hashes(texts)
     b, n = _buckets(h), np.diff(bounds)
-    out = np.zeros((len(texts), WIDTH), np.float32)
-    filled = np.flatnonzero(n)
-    if len(filled):
-        first = bounds[:-1][filled]
-        for c in range(0, len(filled), 64):
-            rows = filled[c : c + 64]
-            lo, hi = bounds[rows[0]], bounds[rows[-1] + 1]
-            v, at = vectors[b[lo:hi]], first[c : c + 64] - lo
-            out[rows, :DIM] = np.add.reduceat(v, at, axis=0) / n[rows, None]
-            out[rows, DIM : 2 * DIM] = np.add.reduceat(v * v, at, axis=0) / n[rows, None]
-    return out
+    total = np.zeros((len(texts), WIDTH))
+    doc = np.repeat(np.arange(len(texts)), n)
+    for c in range(0, len(b), 8192):  # a slice of words at a time, so that a very long text needs no more
+        v, d = vectors[b[c : c + 8192]].astype(np.float64), doc[c : c + 8192]
+        at = np.flatnonzero(np.diff(d, prepend=-1))
+        total[d[at], :DIM] += np.add.reduceat(v, at, axis=0)
+        total[d[at], DIM:] += np.add.reduceat(v * v, at, axis=0)
+    return (total / np.maximum(n, 1)[:, None]).astype(np.float32)
 
 
 class Network:

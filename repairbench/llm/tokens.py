@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Parts remembered between chunks (twice as many at most), and the longest part that is.
-MEMO, MEMO_BYTES = 100_000, 48
+MEMO, MEMO_BYTES = 60_000, 48
 
 _SPACE, _LETTER, _SIGN, _LEAD = 1, 2, 4, 8  # kinds of bytes
 _KIND = np.zeros(256, np.uint8)
@@ -45,7 +45,7 @@ def flat_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def text_chunks(offsets: np.ndarray, most: int = 1 << 20):
+def text_chunks(offsets: np.ndarray, most: int = 1 << 19):
     """Ranges (start, end) of consecutive texts of about `most` bytes together, at least one text each."""
     i, n = 0, len(offsets) - 1
     while i < n:
@@ -106,10 +106,6 @@ class Memo:
                 now[keys[i]] = v
         return values
 
-    def clear(self) -> None:
-        """Forgets everything, at the end of a task."""
-        self.now, self.old = {}, {}
-
     def stretches(self, raw: np.ndarray, starts: np.ndarray, width: type) -> tuple[np.ndarray, np.ndarray]:
         """For parts of `raw` that begin at `starts`: their values behind each other, as numbers of `width`, and where each begins."""
         places = np.append(starts, len(raw)).astype(np.int32)
@@ -152,6 +148,11 @@ _PLAIN = re.compile(rb"( ?)(?:" + _LETTERS + rb"|[!-&(-/:-@\[-`{-~]+)")
 _open: dict[str, Encoder] = {}
 
 
+def close_encoders() -> None:
+    """Lets the tokenizers of this Python worker go, at the end of a task: other stages need the memory."""
+    _open.clear()
+
+
 def library_encoder(path: str) -> Encoder:
     """An encoder by the tokenizers library, kept while a Python worker serves the same file (one at a time)."""
     if path not in _open:
@@ -164,7 +165,8 @@ def library_encoder(path: str) -> Encoder:
         # One kind drops white space, takes lower case and ends words by a mark; the other begins them with their space.
         drops = tokenizer.normalizer is not None
         edge = np.zeros(tokenizer.get_vocab_size(), bool)
-        for token, i in tokenizer.get_vocab().items():
+        for i in range(len(edge)):
+            token = tokenizer.id_to_token(i) or ""
             edge[i] = token.endswith("</w>") if drops else token.startswith("\u0120")
 
         def together(out: list, parts: list[bytes], which: list[int], joint: bytes) -> None:
