@@ -33,6 +33,8 @@ from .shingles import SIZE, shingle_sets
 SKETCH_BITS, BLOCK_BITS = 22, 16
 #: Pivots of the star rounds, at most; lists above LONG rows are finished in blocks of these sizes.
 PIVOTS, LONG, FEW_BLOCK, ALL_BLOCK = (1, 4, 4, 4), 48, 64, 1024
+#: Most rows of what is known of lists (some 60 bytes each) that may be broadcast to their members.
+LIST_ROWS = 250_000
 #: Tasks that the copies of one text are dealt to.
 SALTS = 16
 _MASK = np.uint64((1 << SKETCH_BITS) - 1)
@@ -212,7 +214,7 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lists = _lists(sigs, scratch, percent)
 
     verify = partial(_verify, base=base, scratch=scratch, size=size, percent=percent)
-    labels, links, by_token = None, [], Window.partitionBy("token")
+    labels, links = None, []
     repeated = member.groupBy("doc_id").agg(F.min("cid").alias("a"), F.max("cid").alias("b")).where("a <> b")
     if not repeated.isEmpty():
         links = [scratch.save(member.join(repeated, "doc_id").where("cid <> a").select("a", F.col("cid").alias("b")).distinct())]
@@ -222,19 +224,21 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if labels is not None:
             old = labels.select(F.col("node").alias("cid"), F.col("label").alias("new"))
             now = now.join(small(old), "cid", "left").withColumn("label", F.coalesce("new", "label")).drop("new")
-        # Lists under one label have nothing left to say.
-        both = now.withColumn("lo", F.min("label").over(by_token)).withColumn("hi", F.max("label").over(by_token))
-        now = scratch.save(both.where("lo <> hi").select("token", "cid", "n", "pos", "label"))
         most = None
-        if k:
+        if k or labels is not None:
+            # Lists under one label have nothing left to say.
             per_label = now.groupBy("token", "label").agg(F.count("*").alias("c"))
             most = per_label.groupBy("token").agg(F.sum("c").alias("total"), F.max(F.struct("c", "label")).alias("m"))
-            most = scratch.save(most.select("token", "total", F.col("m.label").alias("main"), (F.col("total") - F.col("m.c")).alias("few")))
+            most = most.select("token", "total", F.col("m.label").alias("main"), (F.col("total") - F.col("m.c")).alias("few"))
+            most = scratch.save(most.where("few > 0"))
+            now = now.join(small(most.select("token"), LIST_ROWS), "token", "left_semi")
+        now = scratch.save(now.select("token", "cid", "n", "pos", "label"))
+        if k:
             work, total = most.agg(F.sum(F.col("few") * F.col("total")), F.sum("total")).first()
             if not total:
                 break
             pivots = 0 if work <= 8 * total else pivots
-        pairs = _star_pairs(now, k, pivots, percent) if pivots else _short_pairs(now, most, percent)
+        pairs = _star_pairs(now, k, pivots, percent, scratch) if pivots else _short_pairs(now, most, percent)
         done = verify(pairs, tested)
         links.append(done.where("linked").select("a", "b"))
         if not pivots:
@@ -276,15 +280,18 @@ def _lists(sigs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     return lists.unionByName(expanded).unionByName(whole)
 
 
-def _star_pairs(now: DataFrame, k: int, pivots: int, percent: int) -> DataFrame:
-    """Pairs of a few pivots of each list (the smallest hashes of this round) with its other members."""
-    order = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("cid", F.lit(k)), "cid", "pos"))
-    starred = now.withColumn("order", order)
-    pivot = F.collect_list(F.when(F.col("order") <= pivots, F.struct("cid", "n", "pos", "label"))).over(Window.partitionBy("token"))
-    starred = starred.withColumn("p", pivot).select("label", F.struct("cid", "n", "pos").alias("x"), "p")
-    fitting = F.filter("p", lambda p: (F.col("label") != p["label"]) & _fits(F.col("x"), p, percent))
-    starred = starred.select("x", F.explode(fitting).alias("p"))
-    return starred.select(F.least("x.cid", "p.cid").alias("a"), F.greatest("x.cid", "p.cid").alias("b"))
+def _star_pairs(now: DataFrame, k: int, pivots: int, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs of a few pivots of each list with its other members.
+
+    The members of a list fall into as many hash classes of this round; the least of each is a pivot. Pivots are
+    aggregated before they shuffle, and lists meet them in a join, so a long list needn't lie in one task.
+    """
+    slot = F.pmod(F.xxhash64("cid", F.lit(-1 - k)), F.lit(pivots))
+    first = F.min(F.struct(F.xxhash64("cid", F.lit(k)).alias("h"), "cid", "n", "pos", "label"))
+    chosen = scratch.save(now.groupBy("token", slot.alias("slot")).agg(first.alias("p")).select("token", "p"))
+    starred = now.join(small(chosen, LIST_ROWS), "token")
+    starred = starred.where((F.col("label") != F.col("p.label")) & _fits(F.struct("n", "pos"), F.col("p"), percent))
+    return starred.select(F.least("cid", "p.cid").alias("a"), F.greatest("cid", "p.cid").alias("b"))
 
 
 def _short_pairs(now: DataFrame, most: DataFrame, percent: int) -> DataFrame:
