@@ -34,7 +34,7 @@ SKETCH_BITS, BLOCK_BITS = 22, 16
 #: Pivots of the star rounds, at most; lists above LONG rows are finished in blocks of these sizes.
 PIVOTS, LONG, FEW_BLOCK, ALL_BLOCK = (1, 4, 4, 4), 48, 64, 1024
 #: Most rows of what is known of lists (some 60 bytes each) that may be broadcast to their members.
-LIST_ROWS = 250_000
+LIST_ROWS = 100_000
 #: Tasks that the copies of one text are dealt to.
 SALTS = 16
 _MASK = np.uint64((1 << SKETCH_BITS) - 1)
