@@ -8,7 +8,6 @@ Arrow's dictionary encoding, and the ids of a text are gathered from those of it
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from collections.abc import Callable
 
@@ -141,9 +140,25 @@ class Encoder:
         return [ids[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)]
 
 
-_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
-#: Parts that are one match of the pattern, whatever stands around them: a space or none, then letters or signs.
-_PLAIN = re.compile(rb"( ?)(?:" + _LETTERS + rb"|[!-&(-/:-@\[-`{-~]+)")
+#: Bytes of parts that are one match of the pattern, whatever stands around them: letters only, or signs only.
+_PLAIN = np.zeros(256, np.uint8)
+_PLAIN[[*range(65, 91), *range(97, 123)]] = 1
+_PLAIN[_KIND == _SIGN] = 2
+
+
+def plain(parts: list[bytes]) -> tuple[list[int], list[int]]:
+    """Which of the parts are letters only or signs only: those behind one space, and those without it."""
+    if not parts:
+        return [], []
+    raw, size = np.frombuffer(b"".join(parts), np.uint8), np.fromiter(map(len, parts), np.int64, len(parts))
+    first, kind = np.cumsum(size) - size, _PLAIN[raw]
+    pair = np.flatnonzero((raw[:-1] == 0xC3) & _LATIN[raw[1:]])
+    kind[pair] = kind[pair + 1] = 1
+    space = raw[first] == 32
+    kind[first[space]] = 3
+    good = (np.bitwise_and.reduceat(kind, first) > 0) & (size > space)
+    return np.flatnonzero(good & space).tolist(), np.flatnonzero(good & ~space).tolist()
+
 
 _open: dict[str, Encoder] = {}
 
@@ -173,7 +188,9 @@ def library_encoder(path: str) -> Encoder:
             """A thousand parts in one text, taken apart at the tokens that end (or begin) a word."""
             for k in range(0, len(which), 1000):
                 some = which[k : k + 1000]
-                ids = np.array(tokenizer.encode(joint.join([parts[i] for i in some]).decode(), add_special_tokens=False).ids, "<u4")
+                text = joint.join([parts[i] for i in some]).decode()
+                # The batch form keeps no offsets, which nobody reads here.
+                ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
                 at = np.flatnonzero(edge[ids])
                 if len(at) != len(some):
                     continue  # not one match each; they are encoded one by one below
@@ -185,10 +202,7 @@ def library_encoder(path: str) -> Encoder:
 
         def encode(parts: list[bytes]) -> list[bytes]:
             out: list[bytes | None] = [None] * len(parts)
-            led, bare = [], []
-            for i, p in enumerate(parts):
-                if m := _PLAIN.fullmatch(p):
-                    (led if m[1] else bare).append(i)
+            led, bare = plain(parts)
             together(out, parts, led, b"")
             if drops:
                 together(out, parts, bare, b" ")
