@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import groupby
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,22 +37,26 @@ def match_score(left: Column, right: Column) -> Column:
 
 
 def match_operations(operations: DataFrame, lines: DataFrame, least: float = 0.34) -> DataFrame:
-    """group_id, op_id, line_id, score: each operation in order takes the best line that is left, ties to the first line.
+    """group_id, op_id, line_id, score: each operation in turn takes the best line that is left, ties to the first line.
 
-    operations(group_id, op_id, description), lines(group_id, line_id, description). Pairs below `least` never match.
+    operations(group_id, op_id, op_no, description), lines(group_id, line_id, line_no, description): the numbers are
+    the places in the assessment and on the invoice. Pairs below `least` never match.
     """
     o, i = operations.alias("o"), lines.alias("i")
-    pairs = o.join(i, F.col("o.group_id") == F.col("i.group_id")).select("o.group_id", "o.op_id", "i.line_id", match_score(F.col("o.description"), F.col("i.description")).alias("score")).where(F.col("score") >= least)
+    pairs = o.join(i, F.col("o.group_id") == F.col("i.group_id")).select("o.group_id", "o.op_id", "o.op_no", "i.line_id", "i.line_no", match_score(F.col("o.description"), F.col("i.description")).alias("score")).where(F.col("score") >= least)
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = sorted(pdf[["op_no", "op_id", "line_no", "line_id", "score"]].itertuples(index=False, name=None))
         used, out = set(), []
-        for _, some in pdf.sort_values(["op_id", "line_id"]).groupby("op_id", sort=True):
-            free = some[~some["line_id"].isin(used)]
-            if len(free):
-                row = free.loc[free["score"].idxmax()]
-                used.add(row["line_id"])
-                out.append(row)
-        return pd.DataFrame(out, columns=pdf.columns).astype(pdf.dtypes)
+        for _, some in groupby(rows, key=lambda r: r[:2]):
+            free = [r for r in some if r[3] not in used]
+            if free:
+                best = max(free, key=lambda r: r[4])  # the first of equal ones
+                used.add(best[3])
+                out.append((best[1], best[3], best[4]))
+        found = pd.DataFrame(out, columns=["op_id", "line_id", "score"])
+        found.insert(0, "group_id", pdf["group_id"].iloc[0])
+        return found
 
     kind = dict(pairs.dtypes)
     return pairs.groupBy("group_id").applyInPandas(greedy, f"group_id {kind['group_id']}, op_id {kind['op_id']}, line_id {kind['line_id']}, score double")

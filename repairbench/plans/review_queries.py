@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from repairbench.functions import rules as R
 from repairbench.functions import text as T
@@ -99,8 +100,9 @@ def j16_assessment_variance(spark, sf_dir):
 @query()
 def j15_match_operations(spark, sf_dir):
     """Lines of an order against operations named after the parts of the same order, greedily in order."""
-    rows = _lines(spark, sf_dir).select(F.col("invoice_ref").alias("group_id"), "line_id", F.col("item_name").alias("description"))
-    operations = rows.select("group_id", F.concat(F.lit("op-"), "line_id").alias("op_id"), F.concat(F.lit("replace "), "description").alias("description"))
+    place = F.row_number().over(Window.partitionBy("invoice_ref").orderBy("line_id"))
+    rows = _lines(spark, sf_dir).select(F.col("invoice_ref").alias("group_id"), "line_id", place.alias("line_no"), F.col("item_name").alias("description"))
+    operations = rows.select("group_id", F.concat(F.lit("op-"), "line_id").alias("op_id"), F.col("line_no").alias("op_no"), F.concat(F.lit("replace "), "description").alias("description"))
     return E.match_operations(operations, rows)
 
 
