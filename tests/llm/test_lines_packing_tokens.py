@@ -155,3 +155,19 @@ def test_token_files_round_trip(spark):
     empty = f"{Scratch(spark, 'test').root}/files"
     write_token_files(df.limit(0), empty, path)
     assert read_token_files(spark, empty).collect() == []
+
+
+def test_plain_parts_are_what_a_pattern_finds():
+    """Parts of letters only or of signs only, behind one space or none, told on bytes as by a pattern on each."""
+    import random
+    import re
+
+    from repairbench.llm.tokens import plain
+
+    letters = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+    pattern = re.compile(rb"( ?)(?:" + letters + rb"|[!-&(-/:-@\[-`{-~]+)")
+    draw = random.Random(1)
+    parts = ["".join(draw.choice("ab Zz'!?-(09é×÷ÿĀ中\n\t`{~^") for _ in range(draw.randint(1, 4))).encode() for _ in range(20_000)]
+    found = [pattern.fullmatch(p) for p in parts]
+    assert plain(parts) == ([i for i, m in enumerate(found) if m and m[1]], [i for i, m in enumerate(found) if m and not m[1]])
+    assert plain([]) == ([], []) and plain([b" "]) == ([], [])
