@@ -6,18 +6,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repairbench.functions.rules import Policy
-from repairbench.operators.history import exclusion_reason, recency_weight
+from repairbench.operators.history import derived, exclusion_reason, recency_weight
 
 
-def comparables(pairs: DataFrame, policy: Policy = Policy(), stale_days: int = 1095) -> DataFrame:
+def comparables(pairs: DataFrame, policy: Policy = Policy(), stale_days: int = 1095, any_invoice: bool = False) -> DataFrame:
     """line_id, obs_id, original, normalised (pence), weight, stale: the observations that a line's history rests on.
 
-    pairs as `historical_statistics` takes them; normalised is the line total that counted.
+    pairs as `past_history` gives them, with the columns that `historical_statistics` takes. original is the total as it was
+    given, normalised the one that counts (unit price times quantity where none was given). any_invoice: see `exclusion_reason`.
     """
-    good = pairs.where(exclusion_reason(pairs).isNull())
+    good = derived(pairs).where(exclusion_reason(any_invoice).isNull() & (F.col("observed_at") < F.col("as_of")))
     weight = (recency_weight(F.col("observed_at"), F.col("as_of"), policy) * F.least("comparability", F.lit(1)).cast("decimal(10,6)")).cast("decimal(28,18)")
     stale = F.datediff("as_of", "observed_at") > stale_days
-    return good.select("line_id", "obs_id", F.col("total").alias("normalised"), weight.alias("weight"), stale.alias("stale"))
+    return good.select("line_id", "obs_id", F.col("total").alias("original"), F.col("used_total").alias("normalised"), weight.alias("weight"), stale.alias("stale"))
 
 
 def reject_known(new: DataFrame, items: DataFrame, open_items: DataFrame, hashes: DataFrame) -> DataFrame:

@@ -1,17 +1,32 @@
-"""Past evidence of a line: the temporal join, category fallback, recency weights, weighted medians."""
+"""Past evidence of lines: counts, dates, lineages and weighted medians of what an item has been billed before a day.
+
+Nothing here pairs lines with observations (but `past_history`, for lists of comparables). What a line may look back
+on depends on its item and its date alone, so observations are summed by day and price before they shuffle, states
+are made for the days that lines ask for, and lines look their day's state up. The weight of an observation halves
+with each half-life of its age; lines of all later days see the same proportions, so a running median needs no age.
+"""
 
 from __future__ import annotations
 
+from bisect import insort
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from repairbench.functions.exact import half_up
 from repairbench.functions.rules import Policy
+from repairbench.operators.carried import State, carried
+from repairbench.sources.shared import written
+
+#: Day and price sums of one key that one task takes; a larger key is cut into periods.
+BLOCK_ROWS = 200_000
+REASONS = ["not_eligible", "estimate_or_non_invoice", "unit_incompatible", "quantity_scope_not_equivalent", "zero_comparability", "missing_comparable_line_total"]
+_ANY_DAY = REASONS[:2]  # told before the date is looked at
 
 
 def past_history(lines: DataFrame, obs: DataFrame) -> DataFrame:
-    """Each line with every observation of its item dated strictly before it (an equi-join with a range condition).
+    """Each line with every observation of its item dated strictly before it: as many rows as there are comparables.
 
     lines(line_id, item_id, as_of), obs(item_id, obs_id, observed_at, ...). Skewed items are split by AQE.
     """
@@ -23,18 +38,28 @@ def is_invoice(kind: Column) -> Column:
     return ~F.regexp_like(name, F.lit("estimate|quote|quotation")) & F.contains(name, F.lit("invoice"))
 
 
-def exclusion_reason(line: DataFrame) -> Column:
-    """The first reason why an observation doesn't count for a line, or null."""
-    del line
-    return (
-        F.when(~F.col("eligible"), "not_eligible")
-        .when(~is_invoice(F.col("document_type")), "estimate_or_non_invoice")
-        .when(F.col("observed_at") >= F.col("as_of"), "not_past_observation")
-        .when(~F.col("unit_compatible"), "unit_incompatible")
-        .when(~F.col("scope_equivalent"), "quantity_scope_not_equivalent")
-        .when(F.col("comparability") <= 0, "zero_comparability")
-        .when(F.col("total").isNull() | (F.col("total") <= 0), "missing_comparable_line_total")
-    )
+def derived(obs: DataFrame) -> DataFrame:
+    """obs with used_total and used_unit (pence): a missing total is unit price times quantity, a missing unit price total by quantity.
+
+    obs(total, unit, quantity): quantity is a decimal of four digits. The columns are made one after the other, so that each is
+    computed once.
+    """
+    ten = F.lit(10000)
+    rows = obs.withColumn("quantity_10000", (F.col("quantity") * 10000).cast("long"))
+    times = F.col("quantity_10000")
+    rows = rows.withColumn("used_total", F.coalesce("total", F.when(times > 0, half_up(F.col("unit") * times, ten))))
+    return rows.withColumn("used_unit", F.coalesce("unit", F.when(times > 0, half_up(F.col("used_total") * ten, times)))).drop("quantity_10000")
+
+
+def exclusion_reason(any_invoice: bool = False) -> Column:
+    """The first reason, apart from its date, why an observation (see `derived`) doesn't count, or null.
+
+    any_invoice: whatever has "invoice" in its name counts as one, as in lists of comparables.
+    """
+    kind, total = F.col("document_type"), F.col("used_total")
+    invoice = F.contains(F.lower(F.trim(kind)), F.lit("invoice")) if any_invoice else is_invoice(kind)
+    tests = [~F.col("eligible"), ~invoice, ~F.col("unit_compatible"), ~F.col("scope_equivalent"), F.coalesce("comparability", F.lit(0)) <= 0, total.isNull() | (total <= 0)]
+    return F.coalesce(*[F.when(t, F.lit(r)) for t, r in zip(tests, REASONS, strict=True)])
 
 
 def recency_weight(observed: Column, as_of: Column, policy: Policy = Policy()) -> Column:
@@ -42,47 +67,190 @@ def recency_weight(observed: Column, as_of: Column, policy: Policy = Policy()) -
     return F.pow(F.lit(0.5), F.datediff(as_of, observed) / F.lit(float(policy.half_life_days))).cast("decimal(20,18)")
 
 
-def weighted_median(pairs: DataFrame, key: str, value: str, weight: str, tie: str) -> DataFrame:
-    """key, median (pence): the value where the running weight passes half; at exactly half the mean with the next."""
-    order = Window.partitionBy(key).orderBy(value, tie)
-    whole = Window.partitionBy(key)
-    run = F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = pairs.where(F.col(weight) > 0).select(key, value, run.alias("run"), F.sum(weight).over(whole).alias("all"), F.lead(value).over(order).alias("next"), F.row_number().over(order).alias("place"))
-    hit = rows.where(2 * F.col("run") >= F.col("all"))
-    middle = F.when((2 * F.col("run") == F.col("all")) & F.col("next").isNotNull(), half_up(F.col(value) + F.col("next"), F.lit(2))).otherwise(F.col(value))
-    return hit.groupBy(key).agg(F.min_by(middle, "place").alias("median"))
+def before(asks: DataFrame, facts: DataFrame, keys: list[str], told: dict[str, Column]) -> DataFrame:
+    """asks(keys, as_of), each once, with aggregates over the facts(keys, day, ...) of strictly earlier days.
+
+    Facts are few for a key (sums of a day), so a window over the key and its days is small however hot the key is.
+    """
+    rows = facts.withColumn("as_of", F.lit(None).cast("date")).unionByName(asks.withColumn("day", F.col("as_of")), allowMissingColumns=True)
+    rows = rows.withColumn("on", F.unix_date("day"))
+    earlier = Window.partitionBy(*keys).orderBy("on").rangeBetween(Window.unboundedPreceding, -1)
+    return rows.select(*keys, "as_of", *[c.over(earlier).alias(n) for n, c in told.items()]).where("as_of IS NOT NULL")
+
+
+class Median:
+    """Weights by price in order, with the place where half of the weight is reached."""
+
+    def __init__(self):
+        self.prices, self.weights, self.whole = [], {}, 0
+        self.at, self.below = 0, 0  # the middle price, and the weight of all smaller ones
+
+    def add(self, price: int, weight: int) -> None:
+        if price not in self.weights:
+            insort(self.prices, price)
+            self.weights[price] = 0
+            if len(self.prices) > 1 and price < self.prices[self.at + (price <= self.prices[self.at])]:
+                self.at += 1
+        if price < self.prices[self.at]:
+            self.below += weight
+        self.weights[price] += weight
+        self.whole += weight
+        while 2 * self.below >= self.whole:
+            self.at -= 1
+            self.below -= self.weights[self.prices[self.at]]
+        while 2 * (self.below + self.weights[self.prices[self.at]]) < self.whole:
+            self.below += self.weights[self.prices[self.at]]
+            self.at += 1
 
+    def value(self) -> int | None:
+        """At exactly half the mean with the next price, half up."""
+        if not self.prices:
+            return None
+        price = self.prices[self.at]
+        if 2 * (self.below + self.weights[price]) == self.whole and self.at + 1 < len(self.prices):
+            return (price + self.prices[self.at + 1] + 1) // 2
+        return price
 
-def historical_statistics(pairs: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """One row for each line_id: eligible and excluded counts, weighted medians of totals and units (pence), date range.
 
-    pairs(line_id, as_of, obs_id, observed_at, document_type, eligible, unit_compatible, scope_equivalent,
-    comparability, total, unit): total and unit in pence.
+class _Medians(State):
+    """Running medians of line totals and of unit prices."""
+
+    def __init__(self, key: tuple):
+        super().__init__(key)
+        self.line, self.unit = Median(), Median()
+
+    def step(self, row: tuple):
+        as_of, rank, line, unit, factor, share, earlier = row
+        if rank == 1:
+            return [(*self.key[:-1], as_of, self.line.value(), self.unit.value())]
+        weight = int(earlier) if rank == 0 else factor * share
+        if line:
+            self.line.add(line, weight)
+        if unit:
+            self.unit.add(unit, weight)
+        return ()
+
+
+def running_medians(asks: DataFrame, sums: DataFrame, keys: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """keys, as_of, median_line, median_unit: of the weighted prices of strictly earlier days, for asks(keys, as_of), each once.
+
+    sums(keys, day, line, unit, factor, share): two prices of one whole weight, factor * share; a null or zero is no price. One
+    pass in order of days for a key. A key of more than `block_rows` sums (or prices, if it has more of these) is cut by days
+    into periods; each begins with the weights of all earlier ones by price, so that all periods together begin with no
+    more rows than the key has.
+    """
+    columns = [*keys, "period", "day", "rank", "line", "unit", "factor", "share", "earlier"]
+    typed = {f.name: f.dataType.simpleString() for f in asks.schema}
+    of = lambda df, rank: df.withColumn("rank", F.lit(rank))
+    none = lambda kind: F.lit(None).cast(kind)
+    whole = sums.groupBy(*keys).agg(F.count("*").alias("n"), F.greatest(F.approx_count_distinct("line") + F.approx_count_distinct("unit"), F.lit(block_rows)).alias("block")).where("n > block")
+    if whole.isEmpty():
+        own, begin = sums.withColumn("period", F.lit(0)), None
+        asks = asks.select(*keys, F.col("as_of").alias("day"), F.lit(0).alias("period"))
+    else:
+        same = lambda a, b: [F.col(f"{a}.{k}") == F.col(f"{b}.{k}") for k in keys]
+        days = sums.join(whole.drop("n"), keys).groupBy(*keys, "day", "block").agg(F.count("*").alias("n"))
+        ordered = Window.partitionBy(*keys).orderBy("day")
+        cut = days.withColumn("part", F.floor((F.sum("n").over(ordered) - F.col("n")) / F.col("block"))).groupBy(*keys, "part").agg(F.min("day").alias("first"))
+        along = Window.partitionBy(*keys).orderBy("first")
+        periods = cut.select(*keys, (F.row_number().over(along) - 1).alias("period"), "first", F.lead("first").over(along).alias("next"), (F.count("*").over(Window.partitionBy(*keys)) - 1).cast("int").alias("last"))
+        inside = [*same("s", "p"), F.col("s.day") >= F.col("p.first"), F.col("p.next").isNull() | (F.col("s.day") < F.col("p.next"))]
+        own = sums.alias("s").join(periods.alias("p"), inside, "left").select("s.*", F.coalesce("p.period", F.lit(0)).alias("period"), F.col("p.last").alias("last"))
+        asked = [*same("s", "p"), F.col("s.as_of") > F.col("p.first"), F.col("p.next").isNull() | (F.col("s.as_of") <= F.col("p.next"))]
+        asks = asks.alias("s").join(periods.alias("p"), asked, "left").select(*[F.col(f"s.{k}") for k in keys], F.col("s.as_of").alias("day"), F.coalesce("p.period", F.lit(0)).alias("period"))
+        # What a price weighs at the end of a period it brings to all periods up to the next that has it.
+        one = own.where("last > 0").select(*keys, "period", "last", (F.col("factor").cast("decimal(19,0)") * F.col("share").cast("decimal(18,0)")).cast("decimal(38,0)").alias("weight"), F.explode(F.array(F.struct("line", none("long").alias("unit")), F.struct(none("long").alias("line"), "unit"))).alias("m"))
+        ends = one.where("m.line > 0 OR m.unit > 0").groupBy(*keys, "m.line", "m.unit", "period", "last").agg(F.sum("weight").cast("decimal(38,0)").alias("w"))
+        price = Window.partitionBy(*keys, "line", "unit").orderBy("period")
+        ends = ends.select(*keys, "line", "unit", F.sum("w").over(price).cast("decimal(38,0)").alias("earlier"), F.col("period").alias("at"), F.coalesce(F.lead("period").over(price), F.col("last")).alias("until")).where("at < until")
+        begin = ends.select(*keys, "line", "unit", "earlier", F.explode(F.sequence(F.col("at") + 1, F.col("until"))).alias("period"), none("date").alias("day"), none("long").alias("factor"), none("long").alias("share"))
+    rows = of(own.withColumn("earlier", none("decimal(38,0)")), 2).select(*columns)
+    rows = rows.unionByName(of(asks, 1), allowMissingColumns=True).select(*columns)
+    if begin is not None:
+        rows = rows.unionByName(of(begin, 0).select(*columns))
+    return carried(rows, [*keys, "period"], ["day", "rank"], ", ".join(f"`{k}` {typed[k]}" for k in keys) + ", as_of date, median_line long, median_unit long", _Medians)
+
+
+def historical_statistics(lines: DataFrame, obs: DataFrame, policy: Policy = Policy(), keys: tuple[str, ...] = ("item_id",), block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row for each line of lines(line_id, keys, as_of): what its item's history before that day says.
+
+    obs(keys, observed_at, document_type, eligible, unit_compatible, scope_equivalent, comparability, total, unit, quantity,
+    lineage), money in pence. A missing total is unit price times quantity, a missing unit price total by quantity. Returns
+    line_id, eligible_count, excluded_count, excluded_reasons (array of reason and count, by reason; observations that
+    aren't past count as not_past_observation), median_line, median_unit (weighted, in pence), weak_sample, preferred_count
+    (totals as given), derived_count, observed_from, observed_to, lineages (sorted). A line without an item has no history.
     """
-    told = pairs.withColumn("reason", exclusion_reason(pairs))
+    keys = list(keys)
+    told = derived(obs.where("observed_at IS NOT NULL")).select(
+        *keys, F.col("observed_at").alias("day"), exclusion_reason().alias("reason"), F.col("total").isNotNull().alias("given"), "lineage",
+        (F.least("comparability", F.lit(1)) * 1000000).cast("long").alias("share"), F.col("used_total").alias("line"), F.col("used_unit").alias("unit"),
+    )
+    # Observations that are alike on a day count together; everything below rests on this table.
+    told = written(told.groupBy(*told.columns[:-3], "line", "unit").agg(F.count("*").alias("n"), F.sum("share").alias("share")), "history")
+    lines = written(lines.select("line_id", *keys, "as_of"), "lines")
+    asks = lines.select(*keys, "as_of").where(" AND ".join(f"{k} IS NOT NULL" for k in [*keys, "as_of"])).distinct()
     good = told.where("reason IS NULL")
-    good = good.withColumn("weight", (recency_weight(F.col("observed_at"), F.col("as_of"), policy) * F.least("comparability", F.lit(1)).cast("decimal(10,6)")).cast("decimal(28,18)"))
-    totals = weighted_median(good, "line_id", "total", "weight", "obs_id").withColumnRenamed("median", "median_line")
-    units = weighted_median(good.where("unit > 0"), "line_id", "unit", "weight", "obs_id").withColumnRenamed("median", "median_unit")
-    used = F.when(F.col("reason").isNull(), F.col("observed_at"))
-    counts = told.groupBy("line_id").agg(F.count(used).alias("eligible_count"), F.count("reason").alias("excluded_count"), F.min(used).alias("observed_from"), F.max(used).alias("observed_to"))
-    joined = counts.join(totals, "line_id", "left").join(units, "line_id", "left")
-    return joined.withColumn("weak_sample", F.col("eligible_count") < policy.least_history)
+    count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    right = F.col("reason").isNull()
+    facts = told.groupBy(*keys, "day").agg(*[count(F.col("reason") == r).alias(r) for r in REASONS], count(right).alias("ok"), count(right & F.col("given")).alias("given"))
+    sums = {n: F.sum(n) for n in [*REASONS, "ok", "given"]}
+    dates = {"observed_from": F.min(F.when(F.col("ok") > 0, F.col("day"))), "observed_to": F.max(F.when(F.col("ok") > 0, F.col("day")))}
+    past = before(asks, facts, keys, sums | dates)
+    whole = facts.groupBy(*keys).agg(*[F.sum(n).alias(f"all_{n}") for n in [*REASONS, "ok"]])
+    dated = [r for r in REASONS if r not in _ANY_DAY]
+    past = past.join(whole, keys, "left")
+    zero = lambda n: F.coalesce(n, F.lit(0)).cast("long")
+    counts = {r: zero(f"all_{r}") for r in _ANY_DAY} | {r: zero(r) for r in dated}
+    counts["not_past_observation"] = sum((zero(f"all_{n}") - zero(n) for n in [*dated, "ok"]), F.lit(0).cast("long"))
+    reasons = F.filter(F.array(*[F.struct(F.lit(r).alias("reason"), c.alias("count")) for r, c in sorted(counts.items())]), lambda x: x["count"] > 0)
+    # Weights are whole numbers: 2^62 on the table's last day, times millionths of the comparability.
+    newest = good.agg(F.max("day")).first()[0]
+    factor = (F.pow(F.lit(0.5), F.datediff(F.lit(newest), "day") / F.lit(float(policy.half_life_days))) * F.lit(float(1 << 62))).cast("long")
+    daily = good.groupBy(*keys, "day", "line", "unit").agg(F.sum("share").alias("share"))
+    daily = daily.select(*keys, "day", F.col("line").cast("long"), F.col("unit").cast("long"), factor.alias("factor"), "share")
+    medians = running_medians(asks, daily, keys, block_rows)
+    sources = good.where("lineage IS NOT NULL").groupBy(*keys, "lineage").agg(F.min("day").alias("since")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lineage", "since"))).alias("sources"))
+    state = past.select(*keys, "as_of", counts["not_past_observation"].alias("later"), zero("ok").alias("eligible_count"), reasons.alias("excluded_reasons"), zero("given").alias("preferred_count"), "observed_from", "observed_to")
+    state = state.join(medians, [*keys, "as_of"], "left").join(sources, keys, "left")
+    known = F.transform(F.filter("sources", lambda s: s["since"] < F.col("as_of")), lambda s: s["lineage"])
+    state = state.withColumn("lineages", F.coalesce(known, F.array().cast("array<string>")))
+    none = F.array().cast("array<struct<reason:string,count:bigint>>")
+    found = F.coalesce("excluded_reasons", none)
+    n = zero("eligible_count")
+    return lines.join(state, [*keys, "as_of"], "left").select(
+        "line_id", n.alias("eligible_count"), F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + x["count"]).alias("excluded_count"), found.alias("excluded_reasons"), "median_line", "median_unit",
+        (n < policy.least_history).alias("weak_sample"), zero("preferred_count").alias("preferred_count"), (n - zero("preferred_count")).alias("derived_count"), "observed_from", "observed_to", F.coalesce("lineages", F.array().cast("array<string>")).alias("lineages"),
+    )
+
+
+def past_counts(lines: DataFrame, obs: DataFrame, keys: list[str]) -> DataFrame:
+    """lines(line_id, keys, as_of) with earlier, latest: how many observations of its keys are older, and the newest of these."""
+    facts = obs.groupBy(*keys, F.col("observed_at").alias("day")).agg(F.count("*").alias("n"))
+    found = before(lines.select(*keys, "as_of").distinct(), facts, keys, {"earlier": F.sum("n"), "latest": F.max(F.when(F.col("n") > 0, F.col("day")))})
+    return lines.join(found, [*keys, "as_of"], "left").withColumn("earlier", F.coalesce("earlier", F.lit(0)))
 
 
-def select_category_history(pairs: DataFrame, levels: list[str], least: int = 3) -> DataFrame:
-    """Of each line's history the first level with `least` rows of the line's own category, else all; with the level used.
+def category_level(lines: DataFrame, obs: DataFrame, levels: list[str], least: int = 3, key: str = "item_id") -> DataFrame:
+    """lines with level, rows_used: the first level with `least` older observations of the line's own category, else all.
 
-    pairs has line_id and for each level l the columns line_l and obs_l.
+    lines(line_id, key, as_of, levels), obs(key, observed_at, levels): a level is a column of categories on both sides. A line
+    without a category at a level doesn't take it.
     """
-    whole = Window.partitionBy("line_id")
-    same = {x: F.coalesce(F.col(f"line_{x}") == F.col(f"obs_{x}"), F.lit(False)) for x in levels}
-    rows = pairs
+    rows = past_counts(lines, obs, [key]).withColumnRenamed("earlier", "n_all").drop("latest")
     for x in levels:
-        rows = rows.withColumn(f"n_{x}", F.sum(same[x].cast("int")).over(whole))
+        rows = past_counts(rows, obs, [key, x]).withColumnRenamed("earlier", f"n_{x}").drop("latest")
     used = F.coalesce(*[F.when(F.col(f"n_{x}") >= least, F.lit(x)) for x in levels], F.lit("all"))
     rows = rows.withColumn("level", used)
-    keep = F.col("level") == "all"
-    for x in levels:
-        keep = keep | ((F.col("level") == x) & same[x])
-    return rows.where(keep).drop(*[f"n_{x}" for x in levels])
+    number = F.coalesce(*[F.when(F.col("level") == x, F.col(f"n_{x}")) for x in levels], F.col("n_all"))
+    return rows.select(*lines.columns, "level", number.alias("rows_used"))
+
+
+def category_statistics(lines: DataFrame, obs: DataFrame, levels: list[str], policy: Policy = Policy(), least: int = 3) -> DataFrame:
+    """`historical_statistics` of each line over the history of its level (see `category_level`), with that level."""
+    told = category_level(lines, obs, levels, least)
+    out = None
+    for x in [*levels, "all"]:
+        keys = ("item_id",) if x == "all" else ("item_id", x)
+        some = historical_statistics(told.where(F.col("level") == x), obs, policy, keys).withColumn("level", F.lit(x))
+        out = some if out is None else out.unionByName(some)
+    return out

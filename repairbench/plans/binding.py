@@ -5,27 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repairbench.functions.exact import half_up
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each invoice line: keys, names, money in pounds (decimal), quantity, role and review status.
+    """One row for each invoice line: keys, names, money in pounds (decimal) and in pence, quantity, role and review status.
 
-    The joins are plain equi-joins; Spark broadcasts a dimension where its size allows it.
+    The joins are plain equi-joins; Spark broadcasts a dimension where its size allows it. Pence (billed, unit_cost,
+    reference) are made from the stored doubles without decimals, which are slow; queries take what they need.
     """
     line, order, part = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
     customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
     cost = F.col("l_extendedprice").cast("decimal(20,2)")
+    hundredths = lambda c: F.rint(F.col(c) * 100).cast("long")
+    line = line.withColumn("billed", hundredths("l_extendedprice")).withColumn("times", F.rint(F.col("l_quantity") * 10000).cast("long"))
+    part = part.withColumn("reference", hundredths("p_retailprice"))
     rows = (
         line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
-        .join(part.select("p_partkey", "p_name", "p_retailprice", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(part.select("p_partkey", "p_name", "p_retailprice", "p_type", "reference"), F.col("l_partkey") == F.col("p_partkey"))
         .join(supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
     )
     return rows.select(
-        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (cost * 100).cast("long"), F.col("l_quantity").cast("long"), F.date_format("l_shipdate", "yyyyMMdd")).alias("line_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "billed", F.col("l_quantity").cast("long"), F.date_format("l_shipdate", "yyyyMMdd")).alias("line_id"),
         F.col("l_orderkey").cast("string").alias("invoice_ref"),
         F.col("o_orderdate").cast("date").alias("invoice_date"),
         F.col("o_custkey").alias("case_id"),
@@ -38,7 +44,10 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(cost / F.col("l_quantity").cast("decimal(20,4)"), 2).cast("decimal(20,2)").alias("unit_price"),
         F.col("l_quantity").cast("decimal(20,4)").alias("quantity"),
         F.col("p_retailprice").cast("decimal(20,2)").alias("reference_price"),
-        F.round(F.col("l_tax") * 100).cast("int").alias("vat_rate"),
+        F.rint(F.col("l_tax") * 100).cast("int").alias("vat_rate"),
+        "billed",
+        half_up(F.col("billed") * 10000, F.col("times")).alias("unit_cost"),
+        "reference",
         F.when(F.col("o_orderstatus") == "P", "estimate").otherwise("invoice").alias("role"),
         F.when(F.col("l_returnflag") == "R", "rejected").when(F.col("l_returnflag") == "A", "approved").otherwise("pending").alias("status"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from repairbench.functions import rules as R
-from repairbench.functions.exact import pence, pounds
+from repairbench.functions.exact import pounds
 from repairbench.operators import compare as C
 from repairbench.operators import history as H
 
@@ -19,10 +19,10 @@ query = register(QUERIES, ORACLES)
 
 
 def _lines(spark, sf_dir):
-    rows = observations(spark, sf_dir)
-    return rows.withColumn("billed", pence(F.col("line_total"))).withColumn("reference", pence(F.col("reference_price"))).withColumn("unit_cost", pence(F.col("unit_price")))
+    return observations(spark, sf_dir)
 
 
+FLOOR = 50_000  # pence
 UNIT = "CASE quantity % 4 WHEN 0 THEN 'ea' WHEN 1 THEN 'hrs' WHEN 2 THEN 'each' ELSE NULL END"
 SCOPE = "CASE item_type WHEN 'ECONOMY' THEN 'job' WHEN 'SMALL' THEN 'hour' ELSE 'each' END"
 EXPECTED = f"""
@@ -114,75 +114,108 @@ def j8_latest_by(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("n", F.row_number().over(order)).where("n = 1").select("user_id", "event_id", "ts", "value")
 
 
-def _pairs(spark, sf_dir):
+def _history(spark, sf_dir):
+    """Lines that are compared, and all lines as observations: some without a total, a unit price, a lineage or eligibility."""
     rows = _lines(spark, sf_dir)
-    lines = rows.where(ELIGIBLE.format("billed")).select("line_id", "item_id", F.col("invoice_date").alias("as_of"), F.col("vehicle_label").alias("line_label"))
+    lines = rows.where(ELIGIBLE.format("billed")).select("line_id", "item_id", F.col("invoice_date").alias("as_of"), F.col("vehicle_label").alias("label"))
+    kind = F.when(F.col("role") == "estimate", "Estimate").when(F.col("quantity") % 11 == 0, "invoice quotation").otherwise("Repair Invoice")
     past = rows.select(
-        "item_id", F.col("line_id").alias("obs_id"), F.col("invoice_date").alias("observed_at"), F.col("role").alias("document_type"), F.col("vehicle_label").alias("obs_label"),
-        F.lit(True).alias("eligible"), F.lit(True).alias("unit_compatible"), (F.col("quantity") % 10 != 0).alias("scope_equivalent"),
-        F.lit(1).cast("decimal(10,4)").alias("comparability"), F.col("billed").alias("total"), F.col("unit_cost").alias("unit"),
+        "item_id", F.col("line_id").alias("obs_id"), F.col("invoice_date").alias("observed_at"), kind.alias("document_type"), F.col("vehicle_label").alias("label"),
+        (F.col("vat_rate") != 3).alias("eligible"), (F.col("vat_rate") != 7).alias("unit_compatible"), (F.col("quantity") % 10 != 0).alias("scope_equivalent"),
+        F.when(F.col("vat_rate") == 5, 0).when(F.col("vat_rate") == 6, 0.5).otherwise(1).cast("decimal(10,4)").alias("comparability"),
+        F.when(F.col("quantity") % 7 != 0, F.col("billed")).alias("total"), F.when(F.col("quantity") % 5 != 0, F.col("unit_cost")).alias("unit"), "quantity",
+        F.when(F.col("vat_rate") != 1, F.concat(F.lit("L"), F.right("repairer", F.lit(1)))).alias("lineage"),
     )
-    return H.past_history(lines, past)
+    return lines, past
 
 
-PAIRS = OBS + f""", l AS (SELECT line_id, item_id, invoice_date AS as_of, vehicle_label AS line_label FROM obs WHERE {ELIGIBLE.format('cost')}),
-pairs AS (SELECT l.*, o.line_id AS obs_id, o.invoice_date AS observed_at, o.role AS document_type, o.quantity AS q, o.cost AS total, o.unit_cost AS unit, o.vehicle_label AS obs_label
-  FROM l JOIN obs o ON l.item_id = o.item_id AND o.invoice_date < l.as_of)
+HISTORY = OBS + f""", l AS (SELECT line_id, item_id, invoice_date AS as_of, vehicle_label AS line_label FROM obs WHERE {ELIGIBLE.format('cost')}),
+seen AS (SELECT item_id, line_id AS obs_id, invoice_date AS observed_at, quantity AS q, vat_rate AS v, role, vehicle_label AS obs_label, CASE WHEN quantity % 7 <> 0 THEN cost END AS given,
+  CASE WHEN quantity % 5 <> 0 THEN unit_cost END AS given_unit, CASE WHEN vat_rate <> 1 THEN 'L' || right(repairer, 1) END AS lineage FROM obs),
+derived AS (SELECT *, coalesce(given, given_unit * q) AS total FROM seen),
+used AS (SELECT *, coalesce(given_unit, (2 * total + q) // (2 * q)) AS unit, CASE WHEN v = 5 THEN 0 WHEN v = 6 THEN 0.5 ELSE 1 END AS comparability FROM derived),
+fixed AS (SELECT *, CASE WHEN v = 3 THEN 'not_eligible' WHEN role = 'estimate' OR q % 11 = 0 THEN 'estimate_or_non_invoice' END AS first_reason,
+  CASE WHEN v = 7 THEN 'unit_incompatible' WHEN q % 10 = 0 THEN 'quantity_scope_not_equivalent' WHEN comparability = 0 THEN 'zero_comparability' WHEN total IS NULL THEN 'missing_comparable_line_total' END AS second_reason FROM used),
 """
-WEIGHTED = PAIRS + """, told AS (SELECT *, CASE WHEN document_type <> 'invoice' THEN 'e' WHEN q % 10 = 0 THEN 'q' END AS reason FROM pairs),
-good AS (SELECT *, pow(0.5, (as_of - observed_at) / 365.25)::DECIMAL(20,18)::DECIMAL(28,18) AS weight FROM told WHERE reason IS NULL),
-run AS (SELECT *, sum(weight) OVER (PARTITION BY line_id ORDER BY total, obs_id ROWS UNBOUNDED PRECEDING) AS run, sum(weight) OVER (PARTITION BY line_id) AS whole, lead(total) OVER (PARTITION BY line_id ORDER BY total, obs_id) AS nxt FROM good),
-med AS (SELECT line_id, min_by(CASE WHEN 2 * run = whole AND nxt IS NOT NULL THEN (total + nxt + 1) // 2 ELSE total END, run) AS median_line FROM run WHERE 2 * run >= whole GROUP BY 1),
-hist AS (SELECT line_id, count(*) FILTER (reason IS NULL) AS eligible_count, count(reason) AS excluded_count, min(observed_at) FILTER (reason IS NULL) AS observed_from, max(observed_at) FILTER (reason IS NULL) AS observed_to FROM told GROUP BY 1)
+PAIRS = HISTORY + "pairs AS (SELECT l.*, f.* EXCLUDE (item_id) FROM l JOIN fixed f ON l.item_id = f.item_id AND f.observed_at < l.as_of)\n"
+
+
+def _median(name: str, value: str) -> str:
+    return f"""run_{name} AS (SELECT line_id, {value} AS x, sum(weight) OVER w AS run, sum(weight) OVER (PARTITION BY line_id) AS whole, lead({value}) OVER (PARTITION BY line_id ORDER BY {value}, obs_id) AS nxt FROM good WHERE {value} > 0 WINDOW w AS (PARTITION BY line_id ORDER BY {value}, obs_id ROWS UNBOUNDED PRECEDING)),
+med_{name} AS (SELECT line_id, min_by(CASE WHEN 2 * run = whole AND nxt IS NOT NULL THEN (x + nxt + 1) // 2 ELSE x END, run) AS median_{name} FROM run_{name} WHERE 2 * run >= whole GROUP BY 1)"""
+
+
+WEIGHTED = HISTORY + f"""told AS (SELECT l.*, f.* EXCLUDE (item_id), coalesce(first_reason, CASE WHEN f.observed_at >= l.as_of THEN 'not_past_observation' END, second_reason) AS reason FROM l JOIN fixed f ON l.item_id = f.item_id),
+good AS (SELECT *, (pow(0.5, (as_of - observed_at) / 365.25)::DECIMAL(20,18) * comparability::DECIMAL(10,6))::DECIMAL(28,18) AS weight FROM told WHERE reason IS NULL),
+{_median("line", "total")}, {_median("unit", "unit")},
+counted AS (SELECT line_id, string_agg(reason || ':' || n, ',' ORDER BY reason) AS excluded_reasons, sum(n)::BIGINT AS excluded_count FROM (SELECT line_id, reason, count(*) AS n FROM told WHERE reason IS NOT NULL GROUP BY ALL) GROUP BY 1),
+hist AS (SELECT line_id, count(*) FILTER (reason IS NULL) AS eligible_count, count(given) FILTER (reason IS NULL) AS preferred_count, count(*) FILTER (reason IS NULL AND given IS NULL) AS derived_count,
+  min(observed_at) FILTER (reason IS NULL) AS observed_from, max(observed_at) FILTER (reason IS NULL) AS observed_to, coalesce(list_sort(list(DISTINCT lineage) FILTER (reason IS NULL AND lineage IS NOT NULL)), []) AS lineages FROM told GROUP BY 1)
 """
 
 
-@query(PAIRS + "SELECT line_id, count(*) AS earlier, max(observed_at) AS latest FROM pairs GROUP BY 1")
+@query(PAIRS + "SELECT l.line_id, count(obs_id) AS earlier, max(observed_at) AS latest FROM l LEFT JOIN pairs USING (line_id) GROUP BY 1")
 def j9_past_history(spark, sf_dir):
-    return _pairs(spark, sf_dir).groupBy("line_id").agg(F.count("*").alias("earlier"), F.max("observed_at").alias("latest"))
+    lines, past = _history(spark, sf_dir)
+    return H.past_counts(lines.select("line_id", "item_id", "as_of"), past, ["item_id"]).select("line_id", "earlier", "latest")
 
 
-@query(PAIRS + """, n AS (SELECT *, sum((line_label = obs_label)::INT) OVER (PARTITION BY line_id) AS same FROM pairs),
-u AS (SELECT *, CASE WHEN same >= 3 THEN 'label' ELSE 'all' END AS level FROM n)
-SELECT line_id, level, count(*) AS rows_used FROM u WHERE level = 'all' OR line_label = obs_label GROUP BY 1, 2""")
+@query(PAIRS + """, n AS (SELECT l.line_id, count(obs_id) AS n_all, count(obs_id) FILTER (pairs.line_label = obs_label) AS same FROM l LEFT JOIN pairs USING (line_id) GROUP BY 1)
+SELECT line_id, CASE WHEN same >= 3 THEN 'label' ELSE 'all' END AS level, CASE WHEN same >= 3 THEN same ELSE n_all END AS rows_used FROM n""")
 def j10_category_history(spark, sf_dir):
-    return H.select_category_history(_pairs(spark, sf_dir), ["label"]).groupBy("line_id", "level").agg(F.count("*").alias("rows_used"))
+    lines, past = _history(spark, sf_dir)
+    return H.category_level(lines, past, ["label"]).select("line_id", "level", "rows_used")
 
 
-@query(WEIGHTED + "SELECT hist.*, median_line / 100.0 AS median_line, eligible_count < 3 AS weak_sample FROM hist LEFT JOIN med USING (line_id)")
+@query(WEIGHTED + """SELECT line_id, eligible_count, coalesce(excluded_count, 0) AS excluded_count, coalesce(excluded_reasons, '') AS excluded_reasons, median_line / 100.0 AS median_line, median_unit / 100.0 AS median_unit,
+ eligible_count < 3 AS weak_sample, preferred_count, derived_count, observed_from, observed_to, array_to_string(lineages, ',') AS lineages
+FROM hist LEFT JOIN counted USING (line_id) LEFT JOIN med_line USING (line_id) LEFT JOIN med_unit USING (line_id)""")
 def g7_historical_statistics(spark, sf_dir):
-    return H.historical_statistics(_pairs(spark, sf_dir)).withColumn("median_line", pounds(F.col("median_line"))).drop("median_unit")
+    reasons = F.array_join(F.transform("excluded_reasons", lambda r: F.concat(r["reason"], F.lit(":"), r["count"].cast("string"))), ",")
+    rows = H.historical_statistics(*_history(spark, sf_dir))
+    return rows.withColumns({"median_line": pounds(F.col("median_line")), "median_unit": pounds(F.col("median_unit")), "excluded_reasons": reasons, "lineages": F.array_join("lineages", ",")})
 
 
-COMPARED = WEIGHTED + f""", line AS (SELECT *, {UNIT} AS unit_text, {SCOPE} AS scope FROM obs WHERE {ELIGIBLE.format('cost')}),
+COMPARED = WEIGHTED + f""", line AS (SELECT *, {UNIT} AS unit_text, {SCOPE} AS scope, 'L' || item_id % 10 AS reference_lineage, CASE WHEN quantity % 3 = 0 THEN 980000 ELSE 990000 END AS mapping FROM obs WHERE {ELIGIBLE.format('cost')}),
 named AS (SELECT *, CASE unit_text WHEN 'ea' THEN 'each' WHEN 'hrs' THEN 'hour' ELSE unit_text END AS clean, status = 'approved' AS ok FROM line),
 fl AS (SELECT *, CASE WHEN scope = 'job' THEN NULL WHEN clean IS NULL THEN 'INVOICE_UNIT_UNKNOWN' WHEN clean <> scope THEN 'UNIT_MISMATCH:' || clean || '!=' || scope END AS flag FROM named),
-ex AS (SELECT fl.*, CASE WHEN flag IS NULL THEN CASE WHEN scope = 'job' THEN reference ELSE reference * quantity END END AS ref_expected, coalesce(eligible_count, 0) AS hn, median_line FROM fl LEFT JOIN hist USING (line_id) LEFT JOIN med USING (line_id)),
-src AS (SELECT *, ok AND ref_expected IS NOT NULL AS byref, median_line IS NOT NULL AND hn >= 3 AND flag IS NULL AS byhist FROM ex),
+ex AS (SELECT fl.*, CASE WHEN flag IS NULL THEN CASE WHEN scope = 'job' THEN reference ELSE reference * quantity END END AS ref_expected, eligible_count AS hn, median_line, lineages FROM fl LEFT JOIN hist USING (line_id) LEFT JOIN med_line USING (line_id)),
+src AS (SELECT *, ok AND ref_expected IS NOT NULL AS byref, median_line IS NOT NULL AND hn >= 3 AND flag IS NULL AS byhist, len(lineages) > 0 AS known, len(lineages) > 0 AND NOT list_contains(lineages, reference_lineage) AS independent FROM ex),
 bench AS (SELECT *, CASE WHEN byref AND byhist THEN 'weighted_consensus' WHEN byref THEN 'ontology' WHEN byhist THEN 'history' ELSE 'none' END AS source,
-  CASE WHEN byref AND byhist THEN (2 * (60 * ref_expected + 40 * median_line) + 100) // 200 WHEN byref THEN ref_expected WHEN byhist THEN median_line END AS benchmark FROM src),
-gate AS (SELECT *, greatest(cost - coalesce(benchmark, cost), 0) AS r FROM bench),
+  greatest({FLOOR}, CASE WHEN byref AND byhist THEN (2 * (60 * ref_expected + 40 * median_line) + 100) // 200 WHEN byref THEN ref_expected WHEN byhist THEN median_line END) AS floored FROM src),
+floors AS (SELECT *, CASE WHEN source <> 'none' THEN floored END AS benchmark FROM bench),
+gate AS (SELECT *, greatest(cost - coalesce(benchmark, cost), 0) AS r FROM floors),
 pass AS (SELECT *, r >= 500 AND (20000 * r + cost) // (2 * cost) >= 500 AS gate_passed FROM gate),
-done AS (SELECT *, CASE WHEN gate_passed THEN r ELSE 0 END AS challenge_net, CASE WHEN gate_passed THEN (20000 * r + cost) // (2 * cost) ELSE 0 END AS pct, CASE WHEN gate_passed THEN (2 * r * vat_rate + 100) // 200 ELSE 0 END AS vat_impact FROM pass),
-compared AS (SELECT *, CASE WHEN NOT gate_passed THEN 'neutral' WHEN challenge_net >= 2500 OR pct >= 2500 THEN 'red' ELSE 'amber' END AS severity FROM done)
+done AS (SELECT *, CASE WHEN gate_passed THEN r ELSE 0 END AS challenge_net, CASE WHEN gate_passed THEN (20000 * r + cost) // (2 * cost) ELSE 0 END AS pct, CASE WHEN gate_passed THEN (2 * r * vat_rate + 100) // 200 ELSE 0 END AS vat_impact,
+  CASE WHEN independent AND ref_expected IS NOT NULL AND median_line IS NOT NULL THEN (2 * (greatest(ref_expected, median_line) - abs(ref_expected - median_line)) * 1000000 + greatest(ref_expected, median_line)) // (2 * greatest(ref_expected, median_line)) ELSE 0 END AS agreement FROM pass),
+compared AS (SELECT *, CASE WHEN NOT gate_passed THEN 'neutral' WHEN challenge_net >= 2500 OR pct >= 2500 THEN 'red' ELSE 'amber' END AS severity,
+  (25 * mapping + CASE WHEN ok THEN 22500000 ELSE 16250000 END + 25000000 + 1500000 * least(hn, 10) + 10 * agreement + 5000) // 10000 AS points FROM done)
 """
 
 
 def _compared(spark, sf_dir):
-    history = H.historical_statistics(_pairs(spark, sf_dir)).select("line_id", "eligible_count", "median_line")
+    history = H.historical_statistics(*_history(spark, sf_dir)).select("line_id", "eligible_count", "median_line", "lineages")
     lines = _scoped(spark, sf_dir).where(ELIGIBLE.format("billed")).withColumn("approved", F.col("status") == "approved").withColumn("vatable", F.lit(True))
-    return C.compare_lines(lines.join(history, "line_id", "left"))
+    lines = lines.withColumn("reference_lineage", F.concat(F.lit("L"), (F.col("item_id") % 10).cast("string"))).withColumn("mapping_confidence", F.when(F.col("quantity") % 3 == 0, 0.98).otherwise(0.99))
+    return C.compare_lines(lines.join(history, "line_id", "left"), R.Policy(floor_pence=FLOOR))
 
 
-@query(COMPARED + """SELECT line_id, source, benchmark / 100.0 AS benchmark, challenge_net / 100.0 AS challenge_net, severity,
+@query(COMPARED + """SELECT line_id, source, benchmark / 100.0 AS benchmark, challenge_net / 100.0 AS challenge_net, severity, points / 100.0 AS score,
+ CASE WHEN points < 4000 THEN 'Insufficient' WHEN points < 6000 THEN 'Weak' WHEN points < 7500 THEN 'Moderate' WHEN points < 9000 THEN 'Strong' ELSE 'Very strong' END AS score_label, independent,
+ array_to_string(list_sort(list_distinct(list_append(lineages, reference_lineage))), ',') AS all_lineages,
  array_to_string(list_filter([flag, CASE WHEN NOT ok THEN 'ONTOLOGY_EVIDENCE_NOT_APPROVED' END, CASE WHEN hn > 0 AND hn < 3 THEN 'HISTORY_SAMPLE_WEAK' END, CASE WHEN flag IS NOT NULL THEN 'HISTORY_QUANTITY_NOT_VERIFIABLE' END,
-  CASE source WHEN 'history' THEN 'HISTORY_ONLY_REVIEW_REQUIRED' WHEN 'none' THEN 'NO_RELIABLE_APPROVED_BENCHMARK' END], lambda x: x IS NOT NULL), ',') AS flags FROM compared""")
+  CASE WHEN known AND NOT independent THEN 'SOURCE_LINEAGE_NOT_INDEPENDENT' END, CASE source WHEN 'history' THEN 'HISTORY_ONLY_REVIEW_REQUIRED' WHEN 'none' THEN 'NO_RELIABLE_APPROVED_BENCHMARK' END], lambda x: x IS NOT NULL), ',') AS flags FROM compared""")
 def g8_compare_lines(spark, sf_dir):
-    return _compared(spark, sf_dir).select("line_id", "source", pounds(F.col("benchmark")).alias("benchmark"), pounds(F.col("challenge_net")).alias("challenge_net"), "severity", F.array_join("review_flags", ",").alias("flags"))
+    return _compared(spark, sf_dir).select(
+        "line_id", "source", pounds(F.col("benchmark")).alias("benchmark"), pounds(F.col("challenge_net")).alias("challenge_net"), "severity", F.col("score").cast("double").alias("score"), "score_label",
+        "independent", F.array_join("all_lineages", ",").alias("all_lineages"), F.array_join("review_flags", ",").alias("flags"),
+    )
 
 
 @query(COMPARED + """SELECT invoice_ref, sum(cost)::BIGINT AS billed, sum(challenge_net)::BIGINT AS challenge_net, sum(vat_impact)::BIGINT AS vat_impact, count(*) FILTER (gate_passed) AS challenged_lines,
  count(*) FILTER (severity = 'neutral') AS neutral_count, count(*) FILTER (severity = 'amber') AS amber_count, count(*) FILTER (severity = 'red') AS red_count,
- (sum(challenge_net) + sum(vat_impact))::BIGINT AS challenge_gross, (sum(cost) - sum(challenge_net))::BIGINT AS challenge_price FROM compared GROUP BY 1""")
+ (sum(challenge_net) + sum(vat_impact))::BIGINT AS challenge_gross, (sum(cost) - sum(challenge_net))::BIGINT AS challenge_price,
+ ((2 * sum(points) + 100 * count(*)) // (200 * count(*)))::BIGINT AS mean_score, CASE WHEN avg(points) >= 8000 THEN 'Strong' WHEN avg(points) >= 6000 THEN 'Moderate' ELSE 'Weak' END AS label,
+ ((20000 * sum(challenge_net) + sum(cost)) // (2 * sum(cost)))::BIGINT AS percent FROM compared GROUP BY 1""")
 def g9_invoice_summary(spark, sf_dir):
     return C.invoice_summary(_compared(spark, sf_dir))

@@ -63,7 +63,7 @@ def w8_audit_chain(spark, sf_dir):
 
 def _lines(spark, sf_dir):
     kind = F.when(F.col("item_type") == "ECONOMY", "labour").otherwise("part")
-    return observations(spark, sf_dir).select("line_id", "invoice_ref", "case_id", "item_id", "item_name", "invoice_date", "quantity", pence(F.col("line_total")).alias("billed"), pence(F.col("unit_price")).alias("unit_cost"), kind.alias("kind"), (F.col("vat_rate") > 0).alias("vatable"), "status")
+    return observations(spark, sf_dir).select("line_id", "invoice_ref", "case_id", "item_id", "item_name", "invoice_date", "quantity", "billed", "unit_cost", kind.alias("kind"), (F.col("vat_rate") > 0).alias("vatable"), "status")
 
 
 @query(OBS + "SELECT line_id, 'LINE_MATH_MISMATCH' AS code, unit_cost * quantity AS expected, cost AS found, CASE WHEN abs(unit_cost * quantity - cost) <= 2 THEN 'pass' ELSE 'fail' END AS status FROM obs")

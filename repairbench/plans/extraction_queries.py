@@ -9,11 +9,12 @@ from repairbench.functions.exact import pence
 from repairbench.operators import compare as C
 from repairbench.operators import evidence as E
 from repairbench.operators import extractions as X
+from repairbench.operators import history as H
 from repairbench.operators import vehicles as V
 from repairbench.sources.ingest import import_report
 
 from .binding import OBS, observations, table
-from .claim_queries import PAIRS, _pairs, _scoped
+from .claim_queries import PAIRS, _history, _scoped
 from .registered import register
 
 QUERIES: dict = {}
@@ -67,12 +68,13 @@ def j20_reject_known(spark, sf_dir):
     return found.select("p_partkey", "rejected")
 
 
-@query(PAIRS + """, good AS (SELECT * FROM pairs WHERE document_type = 'invoice' AND q % 10 <> 0)
-SELECT line_id, count(*) AS used, sum(total)::BIGINT AS normalised, count(*) FILTER (as_of - observed_at > 1095) AS stale, sum(pow(0.5, (as_of - observed_at) / 365.25)::DECIMAL(20,18))::DOUBLE AS weight FROM good GROUP BY 1""")
+@query(PAIRS + """, good AS (SELECT * FROM pairs WHERE first_reason IS NULL AND second_reason IS NULL)
+SELECT line_id, count(*) AS used, sum(given)::BIGINT AS original, sum(total)::BIGINT AS normalised, count(*) FILTER (as_of - observed_at > 1095) AS stale,
+ sum((pow(0.5, (as_of - observed_at) / 365.25)::DECIMAL(20,18) * comparability::DECIMAL(10,6))::DECIMAL(28,18))::DOUBLE AS weight FROM good GROUP BY 1""")
 def j11_comparables(spark, sf_dir):
-    """The comparables themselves, told by line: how many, their sum, how many stale, their weight."""
-    rows = E.comparables(_pairs(spark, sf_dir))
-    return rows.groupBy("line_id").agg(F.count("*").alias("used"), F.sum("normalised").cast("long").alias("normalised"), F.sum(F.col("stale").cast("long")).alias("stale"), F.sum("weight").cast("double").alias("weight"))
+    """The comparables themselves, told by line: how many, their sums as given and as they count, how many stale, their weight."""
+    rows = E.comparables(H.past_history(*_history(spark, sf_dir)))
+    return rows.groupBy("line_id").agg(F.count("*").alias("used"), F.sum("original").cast("long").alias("original"), F.sum("normalised").cast("long").alias("normalised"), F.sum(F.col("stale").cast("long")).alias("stale"), F.sum("weight").cast("double").alias("weight"))
 
 
 def _vehicles(spark, sf_dir):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from repairbench.functions.exact import pence, pounds
+from repairbench.functions.exact import pounds
 from repairbench.operators import benchmarks as B
 from repairbench.operators import network as N
 
@@ -29,7 +29,7 @@ found AS (SELECT *, ((difference * 1000) // p90 + CASE WHEN 2 * ((difference * 1
 
 def _obs(spark, sf_dir):
     rows = observations(spark, sf_dir).where("role = 'invoice'")
-    return rows.withColumn("cost", pence(F.col("line_total"))).withColumn("price", F.col("line_total"))
+    return rows.withColumn("cost", F.col("billed")).withColumn("price", F.col("line_total"))
 
 
 @query(OBS + """SELECT line_id, coalesce(nullif(CASE WHEN quantity % 5 = 0 THEN 0 WHEN quantity % 7 = 0 THEN NULL ELSE cost END, 0), nullif(unit_cost, 0)) / 100.0 AS observed_cost FROM obs""")

@@ -80,8 +80,8 @@ def test_report_comparables_and_missing_values(spark):
     gold = spark.createDataFrame([("a",), ("a",), ("b",)], "invoice_number string")
     assert tuple(import_report(items, history, gold).first()) == (2, 1, 1, 4, 2, 1, 3, 2)
     pairs = spark.sql("""SELECT 1 AS line_id, id AS obs_id, DATE '2024-01-01' AS as_of, CASE id WHEN 0 THEN DATE '2020-12-31' WHEN 1 THEN DATE '2021-01-01' ELSE DATE '2024-01-01' END AS observed_at, 'Invoice' AS document_type,
-        true AS eligible, true AS unit_compatible, true AS scope_equivalent, CAST(1 AS decimal(10,4)) AS comparability, CAST(100 AS long) AS total FROM range(3)""")
-    assert sorted((r.obs_id, r.stale) for r in comparables(pairs).collect()) == [(0, True), (1, False)]
+        true AS eligible, true AS unit_compatible, true AS scope_equivalent, CAST(1 AS decimal(10,4)) AS comparability, CAST(CASE id WHEN 0 THEN 100 END AS long) AS total, CAST(7 AS long) AS unit, CAST(2 AS decimal(20,4)) AS quantity FROM range(3)""")
+    assert sorted((r.obs_id, r.original or 0, r.normalised, r.stale) for r in comparables(pairs).collect()) == [(0, 100, 100, True), (1, 0, 14, False)]
     invoices = spark.createDataFrame([("i", None, None, 100, 20, None, None, 120)], "invoice_ref string, labour long, parts long, subtotal long, vat_rate int, vat long, exempt long, gross long")
     lines = spark.createDataFrame([("i", 100, "part", True)], "invoice_ref string, billed long, kind string, vatable boolean")
     assert sorted((r.code, r.status) for r in validate_invoices(invoices, lines).collect()) == [("MISSING_VALUE", "not_applicable")] * 4 + [("SUBTOTAL_MISMATCH", "pass")]

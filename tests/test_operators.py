@@ -100,18 +100,6 @@ def test_expected_amount(spark):
     assert expected(spark, 1250, "pair", 2, "pair") == (None, "UNSUPPORTED_PRICE_SCOPE")
 
 
-def pairs(spark, rows):
-    full = [("l", dt.date(2024, 1, 1), str(i), day, kind, True, True, True, D(1), total, None) for i, (day, kind, total) in enumerate(rows)]
-    return spark.createDataFrame(full, "line_id string, as_of date, obs_id string, observed_at date, document_type string, eligible boolean, unit_compatible boolean, scope_equivalent boolean, comparability decimal(10,4), total long, unit long")
-
-
-def test_history(spark):
-    day = dt.date(2023, 6, 1)
-    row = H.historical_statistics(pairs(spark, [(day, "invoice", x) for x in (4000, 5000, 6000)] + [(day, "estimate", 1), (dt.date(2024, 1, 1), "invoice", 1)])).first()
-    assert (row.eligible_count, row.excluded_count, row.median_line, row.weak_sample) == (3, 2, 5000, False)
-    assert H.historical_statistics(pairs(spark, [(day, "invoice", 4000), (day, "invoice", 5001)])).first().median_line == 4501
-
-
 def test_comparison_and_summary(spark):
     rows = [("a", "v", 1500000, D(1), "each", 20, True, 1400000, "job", True, 3, 1350000), ("b", "v", 15000, D(1), "each", 20, True, 10000, "job", True, 2, None), ("c", "v", 8000, D(1), "each", 20, True, None, None, None, None, None)]
     df = spark.createDataFrame(rows, "line_id string, invoice_ref string, billed long, quantity decimal(20,4), unit string, vat_rate int, vatable boolean, reference long, scope string, approved boolean, eligible_count long, median_line long")
