@@ -1,28 +1,136 @@
-"""Uploaded batches of one claim: P90 of earlier invoices by item or category; reviewed and changed summaries."""
+"""Uploaded batches of one claim: P90 of earlier invoices by item or category, its dashboard; reviewed and changed summaries."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from bisect import bisect_right, insort
+from datetime import date
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from repairbench.functions.exact import half_even, half_up
+from repairbench.functions.text import repairer_key
+from repairbench.operators.benchmarks import benchmark_statistics
+from repairbench.operators.carried import State, carried
+
+
+class _Batch(State):
+    """The prices of a claim's invoices so far, in order: of each item, of each category and of each pair of both."""
+
+    def __init__(self, key: tuple):
+        super().__init__(key)
+        self.prices: dict[tuple, list[int]] = {}
+        self.rank, self.waiting = None, []
+
+    def _sets(self, item, category) -> list[tuple[int, list[int]]]:
+        """Ordered prices whose signed union holds each earlier line once: the item's and the category's, less those of both."""
+        places = [(1, ("item", item)) if item is not None else None, (1, ("category", category)) if category is not None else None]
+        if None not in places:
+            places.append((-1, ("both", item, category)))
+        return [(sign, self.prices[p]) for sign, p in filter(None, places) if p in self.prices]
+
+    @staticmethod
+    def _kth(sets: list[tuple[int, list[int]]], k: int) -> int:
+        """The k-th smallest (from 0) of a signed union: the least price that more than k of it don't exceed."""
+        low, high = min(p[0] for _, p in sets), max(p[-1] for _, p in sets)
+        while low < high:
+            middle = (low + high) // 2
+            if sum(sign * bisect_right(p, middle) for sign, p in sets) > k:
+                high = middle
+            else:
+                low = middle + 1
+        return low
 
-from repairbench.functions.exact import at_fraction, half_even, half_up
+    def _enter(self) -> None:
+        for item, category, cost in self.waiting:
+            for place in (item is not None and ("item", item), category is not None and ("category", category), item is not None and category is not None and ("both", item, category)):
+                if place:
+                    insort(self.prices.setdefault(place, []), cost)
+        self.waiting = []
+
+    def step(self, row: tuple):
+        rank, line, item, category, cost = row
+        if rank != self.rank:
+            self._enter()
+            self.rank = rank
+        sets = self._sets(item, category)
+        n, p90 = sum(sign * len(p) for sign, p in sets), None
+        if n:
+            at, part = divmod((n - 1) * 9, 10)
+            low = self._kth(sets, at)
+            high = self._kth(sets, min(at + 1, n - 1)) if part else low
+            p90 = (2 * (low * 10 + (high - low) * part) + 10) // 20
+        if cost is not None and cost > 0:
+            self.waiting.append((item, category, cost))
+        return [(line, n, p90)]
 
 
 def batch_p90(lines: DataFrame, threshold: int = 10, least: int = 3, least_pence: int = 500) -> DataFrame:
     """line_id, history, p90, difference, percent (tenths of a percent, half even), above_p90, challenged.
 
-    lines(line_id, case_id, rank, item_key, category, cost): earlier invoices of the claim have a smaller rank. A
-    prior line counts once if its item key or its category is the same. Rejected lines are left out before.
+    lines(line_id, case_id, rank, item_key, category, cost): earlier invoices of the claim have a smaller rank. A prior line
+    counts once if its item key or its category is the same. Rejected lines are left out before. One ordered pass over a
+    claim: no pairs of lines, no list of a line's earlier prices; a task holds the prices of one claim.
     """
-    keyed = lines.select("line_id", "case_id", "rank", "cost", F.explode(F.array(F.concat(F.lit("i:"), "item_key"), F.concat(F.lit("c:"), "category"))).alias("key")).where("key IS NOT NULL")
-    prior = keyed.where("cost > 0").select("case_id", "key", F.col("line_id").alias("prior_id"), F.col("rank").alias("prior_rank"), F.col("cost").alias("prior_cost"))
-    pairs = keyed.select("line_id", "case_id", "rank", "key").join(prior, ["case_id", "key"]).where("prior_rank < rank")
-    values = pairs.groupBy("line_id", "prior_id").agg(F.first("prior_cost").alias("v")).groupBy("line_id").agg(F.array_sort(F.collect_list("v")).alias("v"))
-    rows = lines.join(values, "line_id", "left").withColumn("history", F.coalesce(F.size("v"), F.lit(0)).cast("long"))
-    rows = rows.withColumn("p90", F.when(F.col("history") >= least, half_up(at_fraction(F.col("v"), 9, 10), F.lit(10))))
+    kind = dict(lines.dtypes)
+    rows = lines.select("case_id", "rank", "line_id", "item_key", "category", "cost")
+    found = carried(rows, ["case_id"], ["rank", "line_id"], f"line_id {kind['line_id']}, history long, p90 long", _Batch)
+    rows = lines.select("line_id", "cost").join(found, "line_id").withColumn("p90", F.when((F.col("history") >= least) & (F.col("p90") > 0), F.col("p90")))
     rows = rows.withColumn("difference", F.greatest(F.col("cost") - F.col("p90"), F.lit(0))).withColumn("percent", half_even(F.col("difference") * 1000, F.col("p90")))
+    known = F.col("p90").isNotNull()
     over = (F.col("difference") >= least_pence) & (F.col("percent") > 10 * threshold)
-    return rows.select("line_id", "history", "p90", F.when(F.col("p90").isNotNull(), F.col("difference")).alias("difference"), F.when(F.col("p90").isNotNull(), F.col("percent")).alias("percent"), F.coalesce((F.col("difference") > 0) & F.col("p90").isNotNull(), F.lit(False)).alias("above_p90"), F.coalesce(over & F.col("p90").isNotNull(), F.lit(False)).alias("challenged"))
+    return rows.select("line_id", "history", "p90", F.when(known, F.col("difference")).alias("difference"), F.when(known, F.col("percent")).alias("percent"), F.coalesce((F.col("difference") > 0) & known, F.lit(False)).alias("above_p90"), F.coalesce(over & known, F.lit(False)).alias("challenged"))
+
+
+def _mean(total: Column, count: Column) -> Column:
+    return F.when(count > 0, half_up(total, count))
+
+
+def batch_dashboard(lines: DataFrame, judged: DataFrame, min_count: int = 1, vehicle_label: str | None = None, identity: str | None = None, date_from: date | None = None, date_to: date | None = None) -> dict[str, DataFrame]:
+    """The dashboard of each claim's batch, all claims at once: benchmarks, sources, summary, categories, quality, repairers, repairer_items.
+
+    lines(line_id, case_id, invoice_ref, invoice_date, sequence, identity, item, vehicle_label, repairer, kind, unit_cost, cost): what
+    was not rejected, money in pence; identity is the item, or the category of a line without one. judged is `batch_p90` of
+    the same lines. Filters hide lines and exceptions but change no P90. Groups of fewer than `min_count` lines go, with their
+    exceptions; quality and the P90s look at all lines.
+    """
+    records = lines.where("cost > 0").withColumn("repairer", F.coalesce(F.nullif(F.trim("repairer"), F.lit("")), F.lit("Unknown repairer"))).withColumn("vehicle_label", F.coalesce("vehicle_label", F.lit("Unclassified")))
+    shown = records
+    for column, value in (("vehicle_label", vehicle_label), ("identity", identity)):
+        shown = shown if value is None else shown.where(F.col(column) == value)
+    shown = shown if date_from is None else shown.where(F.col("invoice_date") >= F.lit(date_from))
+    shown = shown if date_to is None else shown.where(F.col("invoice_date") <= F.lit(date_to))
+    keys = ["case_id", "identity", "item", "vehicle_label"]
+    pounds = lambda c: (F.col(c).cast("decimal(20,0)") / 100).cast("decimal(20,2)")
+    hourly = (F.col("kind") == "labour") & (F.col("unit_cost") > 0)
+    priced = shown.withColumn("price", pounds("cost")).withColumn("rate", F.when(hourly, pounds("unit_cost")))
+    stats, labour = benchmark_statistics(priced, keys, "price"), benchmark_statistics(priced, keys, "rate")
+    labour = labour.select(*keys, *[F.col(c).alias(f"labour_{c}") for c in labour.columns if c not in keys])
+    found = shown.join(judged.where("challenged").select("line_id", "p90", "difference", "percent", "history"), "line_id")
+    whole = shown.groupBy(*keys).agg(F.count("*").alias("source_count"), F.countDistinct("invoice_ref").alias("invoice_count"), F.max("invoice_date").alias("latest_date"), F.sum("cost").alias("total"))
+    over = found.groupBy(*keys).agg(F.count("*").alias("exception_count"), F.countDistinct("invoice_ref").alias("exception_invoice_count"))
+    strength = F.when(F.col("count") >= 10, "strong").when(F.col("count") >= 3, "usable").otherwise("insufficient")
+    rows = stats.where(F.col("count") >= max(1, min_count)).join(whole, keys).join(labour, keys, "left").join(over, keys, "left")
+    zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("labour_count", "exception_count", "exception_invoice_count")}
+    benchmarks = rows.withColumns(zero).withColumn("sample_strength", strength)
+    kept = found.join(benchmarks.select(*keys), keys, "left_semi")
+    order = Window.partitionBy(*keys).orderBy("invoice_date", "invoice_ref", "sequence")
+    sources = shown.join(benchmarks.select(*keys), keys, "left_semi").withColumn("place", F.row_number().over(order))
+    totals = shown.groupBy("case_id").agg(F.sum("cost").alias("s"), F.count("*").alias("observation_count"), F.sum(F.when(hourly, F.col("unit_cost"))).alias("r"), F.sum(F.when(hourly, 1).otherwise(0)).alias("k"))
+    ranked = benchmarks.withColumn("m", _mean(F.col("total"), F.col("count")))
+    tops = ranked.groupBy("case_id").agg(F.min_by("item", F.struct(-F.col("count"), "item")).alias("most_observed"), F.min_by("item", F.struct(-F.col("m"), -F.col("count"), "item")).alias("most_expensive"), F.max("m").alias("highest_mean"))
+    summary = totals.join(tops, "case_id", "left").select("case_id", _mean(F.col("s"), F.col("observation_count")).alias("average_cost"), _mean(F.col("r"), F.col("k")).alias("average_labour_rate"), "most_observed", "observation_count", "most_expensive", "highest_mean")
+    categories = shown.groupBy("case_id", "vehicle_label").agg(_mean(F.sum("cost"), F.count("*")).alias("average_cost"), F.count("*").alias("count"))
+    named = F.sum(F.when(F.col("vehicle_label") != "Unclassified", 1).otherwise(0))
+    quality = records.groupBy("case_id").agg(F.count("*").alias("line_count"), named.alias("classified"), F.max("invoice_date").alias("latest_date"))
+    quality = quality.withColumn("coverage", half_even(F.col("classified") * 1000, F.col("line_count")))
+    kept = kept.withColumn("repairer_key", repairer_key(F.col("repairer")))
+    first = F.min_by("repairer", F.struct("invoice_ref", "line_id"))
+    sums = [F.count("*").alias("challenge_count"), F.countDistinct("invoice_ref").alias("invoice_count"), F.sum("difference").alias("total_difference"), F.max("difference").alias("maximum_difference")]
+    repairers = kept.groupBy("case_id", "repairer_key").agg(first.alias("repairer"), *sums, F.countDistinct("identity", "item").alias("item_count"))
+    items = kept.groupBy("case_id", "repairer_key", "identity", "item").agg(*sums, F.max("percent").alias("maximum_percent"))
+    return {"benchmarks": benchmarks.drop("total"), "sources": sources, "summary": summary, "categories": categories, "quality": quality, "repairers": repairers, "repairer_items": items}
 
 
 def reviewed_summary(challenges: DataFrame, key: str, final: bool) -> DataFrame:

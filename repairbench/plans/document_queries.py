@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from repairbench.functions.exact import pence
@@ -122,6 +124,60 @@ def w2_batch_p90(spark, sf_dir):
     return X.batch_p90(rows.select("line_id", (F.col("case_id") % 25).alias("case_id"), F.col("invoice_ref").cast("long").alias("rank"), F.col("item_id").cast("string").alias("item_key"), F.col("item_name").alias("category"), F.col("billed").alias("cost")))
 
 
+def _dashboard(spark, sf_dir, **filters):
+    """Batches of the bound lines: lines without an item go by their category; small orders have no vehicle."""
+    rows = observations(spark, sf_dir).where("status <> 'rejected'").withColumn("case_id", F.col("case_id") % 25)
+    mapped = F.col("quantity") % 4 != 0
+    rows = rows.select(
+        "line_id", "case_id", F.col("invoice_ref").cast("long").alias("invoice_ref"), "invoice_date", F.col("line_id").alias("sequence"), F.when(mapped, F.col("item_id").cast("string")).alias("item_key"), F.col("item_name").alias("category"),
+        F.when(mapped, F.col("item_id").cast("string")).otherwise(F.concat(F.lit("description:"), F.lower("item_name"))).alias("identity"), F.col("item_name").alias("item"),
+        F.when(F.col("vat_rate") != 4, F.col("vehicle_label")).alias("vehicle_label"), F.when(F.col("vat_rate") != 5, F.col("repairer")).alias("repairer"), F.when(F.col("item_type") == "ECONOMY", "labour").otherwise("part").alias("kind"), "unit_cost", F.col("billed").alias("cost"),
+    )
+    judged = X.batch_p90(rows.select("line_id", "case_id", F.col("invoice_ref").alias("rank"), "item_key", "category", "cost"))
+    return X.batch_dashboard(rows, judged, **filters)
+
+
+DASHBOARD = OBS + """, b AS (SELECT line_id, case_id % 25 AS case_id, invoice_ref::BIGINT AS rank, invoice_date, CASE WHEN quantity % 4 <> 0 THEN item_id::VARCHAR END AS item_key, item_name AS item, coalesce(item_key, 'description:' || lower(item_name)) AS identity,
+  CASE WHEN vat_rate <> 4 THEN vehicle_label ELSE 'Unclassified' END AS vehicle_label, CASE WHEN vat_rate <> 5 THEN repairer ELSE 'Unknown repairer' END AS repairer, CASE WHEN item_type = 'ECONOMY' THEN unit_cost END AS rate, cost FROM obs WHERE status <> 'rejected' AND cost > 0),
+pr AS (SELECT l.line_id, p.line_id AS prior_id, any_value(p.cost) AS v FROM b l JOIN b p ON l.case_id = p.case_id AND p.rank < l.rank AND (l.item_key = p.item_key OR l.item = p.item) GROUP BY 1, 2),
+v AS (SELECT line_id, list_sort(list(v)) AS v, count(*) AS n FROM pr GROUP BY 1 HAVING count(*) >= 3),
+w AS (SELECT b.*, (2 * (v[(n - 1) * 9 // 10 + 1] * 10 + (v[least((n - 1) * 9 // 10 + 2, n)] - v[(n - 1) * 9 // 10 + 1]) * ((n - 1) * 9 % 10)) + 10) // 20 AS p90 FROM b JOIN v USING (line_id)),
+d AS (SELECT *, cost - p90 AS difference, ((cost - p90) * 1000) // p90 AS q, ((cost - p90) * 1000) % p90 AS r FROM w WHERE cost - p90 >= 500),
+found AS (SELECT *, q + CASE WHEN 2 * r > p90 OR (2 * r = p90 AND q % 2 = 1) THEN 1 ELSE 0 END AS percent FROM d)
+"""
+
+
+@query(DASHBOARD + """, g AS (SELECT case_id, identity, item, vehicle_label, list_sort(list(cost)) AS v, count(*) AS n, sum(cost)::BIGINT AS total, list_sort(list(rate) FILTER (rate > 0)) AS rates, coalesce(sum(rate) FILTER (rate > 0), 0)::BIGINT AS rate_total, count(DISTINCT rank) AS invoice_count, max(invoice_date) AS latest_date FROM b GROUP BY ALL),
+e AS (SELECT case_id, identity, item, vehicle_label, count(*) AS x, count(DISTINCT rank) AS i FROM found WHERE percent > 100 GROUP BY ALL)
+SELECT case_id, identity, item, vehicle_label, n AS count, v[1] / 100.0 AS minimum, v[n] / 100.0 AS maximum, ((2 * total + n) // (2 * n)) / 100.0 AS mean, ((v[(n + 1) // 2] + v[n // 2 + 1] + 1) // 2) / 100.0 AS median,
+ ((2 * (v[(n - 1) * 9 // 10 + 1] * 10 + (v[least((n - 1) * 9 // 10 + 2, n)] - v[(n - 1) * 9 // 10 + 1]) * ((n - 1) * 9 % 10)) + 10) // 20) / 100.0 AS percentile_90, coalesce(len(rates), 0) AS labour_count,
+ ((2 * rate_total + len(rates)) // (2 * len(rates))) / 100.0 AS labour_mean, n AS source_count, invoice_count, latest_date, coalesce(x, 0) AS exception_count, coalesce(i, 0) AS exception_invoice_count, CASE WHEN n >= 10 THEN 'strong' ELSE 'usable' END AS sample_strength
+FROM g LEFT JOIN e USING (case_id, identity, item, vehicle_label) WHERE n >= 3""")
+def w3_batch_benchmarks(spark, sf_dir):
+    rows = _dashboard(spark, sf_dir, min_count=3)["benchmarks"]
+    columns = ["minimum", "maximum", "mean", "median", "percentile_90", "labour_count", "labour_mean", "source_count", "invoice_count", "latest_date", "exception_count", "exception_invoice_count", "sample_strength"]
+    return rows.select("case_id", "identity", "item", "vehicle_label", "count", *columns)
+
+
+@query(DASHBOARD + """, s AS (SELECT * FROM b WHERE vehicle_label = 'Segment: BUILDING' AND invoice_date >= DATE '1996-01-01' AND invoice_date <= DATE '2000-12-31'),
+g AS (SELECT case_id, item, count(*) AS n, (2 * sum(cost)::BIGINT + count(*)) // (2 * count(*)) AS m FROM s GROUP BY case_id, identity, item, vehicle_label),
+t AS (SELECT case_id, (2 * sum(cost)::BIGINT + count(*)) // (2 * count(*)) AS average_cost, count(*) AS observation_count, (2 * sum(rate) FILTER (rate > 0) + count(*) FILTER (rate > 0))::BIGINT // nullif(2 * count(*) FILTER (rate > 0), 0) AS average_labour_rate FROM s GROUP BY 1),
+tops AS (SELECT case_id, first(item ORDER BY n DESC, item) AS most_observed, first(item ORDER BY m DESC, n DESC, item) AS most_expensive, max(m) AS highest_mean FROM g GROUP BY 1),
+q AS (SELECT case_id, count(*) AS line_count, count(*) FILTER (vehicle_label <> 'Unclassified') AS classified, max(invoice_date) AS latest_date, classified * 1000 // line_count AS a, classified * 1000 % line_count AS r FROM b GROUP BY 1)
+SELECT case_id, average_cost, average_labour_rate, most_observed, observation_count, most_expensive, highest_mean, line_count, classified, latest_date, a + CASE WHEN 2 * r > line_count OR (2 * r = line_count AND a % 2 = 1) THEN 1 ELSE 0 END AS coverage FROM q LEFT JOIN t USING (case_id) LEFT JOIN tops USING (case_id)""")
+def w3_batch_summary(spark, sf_dir):
+    """One vehicle label and five years are shown; the quality of a batch looks at all of it."""
+    board = _dashboard(spark, sf_dir, vehicle_label="Segment: BUILDING", date_from=dt.date(1996, 1, 1), date_to=dt.date(2000, 12, 31))
+    return board["quality"].join(board["summary"], "case_id", "left")
+
+
+@query(DASHBOARD + """SELECT case_id, lower(repairer) AS repairer_key, identity, item, count(*) AS challenge_count, count(DISTINCT rank) AS invoice_count, sum(difference)::BIGINT AS total_difference, max(difference) AS maximum_difference, max(percent) AS maximum_percent,
+ any_value(n) AS item_count FROM found JOIN (SELECT case_id, repairer, count(DISTINCT (identity, item)) AS n FROM found WHERE percent > 100 GROUP BY ALL) USING (case_id, repairer) WHERE percent > 100 GROUP BY ALL""")
+def w3_batch_repairers(spark, sf_dir):
+    board = _dashboard(spark, sf_dir)
+    return board["repairer_items"].join(board["repairers"].select("case_id", "repairer_key", "item_count"), ["case_id", "repairer_key"])
+
+
 REVIEWED = OBS + ", c AS (SELECT case_id, cost % 5000 - 1000 AS net, status, cost % 101 AS score FROM obs)\n"
 
 
