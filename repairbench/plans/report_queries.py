@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from repairbench.functions.exact import pence
+from repairbench.operators import invoices_read as I
 from repairbench.operators import reports_read as R
 
 from .binding import table
@@ -58,3 +60,50 @@ def x7_assessment_reports(spark, sf_dir):
 def x7_report_operations(spark, sf_dir):
     rows = R.report_operations(_pages(spark, sf_dir))
     return rows.select("document_id", F.col("sequence_no").cast("long").alias("sequence_no"), "category", "code", "description", *[F.col(c).cast("double").alias(c) for c in ("work_units", "hours", "quantity", "unit_price", "total")], "page_number")
+
+
+#: Invoices made of orders, their shapes chosen by a digest, in SQL that both engines read.
+_SHAPE = "md5(CAST({key} AS STRING))"
+INVOICE = """concat(CASE WHEN substring(h, 1, 1) < '6' THEN concat('Customer ', o_custkey, ' Service Garage ', chr(10)) WHEN substring(h, 1, 1) < 'a' THEN concat('Unit 4', chr(10), '  North  MOT Centre', chr(10)) ELSE '' END,
+ CASE WHEN substring(h, 2, 1) < '8' THEN concat('Invoice No: INV/', o_orderkey) WHEN substring(h, 2, 1) < 'b' THEN concat('SALES Invoice Date ', chr(10), 'Invoice No ', o_orderkey) WHEN substring(h, 2, 1) < 'd' THEN 'Invoice Number unknown' ELSE 'Receipt' END, chr(10),
+ CASE WHEN substring(h, 3, 1) < '8' THEN concat('Date of Work: ', {day}) WHEN substring(h, 3, 1) < 'c' THEN concat('date ', {short}) ELSE 'undated' END, chr(10), 'VAT Reg No. 12', o_custkey % 10, ' 4567 8', o_orderkey % 10, chr(10),
+ CASE WHEN substring(h, 4, 1) < '6' THEN concat('ab', o_custkey % 90 + 10, ' cde  Ford  Focus ST  WF0DXXGAKDFJ', o_orderkey % 90000 + 10000, ' 998 1', o_custkey % 10, ',', o_orderkey % 900 + 100) WHEN substring(h, 4, 1) < 'a' THEN concat('AB', o_custkey % 90 + 10, ' CDE - Skoda Octavia')
+  ELSE concat('VAT Registration AA1 A Registration : XY', o_custkey % 90 + 10, ' ZZZ Mileage: ', o_orderkey % 9000 + 1000) END, chr(10),
+ CASE WHEN substring(h, 5, 1) < '8' THEN concat('Labour ', o_orderkey % 500, '.50', chr(10)) ELSE '' END, CASE WHEN substring(h, 6, 1) < '8' THEN concat('Parts:', chr(10), '1,', o_custkey % 900 + 100, '.25', chr(10)) ELSE '' END,
+ CASE WHEN substring(h, 7, 1) < '8' THEN concat('Sub Total £', o_orderkey % 700, '.75', chr(10)) ELSE '' END, CASE WHEN substring(h, 8, 1) < 'a' THEN concat('VAT (17.5%) ', o_orderkey % 90, '.05', chr(10)) ELSE concat('VAT: ', chr(10), o_orderkey % 90, '.15', chr(10)) END,
+ CASE WHEN substring(h, 9, 1) < '4' THEN concat('MOT 54.', o_custkey % 90 + 10, chr(10)) ELSE '' END, 'Total paid 1.00', chr(10), CASE WHEN substring(h, 10, 1) < 'c' THEN concat('TOTAL: £ ', CAST(o_totalprice AS DECIMAL(20, 2))) ELSE '' END)"""
+_INVOICES = "SELECT o_orderkey, " + INVOICE + " AS text FROM (SELECT *, " + _SHAPE.format(key="o_orderkey") + " AS h FROM orders) shaped"
+
+
+def _invoices(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumn("h", F.expr(_SHAPE.format(key="o_orderkey")))
+    return orders.select("o_orderkey", F.expr(INVOICE.format(day="date_format(o_orderdate, 'd/M/yyyy')", short="date_format(o_orderdate, 'dd/MM/yy')")).alias("text"))
+
+
+_TEXTS = _INVOICES.format(day="strftime(o_orderdate, '%-d/%-m/%Y')", short="strftime(o_orderdate, '%d/%m/%y')")
+
+
+@query(f"""WITH t AS ({_TEXTS}), f AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS flat, list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))) AS rows FROM t),
+v AS (SELECT *, list_filter(rows, lambda x: regexp_matches(x, '^(?i:ab)\\d\\d (?i:cde) [A-Z].* WF0')) AS long, list_filter(rows, lambda x: regexp_matches(x, '^AB\\d\\d CDE - ')) AS short, list_filter(rows, lambda x: regexp_matches(lower(x), 'garage|mot centre'))[1] AS supplier,
+  regexp_extract(flat, '(?i)(?:date of work|date)\\s*:?\\s*(\\d+/\\d+/\\d+)', 1) AS day, CASE WHEN contains(flat, 'INV/') THEN regexp_extract(flat, 'INV/\\d+') WHEN contains(flat, 'SALES Invoice') THEN regexp_extract(flat, 'Invoice No (\\d+)', 1) END AS invoice_number FROM f)
+SELECT o_orderkey, invoice_number, CASE WHEN day <> '' THEN make_date(CASE WHEN length(string_split(day, '/')[3]) = 4 THEN string_split(day, '/')[3]::BIGINT WHEN string_split(day, '/')[3] >= '69' THEN 1900 + string_split(day, '/')[3]::BIGINT ELSE 2000 + string_split(day, '/')[3]::BIGINT END, string_split(day, '/')[2]::BIGINT, string_split(day, '/')[1]::BIGINT) END AS invoice_date,
+ CASE WHEN len(long) > 0 THEN upper(left(long[1], 8)) WHEN len(short) > 0 THEN left(short[1], 8) ELSE regexp_extract(flat, 'XY\\d\\d ZZZ') END AS registration, CASE WHEN len(long) > 0 THEN regexp_extract(long[1], 'WF0\\w+') END AS vin,
+ CASE WHEN len(long) > 0 THEN 'Ford' WHEN len(short) > 0 THEN 'Skoda' END AS vehicle_make, CASE WHEN len(long) > 0 THEN 'Focus ST' WHEN len(short) > 0 THEN 'Octavia' END AS vehicle_model, CASE WHEN len(long) > 0 THEN 998 END AS engine_cc,
+ CASE WHEN len(long) > 0 THEN replace(string_split(long[1], ' ')[-1], ',', '')::BIGINT WHEN contains(flat, 'Mileage') THEN regexp_extract(flat, 'Mileage: (\\d+)', 1)::BIGINT END AS mileage, regexp_extract(flat, 'No. (12\\d 4567 8\\d)', 1) AS supplier_vat_number, supplier AS supplier_name FROM v""")
+def x6_header_fields(spark, sf_dir):
+    rows = I.header_fields(_invoices(spark, sf_dir))
+    return rows.select("o_orderkey", "invoice_number", "invoice_date", "registration", "vin", "vehicle_make", "vehicle_model", "engine_cc", "mileage", "supplier_vat_number", "supplier_name")
+
+
+@query(f"""WITH t AS ({_TEXTS}), r AS (SELECT o_orderkey, unnest(list_filter(string_split(regexp_replace(text, ':\\s*\\n', ': ', 'g'), chr(10)), lambda x: regexp_matches(x, '\\.\\d\\d$'))) AS row FROM t),
+a AS (SELECT o_orderkey, row, round(replace(regexp_extract(row, '[\\d,]+\\.\\d\\d$'), ',', '')::DECIMAL(20, 2) * 100)::BIGINT AS p FROM r),
+s AS (SELECT o_orderkey, max(p) FILTER (row LIKE 'Labour%') AS labour, max(p) FILTER (row LIKE 'Parts%') AS parts, max(p) FILTER (row LIKE 'VAT%') AS vat, max(p) FILTER (row LIKE 'MOT%') AS non_vatable, max(p) FILTER (row LIKE 'TOTAL%') AS gross,
+  bool_or(row LIKE 'VAT (17%') AS told FROM a GROUP BY 1)
+SELECT t.o_orderkey, labour, parts, CASE WHEN labour IS NOT NULL OR parts IS NOT NULL THEN coalesce(labour, 0) + coalesce(parts, 0) END AS derived, CASE WHEN regexp_matches(text, 'Sub Total') THEN regexp_extract(text, 'Sub Total £(\\d+)', 1)::BIGINT * 100 + 75 ELSE derived END AS subtotal, vat, non_vatable,
+ coalesce(gross, CASE WHEN contains(text, 'Sub Total') THEN regexp_extract(text, 'Sub Total £(\\d+)', 1)::BIGINT * 100 + 75 END) AS gross, CASE WHEN told THEN 17.5 ELSE 20.0 END::DOUBLE AS vat_rate FROM t LEFT JOIN s USING (o_orderkey)""".replace(" AS derived, CASE WHEN regexp", " AS derived_sum, CASE WHEN regexp").replace("ELSE derived END", "ELSE derived_sum END"))
+def x6_total_fields(spark, sf_dir):
+    """A labour and parts sum stands beside the subtotal; an amount behind Sub Total is also one behind Total."""
+    rows = I.total_fields(_invoices(spark, sf_dir))
+    zero = lambda c: F.coalesce(pence(F.col(c)), F.lit(0))
+    whole = F.when(F.coalesce("labour", "parts").isNotNull(), zero("labour") + zero("parts"))
+    return rows.select("o_orderkey", *[pence(F.col(c)).alias(c) for c in ("labour", "parts", "subtotal", "vat", "non_vatable", "gross")], whole.alias("derived_sum"), F.col("vat_rate").cast("double").alias("vat_rate"))
