@@ -107,3 +107,56 @@ def x6_total_fields(spark, sf_dir):
     zero = lambda c: F.coalesce(pence(F.col(c)), F.lit(0))
     whole = F.when(F.coalesce("labour", "parts").isNotNull(), zero("labour") + zero("parts"))
     return rows.select("o_orderkey", *[pence(F.col(c)).alias(c) for c in ("labour", "parts", "subtotal", "vat", "non_vatable", "gross")], whole.alias("derived_sum"), F.col("vat_rate").cast("double").alias("vat_rate"))
+
+
+#: Lines of invoice pages, headings and other rows among them; their shapes are chosen by a digest.
+ROW = """concat(CASE WHEN substring(h, 1, 1) < '2' THEN concat('Parts  Qty Unit Total', chr(10)) WHEN substring(h, 1, 1) < '5' THEN concat('LABOUR:', chr(10)) WHEN substring(h, 1, 1) = '5' THEN concat('Service items', chr(10)) ELSE '' END,
+ CASE WHEN substring(h, 2, 1) < '8' THEN concat(p_name, ' ', CAST(l_quantity AS INT), ' £', CAST(p_retailprice AS DECIMAL(20, 2)), '  £ ', CAST(l_extendedprice AS DECIMAL(20, 2))) WHEN substring(h, 2, 1) < 'b' THEN concat('Replace ', p_name, ' 1,0', CAST(l_tax * 100 + 10 AS INT), '.50')
+ WHEN substring(h, 2, 1) = 'b' THEN concat('Annual MOT check ', CAST(l_tax * 100 + 40 AS INT), '.85') WHEN substring(h, 2, 1) = 'c' THEN concat('Subtotal ', CAST(l_extendedprice AS DECIMAL(20, 2))) WHEN substring(h, 2, 1) = 'd' THEN p_name WHEN substring(h, 2, 1) = 'e' THEN '12 34.00' ELSE 'Card payment 9.99' END)"""
+_LINES = """SELECT l_orderkey AS page, concat(l_linenumber, '-', l_partkey, '-', l_suppkey, '-', CAST(l_extendedprice AS DECIMAL(20, 2))) AS k, {row} AS line FROM (SELECT *, md5(concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey)) AS h FROM {lines} JOIN {part} ON l_partkey = p_partkey) shaped"""
+_PAGES = f"SELECT page, string_agg(line, chr(10) ORDER BY k, line) AS text FROM ({_LINES.format(row=ROW, lines='lineitem', part='part')}) GROUP BY page"
+
+
+def _line_pages(spark, sf_dir):
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_retailprice")
+    shaped = line.join(part, F.col("l_partkey") == F.col("p_partkey")).withColumn("h", F.expr("md5(concat(l_orderkey, '-', l_linenumber, '-', l_partkey, '-', l_suppkey))"))
+    rows = shaped.select(F.col("l_orderkey").alias("page"), F.expr("concat(l_linenumber, '-', l_partkey, '-', l_suppkey, '-', CAST(l_extendedprice AS DECIMAL(20, 2)))").alias("k"), F.expr(ROW).alias("line"))
+    return rows.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n").alias("text"))
+
+
+@query(f"""WITH p AS ({_PAGES}), r AS (SELECT page, i, rows[i] AS row FROM (SELECT page, string_split(text, chr(10)) AS rows FROM p), range(1, 1000) t(i) WHERE i <= len(rows)),
+s AS (SELECT *, last_value(CASE WHEN row LIKE 'Parts  %' THEN 'parts' WHEN row = 'LABOUR:' THEN 'labour' WHEN row = 'Service items' THEN 'service' END IGNORE NULLS) OVER (PARTITION BY page ORDER BY i ROWS UNBOUNDED PRECEDING) AS section,
+  list_transform(regexp_extract_all(row, '[\\d,]+\\.\\d\\d'), lambda x: (replace(x, ',', '')::DECIMAL(20, 2) * 100)::BIGINT) AS money FROM r),
+g AS (SELECT page, i, row, coalesce(section, 'unknown') AS section, money[-1] AS total, CASE WHEN len(money) > 1 THEN money[-2] ELSE money[-1] END AS unit_cost FROM s WHERE len(money) > 0 AND row NOT LIKE 'Subtotal%' AND row NOT LIKE '12 %' AND row NOT LIKE 'Card payment%')
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY i) AS sequence_no, CASE WHEN row LIKE 'Annual MOT%' THEN 'Annual MOT check' ELSE regexp_extract(row, '^[^\\d£]*[a-z]') END AS description,
+ CASE WHEN section = 'labour' OR row LIKE 'Replace %' THEN 'labour' WHEN section = 'service' THEN 'service' WHEN section = 'parts' THEN 'part' ELSE 'unknown' END AS item_kind, unit_cost, total,
+ CASE WHEN total <= 50 * unit_cost THEN (total * 20000 + unit_cost) // (2 * unit_cost) ELSE 10000 END AS quantity, CASE WHEN row LIKE '%MOT%' THEN total ELSE total + (2 * total + 5) // 10 END AS gross FROM g""")
+def x3_text_lines(spark, sf_dir):
+    """quantity in ten-thousandths, money in pence; a unit price beyond the total still gives a part of one."""
+    rows = I.text_invoice_lines(_line_pages(spark, sf_dir), ["page"])
+    return rows.select("page", "sequence_no", "description", "item_kind", pence(F.col("unit_price")).alias("unit_cost"), pence(F.col("line_total")).alias("total"), (F.col("quantity") * 10000).cast("long").alias("quantity"), pence(F.col("gross_amount")).alias("gross"))
+
+
+def _tables(spark, sf_dir):
+    """Two tables an order: its lines of even parts under chosen headers, those of odd parts by place."""
+    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    cents = lambda c: F.col(c).cast("decimal(20,2)").cast("string")
+    text, empty = (lambda c: F.col(c).cast("string")), F.lit("")
+    quantity, kind = F.col("l_quantity").cast("int"), F.col("l_orderkey") % 3
+    generic = F.when(kind == 0, F.array("p_name", F.when(quantity % 9 != 0, quantity.cast("string")).otherwise("n/a"), F.when(quantity % 4 != 0, F.concat(F.lit("£"), F.round(F.col("l_extendedprice").cast("decimal(20,2)") / F.col("l_quantity").cast("decimal(20,4)"), 2).cast("decimal(20,2)").cast("string"))).otherwise(empty), cents("l_extendedprice"), text("l_partkey")))
+    generic = generic.otherwise(F.array(text("l_partkey"), F.when(quantity % 8 != 0, quantity.cast("string")).otherwise(empty), F.concat(F.lit(" █ "), F.col("p_name"), F.lit("\n")), F.when(quantity % 11 != 0, cents("l_extendedprice")).otherwise(empty)))
+    placed = F.when(kind == 1, F.array("p_name", text("l_partkey"), quantity.cast("string"), empty, F.lit("20%"), cents("l_extendedprice"))).when(kind == 2, F.array("p_name", quantity.cast("string"), F.lit("40.00"), F.lit("x"), cents("l_extendedprice"))).otherwise(F.array("p_name", text("l_partkey"), F.lit("1")))
+    rows = line.join(part, F.col("l_partkey") == F.col("p_partkey")).select("l_orderkey", (F.col("l_partkey") % 2).alias("table_no"), F.struct("l_linenumber", "l_partkey", "l_suppkey", cents("l_extendedprice").alias("x")).alias("k"), F.when(F.col("l_partkey") % 2 == 0, generic).otherwise(placed).alias("row"))
+    heads = {(0, 0): ["Item Description", "QTY", "Unit  Price", "Line Total", "Part No."], (0, 1): ["Part Number", "Quantity", "Operation", "Total"], (0, 2): ["Part Number", "Quantity", "Operation", "Total"], (1, 0): ["Parts", "No", "Pieces", "Each", "VAT", "Sub Total"], (1, 1): ["Parts", "No", "Pieces", "Each", "VAT", "Sub Total"], (1, 2): ["Labour", "Hours", "", "VAT", "Sub Total"]}
+    head = F.coalesce(*[F.when((F.col("table_no") == t) & (F.col("page") % 3 == m), F.array(*[F.lit(x) for x in h])) for (t, m), h in heads.items()])
+    grouped = rows.groupBy(F.col("l_orderkey").alias("page"), "table_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "row"))), lambda x: x["row"]).alias("rows"))
+    return grouped.select("page", "table_no", F.concat(F.array(head), "rows").alias("cells"))
+
+
+@query("""WITH l AS (SELECT *, l_orderkey % 3 AS kind, l_partkey % 2 AS t, l_quantity::BIGINT AS q, (l_extendedprice::DECIMAL(20,2) * 100)::BIGINT AS total FROM lineitem JOIN part ON l_partkey = p_partkey),
+k AS (SELECT *, CASE WHEN t = 0 AND kind = 0 THEN q % 9 <> 0 WHEN t = 0 THEN q % 11 <> 0 ELSE kind <> 0 END AS kept, CASE WHEN t = 0 AND kind > 0 AND q % 8 = 0 THEN NULL ELSE q END AS quantity,
+  CASE WHEN t = 1 AND kind = 2 THEN 4000 WHEN t = 0 AND kind > 0 AND q % 8 = 0 THEN NULL ELSE (2 * total + q) // (2 * q) END AS unit_cost, CASE WHEN t = 0 OR kind = 1 THEN l_partkey::VARCHAR END AS part_number FROM l)
+SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY t, l_linenumber, l_partkey, l_suppkey, l_extendedprice::DECIMAL(20,2)::VARCHAR) AS sequence_no, p_name AS description, part_number, quantity, unit_cost, total, t = 1 AND kind = 2 AS labour FROM k WHERE kept""")
+def x4_table_lines(spark, sf_dir):
+    rows = I.table_lines(_tables(spark, sf_dir), ["page"])
+    return rows.select("page", "sequence_no", "description", "part_number", F.col("quantity").cast("long").alias("quantity"), pence(F.col("unit_price")).alias("unit_cost"), pence(F.col("line_total")).alias("total"), (F.col("item_kind") == "labour").alias("labour"))
