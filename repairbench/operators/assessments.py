@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import groupby
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repairbench.functions.exact import half_up
 from repairbench.functions.text import normalise_operation, registration_key
+from repairbench.operators.carried import State, carried
 
 
 def pair_assessments(assessments: DataFrame, invoices: DataFrame) -> DataFrame:
@@ -30,36 +28,51 @@ def pair_assessments(assessments: DataFrame, invoices: DataFrame) -> DataFrame:
 
 def match_score(left: Column, right: Column) -> Column:
     """Shared words over all words of two operations; 1 if they read the same."""
-    a, b = normalise_operation(left), normalise_operation(right)
+    return name_score(normalise_operation(left), normalise_operation(right))
+
+
+def name_score(a: Column, b: Column) -> Column:
+    """The score of two normalised operations."""
     x, y = F.filter(F.split(a, " "), lambda w: w != ""), F.filter(F.split(b, " "), lambda w: w != "")
     shared = F.size(F.array_intersect(x, y)) / F.nullif(F.size(F.array_union(x, y)), F.lit(0))
     return F.when(a == b, 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(shared)
 
 
+class _Greedy(State):
+    """The lines that are taken, and the best free line of the operation at hand."""
+
+    def __init__(self, key: tuple):
+        super().__init__(key)
+        self.taken, self.operation, self.best = set(), None, None
+
+    def step(self, row: tuple):
+        number, operation, _, line, score = row
+        out = []
+        if (number, operation) != self.operation:
+            out, self.operation, self.best = self.end(), (number, operation), None
+        if line not in self.taken and (self.best is None or score > self.best[1]):  # the first of equal ones stays
+            self.best = (line, score)
+        return out
+
+    def end(self):
+        if self.best is None:
+            return []
+        self.taken.add(self.best[0])
+        return [(self.key[0], self.operation[1], *self.best)]
+
+
 def match_operations(operations: DataFrame, lines: DataFrame, least: float = 0.34) -> DataFrame:
     """group_id, op_id, line_id, score: each operation in turn takes the best line that is left, ties to the first line.
 
     operations(group_id, op_id, op_no, description), lines(group_id, line_id, line_no, description): the numbers are
-    the places in the assessment and on the invoice. Pairs below `least` never match.
+    the places in the assessment and on the invoice. Pairs below `least` never match. The pairs of a group go by in
+    order; a task holds which lines are taken.
     """
-    o, i = operations.alias("o"), lines.alias("i")
-    pairs = o.join(i, F.col("o.group_id") == F.col("i.group_id")).select("o.group_id", "o.op_id", "o.op_no", "i.line_id", "i.line_no", match_score(F.col("o.description"), F.col("i.description")).alias("score")).where(F.col("score") >= least)
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(pdf[["op_no", "op_id", "line_no", "line_id", "score"]].itertuples(index=False, name=None))
-        used, out = set(), []
-        for _, some in groupby(rows, key=lambda r: r[:2]):
-            free = [r for r in some if r[3] not in used]
-            if free:
-                best = max(free, key=lambda r: r[4])  # the first of equal ones
-                used.add(best[3])
-                out.append((best[1], best[3], best[4]))
-        found = pd.DataFrame(out, columns=["op_id", "line_id", "score"])
-        found.insert(0, "group_id", pdf["group_id"].iloc[0])
-        return found
-
+    words = lambda df: df.withColumn("_name", normalise_operation(F.col("description")))
+    o, i = words(operations).alias("o"), words(lines).alias("i")
+    pairs = o.join(i, F.col("o.group_id") == F.col("i.group_id")).select("o.group_id", "o.op_no", "o.op_id", "i.line_no", "i.line_id", name_score(F.col("o._name"), F.col("i._name")).alias("score")).where(F.col("score") >= least)
     kind = dict(pairs.dtypes)
-    return pairs.groupBy("group_id").applyInPandas(greedy, f"group_id {kind['group_id']}, op_id {kind['op_id']}, line_id {kind['line_id']}, score double")
+    return carried(pairs, ["group_id"], ["op_no", "op_id", "line_no", "line_id"], f"group_id {kind['group_id']}, op_id {kind['op_id']}, line_id {kind['line_id']}, score double", _Greedy)
 
 
 def assessment_variance(matches: DataFrame) -> DataFrame:

@@ -4,29 +4,36 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from repairbench.operators.carried import State, carried
+
+
+class _Seal(State):
+    """The hash of a claim's last event."""
+
+    def __init__(self, key: tuple):
+        super().__init__(key)
+        self.last = None
+
+    def step(self, row: tuple):
+        created, event, payload, text = row
+        before, self.last = self.last, hashlib.sha256(f"{text}|{self.last or ''}".encode()).hexdigest()
+        return [(self.key[0], event, created, payload, before, self.last)]
+
 
 def seal_audit(events: DataFrame) -> DataFrame:
     """events(case_id, event_id, created_at, payload) with previous_hash and event_hash.
 
-    The hash is sha256 of ``case|event|payload|previous``. A chain is sequential within its claim; claims are apart.
+    The hash is sha256 of ``case|event|payload|previous``, nulls left out as in `verify_audit`. A chain follows created_at, then
+    event_id; a task carries a claim's last hash, never its events.
     """
-
-    def seal(pdf: pd.DataFrame) -> pd.DataFrame:
-        previous, out = None, []
-        for row in pdf.sort_values(["created_at", "event_id"]).itertuples(index=False):
-            digest = hashlib.sha256(f"{row.case_id}|{row.event_id}|{row.payload}|{previous or ''}".encode()).hexdigest()
-            out.append((row.case_id, row.event_id, row.created_at, row.payload, previous, digest))
-            previous = digest
-        return pd.DataFrame(out, columns=["case_id", "event_id", "created_at", "payload", "previous_hash", "event_hash"])
-
-    rows = events.select("case_id", "event_id", "created_at", "payload")
+    text = F.concat_ws("|", F.col("case_id").cast("string"), F.col("event_id").cast("string"), "payload")
+    rows = events.select("case_id", "created_at", "event_id", F.col("payload").cast("string").alias("payload"), text.alias("text"))
     kind = dict(rows.dtypes)
-    return rows.groupBy("case_id").applyInPandas(seal, f"case_id {kind['case_id']}, event_id {kind['event_id']}, created_at {kind['created_at']}, payload string, previous_hash string, event_hash string")
+    return carried(rows, ["case_id"], ["created_at", "event_id"], f"case_id {kind['case_id']}, event_id {kind['event_id']}, created_at {kind['created_at']}, payload string, previous_hash string, event_hash string", _Seal)
 
 
 def verify_audit(sealed: DataFrame) -> DataFrame:

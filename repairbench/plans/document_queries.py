@@ -57,10 +57,13 @@ def w7_carry_section(spark, sf_dir):
     return P.carry_section(rows, ["user_id"], "event_id", "heading").select("event_id", "section")
 
 
-@query("SELECT event_id, true AS valid FROM events")
+@query("""WITH RECURSIVE e AS (SELECT user_id, event_id, concat_ws('|', user_id::VARCHAR, event_id::VARCHAR, props) AS said, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+chain AS (SELECT user_id, event_id, n, NULL::VARCHAR AS previous_hash, sha256(said || '|') AS event_hash FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.n, c.event_hash, sha256(e.said || '|' || c.event_hash) FROM chain c JOIN e ON e.user_id IS NOT DISTINCT FROM c.user_id AND e.n = c.n + 1)
+SELECT event_id, previous_hash, event_hash, true AS valid FROM chain""")
 def w8_audit_chain(spark, sf_dir):
     events = table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), "event_id", F.col("ts").alias("created_at"), F.col("props").alias("payload"))
-    return A.verify_audit(A.seal_audit(events)).select("event_id", "valid")
+    return A.verify_audit(A.seal_audit(events)).select("event_id", "previous_hash", "event_hash", "valid")
 
 
 def _lines(spark, sf_dir):

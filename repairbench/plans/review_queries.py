@@ -97,12 +97,13 @@ def j16_assessment_variance(spark, sf_dir):
     return E.assessment_variance(rows).select("line_id", "difference", "percent", "threshold_status")
 
 
-@query()
+@query(OBS + """, n AS (SELECT invoice_ref AS group_id, line_id, item_name, row_number() OVER (PARTITION BY invoice_ref, item_name ORDER BY line_id) AS up, row_number() OVER (PARTITION BY invoice_ref, item_name ORDER BY line_id DESC) AS down FROM obs)
+SELECT o.group_id, 'op-' || o.line_id AS op_id, l.line_id, 2 / 3.0::DOUBLE AS score FROM n o JOIN n l ON o.group_id = l.group_id AND o.item_name = l.item_name AND o.down = l.up""")
 def j15_match_operations(spark, sf_dir):
-    """Lines of an order against operations named after the parts of the same order, greedily in order."""
+    """Lines of an order against operations named after the parts of the same order, greedily, the last operation first."""
     place = F.row_number().over(Window.partitionBy("invoice_ref").orderBy("line_id"))
     rows = _lines(spark, sf_dir).select(F.col("invoice_ref").alias("group_id"), "line_id", place.alias("line_no"), F.col("item_name").alias("description"))
-    operations = rows.select("group_id", F.concat(F.lit("op-"), "line_id").alias("op_id"), F.col("line_no").alias("op_no"), F.concat(F.lit("replace "), "description").alias("description"))
+    operations = rows.select("group_id", F.concat(F.lit("op-"), "line_id").alias("op_id"), (-F.col("line_no")).alias("op_no"), F.concat(F.lit("replace "), "description").alias("description"))
     return E.match_operations(operations, rows)
 
 

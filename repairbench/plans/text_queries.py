@@ -119,19 +119,25 @@ n AS (SELECT item_id, name AS text, 0.99 AS confidence FROM i UNION ALL SELECT i
 m2 AS (SELECT line_id, item_id, max(n.confidence) AS confidence, 'synonym' AS decision FROM l JOIN n USING (text) WHERE line_id NOT IN (SELECT line_id FROM m1) GROUP BY 1, 2),
 m AS (FROM m1 UNION ALL FROM m2),
 best AS (SELECT m.*, count(*) OVER (PARTITION BY line_id) AS candidates, row_number() OVER (PARTITION BY line_id ORDER BY confidence DESC, item_id) AS place FROM m)
-SELECT l.line_id, CASE WHEN NOT labour THEN item_id END AS item_id, CASE WHEN NOT labour THEN confidence::DOUBLE END AS confidence, CASE WHEN labour OR item_id IS NULL THEN 'no_match' ELSE decision END AS decision, coalesce(candidates, 0) AS candidates
-FROM l LEFT JOIN best ON l.line_id = best.line_id AND place = 1""")
+SELECT l.line_id, CASE WHEN NOT labour THEN item_id END AS item_id, CASE WHEN NOT labour THEN confidence::DOUBLE END AS confidence, CASE WHEN labour OR item_id IS NULL THEN 'no_match' ELSE decision END AS decision, coalesce(candidates, 0) AS candidates,
+ coalesce(others, '') AS alternatives, CASE WHEN NOT labour AND confidence > 0.95 THEN 'auto_accepted' ELSE 'review' END AS status, labour AND item_id IS NOT NULL AS type_mismatch
+FROM l LEFT JOIN best ON l.line_id = best.line_id AND place = 1 LEFT JOIN (SELECT line_id, string_agg(item_id || ':' || (confidence * 100)::INT, ',' ORDER BY place) AS others FROM best JOIN l USING (line_id) WHERE place <= 8 AND (labour OR place > 1) GROUP BY 1) o ON l.line_id = o.line_id""")
 def j1_j2_j4_map_lines(spark, sf_dir):
     """The rungs that SQL can express, J1 and J2; `j1_j4_map_lines` is the whole ladder."""
     lines, items = _mapping(spark, sf_dir)
-    return M.map_lines(lines, items, fuzzy_least=None)
+    return _told(M.map_lines(lines, items, fuzzy_least=None))
+
+
+def _told(mapped):
+    others = F.transform("alternatives", lambda x: F.concat(x["item_id"].cast("string"), F.lit(":"), F.round(x["confidence"] * 100).cast("int").cast("string")))
+    return mapped.withColumn("alternatives", F.coalesce(F.array_join(others, ","), F.lit("")))
 
 
 @query()
 def j1_j4_map_lines(spark, sf_dir):
     """The whole ladder: J1, J2, then J3 for what is left. SQL can't score the third rung."""
     lines, items = _mapping(spark, sf_dir)
-    return M.map_lines(lines, items)
+    return _told(M.map_lines(lines, items))
 
 
 @query()
