@@ -129,19 +129,21 @@ def rolling_p90(obs: DataFrame, keys: list[str], block_rows: int = BLOCK_ROWS) -
     """line_id, history, p90 (pence): for each line the P90 of its key's earlier invoices' positive costs.
 
     obs(line_id, keys, invoice_date, invoice_ref, cost). Earlier means by (date, nulls first; invoice ref); lines of
-    one invoice are judged together. cost is in pence and may be null. A key of more than `block_rows` lines is cut
-    by date: each period is a group of its own and gets the counts of all earlier prices, not the rows.
+    one invoice are judged together. cost is in pence and may be null. A key of more than `block_rows` lines (or prices, if
+    it has more of these) is cut by date: each period is a group of its own and gets the counts of all earlier prices, not
+    the rows, so that all periods together get no more rows than the key has.
     """
     rows = obs.select("line_id", *keys, "invoice_date", "invoice_ref", "cost")
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"), F.min("invoice_date").alias("first"), F.datediff(F.max("invoice_date"), F.min("invoice_date")).alias("days"))
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.greatest(F.lit(block_rows), F.approx_count_distinct("cost"))).cast("int").alias("parts"), F.min("invoice_date").alias("first"), F.datediff(F.max("invoice_date"), F.min("invoice_date")).alias("days"))
     age = F.datediff("r.invoice_date", F.col("s.first"))
     period = F.coalesce(F.least(F.floor(age * F.col("s.parts") / (F.col("s.days") + 1)), F.col("s.parts") - 1).cast("int"), F.lit(0))
     placed = rows.alias("r").join(sizes.alias("s"), same("r", "s")).select("r.*", period.alias("period"), F.col("s.parts").alias("parts"))
-    counts = placed.where("parts > 1 AND cost > 0").groupBy(*keys, "period", "cost").agg(F.count("*").alias("times"))
-    periods = counts.select(*keys, F.col("period").alias("at")).distinct()
-    before = counts.alias("c").join(periods.alias("p"), [*same("c", "p"), F.col("c.period") < F.col("p.at")])
-    before = before.groupBy(*[F.col(f"c.{k}").alias(k) for k in keys], F.col("p.at").alias("period"), F.col("c.cost").alias("cost")).agg(F.sum("c.times").alias("times"))
+    # What a price counts at the end of a period it brings to all periods up to the next that has it.
+    counts = placed.where("parts > 1 AND cost > 0").groupBy(*keys, "period", "parts", "cost").agg(F.count("*").alias("n"))
+    along = Window.partitionBy(*keys, "cost").orderBy("period")
+    ends = counts.select(*keys, "cost", F.sum("n").over(along).alias("times"), F.col("period").alias("at"), F.coalesce(F.lead("period").over(along), F.col("parts") - 1).alias("until")).where("at < until")
+    before = ends.select(*keys, F.explode(F.sequence(F.col("at") + 1, F.col("until"))).alias("period"), "cost", "times")
     typed = {f.name: f.dataType for f in rows.schema}
     none = lambda n: F.lit(None).cast(typed[n]).alias(n)
     past = before.select(none("line_id"), *keys, none("invoice_date"), none("invoice_ref"), "cost", "period", "times")
@@ -163,6 +165,12 @@ def p90_exceptions(obs: DataFrame, keys: list[str], threshold: int = 10, least:
     return judged.where(over).withColumn("percent_above", half_even(F.col("difference") * 1000, F.col("p90")) / F.lit(10.0))
 
 
+def labour_rate(explicit: Column, unit_price: Column, item_type: Column, unit: Column) -> Column:
+    """The rate that was told, else the unit price of labour by the hour."""
+    hourly = (item_type == "labour") & unit.isin("hour", "hours", "hr", "hrs")
+    return F.coalesce(explicit, F.when(hourly, unit_price))
+
+
 def benchmark_table(obs: DataFrame, keys: list[str], threshold: int = 10, min_count: int = 1) -> DataFrame:
     """Statistics of each group with its source rows, distinct invoices, exceptions, sample strength and latest date."""
     stats = benchmark_statistics(obs, keys, "price")

@@ -31,12 +31,27 @@ def repairer_trends(found: DataFrame) -> DataFrame:
     return rows.select("repairer", "challenge_count", "invoice_count", pounds(F.col("total")).alias("total_difference"), pounds(F.col("largest")).alias("maximum_difference"), "item_count")
 
 
-def repairer_graph(found: DataFrame, repairers: int = 8, items: int = 10) -> DataFrame:
-    """Edges of the largest repairers with the most challenged items among them."""
-    edges = repairer_item_trends(found)
+def shown_exceptions(found: DataFrame, repairers: int = 8, items: int = 10) -> DataFrame:
+    """The exceptions of the largest repairers, of the most challenged items among them: by distinct invoices, challenges, name."""
+    keyed = found.withColumn("repairer_key", repairer_key(F.col("repairer")))
+    size = [F.countDistinct("invoice_ref").alias("invoices"), F.count("*").alias("challenges")]
     order = lambda name: [F.desc("invoices"), F.desc("challenges"), F.asc(name)]
-    counts = [F.sum("invoice_count").alias("invoices"), F.sum("challenge_count").alias("challenges")]
-    top = edges.groupBy("repairer_key").agg(*counts).orderBy(*order("repairer_key")).limit(repairers).select("repairer_key")
-    shown = edges.join(F.broadcast(top), "repairer_key", "left_semi")
-    most = shown.groupBy("item_name").agg(*counts).orderBy(*order("item_name")).limit(items).select("item_name")
+    top = keyed.groupBy("repairer_key").agg(*size).orderBy(*order("repairer_key")).limit(repairers).select("repairer_key")
+    shown = keyed.join(F.broadcast(top), "repairer_key", "left_semi")
+    most = shown.groupBy("item_name").agg(*size).orderBy(*order("item_name")).limit(items).select("item_name")
     return shown.join(F.broadcast(most), "item_name", "left_semi")
+
+
+def repairer_graph(found: DataFrame, repairers: int = 8, items: int = 10) -> DataFrame:
+    """Edges between the repairers and items that are shown."""
+    return repairer_item_trends(shown_exceptions(found, repairers, items).drop("repairer_key"))
+
+
+def graph_totals(found: DataFrame, repairers: int = 8, items: int = 10) -> DataFrame:
+    """One row over the shown edges: distinct invoices, challenges, the difference in all (pence), first repairer and item."""
+    shown = shown_exceptions(found, repairers, items)
+    whole = shown.agg(F.countDistinct("invoice_ref").alias("invoice_count"), F.count("*").alias("challenge_count"), F.sum("difference").alias("total"))
+    keyed = found.withColumn("repairer_key", repairer_key(F.col("repairer")))
+    size = [F.countDistinct("invoice_ref").alias("i"), F.count("*").alias("c")]
+    first = lambda df, key, out: df.groupBy(key).agg(*size).agg(F.min_by(key, F.struct(-F.col("i"), -F.col("c"), key)).alias(out))
+    return whole.join(first(keyed, "repairer_key", "top_repairer")).join(first(shown, "item_name", "top_item"))

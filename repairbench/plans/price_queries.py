@@ -61,15 +61,26 @@ def g14_repairer_item_trends(spark, sf_dir):
     return N.repairer_item_trends(B.p90_exceptions(_obs(spark, sf_dir), KEYS)).drop("repairer_key")
 
 
-@query(JUDGED + """, edges AS (SELECT lower(trim(repairer)) AS repairer_key, item_name, count(*) AS challenge_count, count(DISTINCT invoice_ref) AS invoice_count, sum(difference)::BIGINT AS total FROM found GROUP BY 1, 2),
-top AS (SELECT repairer_key FROM edges GROUP BY 1 ORDER BY sum(invoice_count) DESC, sum(challenge_count) DESC, repairer_key LIMIT 8),
-shown AS (SELECT * FROM edges WHERE repairer_key IN (FROM top)),
-most AS (SELECT item_name FROM shown GROUP BY 1 ORDER BY sum(invoice_count) DESC, sum(challenge_count) DESC, item_name LIMIT 10)
-SELECT * FROM shown WHERE item_name IN (FROM most)""")
+SHOWN = JUDGED + """, keyed AS (SELECT *, lower(trim(repairer)) AS repairer_key FROM found),
+top AS (SELECT repairer_key FROM keyed GROUP BY 1 ORDER BY count(DISTINCT invoice_ref) DESC, count(*) DESC, repairer_key LIMIT 8),
+theirs AS (SELECT * FROM keyed WHERE repairer_key IN (FROM top)),
+most AS (SELECT item_name FROM theirs GROUP BY 1 ORDER BY count(DISTINCT invoice_ref) DESC, count(*) DESC, item_name LIMIT 10),
+shown AS (SELECT * FROM theirs WHERE item_name IN (FROM most))
+"""
+
+
+@query(SHOWN + "SELECT repairer_key, item_name, count(*) AS challenge_count, count(DISTINCT invoice_ref) AS invoice_count, sum(difference)::BIGINT AS total FROM shown GROUP BY 1, 2")
 def g15_repairer_graph(spark, sf_dir):
     return N.repairer_graph(B.p90_exceptions(_obs(spark, sf_dir), KEYS)).select("repairer_key", "item_name", "challenge_count", "invoice_count", "total")
 
 
+@query(SHOWN + """SELECT count(DISTINCT invoice_ref) AS invoice_count, count(*) AS challenge_count, sum(difference)::BIGINT AS total,
+ (SELECT repairer_key FROM keyed GROUP BY 1 ORDER BY count(DISTINCT invoice_ref) DESC, count(*) DESC, repairer_key LIMIT 1) AS top_repairer,
+ (SELECT item_name FROM shown GROUP BY 1 ORDER BY count(DISTINCT invoice_ref) DESC, count(*) DESC, item_name LIMIT 1) AS top_item FROM shown""")
+def g15_graph_totals(spark, sf_dir):
+    return N.graph_totals(B.p90_exceptions(_obs(spark, sf_dir), KEYS))
+
+
 def _stats(keys: str, value: str = "cost") -> str:
     part = lambda num, den: f"(n - 1) * {num} // {den} + 1"
     times = lambda num, den: f"(v[{part(num, den)}] * {den} + (v[least({part(num, den)} + 1, n)] - v[{part(num, den)}]) * ((n - 1) * {num} % {den}))"
@@ -101,24 +112,36 @@ def g3_category_averages(spark, sf_dir):
     return B.category_averages(_obs(spark, sf_dir), "vehicle_label")
 
 
-@query(OBS.replace("WITH obs", "WITH base") + ", obs AS (SELECT * FROM base WHERE item_type = 'ECONOMY')" + _stats("item_name", "unit_cost") + "SELECT * FROM stats")
+RATED = OBS.replace("WITH obs", "WITH base") + ", obs AS (SELECT *, CASE WHEN vat_rate = 2 THEN 4500 + quantity WHEN item_type = 'ECONOMY' AND quantity % 3 = 0 THEN unit_cost END AS rate FROM base)"
+
+
+def _rated(spark, sf_dir):
+    """One part type stands for labour; some lines tell their rate, others are by the hour."""
+    told = F.when(F.col("vat_rate") == 2, (4500 + F.col("quantity").cast("long")))
+    kind, unit = F.when(F.col("item_type") == "ECONOMY", "labour").otherwise("part"), F.when(F.col("quantity") % 3 == 0, "hrs").otherwise("each")
+    return _obs(spark, sf_dir).withColumn("rate_pence", B.labour_rate(told, F.col("unit_cost"), kind, unit))
+
+
+@query(RATED + _stats("item_name", "rate") + "SELECT * FROM stats")
 def g4_labour_rates(spark, sf_dir):
-    """Statistics of hourly unit prices; the bound tables have no labour, so one part type stands for it."""
-    rows = _obs(spark, sf_dir).where("item_type = 'ECONOMY'").withColumn("rate", F.col("unit_price"))
+    rows = _rated(spark, sf_dir).withColumn("rate", (F.col("rate_pence").cast("decimal(20,0)") / 100).cast("decimal(20,2)"))
     return B.benchmark_statistics(rows, ["item_name"], "rate")
 
 
-@query(OBS + """, i AS (SELECT * FROM obs WHERE role = 'invoice' AND cost > 0),
+@query(RATED + """, i AS (SELECT * FROM obs WHERE role = 'invoice' AND cost > 0),
 n AS (SELECT item_name, count(*) AS c, (2 * sum(cost)::BIGINT + count(*)) // (2 * count(*)) AS m FROM i GROUP BY 1)
 SELECT (SELECT ((2 * sum(cost)::BIGINT + count(*)) // (2 * count(*))) / 100.0 FROM i) AS average_cost, (SELECT count(*) FROM i) AS observation_count,
-  (SELECT item_name FROM n ORDER BY c DESC, item_name LIMIT 1) AS most_observed, (SELECT item_name FROM n ORDER BY m DESC, item_name LIMIT 1) AS most_expensive, (SELECT max(m) / 100.0 FROM n) AS highest_mean""")
+  (SELECT item_name FROM n ORDER BY c DESC, item_name LIMIT 1) AS most_observed, (SELECT item_name FROM n ORDER BY m DESC, item_name LIMIT 1) AS most_expensive, (SELECT max(m) / 100.0 FROM n) AS highest_mean,
+  (SELECT ((2 * sum(rate)::BIGINT + count(*)) // (2 * count(*))) / 100.0 FROM i WHERE rate > 0) AS average_labour_rate""")
 def g5_dashboard_summary(spark, sf_dir):
-    rows = _obs(spark, sf_dir).where("cost > 0")
-    items = rows.groupBy("item_name").agg(F.count("*").alias("c"), F.sum("cost").alias("s"))
+    rows = _rated(spark, sf_dir).where("cost > 0")
+    rated = F.when(F.col("rate_pence") > 0, F.col("rate_pence"))
+    items = rows.groupBy("item_name").agg(F.count("*").alias("c"), F.sum("cost").alias("s"), F.sum(rated).alias("r"), F.count(rated).alias("k"))
     mean = F.expr("(2 * s + c) div (2 * c)")
     named = items.agg(
         F.expr("((2 * sum(s) + sum(c)) div (2 * sum(c))) / 100.0D").alias("average_cost"), F.sum("c").alias("observation_count"),
         F.min_by("item_name", F.struct(-F.col("c"), "item_name")).alias("most_observed"), F.min_by("item_name", F.struct(-mean, "item_name")).alias("most_expensive"), pounds(F.max(mean)).alias("highest_mean"),
+        F.expr("((2 * sum(r) + sum(k)) div (2 * sum(k))) / 100.0D").alias("average_labour_rate"),
     )
     return named
 
