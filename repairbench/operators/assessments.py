@@ -11,19 +11,25 @@ from repairbench.operators.carried import State, carried
 
 
 def pair_assessments(assessments: DataFrame, invoices: DataFrame) -> DataFrame:
-    """Each assessment with its best invoice of the claim, if it scores .70 or more; ties go to the smaller invoice.
+    """assessment_id, invoice_id, score, status, reasons: the best invoice of the claim, if it scores .70 or more; ties go to the smaller invoice.
 
-    assessments(assessment_id, case_id, registration, reference), invoices(invoice_id, case_id, registration, number).
+    assessments(assessment_id, case_id, registration, reference), invoices(invoice_id, case_id, registration, number). Equal
+    registrations count 70, a reference that the invoice's number holds 25. Invoices of the claim's own registration are found
+    by an equi-join; only assessments without one look for their reference in the claim's other numbers. An unpaired
+    assessment tells the score and the reasons of its best invoice.
     """
-    a, i = assessments.alias("a"), invoices.alias("i")
-    same = (registration_key(F.col("a.registration")) != "") & (registration_key(F.col("a.registration")) == registration_key(F.col("i.registration")))
-    named = F.coalesce(F.contains(F.upper("i.number"), F.upper("a.reference")) & (F.col("a.reference") != ""), F.lit(False))
-    score = F.when(same, 70).otherwise(0) + F.when(named, 25).otherwise(0)
-    best = a.join(i, F.col("a.case_id") == F.col("i.case_id")).select("a.assessment_id", "i.invoice_id", score.alias("score")).where("score > 0")
-    best = best.groupBy("assessment_id").agg(F.min_by(F.struct("invoice_id", "score"), F.struct(-F.col("score"), "invoice_id")).alias("b"))
-    rows = assessments.select("assessment_id").join(best, "assessment_id", "left")
-    paired = F.coalesce(F.col("b.score") >= 70, F.lit(False))
-    return rows.select("assessment_id", F.when(paired, F.col("b.invoice_id")).alias("invoice_id"), F.coalesce("b.score", F.lit(0)).alias("score"), F.when(paired, "paired").otherwise("unpaired").alias("status"))
+    key = lambda c: F.nullif(registration_key(F.col(c)), F.lit(""))
+    a = assessments.select("assessment_id", "case_id", key("registration").alias("own"), F.nullif(F.upper("reference"), F.lit("")).alias("wanted"))
+    i = invoices.select("invoice_id", F.col("case_id").alias("of_case"), key("registration").alias("theirs"), F.upper("number").alias("number"))
+    named = F.coalesce(F.contains("number", F.col("wanted")), F.lit(False))
+    same = a.join(i, (F.col("case_id") == F.col("of_case")) & (F.col("own") == F.col("theirs"))).select("assessment_id", "invoice_id", F.when(named, 95).otherwise(70).alias("score"))
+    rest = a.where("wanted IS NOT NULL").join(same.select("assessment_id").distinct(), "assessment_id", "left_anti")
+    held = rest.join(i, (F.col("case_id") == F.col("of_case")) & named).select("assessment_id", "invoice_id", F.lit(25).alias("score"))
+    best = same.unionByName(held).groupBy("assessment_id").agg(F.min_by(F.struct("invoice_id", "score"), F.struct(-F.col("score"), "invoice_id")).alias("b"))
+    rows = assessments.select("assessment_id").join(best, "assessment_id", "left").withColumn("score", F.coalesce("b.score", F.lit(0)))
+    paired = F.col("score") >= 70
+    reasons = F.array_compact(F.array(F.when(paired, "registration exact match"), F.when(F.col("score").isin(25, 95), "claim reference found in invoice number"), F.when(F.col("score") == 0, "no safe identifier match")))
+    return rows.select("assessment_id", F.when(paired, F.col("b.invoice_id")).alias("invoice_id"), "score", F.when(paired, "paired").otherwise("unpaired").alias("status"), reasons.alias("reasons"))
 
 
 def match_score(left: Column, right: Column) -> Column:

@@ -41,12 +41,23 @@ def apply_decisions(challenges: DataFrame) -> DataFrame:
     return rows.withColumn("vat", vat).withColumn("percent", percent_of(F.col("net"), F.col("billed"))).withColumn("status", status)
 
 
-def financial_summary(lines: DataFrame, key: str) -> DataFrame:
-    """Totals of approved lines: lines(key, billed, price, vat_rate, mot, approved), in pence; MOT carries no VAT."""
+def financial_summary(lines: DataFrame, key: str, invoices: DataFrame | None = None) -> DataFrame:
+    """Totals of approved lines: lines(key, billed, price, vat_rate, mot, approved), in pence; MOT carries no VAT.
+
+    With invoices(key, vat, gross) also original_vat, original_gross (what was billed and its VAT, where no gross is told) and
+    proposed_gross, what is left of it.
+    """
     gap = F.greatest(F.col("billed") - F.col("price"), F.lit(0))
     rows = lines.where("approved").withColumn("gap", gap).withColumn("vat", F.when(F.col("mot"), F.lit(0)).otherwise(half_up(gap * F.col("vat_rate"), F.lit(100))))
     out = rows.groupBy(key).agg(F.sum("billed").alias("billed"), F.sum("gap").alias("challenge_net"), F.sum("vat").alias("vat"), F.sum(F.when(F.col("mot"), F.col("billed")).otherwise(0)).alias("mot_total"), F.sum((F.col("gap") > 0).cast("int")).alias("challenged"))
-    return out.withColumn("percent", percent_of(F.col("challenge_net"), F.col("billed"))).withColumn("challenge_gross", F.col("challenge_net") + F.col("vat"))
+    out = out.withColumn("percent", percent_of(F.col("challenge_net"), F.col("billed"))).withColumn("challenge_gross", F.col("challenge_net") + F.col("vat"))
+    if invoices is None:
+        return out
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    told = invoices.groupBy(key).agg(zero(F.sum("vat")).alias("original_vat"), zero(F.sum("gross")).alias("_gross"))
+    out = out.join(told, key, "left").withColumn("original_vat", zero("original_vat"))
+    out = out.withColumn("original_gross", F.when(zero("_gross") == 0, F.col("billed") + F.col("original_vat")).otherwise(F.col("_gross"))).drop("_gross")
+    return out.withColumn("proposed_gross", F.greatest(F.col("original_gross") - F.col("challenge_gross"), F.lit(0)))
 
 
 def workspace_status(lines: DataFrame) -> DataFrame:
@@ -57,14 +68,17 @@ def workspace_status(lines: DataFrame) -> DataFrame:
 
 
 def learn_synonyms(reviews: DataFrame, items: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """item_id, normalised: approved descriptions that become synonyms, one item each.
+    """item_id, normalised, action: approved descriptions that become synonyms (learned), or that approve one (promoted), one item each.
 
-    Left out: those that equal their item's name, and those that another item has as a name or synonym.
+    reviews(item_id, description, approved), items(item_id, name), synonyms(item_id, synonym, approved). Left out: those that equal
+    an item's name, those that another item has as a synonym, and approved synonyms of the item itself.
     """
     wanted = reviews.where("approved").select("item_id", normalise_description(F.col("description")).alias("normalised")).where("normalised <> ''")
+    names = items.select(normalise_description(F.col("name")).alias("normalised")).distinct()
+    held = synonyms.select(F.col("item_id").alias("owner"), normalise_description(F.col("synonym")).alias("normalised"), F.coalesce("approved", F.lit(False)).alias("known"))
+    held = held.groupBy("normalised").agg(F.min_by("owner", F.struct(~F.col("known"), "owner")).alias("owner"), F.max("known").alias("known"))
+    rows = wanted.groupBy("item_id", "normalised").agg(F.count("*").alias("n")).join(names, "normalised", "left_anti").join(held, "normalised", "left")
+    rows = rows.where("owner IS NULL OR (owner = item_id AND NOT known)")
     first = F.row_number().over(Window.partitionBy("normalised").orderBy(F.desc("n"), "item_id"))
-    wanted = wanted.groupBy("item_id", "normalised").agg(F.count("*").alias("n")).withColumn("k", first).where("k = 1").select("item_id", "normalised")
-    names = items.select(F.col("item_id").alias("owner"), normalise_description(F.col("name")).alias("normalised")).withColumn("is_name", F.lit(True))
-    taken = names.unionByName(synonyms.select(F.col("item_id").alias("owner"), normalise_description(F.col("synonym")).alias("normalised"), F.lit(False).alias("is_name")))
-    clash = wanted.join(taken, "normalised").where("owner <> item_id OR is_name").select("item_id", "normalised")
-    return wanted.join(clash, ["item_id", "normalised"], "left_anti")
+    action = F.when(F.col("owner").isNull(), "learned").otherwise("promoted")
+    return rows.withColumn("k", first).where("k = 1").select("item_id", "normalised", action.alias("action"))

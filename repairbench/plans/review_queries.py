@@ -110,21 +110,26 @@ def j15_match_operations(spark, sf_dir):
 @query("""WITH a AS (SELECT o_orderkey AS assessment_id, o_custkey % 40 AS case_id, o_orderkey % 9 AS reg FROM orders WHERE o_orderstatus = 'F'), i AS (SELECT o_orderkey AS invoice_id, o_custkey % 40 AS case_id, o_orderkey % 9 AS reg FROM orders WHERE o_orderstatus = 'O'),
 s AS (SELECT assessment_id, invoice_id, CASE WHEN a.reg = i.reg THEN 70 ELSE 0 END + CASE WHEN contains('INV-' || invoice_id, assessment_id::VARCHAR) THEN 25 ELSE 0 END AS score FROM a JOIN i USING (case_id)),
 b AS (SELECT *, row_number() OVER (PARTITION BY assessment_id ORDER BY score DESC, invoice_id) AS n FROM s WHERE score > 0)
-SELECT a.assessment_id, CASE WHEN score >= 70 THEN invoice_id END AS invoice_id, coalesce(score, 0) AS score, CASE WHEN score >= 70 THEN 'paired' ELSE 'unpaired' END AS status FROM a LEFT JOIN b ON a.assessment_id = b.assessment_id AND n = 1""")
+SELECT a.assessment_id, CASE WHEN score >= 70 THEN invoice_id END AS invoice_id, coalesce(score, 0) AS score, CASE WHEN score >= 70 THEN 'paired' ELSE 'unpaired' END AS status,
+ CASE WHEN score IS NULL THEN 'no safe identifier match' ELSE concat_ws('; ', CASE WHEN score >= 70 THEN 'registration exact match' END, CASE WHEN score IN (25, 95) THEN 'claim reference found in invoice number' END) END AS reasons FROM a LEFT JOIN b ON a.assessment_id = b.assessment_id AND n = 1""")
 def j14_pair_assessments(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").withColumn("case_id", F.col("o_custkey") % 40).withColumn("registration", F.concat(F.lit("AB 1-"), (F.col("o_orderkey") % 9).cast("string")))
     a = orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("assessment_id"), "case_id", "registration", F.col("o_orderkey").cast("string").alias("reference"))
     i = orders.where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("invoice_id"), "case_id", F.lower("registration").alias("registration"), F.concat(F.lit("inv-"), F.col("o_orderkey").cast("string")).alias("number"))
-    return E.pair_assessments(a, i)
+    return E.pair_assessments(a, i).withColumn("reasons", F.array_join("reasons", "; "))
 
 
 @query(OBS + """, f AS (SELECT case_id, cost, greatest(cost - reference * quantity, 0) AS gap, vat_rate, vat_rate = 0 AS mot FROM obs WHERE status = 'approved'),
-g AS (SELECT *, CASE WHEN mot THEN 0 ELSE (2 * gap * vat_rate + 100) // 200 END AS vat FROM f)
-SELECT case_id, sum(cost)::BIGINT AS billed, sum(gap)::BIGINT AS challenge_net, sum(vat)::BIGINT AS vat, coalesce(sum(cost) FILTER (mot), 0)::BIGINT AS mot_total, count(*) FILTER (gap > 0) AS challenged,
- (20000 * sum(gap) + sum(cost))::BIGINT // (2 * sum(cost))::BIGINT AS percent, (sum(gap) + sum(vat))::BIGINT AS challenge_gross FROM g GROUP BY 1""")
+g AS (SELECT *, CASE WHEN mot THEN 0 ELSE (2 * gap * vat_rate + 100) // 200 END AS vat FROM f),
+o AS (SELECT o_custkey AS case_id, coalesce(sum((o_totalprice::DECIMAL(20,2) * 100)::BIGINT) FILTER (o_custkey % 3 <> 0), 0)::BIGINT AS gross, sum(o_orderkey % 1000)::BIGINT AS original_vat FROM orders GROUP BY 1),
+s AS (SELECT case_id, sum(cost)::BIGINT AS billed, sum(gap)::BIGINT AS challenge_net, sum(vat)::BIGINT AS vat, coalesce(sum(cost) FILTER (mot), 0)::BIGINT AS mot_total, count(*) FILTER (gap > 0) AS challenged,
+ (20000 * sum(gap) + sum(cost))::BIGINT // (2 * sum(cost))::BIGINT AS percent, (sum(gap) + sum(vat))::BIGINT AS challenge_gross FROM g GROUP BY 1)
+SELECT s.*, original_vat, CASE WHEN gross = 0 THEN billed + original_vat ELSE gross END AS original_gross, greatest(original_gross - challenge_gross, 0) AS proposed_gross FROM s JOIN o USING (case_id)""")
 def g12_financial_summary(spark, sf_dir):
     rows = _lines(spark, sf_dir).select("case_id", "billed", F.col("reference").alias("price"), "vat_rate", (F.col("vat_rate") == 0).alias("mot"), (F.col("status") == "approved").alias("approved"))
-    return V.financial_summary(rows, "case_id")
+    told = F.when(F.col("o_custkey") % 3 != 0, pence(F.col("o_totalprice")))
+    invoices = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), (F.col("o_orderkey") % 1000).alias("vat"), told.alias("gross"))
+    return V.financial_summary(rows, "case_id", invoices)
 
 
 @query(OBS + """SELECT line_id, CASE WHEN status = 'rejected' THEN 'excluded' WHEN quantity % 4 = 0 THEN 'no_match' WHEN vat_rate % 2 = 0 THEN 'match' ELSE 'provisional' END AS mapping_status,
@@ -180,10 +185,13 @@ def t11_t14_identity(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", T.clean_identifier(number, "number").alias("number"), T.clean_identifier(F.when(k == 0, "Unknown repairer").otherwise(F.col("s_name")), "supplier").alias("supplier"), code.alias("code"))
 
 
-@query(f"""WITH i AS (SELECT min(p_partkey) AS item_id, p_name FROM part GROUP BY p_name), r AS (SELECT p_partkey % 7 AS z, i.item_id, CASE p_partkey % 3 WHEN 0 THEN p.p_name ELSE 'new ' || p.p_name END AS d FROM part p JOIN i USING (p_name) WHERE p_partkey % 5 <> 0)
-SELECT DISTINCT item_id, d AS normalised FROM r WHERE d LIKE 'new %' AND d NOT IN (SELECT p_name FROM i)""")
+@query("""WITH i AS (SELECT min(p_partkey) AS item_id, p_name FROM part GROUP BY p_name), r AS (SELECT i.item_id, CASE p_partkey % 3 WHEN 0 THEN p.p_name ELSE 'new ' || p.p_name END AS d FROM part p JOIN i USING (p_name) WHERE p_partkey % 5 <> 0),
+h AS (SELECT CASE WHEN item_id % 4 = 0 THEN item_id + 1 ELSE item_id END AS owner, 'new ' || p_name AS d, item_id % 4 = 1 AS approved FROM i WHERE item_id % 4 <> 3)
+SELECT DISTINCT item_id, r.d AS normalised, CASE WHEN owner IS NULL THEN 'learned' ELSE 'promoted' END AS action FROM r LEFT JOIN h ON r.d = h.d WHERE r.d LIKE 'new %' AND r.d NOT IN (SELECT p_name FROM i) AND (owner IS NULL OR (owner = item_id AND NOT approved))""")
 def j19_learn_synonyms(spark, sf_dir):
+    """Some synonyms are another item's, some are approved, some wait for approval."""
     part = table(spark, sf_dir, "part")
     items = part.groupBy("p_name").agg(F.min("p_partkey").alias("item_id")).withColumn("name", F.col("p_name"))
     reviews = part.join(items, "p_name").select("item_id", (F.col("p_partkey") % 5 != 0).alias("approved"), F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).otherwise(F.concat(F.lit("New  "), "p_name")).alias("description"))
-    return V.learn_synonyms(reviews, items.select("item_id", "name"), items.limit(0).select("item_id", F.col("name").alias("synonym")))
+    held = items.where("item_id % 4 <> 3").select(F.when(F.col("item_id") % 4 == 0, F.col("item_id") + 1).otherwise(F.col("item_id")).alias("item_id"), F.concat(F.lit("new "), "name").alias("synonym"), (F.col("item_id") % 4 == 1).alias("approved"))
+    return V.learn_synonyms(reviews, items.select("item_id", "name"), held)
