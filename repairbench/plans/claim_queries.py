@@ -77,9 +77,9 @@ def c8_type_compatible(spark, sf_dir):
     return rows.withColumn("compatible", R.type_compatible(F.col("line_kind"), F.col("item_kind")))
 
 
-@query("SELECT event_id, CASE WHEN value / 100 > 0.95 THEN 'approved' WHEN value / 100 < 0.90 THEN 'needs_review' ELSE 'pending' END AS status FROM events WHERE value IS NOT NULL")
+@query("SELECT event_id, CASE WHEN value / 100 > 0.95 THEN 'approved' WHEN value / 100 < 0.90 THEN 'needs_review' ELSE 'pending' END AS status FROM events")
 def c9_review_status(spark, sf_dir):
-    return table(spark, sf_dir, "events").where("value IS NOT NULL").select("event_id", R.review_status(F.col("value") / 100).alias("status"))
+    return table(spark, sf_dir, "events").select("event_id", R.review_status(F.col("value") / 100).alias("status"))
 
 
 ELIGIBLE = "role = 'invoice' AND invoice_date IS NOT NULL AND status <> 'rejected' AND {} > 0"
