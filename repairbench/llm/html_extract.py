@@ -7,8 +7,14 @@ article, are bad. Short blocks, paragraphs of an article with links in them, and
 inherit the label of the nearest decided block of their part of the page. A part with nothing decided is kept.
 
 Elements that hold no article text (navigation, footers, buttons) make their blocks bad. Class and id names, and forms,
-only weigh: a marked element is left out unless it holds most of a page's good text and no article stands outside it, or unless
-nothing good would be left without it.
+only weigh. A name made of nothing but words of such parts ("ad", "share-buttons") marks an element: it is left out unless it
+holds most of a page's good text and no article stands outside it (never so for reader comments), or unless nothing good would
+be left without it. A name that holds such a word beside others ("share-price", "notice-of-death"), or a header in an article,
+leaves the element in doubt: its blocks are good from twice the length and with stop words only, bad if short and linked, else
+undecided, so that pass two decides. Names of headings say nothing.
+
+Everything is linear in a page's length, however deep its elements stand in each other. Of equally near neighbours the one
+before counts.
 """
 
 from __future__ import annotations
@@ -44,6 +50,18 @@ MARKS = frozenset(
     notice notices alert popup modal overlay share sharing social related recommended newsletter subscribe signup login
     search form copyright legal disclaimer skip pagination pager tags hidden""".split()
 )
+# Words that say where or how such a part is shown, not what it holds.
+PLACES = frozenset(
+    """area article bar block bottom box btn button buttons card cell center col column container content cta desktop entry fixed
+    foot google group head holder icon icons image inner item items label left line link links list main message mini mobile module
+    outer panel pane post posts primary rail region right row secondary section site slot small space sticky strip text thread title
+    toolbar top unit view wrap wrapper zone""".split()
+)
+# Words of parts written by readers.
+READERS = frozenset("comment comments reply replies respond disqus".split())
+# Whole lines, and a phrase of lines, at the foot of a page.
+FOOT_LINES = frozenset(("about us", "back to top", "contact us", "cookie policy", "privacy policy", "sitemap", "terms and conditions", "terms of service", "terms of use"))
+FOOT_PHRASE = "all rights reserved"
 # With these in its name, a class or id speaks of the page around such a part.
 AROUND = frozenset("with without has no free layout page body".split())
 
@@ -64,6 +82,23 @@ class Rules:
     all_links: float = 0.8
     link_run: int = 3
     most: float = 0.7
+    doubt: int = 2  # times the length
+
+
+@dataclass(eq=False)
+class Mark:
+    """An element whose name says that it isn't the article, or may not be; `outer` is the next such element around it."""
+
+    outer: Mark | None
+    kind: str  # "aside", "readers" or "doubt"
+    held: int = 0  # characters of long and plain blocks inside
+    own: int = 0  # those that stand in no inner mark
+    own_article: int = 0  # those of an article
+    left_out: bool = False
+
+    def __post_init__(self):
+        self.doubt: bool = self.kind == "doubt" or bool(self.outer and self.outer.doubt)
+        self.aside: bool = self.kind != "doubt" or bool(self.outer and self.outer.aside)
 
 
 @dataclass
@@ -72,25 +107,35 @@ class Block:
     linked: int  # characters inside links
     part: int  # which article (or the page itself) it stands in
     outside: bool  # in an element that holds no article text
-    marks: tuple[int, ...] = ()  # the elements around it whose names say that they aren't the article, outermost first
+    mark: Mark | None = None  # the innermost element around it whose name weighs
     label: str = ""
 
 
-def _marked(attrs: str) -> bool:
+def _kind(tag: str, attrs: str, part: int) -> str:
+    """What an element's names say of it: "readers", "aside", "doubt", or nothing."""
+    found = {"aside"} if tag == "form" else set()
+    if tag in ("html", "body", "h1", "h2", "h3", "h4", "h5", "h6"):
+        return ""
     for m in _NAMES.finditer(attrs):
         for name in m[1].strip("\"'").lower().split():
-            words = set(_SPLIT.split(name))
-            if words & MARKS and not words & AROUND:
-                return True
-    return False
+            words = {w for w in _SPLIT.split(name) if len(w) > 1}
+            marks = words & MARKS
+            if not marks or words & AROUND:
+                continue
+            if words - MARKS - PLACES or marks == {"header"} and (part or words & {"article", "entry", "post"}):
+                found.add("doubt")
+            else:
+                found.add("readers" if marks & READERS else "aside")
+    return next((k for k in ("readers", "aside", "doubt") if k in found), "")
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order. Unclosed parts end where an article begins or an outer element closes."""
     out: list[Block] = []
     text: list[str] = []
-    state = {"linked": 0, "parts": 0, "link": False, "marks": 0}
-    stack: list[tuple[str, bool, int, tuple]] = [("", False, 0, ())]  # open elements that are not inline: outside or not, part, marks
+    state = {"linked": 0, "parts": 0, "link": False}
+    opened: dict[str, int] = defaultdict(int)
+    stack: list[tuple[str, bool, int, Mark | None]] = [("", False, 0, None)]  # open elements that are not inline: outside or not, part, mark
 
     def flush() -> None:
         joined = " ".join(html.unescape("".join(text)).split())
@@ -124,24 +169,28 @@ def blocks_of(page: str) -> list[Block]:
             state["link"] = False
             if tag in VOID or attrs.endswith("/"):
                 continue
-            _, outside, part, marks = stack[-1]
+            _, outside, part, mark = stack[-1]
             if close:
-                if any(x[0] == tag for x in stack):
-                    while stack.pop()[0] != tag:
-                        pass
+                while opened[tag]:
+                    last = stack.pop()[0]
+                    opened[last] -= 1
+                    if last == tag:
+                        break
                 continue
-            if tag == "form" or tag not in ("html", "body") and _marked(attrs):
-                state["marks"] += 1
-                marks = (*marks, state["marks"])
+            kind = _kind(tag, attrs, part)
+            if kind:
+                mark = Mark(mark, kind)
             if tag in ("article", "main"):
                 # One in a marked or outer element of an article belongs to it; else what is open outside was never closed.
-                if not (part and (outside or marks)):
+                if not (part and (outside or mark and mark.aside)):
                     state["parts"] += 1
                     outside, part = False, state["parts"]
-                stack.append((tag, outside, part, marks))
-            elif tag != "p" or marks != stack[-1][3] or _HIDDEN.search(attrs):
+                stack.append((tag, outside, part, mark))
+                opened[tag] += 1
+            elif tag != "p" or mark is not stack[-1][3] or _HIDDEN.search(attrs):
                 outer = tag in OUTSIDE and not (tag == "header" and part) or bool(_HIDDEN.search(attrs))
-                stack.append((tag, outside or outer, part, marks))
+                stack.append((tag, outside or outer, part, mark))
+                opened[tag] += 1
     if at < len(page):
         add(page[at:])
     flush()
@@ -152,43 +201,69 @@ def _long_and_plain(b: Block, rules: Rules) -> bool:
     return not b.outside and len(b.text) >= rules.short and b.linked <= rules.link_density * len(b.text)
 
 
-def _left_out(blocks: list[Block], rules: Rules) -> set[int]:
-    """The marked elements whose blocks don't count: see the module's text."""
-    inside: dict[int, int] = defaultdict(int)
-    total = bare = 0
+def _leave_out(blocks: list[Block], rules: Rules) -> None:
+    """Sets which marks are left out: see the module's text."""
+    marks: dict[Mark, None] = {}  # outer ones first
+    total = bare = article = 0  # characters of long and plain blocks: of all, of those that are not left out, in articles of these
     for b in blocks:
+        chain, m = [], b.mark
+        while m is not None and m not in marks:
+            chain.append(m)
+            m = m.outer
+        marks.update(dict.fromkeys(reversed(chain)))
         if _long_and_plain(b, rules):
             n = len(b.text)
             total += n
-            bare += n * (not b.marks)
-            for k in b.marks:
-                inside[k] += n
-    out = {k for b in blocks for k in b.marks}
-    for k in sorted(inside):  # outer elements come before those they hold
-        article = any(b.part and k not in b.marks and not out.intersection(b.marks) and _long_and_plain(b, rules) for b in blocks)
-        if not bare or inside[k] > rules.most * total and not article:
-            out.discard(k)
-            bare = sum(len(b.text) for b in blocks if not out.intersection(b.marks) and _long_and_plain(b, rules))
-    return out
+            if b.mark is None:
+                bare, article = bare + n, article + n * (b.part > 0)
+            else:
+                b.mark.own += n
+                b.mark.own_article += n * (b.part > 0)
+    for m in reversed(marks):
+        m.held += m.own
+        if m.outer is not None:
+            m.outer.held += m.held
+    # What stands in doubt only is there from the beginning.
+    for m in marks:
+        if not m.aside:
+            bare, article = bare + m.own, article + m.own_article
+    for m in marks:
+        if m.outer is not None and m.outer.left_out:
+            m.left_out = True
+        elif m.aside:
+            most = m.kind != "readers" and m.held > rules.most * total and not article
+            m.left_out = m.kind != "doubt" and not (m.held and (not bare or most))
+            if not m.left_out:
+                bare, article = bare + m.own, article + m.own_article
+
+
+def _foot(text: str) -> bool:
+    low = text.lower()
+    return "\N{COPYRIGHT SIGN}" in text or FOOT_PHRASE in low or low.strip(" .!>") in FOOT_LINES
 
 
 def classify(blocks: list[Block], rules: Rules = Rules()) -> None:
     """Pass one: sets the labels "good" and "bad"; undecided blocks keep ""."""
-    marked = _left_out(blocks, rules)
-    away = [b.outside or bool(marked.intersection(b.marks)) for b in blocks]
+    _leave_out(blocks, rules)
+    away = [b.outside or b.mark is not None and b.mark.left_out for b in blocks]
     articles = any(b.part and not out for b, out in zip(blocks, away, strict=True))
     unknown, run = [], []  # long blocks of few stop words on a page without an article; linked blocks in a row
     for b, out in zip(blocks, away, strict=True):
         short, linked = len(b.text) < rules.short, b.linked > rules.link_density * len(b.text)
-        run = [*run, b] if not out and b.linked > rules.all_links * len(b.text) else []
-        if out or articles and not b.part or short and not b.part and (linked or "\N{COPYRIGHT SIGN}" in b.text):
+        doubt = b.mark is not None and b.mark.doubt
+        if not out and b.linked > rules.all_links * len(b.text):
+            run.append(b)
+        else:
+            run = []
+        if out or articles and not b.part or short and (linked and (doubt or not b.part) or not b.part and _foot(b.text)):
             b.label = "bad"
         elif len(run) >= rules.link_run or run and not (short and b.part):
-            for x in run if len(run) >= rules.link_run else [b]:
+            for x in run if len(run) == rules.link_run else [b]:
                 x.label = "bad"
         elif not short and not linked:
-            words = [] if b.part else _WORD.findall(b.text.lower())
-            if b.part or words and sum(w in STOP_WORDS for w in words) >= rules.stop_words * len(words):
+            words = [] if b.part and not doubt else _WORD.findall(b.text.lower())
+            known = bool(words) and sum(w in STOP_WORDS for w in words) >= rules.stop_words * len(words)
+            if known and (not doubt or len(b.text) >= rules.doubt * rules.short) or b.part and not doubt:
                 b.label = "good"
             else:
                 unknown.append(b)
@@ -225,7 +300,7 @@ def _decided(blocks: list[Block], step: int) -> list[int | None]:
     for i in range(len(blocks))[::step]:
         b = blocks[i]
         out[i] = last.get(b.part)
-        if b.label and not b.outside and not (b.label == "bad" and b.marks):
+        if b.label and not b.outside and not (b.label == "bad" and b.mark is not None):
             last[b.part] = i
     return out
 

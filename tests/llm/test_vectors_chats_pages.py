@@ -251,6 +251,80 @@ def test_an_article_keeps_its_linked_and_captioned_blocks():
     assert main_text(page) == f"{KNOWN} See the longest of all the linked sentences of this page for it. A caption \N{COPYRIGHT SIGN} {KNOWN}"
 
 
+L = "A plain paragraph of the article that is long enough to be told from a short one, as it goes on for a while in the usual words of such it."
+
+
+def test_no_article_text_goes_by_one_word_of_a_name():
+    inside = "<article><h1 class='header'>Head</h1><p>{0}</p>{1}</article>"
+    for part in (f"<div class='share-price'><p>{L}</p></div>", f"<p class='notice-of-death'>{L}</p>", f"<div class='article-header'><p>{L}</p></div>"):
+        assert main_text(inside.format(L, part)) == f"Head {L} {L}"
+    assert main_text(f"<p>{L}</p><div class='cookie-recipe'><p>{L}</p><p>{L}</p></div>") == f"{L} {L} {L}"
+    assert main_text(inside.format(L, "<div class='share-price'><a href=x>Share this</a></div>")) == f"Head {L}"
+    for name in ("ad", "ad-slot", "share-buttons", "cookie-consent-bar", "article-comments", "newsletter-signup"):
+        assert main_text(inside.format(L, f"<div class='{name}'><p>{L}</p></div>")) == f"Head {L}"
+
+
+def test_comments_and_foot_lines_of_pages_without_an_article():
+    assert main_text(f"<p>{L}</p><div class=comments><p>{L}</p><p>{L}</p><p>{L}</p><p>{L}</p></div>") == L
+    assert main_text(f"<p>{L}</p><p>All rights reserved</p>") == main_text(f"<p>{L}</p><div>Contact us</div>") == L
+    assert main_text(f"<article><p>{L}</p><p>Contact us</p></article>") == f"{L} Contact us"
+
+
+def test_deep_pages_are_linear():
+    import time
+
+    ads = "<div class=ad>" * 8000
+    links = "<p><a href=x>one of very many links</a></p>" * 8000
+    for page, want in ((f"<p>{L}</p>{ads}{L}{'</div>' * 8000}", L), (ads + L, L), (f"<p>{L}</p>{links}", L), ("<div>" * 8000 + "</b></section>" * 8000 + L, L)):
+        start = time.process_time()
+        assert main_text(page) == want
+        assert time.process_time() - start < 1
+
+
+def test_pass_one_against_an_independent_rule():
+    import random
+
+    from repairbench.llm.html_extract import Mark
+
+    rng = random.Random(9)
+    for _ in range(400):
+        marks: list = [None]
+        for _ in range(rng.randrange(6)):
+            marks.append(Mark(rng.choice(marks), rng.choice(["aside", "aside", "readers", "doubt"])))
+        blocks, chains = [], []
+        for m in sorted(rng.choices(range(len(marks)), k=rng.randrange(1, 12))):
+            text = rng.choice(["Short one", KNOWN, L + L, "Wxyz " * 30]).strip()
+            blocks.append(Block(text, rng.choice([0, 0, 0, len(text)]), rng.choice([0, 0, 1]), rng.random() < 0.1, marks[m]))
+            chain, at = [], marks[m]
+            while at:
+                chain, at = [at, *chain], at.outer
+            chains.append(chain)
+        plain = [len(b.text) >= 70 and not b.linked and not b.outside for b in blocks]
+        size = lambda keep: sum(len(b.text) for b, c, ok in zip(blocks, chains, plain) if ok and keep(b, c))
+        out = {m for c in chains for m in c if m.kind != "doubt"}
+        order = list(dict.fromkeys(m for c in chains for m in c))
+        for m in order:
+            if m in out and not out & set(next(c for c in chains if m in c)[: next(c for c in chains if m in c).index(m)]):
+                held, bare = size(lambda b, c, m=m: m in c), size(lambda b, c: not out & set(c))
+                article = size(lambda b, c: b.part and not out & set(c))
+                if held and (not bare or m.kind != "readers" and held > 0.7 * size(lambda b, c: True) and not article):
+                    out.discard(m)
+        classify(blocks)
+        gone = [b.outside or bool(out & set(c)) for b, c in zip(blocks, chains)]
+        articles = any(b.part and not g for b, g in zip(blocks, gone))
+        good = []
+        for b, c, g, ok in zip(blocks, chains, gone, plain):
+            doubt = any(m.kind == "doubt" for m in c)
+            if g or articles and not b.part:
+                assert b.label == "bad"
+            elif ok and (b.text == L + L or b.part and not doubt or b.text == KNOWN and not doubt):
+                good.append(b)
+                assert b.label == "good"
+            elif not b.linked:
+                assert b.label != "bad" and (b.label == "" or ok)
+        assert not good or {id(b) for b in good} == {id(b) for b in blocks if b.label == "good"}
+
+
 def test_two_passes_against_brute_force():
     import random
 
