@@ -13,6 +13,9 @@ from repairbench.functions.exact import div, half_even, half_up, money, pence, p
 #: Rows of one key that one task judges; a larger key is cut into periods, each with the counts of all before.
 BLOCK_ROWS = 50_000
 
+#: Bits of a price (in pence) below its leading digits.
+LEAD_BITS = 10
+
 
 def observed_cost(total: Column, unit: Column) -> Column:
     """Line total, or the unit price when the total is null or zero."""
@@ -22,42 +25,58 @@ def observed_cost(total: Column, unit: Column) -> Column:
 def benchmark_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Exact statistics of positive costs (decimal pounds) per group; money as double of two digits.
 
-    Percentiles interpolate between ranks. Ranks come from a window, and only the two rows next to each
-    percentile are kept per group, so a hot group spills but is never collected. Null keys are a group.
+    Percentiles interpolate between ranks. Ranks are found by the digits of a price: rows are summed by group and
+    price before they shuffle, then by the price's leading digits; only the prices under the digits that hold a wanted
+    rank are put in order. A window sees the leading digits of a group or the prices under one of them, never a group's
+    rows. Null keys are a group.
     """
     rows = df.where(F.col(value) > 0).select(*keys, pence(F.col(value)).alias("v"))
-    by = Window.partitionBy(*keys)
-    ranked = rows.withColumn("rk", F.row_number().over(by.orderBy("v")) - 1).withColumn("n", F.count("*").over(by))
-    times = {"p25": (1, 4), "p50": (1, 2), "p75": (3, 4), "p90": (9, 10)}
+    counts = rows.groupBy(*keys, "v").agg(F.count("*").alias("c"))
+    same = lambda a, b, more=(): [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in (*keys, *more)]
+    fractions = {"p25": (1, 4), "p50": (1, 2), "p75": (3, 4), "p90": (9, 10)}
 
-    def pick(num: int, den: int) -> Column:
-        """The percentile times den: both neighbours, weighted by the whole parts of the rank."""
+    def rank(num: int, den: int) -> tuple[Column, Column]:
+        """The rank below the percentile, and how far (of den) it lies towards the next one."""
         pos = (F.col("n") - 1) * num
-        low, part = div(pos, F.lit(den)), pos % den
-        weight = F.when(F.col("rk") == low, den - part).otherwise(0) + F.when((F.col("rk") == low + 1) & (part > 0), part).otherwise(0)
-        return F.sum(F.col("v") * weight)
+        return div(pos, F.lit(den)), pos % den
+
+    def holds(k: Column) -> Column:
+        return (F.col("before") <= k) & (k < F.col("before") + F.col("c"))
 
-    stats = ranked.groupBy(*keys).agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum("v").alias("total"), F.count("*").alias("n"),
-        *[pick(*f).alias(name) for name, f in times.items()],
+    def pick(num: int, den: int) -> Column:
+        """The percentile times den: both neighbours, weighted by the whole parts of the rank."""
+        low, part = rank(num, den)
+        return F.sum(F.col("v") * (F.when(holds(low), den - part).otherwise(0) + F.when(holds(low + 1), part).otherwise(0)))
+
+    group, lead = Window.partitionBy(*keys), F.shiftright("v", LEAD_BITS)
+    leads = counts.groupBy(*keys, lead.alias("lead")).agg(F.sum("c").alias("c"))
+    leads = leads.withColumn("before", F.sum("c").over(group.orderBy("lead")) - F.col("c")).withColumn("n", F.sum("c").over(group))
+    wanted = F.lit(False)
+    for f in fractions.values():
+        low, part = rank(*f)
+        wanted = wanted | holds(low) | (part > 0) & holds(low + 1)
+    held = leads.where(wanted).select(*keys, "lead", F.col("before").alias("start"), "n")
+    fine = counts.withColumn("lead", lead).alias("a").join(held.alias("b"), same("a", "b", ["lead"])).select("a.*", "b.start", "b.n")
+    fine = fine.withColumn("before", F.col("start") + F.sum("c").over(Window.partitionBy(*keys, "lead").orderBy("v")) - F.col("c"))
+    stats = fine.groupBy(*keys).agg(*[pick(*f).alias(name) for name, f in fractions.items()])
+    # The most frequent price is unique if the largest and the smallest of that frequency are the same.
+    whole = counts.groupBy(*keys).agg(
+        F.min("v").alias("lo"), F.max("v").alias("hi"), F.sum(F.col("v") * F.col("c")).alias("total"), F.sum("c").alias("n"),
+        F.max(F.struct("c", "v")).alias("m"), F.max(F.struct("c", (-F.col("v")).alias("v"))).alias("m2"),
     )
-    counts = rows.groupBy(*keys, "v").agg(F.count("*").alias("c"))
-    most = counts.groupBy(*keys, "c").agg(F.count("*").alias("ties"), F.min("v").alias("v"))
-    mode = most.groupBy(*keys).agg(F.max(F.struct("c", "ties", "v")).alias("m"))
-    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
     fenced = counts.alias("c").join(stats.alias("s"), same("c", "s"))
     # Fences are 2.5 p25 - 1.5 p75 and 2.5 p75 - 1.5 p25, here times 8.
     out_of = (8 * F.col("c.v") < 5 * F.col("s.p25") - 3 * F.col("s.p75")) | (8 * F.col("c.v") > 5 * F.col("s.p75") - 3 * F.col("s.p25"))
     outliers = fenced.groupBy(*[F.col(f"c.{k}").alias(k) for k in keys]).agg(F.sum(F.when(out_of, F.col("c.c")).otherwise(0)).alias("outlier_count"))
-    joined = stats.alias("s").join(mode.alias("m"), same("s", "m")).join(outliers.alias("o"), same("s", "o"))
-    unique = (F.col("m.m.c") > 1) & (F.col("m.m.ties") == 1)
+    joined = stats.alias("s").join(whole.alias("w"), same("s", "w")).join(outliers.alias("o"), same("s", "o"))
+    unique = (F.col("w.m.c") > 1) & (F.col("w.m.v") == -F.col("w.m2.v"))
     return joined.select(
         *[F.col(f"s.{k}").alias(k) for k in keys],
-        pounds(F.col("s.lo")).alias("minimum"), pounds(F.col("s.hi")).alias("maximum"),
-        pounds(half_up(F.col("s.total"), F.col("s.n"))).alias("mean"), pounds(half_up(F.col("s.p50"), F.lit(2))).alias("median"),
-        F.when(unique, pounds(F.col("m.m.v"))).alias("mode"),
+        pounds(F.col("w.lo")).alias("minimum"), pounds(F.col("w.hi")).alias("maximum"),
+        pounds(half_up(F.col("w.total"), F.col("w.n"))).alias("mean"), pounds(half_up(F.col("s.p50"), F.lit(2))).alias("median"),
+        F.when(unique, pounds(F.col("w.m.v"))).alias("mode"),
         pounds(half_up(F.col("s.p25"), F.lit(4))).alias("percentile_25"), pounds(half_up(F.col("s.p75"), F.lit(4))).alias("percentile_75"),
-        pounds(half_up(F.col("s.p90"), F.lit(10))).alias("percentile_90"), F.col("o.outlier_count").cast("long").alias("outlier_count"), F.col("s.n").alias("count"),
+        pounds(half_up(F.col("s.p90"), F.lit(10))).alias("percentile_90"), F.col("o.outlier_count").cast("long").alias("outlier_count"), F.col("w.n").alias("count"),
     )
 
 
@@ -71,6 +90,17 @@ class Ranks:
         self.top = 1 << max(0, self.size.bit_length() - 1)
         self.total = 0
 
+    @classmethod
+    def counted(cls, prices: list[int], times: list[int], more: list[int]) -> Ranks:
+        """With the counts of prices, and room for more values; in one pass over the values."""
+        out = cls(np.array([*prices, *more], np.int64))
+        held = np.zeros(out.size + 1, np.int64)
+        np.add.at(held, np.searchsorted(out.values, np.array(prices, np.int64)) + 1, np.array(times, np.int64))
+        upto, i = np.cumsum(held), np.arange(out.size + 1)
+        out.tree, out.total = (upto - upto[i & (i - 1)]).tolist(), int(upto[-1])
+        out.tree[0] = 0
+        return out
+
     def add(self, value: int, times: int = 1) -> None:
         i = int(np.searchsorted(self.values, value)) + 1
         self.total += times

@@ -13,6 +13,7 @@ from repairbench.operators import checks as K
 from repairbench.operators import reviews as V
 from repairbench.sources import ingest as I
 from repairbench.sources import reports as P
+from repairbench.sources.shared import shared_folder
 
 from .binding import OBS, observations, table
 from .registered import register
@@ -169,6 +170,23 @@ def a9_append_finalised(spark, sf_dir):
     return P.append_finalised(rows.where("vat_rate % 3 = 0").select(F.col("line_id").alias("source_line_id")), lines).select("line_id", "item_id")
 
 
+@query("""WITH c AS (SELECT l_orderkey, count(*) AS lines, sum(l_quantity)::BIGINT AS total FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1),
+n AS (SELECT o_custkey, count(*) AS invoices, max(o_orderdate)::DATE AS latest FROM orders GROUP BY 1)
+SELECT o_custkey AS case_id, o_orderkey AS invoice, o_orderstatus AS status, CASE WHEN l_orderkey IS NULL THEN round(o_totalprice)::BIGINT ELSE total END AS total, lines, invoices, latest
+FROM orders LEFT JOIN c ON o_orderkey = l_orderkey JOIN n USING (o_custkey)""")
+def a10_report_tables(spark, sf_dir):
+    """Two report tables written and read back; totals of lines that aren't returned override the supplied ones."""
+    orders = table(spark, sf_dir, "orders")
+    supplied = orders.select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("invoice"), F.col("o_orderstatus").alias("status"), F.round("o_totalprice").cast("long").alias("total"))
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag <> 'R'").groupBy(F.col("l_orderkey").alias("invoice")).agg(F.count("*").alias("lines"), F.sum("l_quantity").cast("long").alias("total"))
+    cases = orders.groupBy(F.col("o_custkey").alias("case_id")).agg(F.count("*").alias("invoices"), F.max("o_orderdate").cast("date").alias("latest"))
+    tables = {"invoices": P.with_computed(supplied, lines, ["invoice"]), "claims": cases}
+    path = shared_folder(spark, "report")
+    P.write_report_tables(tables, path, {"invoices": "invoice", "claims": "latest"})
+    back = {name: P.read_report_table(spark, path, name, df.schema) for name, df in tables.items()}
+    return back["invoices"].join(back["claims"], "case_id")
+
+
 @query("""SELECT o_custkey AS case_id, string_agg(o_orderkey::VARCHAR, ',' ORDER BY o_orderkey) AS invoices, count(*) AS n FROM orders GROUP BY 1""")
 def a11_nested_result(spark, sf_dir):
     invoices = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("case_id"), "o_orderkey", "o_totalprice")

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -17,10 +18,33 @@ def append_finalised(history: DataFrame, lines: DataFrame) -> DataFrame:
     return good.withColumn("_k", first).where("_k = 1").drop("_k").join(history.select(F.col("source_line_id").alias("line_id")), "line_id", "left_anti")
 
 
-def write_report_tables(tables: dict[str, DataFrame], path: str, key: str = "case_id", form: str = "parquet") -> None:
-    """Writes each flat table under its name, with a folder for each claim."""
+def with_computed(supplied: DataFrame, computed: DataFrame, on: list[str]) -> DataFrame:
+    """The supplied rows, each with its computed columns; these override supplied ones of the same name.
+
+    computed has one row for each `on`, or none: then supplied values stay, and other computed columns are null.
+    """
+    more = [c for c in computed.columns if c not in on]
+    there = computed.withColumn("_there", F.lit(True)).alias("c")
+    joined = supplied.alias("s").join(there, [F.col(f"s.{k}").eqNullSafe(F.col(f"c.{k}")) for k in on], "left")
+    old = [F.when(F.col("c._there"), F.col(f"c.{c}")).otherwise(F.col(f"s.{c}")).alias(c) if c in more else F.col(f"s.{c}") for c in supplied.columns]
+    return joined.select(*old, *[F.col(f"c.{c}") for c in more if c not in supplied.columns])
+
+
+def write_report_tables(tables: dict[str, DataFrame], path: str, order: dict[str, str], key: str = "case_id", form: str = "parquet") -> None:
+    """Writes each flat table under its name, in ranges of claims sorted by claim and the table's order.
+
+    A file holds one range, so that a reader of some claims skips all other files by their least and largest claim; there
+    is no folder for each claim. A claim of very many rows goes on in the next file. Rows without a claim come first.
+    """
     for name, df in tables.items():
-        df.write.mode("overwrite").partitionBy(key).format(form).save(f"{path}/{name}")
+        by = [F.col(c).asc_nulls_first() for c in (key, order[name])]
+        df.repartitionByRange(*by).sortWithinPartitions(*by).write.mode("overwrite").format(form).options(**({"header": True} if form == "csv" else {})).save(f"{path}/{name}")
+
+
+def read_report_table(spark: SparkSession, path: str, name: str, schema: StructType, claims: tuple[int, int] | None = None, key: str = "case_id", form: str = "parquet") -> DataFrame:
+    """A written table, or its claims from the first to the last one told (the scan skips other files)."""
+    df = spark.read.schema(schema).format(form).options(**({"header": True} if form == "csv" else {})).load(f"{path}/{name}")
+    return df if claims is None else df.where(F.col(key).between(*claims))
 
 
 def nest_result(key: str, tables: dict[str, DataFrame], order: dict[str, str]) -> DataFrame:

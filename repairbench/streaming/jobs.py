@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
+from repairbench.operators.benchmarks import Ranks
+
 
 def append_new(batch: DataFrame, known: DataFrame | None, key: str, order: str) -> DataFrame:
     """Rows of the batch whose key isn't known yet, the first of each key by `order`; null keys are left out."""
@@ -46,24 +47,27 @@ def p90_alerts(stream: DataFrame, threshold: int = 10, least: int = 3, least_pen
 
     State of an item: its earlier prices with their counts, and the latest day. A line is judged by what arrived
     before it, then added; later arrivals never change a decision, and a line older than the latest day is `late`.
+    The state is read once a batch into a tree of counts; each line then costs the logarithm of the item's prices. Lines
+    without a price are judged by nothing and add nothing.
     """
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         prices, counts, latest = state.get if state.exists else ([], [], -(1 << 30))
         held = dict(zip(prices, counts, strict=True))
         for pdf in batches:
-            out = []
+            out, costs = [], pdf["cost"].dropna().astype("int64")
+            ranks = Ranks.counted(list(held), list(held.values()), costs[costs > 0].tolist())
             for line, day, cost in sorted(zip(pdf["line_id"], pd.to_datetime(pdf["day"]).to_numpy().astype("datetime64[D]").astype(int), pdf["cost"], strict=True), key=lambda r: (r[1], r[0])):
-                total = sum(held.values())
-                if total >= least:
-                    v, c = np.array(sorted(held)), np.cumsum([held[p] for p in sorted(held)])
-                    low, part = divmod((total - 1) * 9, 10)
-                    a, b = (int(v[np.searchsorted(c, k, side="right")]) for k in (low, min(low + 1, total - 1)))
-                    p90 = (2 * (10 * a + (b - a) * part) + 10) // 20
+                if pd.isna(cost):
+                    continue
+                total = ranks.total
+                if total >= max(1, least):
+                    p90 = ranks.p90()
                     if cost - p90 >= least_pence and (cost - p90) * 100 > p90 * threshold:
-                        out.append((key[0], line, cost, total, p90, bool(day < latest)))
+                        out.append((key[0], line, int(cost), total, p90, bool(day < latest)))
                 if cost > 0:
                     held[int(cost)] = held.get(int(cost), 0) + 1
+                    ranks.add(int(cost))
                 latest = max(latest, int(day))
             yield pd.DataFrame(out, columns=["item_id", "line_id", "cost", "history", "p90", "late"])
         state.update((list(held), list(held.values()), latest))

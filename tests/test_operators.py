@@ -37,6 +37,26 @@ def test_statistics(spark, values, want):
     assert {k: row[k] for k in want} == want
 
 
+def test_statistics_by_digits_equal_a_sort(spark):
+    import random
+    import statistics
+
+    rng = random.Random(4)
+    groups = {k: [rng.choice([rng.randrange(1, 90), rng.randrange(1, 10**6), 2048, 2049]) for _ in range(n)] for k, n in ((None, 1), ("a", 2), ("b", 7), ("c", 60), ("hot", 900))}
+    rows = [(k, D(v) / 100) for k, vs in groups.items() for v in vs]
+    got = {r.k: r for r in B.benchmark_statistics(spark.createDataFrame(rows, "k string, price decimal(20,2)").repartition(5), ["k"], "price").collect()}
+    assert set(got) == set(groups)
+    for k, vs in groups.items():
+        vs = sorted(vs)
+        for name, (num, den) in {"percentile_25": (1, 4), "median": (1, 2), "percentile_75": (3, 4), "percentile_90": (9, 10)}.items():
+            low, part = divmod((len(vs) - 1) * num, den)
+            times = vs[low] * (den - part) + (vs[low + 1] * part if part else 0)
+            assert round(got[k][name] * 100) == (2 * times + den) // (2 * den), (k, name)
+        modes = statistics.multimode(vs)
+        assert got[k]["mode"] == (modes[0] / 100 if len(modes) == 1 and vs.count(modes[0]) > 1 else None)
+        assert (got[k]["minimum"], got[k]["maximum"], got[k]["count"]) == (vs[0] / 100, vs[-1] / 100, len(vs))
+
+
 def lines(spark, costs, days=None):
     rows = [(str(i), "item", f"r{i % 4}", dt.date(2024, 1, 1) + dt.timedelta(days=(days or range(len(costs)))[i]), str(i), int(round(c * 100))) for i, c in enumerate(costs)]
     return spark.createDataFrame(rows, "line_id string, item_name string, repairer string, invoice_date date, invoice_ref string, cost long")
@@ -161,6 +181,62 @@ def test_streams(spark, tmp_path):
     assert [(r.line_id, r.history, r.p90, r.late) for r in spark.sql("SELECT * FROM alerts").collect()] == [(7, 7, 620, False)]
 
 
+def test_counted_ranks_equal_added_ones():
+    import numpy as np
+
+    held = {7: 3, 1: 1, 900: 2, 30: 5}
+    one, other = B.Ranks.counted(list(held), list(held.values()), [4, 30, 1000]), B.Ranks(np.array([*held, 4, 30, 1000]))
+    for price, n in held.items():
+        other.add(price, n)
+    for price in (4, 1000, 30):
+        assert (one.total, one.p90(), one.tree) == (other.total, other.p90(), other.tree)
+        one.add(price)
+        other.add(price)
+    assert [one.kth(k) for k in range(one.total)] == sorted([p for p, n in held.items() for _ in range(n)] + [4, 30, 1000])
+    assert B.Ranks.counted([], [], []).total == 0
+
+
+def test_streams_judge_by_arrival_over_batches(spark, tmp_path):
+    source = str(tmp_path / "in")
+    days = lambda i: dt.date(2024, 1, 1) + dt.timedelta(days=i)
+    first = [(1, i, days(i), c) for i, c in enumerate([400, 450, 450, 500, 550, 600, 650])] + [(1, 50, days(7), None)]
+    second = [(1, 60, days(8), 1450), (1, 61, days(2), 1300), (2, 62, days(2), 9000)]
+    schema = "item_id long, line_id long, day date, cost long"
+    for rows, mode in ((first, "overwrite"), (second, "append")):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode(mode).parquet(source)
+        stream = jobs.p90_alerts(spark.readStream.schema(schema).parquet(source))
+
+        def keep(batch, _):
+            batch.write.mode("append").parquet(str(tmp_path / "out"))
+
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = [(r.line_id, r.history, r.p90, r.late) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("line_id").collect()]
+    assert got == [(60, 8, 845, False), (61, 7, 620, True)]
+
+
+def test_report_tables_skip_files(spark, tmp_path):
+    from repairbench.sources import reports as P
+
+    rows = [(c, i, f"n{i}", 5 * i) for i, c in enumerate([3] * 300 + list(range(200)) + [None])]
+    supplied = spark.createDataFrame(rows, "case_id long, line long, note string, total long")
+    computed = spark.createDataFrame([(0, 77, True), (1, None, False)], "line long, total long, checked boolean")
+    table = P.with_computed(supplied, computed, ["line"])
+    assert [tuple(r) for r in table.where("line < 3").orderBy("line").collect()] == [(3, 0, "n0", 77, True), (3, 1, "n1", None, False), (3, 2, "n2", 10, None)]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for form in ("parquet", "csv"):
+            P.write_report_tables({"lines": table}, f"{tmp_path}/{form}", {"lines": "line"}, form=form)
+            back = P.read_report_table(spark, f"{tmp_path}/{form}", "lines", table.schema, form=form)
+            assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, table.collect()), key=str)
+            some = P.read_report_table(spark, f"{tmp_path}/{form}", "lines", table.schema, (5, 9), form=form)
+            assert [r.case_id for r in some.orderBy("case_id").collect()] == [5, 6, 7, 8, 9]
+            ranges = [(r.a, r.z) for r in back.groupBy(F.input_file_name()).agg(F.min("case_id").alias("a"), F.max("case_id").alias("z")).orderBy("a", "z").collect()]
+            assert len(ranges) > 2 and all(x[1] <= y[0] for x, y in zip(ranges[1:], ranges[2:]))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def test_registered_ladder_equals_brute_force(spark, tmp_path):
     from functools import cache
 
