@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, read_table, tidied
-from .tokens import close_encoders, flat_texts, library_encoder, text_chunks
+from .tokens import MEMO, close_encoders, flat_texts, library_encoder, text_chunks
 
 FIELDS = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _COLUMNS = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
@@ -107,9 +107,9 @@ def _batch(rows: list[tuple], more: list[tuple] = ()) -> pa.RecordBatch:
 
 
 @tidied
-def _pack(batches, path: str, end_id: int, length: int, windows: int):
+def _pack(batches, path: str, end_id: int, length: int, windows: int, memo: int):
     part = TaskContext.get().partitionId()
-    encode, end = library_encoder(path), np.array([end_id], "<u4").tobytes()
+    encode, end = library_encoder(path, memo), np.array([end_id], "<u4").tobytes()
     packer = Packer(length, windows, part << 32)
     for batch in batches:
         (raw, offsets), keys = flat_texts(batch.column(1)), batch.column(0).to_pylist()
@@ -149,7 +149,7 @@ def _merge(batches, length: int, windows: int):
     yield _batch(packer.out, None)
 
 
-def pack_tokens(docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = 1024, windows: int = 16, merge: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_tokens(docs: DataFrame, vocabulary: str, end_id: int = 0, length: int = 1024, windows: int = 16, merge: int = 32, memo: int = MEMO, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     A document is the ids of its text by the tokenizers file `vocabulary`, then `end_id`. Every id lies in one
@@ -157,11 +157,12 @@ def pack_tokens(docs: DataFrame, vocabulary: str, end_id: int = 0, length: int =
 
     A null or empty text is the end id alone. Rows with a null or a repeated id are packed as any other.
     Texts may have any length: a partition keeps `windows` windows and one document at a time. Leftovers of
-    `merge` partitions meet in one task of the second pass. An empty table gives no rows.
+    `merge` partitions meet in one task of the second pass. An empty table gives no rows. Less `memo` takes less memory and
+    more time, with the same ids. Strings of special tokens are ordinary text.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     base = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
-    fill = partial(_pack, path=vocabulary, end_id=end_id, length=length, windows=windows)
+    fill = partial(_pack, path=vocabulary, end_id=end_id, length=length, windows=windows, memo=memo)
     packed = scratch.save(base.mapInArrow(fill, FIELDS + ", part int, window int"))
     left = packed.where("window >= 0").select("part", "window", "doc_id", "start", "ids", "doc_tokens", "offset")
     parts = left.agg(F.countDistinct("part")).first()[0]

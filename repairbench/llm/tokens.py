@@ -168,9 +168,12 @@ def close_encoders() -> None:
     _open.clear()
 
 
-def library_encoder(path: str) -> Encoder:
-    """An encoder by the tokenizers library, kept while a Python worker serves the same file (one at a time)."""
-    if path not in _open:
+def library_encoder(path: str, memo: int = MEMO) -> Encoder:
+    """An encoder by the tokenizers library, kept while a Python worker serves the same file (one at a time).
+
+    It remembers the ids of up to two generations of `memo` parts.
+    """
+    if path not in _open or _open[path].memo.most != memo:
         _open.clear()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -211,5 +214,5 @@ def library_encoder(path: str) -> Encoder:
                 out[i] = array("I", e.ids).tobytes()
             return out
 
-        _open[path] = Encoder(encode, lower=drops)
+        _open[path] = Encoder(encode, lower=drops, most=memo)
     return _open[path]
