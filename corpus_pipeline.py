@@ -56,9 +56,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of packed sequences of 1024 ids, with their ids."""
     bound_batches(spark)
-    return pack_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), memo=MEMO)
 
 
+#: Parts whose ids a worker remembers; fewer than packing alone has, as the stages before leave executors less memory.
+MEMO = 60_000
+
 STAGES = [("quality", quality), ("lines", lines), ("near_duplicates", near_duplicates), ("packing", packing)]
 
 #: A classifier's scores are not to be had in SQL; the tests hold the stages against brute force.
