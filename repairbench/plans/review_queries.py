@@ -74,19 +74,23 @@ def j5_overrides(spark, sf_dir):
     return V.apply_overrides(mappings, overrides, items)
 
 
-@query("""WITH r AS (SELECT o_orderkey, c_name, o_orderdate::DATE AS day, o_orderkey % 3 AS k FROM orders JOIN customer ON o_custkey = c_custkey),
+@query("""WITH r AS (SELECT o_orderkey, c_name, o_orderdate::DATE AS day, o_orderkey % 3 AS k, o_orderkey % 4 <> 0 AND count(*) FILTER (o_orderkey % 4 <> 0) OVER (PARTITION BY o_custkey, o_orderpriority, o_orderstatus) > 1 AS twice FROM orders JOIN customer ON o_custkey = c_custkey),
 f AS (SELECT o_orderkey, CASE k WHEN 0 THEN 'CLAIM_INVOICE_VRM_MATCH' WHEN 1 THEN 'CLAIM_INVOICE_VRM_MISMATCH' ELSE 'CLAIM_INVOICE_VRM_MISSING' END AS code, CASE k WHEN 0 THEN 'PASS' WHEN 1 THEN 'FAIL' ELSE 'REVIEW' END AS status FROM r
  UNION ALL SELECT o_orderkey, CASE WHEN day >= DATE '1998-01-01' THEN 'INVOICE_AFTER_ACCIDENT' ELSE 'INVOICE_BEFORE_ACCIDENT' END, CASE WHEN day >= DATE '1998-01-01' THEN 'PASS' ELSE 'FAIL' END FROM r
  UNION ALL SELECT o_orderkey, 'CLAIM_INVOICE_VEHICLE_MATCH', 'PASS' FROM r WHERE k <> 2
- UNION ALL SELECT o_orderkey, 'NO_DUPLICATE_INVOICE_FOUND', 'PASS' FROM r UNION ALL SELECT o_orderkey, 'DAMAGE_REPAIR_CAUSATION_REVIEW', 'REVIEW' FROM r WHERE k = 1)
+ UNION ALL SELECT o_orderkey, CASE WHEN twice THEN 'DUPLICATE_INVOICE' ELSE 'NO_DUPLICATE_INVOICE_FOUND' END, CASE WHEN twice THEN 'FAIL' ELSE 'PASS' END FROM r
+ UNION ALL SELECT o_orderkey, 'DAMAGE_REPAIR_CAUSATION_REVIEW', 'REVIEW' FROM r WHERE k = 1)
 SELECT o_orderkey::VARCHAR AS invoice_ref, code, status FROM f""")
 def j12_consistency(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    k = F.col("o_orderkey") % 3
+    numbered = F.when(F.col("o_orderkey") % 4 != 0, F.col("o_orderpriority"))
+    invoices = rows.select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("document_id"), F.lit(None).cast("string").alias("sha256"), numbered.alias("number"), F.col("o_orderstatus").alias("supplier"))
+    twice = K.duplicate_invoices(invoices).select(F.col("document_id").alias("o_orderkey"), F.lit(True).alias("twice"))
+    rows, k = rows.join(twice, "o_orderkey", "left"), F.col("o_orderkey") % 3
     facts = rows.select(
         F.col("o_orderkey").cast("string").alias("invoice_ref"), F.lit("1998-01-01").cast("date").alias("accident_date"), F.col("o_orderdate").cast("date").alias("invoice_date"),
         F.concat(F.lit("ab "), F.col("c_custkey").cast("string")).alias("claim_registration"), F.when(k == 0, F.concat(F.lit("AB-"), F.col("c_custkey").cast("string"))).when(k == 1, "ZZ9").alias("registration"),
-        F.col("c_name").alias("claim_vehicle"), F.when(k != 2, F.concat("c_name", F.lit(" 1.2 TDI"))).alias("vehicle"), F.lit(False).alias("duplicate"), F.when(k == 1, "dent").alias("damage"), F.lit("bumper").alias("descriptions"),
+        F.col("c_name").alias("claim_vehicle"), F.when(k != 2, F.concat("c_name", F.lit(" 1.2 TDI"))).alias("vehicle"), F.col("twice").alias("duplicate"), F.when(k == 1, "dent").alias("damage"), F.lit("bumper").alias("descriptions"),
     )
     return K.consistency_findings(facts).select("invoice_ref", "code", "status")
 

@@ -65,10 +65,11 @@ def t9_normalise_operation(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", T.normalise_operation(written).alias("operation"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN round(o_totalprice::DECIMAL(30,10), 2)::DOUBLE END AS money, CASE o_orderkey % 3 WHEN 2 THEN NULL ELSE o_orderdate::DATE END AS day FROM orders""")
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN round(o_totalprice::DECIMAL(30,10), 2)::DOUBLE END AS money, CASE WHEN o_orderkey % 7 < 6 THEN o_orderdate::DATE END AS day FROM orders""")
 def t10_parse_money_date(spark, sf_dir):
     money = F.when(F.col("o_orderkey") % 5 == 0, "n/a").otherwise(F.concat(F.lit("£"), F.format_number(F.col("o_totalprice").cast("decimal(20,2)"), 2)))
-    day = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "dd/MM/yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "dd-MM-yyyy")).otherwise("31/02")
+    forms, k = ["dd/MM/yyyy", "dd-MM-yyyy", "dd/MM/yy", "yyyy-MM-dd", "d/M/yyyy", "d-M-yyyy"], F.col("o_orderkey") % 7
+    day = F.coalesce(*[F.when(k == i, F.date_format("o_orderdate", form)) for i, form in enumerate(forms)], F.lit("31/02/2024"))
     return table(spark, sf_dir, "orders").select("o_orderkey", T.parse_money(money).cast("double").alias("money"), T.parse_uk_date(day).alias("day"))
 
 

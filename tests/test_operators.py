@@ -181,6 +181,15 @@ def test_streams(spark, tmp_path):
     assert [(r.line_id, r.history, r.p90, r.late) for r in spark.sql("SELECT * FROM alerts").collect()] == [(7, 7, 620, False)]
 
 
+def test_dates_in_four_forms(spark):
+    want = {
+        "01/02/2024": dt.date(2024, 2, 1), " 1/2/2024 ": dt.date(2024, 2, 1), "01/02/24": dt.date(2024, 2, 1), "31/12/68": dt.date(2068, 12, 31), "01/01/69": dt.date(1969, 1, 1),
+        "2024-02-29": dt.date(2024, 2, 29), "29-02-2024": dt.date(2024, 2, 29), "29/02/2023": None, "31/02/24": None, "1 February 2024": None, "01/02/024": None, "": None, None: None,
+    }
+    rows = spark.createDataFrame([(k,) for k in want], "t string").select("t", T.parse_uk_date(F.col("t")).alias("d")).collect()
+    assert {r.t: r.d for r in rows} == want
+
+
 def test_counted_ranks_equal_added_ones():
     import numpy as np
 
