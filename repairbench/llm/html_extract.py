@@ -92,13 +92,14 @@ class Mark:
     outer: Mark | None
     kind: str  # "aside", "readers" or "doubt"
     held: int = 0  # characters of long and plain blocks inside
-    own: int = 0  # those that stand in no inner mark
+    own: int = 0  # those that stand in no inner mark that can be left out
     own_article: int = 0  # those of an article
     left_out: bool = False
 
     def __post_init__(self):
         self.doubt: bool = self.kind == "doubt" or bool(self.outer and self.outer.doubt)
-        self.aside: bool = self.kind != "doubt" or bool(self.outer and self.outer.aside)
+        #: The innermost mark, from this one outwards, that can be left out.
+        self.anchor: Mark | None = self if self.kind != "doubt" else self.outer and self.outer.anchor
 
 
 @dataclass
@@ -182,7 +183,7 @@ def blocks_of(page: str) -> list[Block]:
                 mark = Mark(mark, kind)
             if tag in ("article", "main"):
                 # One in a marked or outer element of an article belongs to it; else what is open outside was never closed.
-                if not (part and (outside or mark and mark.aside)):
+                if not (part and (outside or mark and mark.anchor)):
                     state["parts"] += 1
                     outside, part = False, state["parts"]
                 stack.append((tag, outside, part, mark))
@@ -214,25 +215,22 @@ def _leave_out(blocks: list[Block], rules: Rules) -> None:
         if _long_and_plain(b, rules):
             n = len(b.text)
             total += n
-            if b.mark is None:
+            anchor = b.mark and b.mark.anchor
+            if anchor is None:
                 bare, article = bare + n, article + n * (b.part > 0)
             else:
-                b.mark.own += n
-                b.mark.own_article += n * (b.part > 0)
+                anchor.own += n
+                anchor.own_article += n * (b.part > 0)
     for m in reversed(marks):
         m.held += m.own
         if m.outer is not None:
             m.outer.held += m.held
-    # What stands in doubt only is there from the beginning.
-    for m in marks:
-        if not m.aside:
-            bare, article = bare + m.own, article + m.own_article
     for m in marks:
         if m.outer is not None and m.outer.left_out:
             m.left_out = True
-        elif m.aside:
+        elif m.kind != "doubt":
             most = m.kind != "readers" and m.held > rules.most * total and not article
-            m.left_out = m.kind != "doubt" and not (m.held and (not bare or most))
+            m.left_out = not (m.held and (not bare or most))
             if not m.left_out:
                 bare, article = bare + m.own, article + m.own_article
 
