@@ -14,22 +14,34 @@ def pair_assessments(assessments: DataFrame, invoices: DataFrame) -> DataFrame:
     """assessment_id, invoice_id, score, status, reasons: the best invoice of the claim, if it scores .70 or more; ties go to the smaller invoice.
 
     assessments(assessment_id, case_id, registration, reference), invoices(invoice_id, case_id, registration, number). Equal
-    registrations count 70, a reference that the invoice's number holds 25. Invoices of the claim's own registration are found
-    by an equi-join; only assessments without one look for their reference in the claim's other numbers. An unpaired
-    assessment tells the score and the reasons of its best invoice.
+    registrations count 70, a reference that the invoice's number holds 25. Nothing pairs a claim's assessments with its
+    invoices: a registration keeps its smallest invoice, and so does each part of a number that is as long as some
+    reference; assessments look both up. Only those without an invoice of their registration look for their reference in
+    the claim's other numbers. An unpaired assessment tells the score and the reasons of its best invoice.
     """
     key = lambda c: F.nullif(registration_key(F.col(c)), F.lit(""))
     a = assessments.select("assessment_id", "case_id", key("registration").alias("own"), F.nullif(F.upper("reference"), F.lit("")).alias("wanted"))
-    i = invoices.select("invoice_id", F.col("case_id").alias("of_case"), key("registration").alias("theirs"), F.upper("number").alias("number"))
-    named = F.coalesce(F.contains("number", F.col("wanted")), F.lit(False))
-    same = a.join(i, (F.col("case_id") == F.col("of_case")) & (F.col("own") == F.col("theirs"))).select("assessment_id", "invoice_id", F.when(named, 95).otherwise(70).alias("score"))
-    rest = a.where("wanted IS NOT NULL").join(same.select("assessment_id").distinct(), "assessment_id", "left_anti")
-    held = rest.join(i, (F.col("case_id") == F.col("of_case")) & named).select("assessment_id", "invoice_id", F.lit(25).alias("score"))
-    best = same.unionByName(held).groupBy("assessment_id").agg(F.min_by(F.struct("invoice_id", "score"), F.struct(-F.col("score"), "invoice_id")).alias("b"))
-    rows = assessments.select("assessment_id").join(best, "assessment_id", "left").withColumn("score", F.coalesce("b.score", F.lit(0)))
+    i = invoices.select("invoice_id", "case_id", key("registration").alias("own"), F.upper("number").alias("number"))
+    least = F.min("invoice_id").alias("least")
+    first = i.where("own IS NOT NULL").groupBy("case_id", "own").agg(least)
+    told = a.join(first, ["case_id", "own"], "left")
+    lengths = a.agg(F.collect_set(F.length("wanted")).alias("lengths"))
+
+    def parts(numbers: DataFrame, keys: list[str]) -> DataFrame:
+        """The smallest invoice of each part of the numbers, as long as some reference."""
+        rows = numbers.crossJoin(F.broadcast(lengths)).select(*keys, "invoice_id", "number", F.explode("lengths").alias("n")).where(F.col("n") <= F.length("number"))
+        rows = rows.select(*keys, "invoice_id", "number", "n", F.explode(F.sequence(F.lit(1), F.length("number") - F.col("n") + 1)).alias("at"))
+        return rows.select(*keys, "invoice_id", F.substring("number", F.col("at"), F.col("n")).alias("wanted")).groupBy(*keys, "wanted").agg(least)
+
+    same = told.where("least IS NOT NULL").join(parts(i.where("own IS NOT NULL"), ["case_id", "own"]).withColumnRenamed("least", "held"), ["case_id", "own", "wanted"], "left")
+    rest = told.where("least IS NULL").drop("least")
+    asked = rest.where("wanted IS NOT NULL").select("case_id").distinct()
+    rest = rest.join(parts(i.join(asked, "case_id", "left_semi"), ["case_id"]).withColumnRenamed("least", "held"), ["case_id", "wanted"], "left")
+    score = lambda base: F.when(F.col("held").isNotNull(), base + 25).otherwise(base)
+    rows = same.select("assessment_id", F.coalesce("held", "least").alias("best"), score(70).alias("score")).unionByName(rest.select("assessment_id", F.col("held").alias("best"), score(0).alias("score")))
     paired = F.col("score") >= 70
     reasons = F.array_compact(F.array(F.when(paired, "registration exact match"), F.when(F.col("score").isin(25, 95), "claim reference found in invoice number"), F.when(F.col("score") == 0, "no safe identifier match")))
-    return rows.select("assessment_id", F.when(paired, F.col("b.invoice_id")).alias("invoice_id"), "score", F.when(paired, "paired").otherwise("unpaired").alias("status"), reasons.alias("reasons"))
+    return rows.select("assessment_id", F.when(paired, F.col("best")).alias("invoice_id"), "score", F.when(paired, "paired").otherwise("unpaired").alias("status"), reasons.alias("reasons"))
 
 
 def match_score(left: Column, right: Column) -> Column:

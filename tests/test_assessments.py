@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import random
 
-from repairbench.operators.assessments import match_operations
+from repairbench.operators.assessments import match_operations, pair_assessments
 from repairbench.operators.reports_read import parse_assessments, report_operations
 
 HEAD = "Assessment Number: A-1\nClaim Reference\n  CL 9 \nCreated: 05/03/2024\nDate of Incident: 2024-02-30\nRegistration : AB12 CDE\nOdometer: 12,345 miles\nDamage Areas: front,, rear left\nGrand Total Excl VAT\n£1,200.50\nVAT: 240.10"
@@ -29,3 +30,21 @@ def test_operations_are_matched_in_their_order(spark):
     lines = spark.createDataFrame([(1, "b", 1, "front door"), (1, "a", 2, "front door paint"), (1, "c", 3, "mirror")], "group_id long, line_id string, line_no int, description string")
     found = {r.op_id: (r.line_id, round(r.score, 2)) for r in match_operations(ops, lines).collect()}
     assert found == {"op-2": ("a", 1.0), "op-10": ("b", 0.67)}
+
+
+def test_pairs_of_a_claim_are_never_formed(spark):
+    random.seed(3)
+    word = lambda most: "".join(random.choice("a1") for _ in range(random.randint(0, most)))
+    pick = lambda *some: random.choice([None, *some])
+    a = [(n, pick(1, 1, 2), pick("", "ab 1", "AB-2", "c3"), pick(word(3), word(5))) for n in range(150)]
+    i = [(n, pick(1, 1, 2), pick("", "AB1", "ab 2"), pick(word(6), word(6))) for n in range(25)]
+    df = pair_assessments(spark.createDataFrame(a, "assessment_id long, case_id long, registration string, reference string"), spark.createDataFrame(i, "invoice_id long, case_id long, registration string, number string"))
+    clean = lambda r: (r or "").upper().replace(" ", "").replace("-", "")
+    got = {r.assessment_id: (r.invoice_id, r.score, r.status) for r in df.collect()}
+    for n, case, own, wanted in a:
+        found = [((70 if clean(own) and clean(own) == clean(theirs) else 0) + (25 if wanted and number and wanted.upper() in number.upper() else 0), -k) for k, of, theirs, number in i if case is not None and of == case]
+        score, k = max(found, default=(0, 0))
+        assert got.pop(n) == (-k if score >= 70 else None, score, "paired" if score >= 70 else "unpaired")
+    assert not got
+    many = pair_assessments(spark.range(100_000).selectExpr("id AS assessment_id", "1 AS case_id", "'AB1' AS registration", "string(id) AS reference"), spark.range(100_000).selectExpr("id AS invoice_id", "1 AS case_id", "'AB1' AS registration", "'x' AS number"))
+    assert many.where("invoice_id = 0 AND score = 70").count() == 100_000
