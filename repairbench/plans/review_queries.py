@@ -31,9 +31,9 @@ def _lines(spark, sf_dir):
 @query(OBS + """SELECT line_id, vat_rate % 3 <> 0 AND quantity % 4 <> 0 AS known, vat_rate % 3 <> 0 AND quantity % 4 NOT IN (0, 1) AS independent,
  CASE WHEN vat_rate % 3 = 0 AND quantity % 4 = 0 THEN '' WHEN quantity % 4 = 0 THEN 'seed' WHEN quantity % 4 = 1 THEN CASE WHEN vat_rate % 3 = 0 THEN 'seed' ELSE 'seed' END WHEN vat_rate % 3 = 0 THEN 'import' ELSE 'import,seed' END AS lineages FROM obs""")
 def c7_lineage(spark, sf_dir):
-    reference = F.when(F.col("vat_rate") % 3 != 0, "seed")
-    history = F.when(F.col("quantity") % 4 == 0, F.array().cast("array<string>")).when(F.col("quantity") % 4 == 1, F.array(F.lit("seed"))).otherwise(F.array(F.lit("import"), F.lit("import")))
-    rows = _lines(spark, sf_dir).select("line_id", R.lineage_independence(reference, history).alias("l"))
+    reference, k = F.when(F.col("vat_rate") % 3 != 0, "seed"), F.col("quantity").cast("long") % 4
+    history = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(F.lit("seed"))).otherwise(F.array(F.lit("import"), F.lit("import")))
+    rows = observations(spark, sf_dir).select("line_id", R.lineage_independence(reference, history).alias("l"))
     return rows.select("line_id", "l.known", "l.independent", F.array_join("l.lineages", ",").alias("lineages"))
 
 

@@ -28,3 +28,10 @@ def test_proposed_gross(spark):
     invoices = spark.createDataFrame([(1, 200, 1700), (1, 20, None), (2, 20, None)], "case_id long, vat long, gross long")
     got = {r.case_id: (r.challenge_gross, r.original_vat, r.original_gross, r.proposed_gross) for r in financial_summary(lines, "case_id", invoices).collect()}
     assert got == {1: (1120, 220, 1700, 580), 2: (12, 20, 120, 108)}
+
+
+def test_lineages_are_told_without_lambdas_and_decimals(spark):
+    from repairbench.plans.review_queries import QUERIES
+
+    plan = QUERIES["c7_lineage"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().lower()
+    assert "lambda" not in plan and "decimal(20,4)) % " not in plan
