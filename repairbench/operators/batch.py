@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from array import array
 from bisect import bisect_right, insort
+from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -13,26 +15,33 @@ from repairbench.functions.exact import half_even, half_up
 from repairbench.functions.text import repairer_key
 from repairbench.operators.benchmarks import benchmark_statistics
 from repairbench.operators.carried import State, carried
+from repairbench.sources.shared import written
 
 
 class _Batch(State):
-    """The prices of a claim's invoices so far, in order: of each item, of each category and of each pair of both."""
+    """The prices of a place (claim, shared, category) so far, in order.
+
+    A place that isn't shared is one category with all lines of its items, or one item without a category: one set. The
+    shared place of a claim keeps a set of each item, of each category and of each pair of both."""
 
     def __init__(self, key: tuple):
         super().__init__(key)
-        self.prices: dict[tuple, list[int]] = {}
+        self.prices: dict[tuple, array] = {}
         self.rank, self.waiting = None, []
 
-    def _sets(self, item, category) -> list[tuple[int, list[int]]]:
-        """Ordered prices whose signed union holds each earlier line once: the item's and the category's, less those of both."""
-        places = [(1, ("item", item)) if item is not None else None, (1, ("category", category)) if category is not None else None]
-        if None not in places:
-            places.append((-1, ("both", item, category)))
-        return [(sign, self.prices[p]) for sign, p in filter(None, places) if p in self.prices]
+    def _places(self, item, category) -> list[tuple[int, tuple]]:
+        """Signed sets that hold each earlier line once: the item's and the category's, less those of both."""
+        if not self.key[1]:
+            return [(1, ())] if item is not None or category is not None else []
+        places = [(1, ("item", item))] if item is not None else []
+        places += [(1, ("category", category))] if category is not None else []
+        return places + ([(-1, ("both", item, category))] if len(places) == 2 else [])
 
     @staticmethod
-    def _kth(sets: list[tuple[int, list[int]]], k: int) -> int:
+    def _kth(sets: list[tuple[int, array]], k: int) -> int:
         """The k-th smallest (from 0) of a signed union: the least price that more than k of it don't exceed."""
+        if len(sets) == 1:
+            return sets[0][1][k]
         low, high = min(p[0] for _, p in sets), max(p[-1] for _, p in sets)
         while low < high:
             middle = (low + high) // 2
@@ -44,9 +53,8 @@ class _Batch(State):
 
     def _enter(self) -> None:
         for item, category, cost in self.waiting:
-            for place in (item is not None and ("item", item), category is not None and ("category", category), item is not None and category is not None and ("both", item, category)):
-                if place:
-                    insort(self.prices.setdefault(place, []), cost)
+            for _, place in self._places(item, category):
+                insort(self.prices.setdefault(place, array("q")), cost)
         self.waiting = []
 
     def step(self, row: tuple):
@@ -54,7 +62,7 @@ class _Batch(State):
         if rank != self.rank:
             self._enter()
             self.rank = rank
-        sets = self._sets(item, category)
+        sets = [(sign, self.prices[p]) for sign, p in self._places(item, category) if p in self.prices]
         n, p90 = sum(sign * len(p) for sign, p in sets), None
         if n:
             at, part = divmod((n - 1) * 9, 10)
@@ -63,20 +71,33 @@ class _Batch(State):
             p90 = (2 * (low * 10 + (high - low) * part) + 10) // 20
         if cost is not None and cost > 0:
             self.waiting.append((item, category, cost))
-        return [(line, n, p90)]
+        return [(line, cost, n, p90)]
 
 
 def batch_p90(lines: DataFrame, threshold: int = 10, least: int = 3, least_pence: int = 500) -> DataFrame:
     """line_id, history, p90, difference, percent (tenths of a percent, half even), above_p90, challenged.
 
     lines(line_id, case_id, rank, item_key, category, cost): earlier invoices of the claim have a smaller rank. A prior line
-    counts once if its item key or its category is the same. Rejected lines are left out before. One ordered pass over a
-    claim: no pairs of lines, no list of a line's earlier prices; a task holds the prices of one claim.
+    counts once if its item key or its category is the same. Rejected lines are left out before. Ordered passes, no pairs of
+    lines, no list of a line's earlier prices: a category whose items have no lines outside it is a place of its own, and
+    a task holds its prices, eight bytes each. Only the categories of a claim that share items go through one task together.
     """
     kind = dict(lines.dtypes)
     rows = lines.select("case_id", "rank", "line_id", "item_key", "category", "cost")
-    found = carried(rows, ["case_id"], ["rank", "line_id"], f"line_id {kind['line_id']}, history long, p90 long", _Batch)
-    rows = lines.select("line_id", "cost").join(found, "line_id").withColumn("p90", F.when((F.col("history") >= least) & (F.col("p90") > 0), F.col("p90")))
+    same = lambda keys: [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
+    spread = rows.where("item_key IS NOT NULL").groupBy("case_id", "item_key").agg(F.min("category").alias("low"), F.max("category").alias("high"), F.count("category").alias("named"), F.count("*").alias("n"))
+    spread = written(spread.where("low <> high OR (named > 0 AND named < n)").select("case_id", "item_key"), "spread")
+    if spread.isEmpty():
+        rows = rows.withColumn("shared", F.lit(False))
+    else:
+        shared = rows.where("category IS NOT NULL").alias("r").join(spread.alias("s"), same(["case_id", "item_key"]), "left_semi").select("case_id", "category").distinct()
+        named = rows.where("category IS NOT NULL").alias("r").join(shared.alias("s"), same(["case_id", "category"]), "left").select("r.*", F.col("s.category").isNotNull().alias("shared"))
+        bare = rows.where("category IS NULL").alias("r").join(spread.alias("s"), same(["case_id", "item_key"]), "left").select("r.*", F.col("s.item_key").isNotNull().alias("shared"))
+        rows = named.unionByName(bare)
+    name = F.when(F.col("shared"), None).otherwise(F.coalesce(F.concat(F.lit("c"), F.col("category").cast("string")), F.concat(F.lit("i"), F.col("item_key").cast("string"))))
+    rows = rows.select("case_id", "shared", name.alias("place"), "rank", "line_id", "item_key", "category", F.col("cost").cast("long").alias("cost"))
+    rows = carried(rows, ["case_id", "shared", "place"], ["rank", "line_id"], f"line_id {kind['line_id']}, cost long, history long, p90 long", _Batch)
+    rows = rows.withColumn("p90", F.when((F.col("history") >= least) & (F.col("p90") > 0), F.col("p90")))
     rows = rows.withColumn("difference", F.greatest(F.col("cost") - F.col("p90"), F.lit(0))).withColumn("percent", half_even(F.col("difference") * 1000, F.col("p90")))
     known = F.col("p90").isNotNull()
     over = (F.col("difference") >= least_pence) & (F.col("percent") > 10 * threshold)
@@ -87,13 +108,14 @@ def _mean(total: Column, count: Column) -> Column:
     return F.when(count > 0, half_up(total, count))
 
 
-def batch_dashboard(lines: DataFrame, judged: DataFrame, min_count: int = 1, vehicle_label: str | None = None, identity: str | None = None, date_from: date | None = None, date_to: date | None = None) -> dict[str, DataFrame]:
+def batch_dashboard(lines: DataFrame, judged: DataFrame, min_count: int = 1, vehicle_label: str | None = None, identity: str | None = None, date_from: date | None = None, date_to: date | None = None, only: Iterable[str] | None = None) -> dict[str, DataFrame]:
     """The dashboard of each claim's batch, all claims at once: benchmarks, sources, summary, categories, quality, repairers, repairer_items.
 
     lines(line_id, case_id, invoice_ref, invoice_date, sequence, identity, item, vehicle_label, repairer, kind, unit_cost, cost): what
     was not rejected, money in pence; identity is the item, or the category of a line without one. judged is `batch_p90` of
     the same lines. Filters hide lines and exceptions but change no P90. Groups of fewer than `min_count` lines go, with their
-    exceptions; quality and the P90s look at all lines.
+    exceptions; quality and the P90s look at all lines. `only` names the tables that are wanted, if not all are; lines are judged
+    once, and not at all if no wanted table tells of exceptions.
     """
     records = lines.where("cost > 0").withColumn("repairer", F.coalesce(F.nullif(F.trim("repairer"), F.lit("")), F.lit("Unknown repairer"))).withColumn("vehicle_label", F.coalesce("vehicle_label", F.lit("Unclassified")))
     shown = records
@@ -107,18 +129,22 @@ def batch_dashboard(lines: DataFrame, judged: DataFrame, min_count: int = 1, veh
     priced = shown.withColumn("price", pounds("cost")).withColumn("rate", F.when(hourly, pounds("unit_cost")))
     stats, labour = benchmark_statistics(priced, keys, "price"), benchmark_statistics(priced, keys, "rate")
     labour = labour.select(*keys, *[F.col(c).alias(f"labour_{c}") for c in labour.columns if c not in keys])
-    found = shown.join(judged.where("challenged").select("line_id", "p90", "difference", "percent", "history"), "line_id")
     whole = shown.groupBy(*keys).agg(F.count("*").alias("source_count"), F.countDistinct("invoice_ref").alias("invoice_count"), F.max("invoice_date").alias("latest_date"), F.sum("cost").alias("total"))
+    groups = shown.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("count"), F.sum("cost").alias("total")).where(F.col("count") >= max(1, min_count))
+    held = lambda rows: rows.dropna(subset=keys) if min_count <= 1 else rows.join(groups.select(*keys), keys, "left_semi")
+    found = shown.join(judged.where("challenged").select("line_id", "p90", "difference", "percent", "history"), "line_id")
+    if only is None or {"benchmarks", "repairers", "repairer_items"} & set(only):
+        found = written(found, "exceptions")
     over = found.groupBy(*keys).agg(F.count("*").alias("exception_count"), F.countDistinct("invoice_ref").alias("exception_invoice_count"))
     strength = F.when(F.col("count") >= 10, "strong").when(F.col("count") >= 3, "usable").otherwise("insufficient")
     rows = stats.where(F.col("count") >= max(1, min_count)).join(whole, keys).join(labour, keys, "left").join(over, keys, "left")
     zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("labour_count", "exception_count", "exception_invoice_count")}
     benchmarks = rows.withColumns(zero).withColumn("sample_strength", strength)
-    kept = found.join(benchmarks.select(*keys), keys, "left_semi")
+    kept = held(found)
     order = Window.partitionBy(*keys).orderBy("invoice_date", "invoice_ref", "sequence")
-    sources = shown.join(benchmarks.select(*keys), keys, "left_semi").withColumn("place", F.row_number().over(order))
+    sources = held(shown).withColumn("place", F.row_number().over(order))
     totals = shown.groupBy("case_id").agg(F.sum("cost").alias("s"), F.count("*").alias("observation_count"), F.sum(F.when(hourly, F.col("unit_cost"))).alias("r"), F.sum(F.when(hourly, 1).otherwise(0)).alias("k"))
-    ranked = benchmarks.withColumn("m", _mean(F.col("total"), F.col("count")))
+    ranked = groups.withColumn("m", _mean(F.col("total"), F.col("count")))
     tops = ranked.groupBy("case_id").agg(F.min_by("item", F.struct(-F.col("count"), "item")).alias("most_observed"), F.min_by("item", F.struct(-F.col("m"), -F.col("count"), "item")).alias("most_expensive"), F.max("m").alias("highest_mean"))
     summary = totals.join(tops, "case_id", "left").select("case_id", _mean(F.col("s"), F.col("observation_count")).alias("average_cost"), _mean(F.col("r"), F.col("k")).alias("average_labour_rate"), "most_observed", "observation_count", "most_expensive", "highest_mean")
     categories = shown.groupBy("case_id", "vehicle_label").agg(_mean(F.sum("cost"), F.count("*")).alias("average_cost"), F.count("*").alias("count"))

@@ -12,6 +12,7 @@ from repairbench.operators import batch as X
 from repairbench.operators import checks as K
 from repairbench.operators import pages as P
 from repairbench.operators import vehicles as V
+from repairbench.sources.shared import written
 
 from .binding import OBS, observations, table
 from .registered import register
@@ -124,7 +125,8 @@ e AS (SELECT *, (difference * 1000) // p90 + CASE WHEN 2 * ((difference * 1000)
 @query(BATCH + "SELECT line_id, history, p90, difference, percent, coalesce(difference > 0, false) AS above_p90, coalesce(difference >= 500 AND percent > 100, false) AS challenged FROM e")
 def w2_batch_p90(spark, sf_dir):
     rows = _lines(spark, sf_dir).where("status <> 'rejected'")
-    return X.batch_p90(rows.select("line_id", (F.col("case_id") % 25).alias("case_id"), F.col("invoice_ref").cast("long").alias("rank"), F.col("item_id").cast("string").alias("item_key"), F.col("item_name").alias("category"), F.col("billed").alias("cost")))
+    rows = written(rows.select("line_id", (F.col("case_id") % 25).alias("case_id"), F.col("invoice_ref").cast("long").alias("rank"), F.col("item_id").cast("string").alias("item_key"), F.col("item_name").alias("category"), F.col("billed").alias("cost")), "batch")
+    return X.batch_p90(rows)
 
 
 def _dashboard(spark, sf_dir, **filters):
@@ -136,6 +138,7 @@ def _dashboard(spark, sf_dir, **filters):
         F.when(mapped, F.col("item_id").cast("string")).otherwise(F.concat(F.lit("description:"), F.lower("item_name"))).alias("identity"), F.col("item_name").alias("item"),
         F.when(F.col("vat_rate") != 4, F.col("vehicle_label")).alias("vehicle_label"), F.when(F.col("vat_rate") != 5, F.col("repairer")).alias("repairer"), F.when(F.col("item_type") == "ECONOMY", "labour").otherwise("part").alias("kind"), "unit_cost", F.col("billed").alias("cost"),
     )
+    rows = written(rows, "batch")
     judged = X.batch_p90(rows.select("line_id", "case_id", F.col("invoice_ref").alias("rank"), "item_key", "category", "cost"))
     return X.batch_dashboard(rows, judged, **filters)
 
@@ -157,7 +160,7 @@ SELECT case_id, identity, item, vehicle_label, n AS count, v[1] / 100.0 AS minim
  ((2 * rate_total + len(rates)) // (2 * len(rates))) / 100.0 AS labour_mean, n AS source_count, invoice_count, latest_date, coalesce(x, 0) AS exception_count, coalesce(i, 0) AS exception_invoice_count, CASE WHEN n >= 10 THEN 'strong' ELSE 'usable' END AS sample_strength
 FROM g LEFT JOIN e USING (case_id, identity, item, vehicle_label) WHERE n >= 3""")
 def w3_batch_benchmarks(spark, sf_dir):
-    rows = _dashboard(spark, sf_dir, min_count=3)["benchmarks"]
+    rows = _dashboard(spark, sf_dir, min_count=3, only=["benchmarks"])["benchmarks"]
     columns = ["minimum", "maximum", "mean", "median", "percentile_90", "labour_count", "labour_mean", "source_count", "invoice_count", "latest_date", "exception_count", "exception_invoice_count", "sample_strength"]
     return rows.select("case_id", "identity", "item", "vehicle_label", "count", *columns)
 
@@ -170,14 +173,14 @@ q AS (SELECT case_id, count(*) AS line_count, count(*) FILTER (vehicle_label <>
 SELECT case_id, average_cost, average_labour_rate, most_observed, observation_count, most_expensive, highest_mean, line_count, classified, latest_date, a + CASE WHEN 2 * r > line_count OR (2 * r = line_count AND a % 2 = 1) THEN 1 ELSE 0 END AS coverage FROM q LEFT JOIN t USING (case_id) LEFT JOIN tops USING (case_id)""")
 def w3_batch_summary(spark, sf_dir):
     """One vehicle label and five years are shown; the quality of a batch looks at all of it."""
-    board = _dashboard(spark, sf_dir, vehicle_label="Segment: BUILDING", date_from=dt.date(1996, 1, 1), date_to=dt.date(2000, 12, 31))
+    board = _dashboard(spark, sf_dir, vehicle_label="Segment: BUILDING", date_from=dt.date(1996, 1, 1), date_to=dt.date(2000, 12, 31), only=["quality", "summary"])
     return board["quality"].join(board["summary"], "case_id", "left")
 
 
 @query(DASHBOARD + """SELECT case_id, lower(repairer) AS repairer_key, identity, item, count(*) AS challenge_count, count(DISTINCT rank) AS invoice_count, sum(difference)::BIGINT AS total_difference, max(difference) AS maximum_difference, max(percent) AS maximum_percent,
  any_value(n) AS item_count FROM found JOIN (SELECT case_id, repairer, count(DISTINCT (identity, item)) AS n FROM found WHERE percent > 100 GROUP BY ALL) USING (case_id, repairer) WHERE percent > 100 GROUP BY ALL""")
 def w3_batch_repairers(spark, sf_dir):
-    board = _dashboard(spark, sf_dir)
+    board = _dashboard(spark, sf_dir, only=["repairers", "repairer_items"])
     return board["repairer_items"].join(board["repairers"].select("case_id", "repairer_key", "item_count"), ["case_id", "repairer_key"])
 
 

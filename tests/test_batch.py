@@ -32,3 +32,15 @@ def test_dashboard_of_two_claims(spark):
     assert (board["repairers"][0]["repairer"], board["repairers"][0]["challenge_count"], board["quality"][0]["coverage"]) == ("Bob", 2, 0)
     empty = batch_dashboard(df, judged, min_count=6)
     assert empty["benchmarks"].count() == empty["repairers"].count() == 0 and empty["summary"].count() == 2
+
+
+def test_a_category_of_its_own_is_a_place_of_its_own(spark, monkeypatch):
+    from repairbench.operators import batch
+
+    seen = []
+    deal = batch.carried
+    monkeypatch.setattr(batch, "carried", lambda rows, keys, *more: (seen.append(rows.groupBy(*keys).count().collect()), deal(rows, keys, *more))[1])
+    rows = [(n, 1, n, f"i{n % 8}", f"x{n % 4}", 100 + n) for n in range(80)] + [(80, 1, 80, "i0", "y", 500), (81, 1, 81, "i0", None, 500), (82, 1, 82, None, None, 9), (83, 1, 83, "solo", None, 9)]
+    got = {r.line_id: r.history for r in batch.batch_p90(spark.createDataFrame(rows, "line_id long, case_id long, rank long, item_key string, category string, cost long")).collect()}
+    assert sorted((r.place or "", r["count"]) for r in seen[0] if not r.shared) == [("", 1), ("cx1", 20), ("cx2", 20), ("cx3", 20), ("isolo", 1)]
+    assert (got[79], got[80], got[81], got[82], got[83]) == (19, 10, 11, 0, 0)
