@@ -146,13 +146,13 @@ def _judge(table: pa.Table) -> pa.Table:
             end += 1
         n = ranks.total
         p90 = ranks.p90() if n else None
-        out += [(ids[i], n, p90) for i in own[start:end]]
+        out += [(ids[i], cost[i], n, p90) for i in own[start:end]]
         for i in own[start:end]:
             if cost[i] is not None and cost[i] > 0:
                 ranks.add(cost[i])
         start = end
-    a, b, c = zip(*out, strict=True) if out else ((), (), ())
-    return pa.table({"line_id": pa.array(a, pa.string()), "history": pa.array(b, pa.int64()), "p90": pa.array(c, pa.int64())})
+    a, d, b, c = zip(*out, strict=True) if out else ((), (), (), ())
+    return pa.table({"line_id": pa.array(a, pa.string()), "cost": pa.array(d, pa.int64()), "history": pa.array(b, pa.int64()), "p90": pa.array(c, pa.int64())})
 
 
 def rolling_p90(obs: DataFrame, keys: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -163,6 +163,11 @@ def rolling_p90(obs: DataFrame, keys: list[str], block_rows: int = BLOCK_ROWS) -
     it has more of these) is cut by date: each period is a group of its own and gets the counts of all earlier prices, not
     the rows, so that all periods together get no more rows than the key has.
     """
+    return _rolled(obs, keys, block_rows).drop("cost")
+
+
+def _rolled(obs: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
+    """`rolling_p90` with the lines' costs."""
     rows = obs.select("line_id", *keys, "invoice_date", "invoice_ref", "cost")
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
     sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.greatest(F.lit(block_rows), F.approx_count_distinct("cost"))).cast("int").alias("parts"), F.min("invoice_date").alias("first"), F.datediff(F.max("invoice_date"), F.min("invoice_date")).alias("days"))
@@ -182,17 +187,19 @@ def rolling_p90(obs: DataFrame, keys: list[str], block_rows: int = BLOCK_ROWS) -
     def judge(t: pa.Table) -> pa.Table:
         return _judge(t)
 
-    return own.unionByName(past).groupBy(*keys, "period").applyInArrow(judge, "line_id string, history long, p90 long")
+    return own.unionByName(past).groupBy(*keys, "period").applyInArrow(judge, "line_id string, cost long, history long, p90 long")
 
 
 def p90_exceptions(obs: DataFrame, keys: list[str], threshold: int = 10, least: int = 3, least_pence: int = 500, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """obs with history, p90, difference (pence) and percent_above (one digit, half even) of lines above both gates.
 
-    The percent gate is strict and takes the unrounded percentage of the P90.
+    The percent gate is strict and takes the unrounded percentage of the P90. Only lines above the gates meet obs again; obs is
+    read several times, so a table serves better than a plan of joins.
     """
-    judged = obs.join(rolling_p90(obs, keys, block_rows), "line_id").withColumn("difference", F.col("cost") - F.col("p90"))
+    judged = _rolled(obs, keys, block_rows).withColumn("difference", F.col("cost") - F.col("p90"))
     over = (F.col("history") >= least) & (F.col("p90") > 0) & (F.col("difference") >= least_pence) & (F.col("difference") * 100 > F.col("p90") * threshold)
-    return judged.where(over).withColumn("percent_above", half_even(F.col("difference") * 1000, F.col("p90")) / F.lit(10.0))
+    found = judged.where(over).withColumn("percent_above", half_even(F.col("difference") * 1000, F.col("p90")) / F.lit(10.0))
+    return obs.join(found.drop("cost"), "line_id")
 
 
 def labour_rate(explicit: Column, unit_price: Column, item_type: Column, unit: Column) -> Column:

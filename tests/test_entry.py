@@ -29,3 +29,12 @@ def test_query_equals_sql(spark, name):
     assert sorted(got.columns) == sorted(want.columns)
     text = lambda df: sorted(str([None if pd.isna(x) else round(float(x), 6) if isinstance(x, (int, float)) else str(x)[:10] if "date" in c else str(x) for c, x in zip(sorted(df.columns), row, strict=True)]) for row in df[sorted(df.columns)].itertuples(index=False))
     assert text(got.astype(object)) == text(want.astype(object))
+
+
+def test_lines_are_joined_once_for_rolling_p90(spark):
+    from repairbench.plans.price_queries import QUERIES
+
+    for name in ("w1_p90_exceptions", "g15_graph_totals"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "o_orderkey" not in plan, name
+    assert "ArrowPython" not in plan and "FlatMapGroups" not in plan
