@@ -83,22 +83,44 @@ def report_operations(pages: DataFrame) -> DataFrame:
     )
 
 
+def _operations_of(text: str) -> Column:
+    """How many operations (see `report_operations`) a page has."""
+    lines = F.filter(F.split(text, LINE_BREAK), lambda x: F.regexp_like(x, F.lit(r"(?i)^\s*OP\|")) & (F.size(F.split(x, r"\|", -1)) == 9))
+    return F.when(F.contains(F.lower(text), F.lit("op|")), F.size(lines)).otherwise(0)
+
+
+def joined_labels(text: Column) -> Column:
+    """The text with each label that is alone on its line joined with the next line: label by label, in the order of FIELDS.
+
+    Where no two such lines follow each other, the order doesn't matter and one pass finds them all.
+    """
+    labels = "|".join(label for label, _, _ in FIELDS)
+    chain = F.regexp_like(text, F.lit(rf"(?imd)^(?:{labels})[ \t]*\n[ \t]*(?:{labels})[ \t]*$"))
+    pattern = r"(?imd)^({})[ \t]*\n[ \t]*([^\n]+)$"
+    one_by_one = reduce(lambda c, f: F.regexp_replace(c, pattern.format(f[0]), "$1: $2"), FIELDS, text)
+    return F.when(chain, one_by_one).otherwise(F.regexp_replace(text, pattern.format(labels), "$1: $2"))
+
+
 def parse_assessments(pages: DataFrame) -> DataFrame:
     """One row for each document_id: every field of FIELDS, operations (count), confidence (hundredths), error.
 
     pages(document_id, page_number, text), joined in page order. A label alone on its line takes the next line as its
     value. A missing gross total is net and VAT together. Without a number or any operation the row has an error.
     """
-    one = F.array_sort(F.collect_list(F.struct("page_number", F.coalesce("text", F.lit("")).alias("text"))))
-    docs = pages.groupBy("document_id").agg(F.array_join(F.transform(one, lambda x: x["text"]), "\n").alias("text"))
-    joined = reduce(lambda c, f: F.regexp_replace(c, rf"(?imd)^({f[0]})[ \t]*\n[ \t]*([^\n]+)$", "$1: $2"), FIELDS, F.col("text"))
-    docs = docs.select("document_id", joined.alias("text"))
-    found = {name: F.nullif(_strip(F.regexp_extract("text", rf"(?imd){label}\s*:\s*{VALUES[kind]}", 1)), F.lit("")) for label, name, kind in FIELDS}
-    docs = docs.select("document_id", *[c.alias(name) for name, c in found.items()])
-    docs = docs.select("document_id", *[_value(kind, F.col(name)).alias(name) for _, name, kind in FIELDS])
+    page = pages.select("document_id", "page_number", F.coalesce("text", F.lit("")).alias("text"))
+    one = F.sort_array(F.collect_list(F.struct("page_number", "text")))
+    docs = page.withColumn("n", _operations_of("text")).groupBy("document_id").agg(F.array_join(F.transform(one, lambda x: x["text"]), "\n").alias("text"), F.sum("n").alias("operations"))
+    docs = docs.select("document_id", F.concat(F.lit("\n"), joined_labels(F.col("text"))).alias("text"), "operations")
+    # Labels are found in a copy in lower case, character by character in the same places; patterns begin where their label
+    # does. The lambdas keep Spark from generating one method for all steps, which would be too long to be compiled.
+    low = F.get(F.transform(F.array(F.replace("text", F.lit("\u0130"), F.lit("?"))), F.lower), F.lit(0))
+    docs = docs.withColumn("low", low)
+    docs = docs.select("document_id", "text", "operations", *[F.instr("low", label.lower().replace("^", "\n")).alias(f"at_{name}") for label, name, _ in FIELDS])
+    value = lambda at, label, kind: F.when(at > 0, F.regexp_extract(F.substr("text", at), rf"(?imd){label}\s*:\s*{VALUES[kind]}", 1))
+    filled = lambda c: F.get(F.filter(F.array(_strip(c)), lambda x: x != ""), F.lit(0))
+    docs = docs.select("document_id", "operations", *[filled(value(F.col(f"at_{name}"), label, kind)).alias(name) for label, name, kind in FIELDS])
+    docs = docs.select("document_id", *[_value(kind, F.col(name)).alias(name) for _, name, kind in FIELDS], "operations")
     docs = docs.withColumn("gross_total", F.coalesce("gross_total", (F.col("subtotal_net") + F.col("vat_total")).cast("decimal(20,4)")))
-    counts = report_operations(pages).groupBy("document_id").agg(F.count("*").alias("operations"))
-    docs = docs.join(counts, "document_id", "left").withColumn("operations", F.coalesce("operations", F.lit(0)))
     known = sum((F.col(name).isNotNull().cast("int") for name in REQUIRED), F.lit(0))
     docs = docs.withColumn("confidence", F.least(F.lit(70) + known * 5 + F.least("operations", F.lit(5)) * 2, F.lit(99)))
     lacking = F.col("assessment_number").isNull() | (F.col("operations") == 0)

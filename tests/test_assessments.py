@@ -48,3 +48,21 @@ def test_pairs_of_a_claim_are_never_formed(spark):
     assert not got
     many = pair_assessments(spark.range(100_000).selectExpr("id AS assessment_id", "1 AS case_id", "'AB1' AS registration", "string(id) AS reference"), spark.range(100_000).selectExpr("id AS invoice_id", "1 AS case_id", "'AB1' AS registration", "'x' AS number"))
     assert many.where("invoice_id = 0 AND score = 70").count() == 100_000
+
+
+def test_reports_read_their_pages_once_and_join_labels_in_order(spark):
+    from functools import reduce
+
+    from pyspark.sql import functions as F
+
+    from repairbench.operators.reports_read import FIELDS, joined_labels
+
+    pages = spark.createDataFrame([(1, 1, "Vin\nModel\nFocus\nVAT \n £20.00\nİstanbul VAT Rate: 20%\nop|a|b|c|1|2|3|4|5")], "document_id long, page_number int, text string")
+    found = parse_assessments(pages)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    row = found.first()
+    assert (row.vin, row.vehicle_model, str(row.vat_total), str(row.vat_rate), row.operations) == ("Model", None, "20.0000", "20.0000", 1)
+    texts = spark.createDataFrame([(t,) for t in ("Model\nVIN\nFoo", "VIN\nModel\n\nFoo", "created\nVAT\nVAT Rate\n20", "Odometer\n \n12", "xVIN\nq\nVIN\nq")], "text string")
+    one_by_one = reduce(lambda c, f: F.regexp_replace(c, rf"(?imd)^({f[0]})[ \t]*\n[ \t]*([^\n]+)$", "$1: $2"), FIELDS, F.col("text"))
+    for r in texts.select(joined_labels(F.col("text")).alias("a"), one_by_one.alias("b")).collect():
+        assert r.a == r.b
