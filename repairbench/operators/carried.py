@@ -13,6 +13,18 @@ from pyspark.sql.types import StructType
 BATCH_ROWS = 8192
 
 
+def values(column: pa.Array) -> list:
+    """As `to_pylist`, several times as fast for whole numbers, strings and columns of nulls."""
+    kind = column.type
+    if column.null_count == len(column):
+        return [None] * len(column)
+    if pa.types.is_string(kind) or (pa.types.is_integer(kind) and not column.null_count):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if pa.types.is_integer(kind):
+        return column.to_pandas(integer_object_nulls=True).tolist()
+    return column.to_pylist()
+
+
 class State:
     """What is known of one key. `step` takes a row (without the key) and gives result rows; `end` gives the last ones."""
 
@@ -43,7 +55,7 @@ def carried(rows: DataFrame, keys: list[str], order: list, schema: str, start: C
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), form.types, strict=True)], schema=form)
 
         for batch in batches:
-            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for row in zip(*map(values, batch.columns), strict=True):
                 if state is None or row[:n] != key:
                     if state is not None:
                         out += state.end()

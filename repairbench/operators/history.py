@@ -168,17 +168,20 @@ def running_medians(asks: DataFrame, sums: DataFrame, keys: list[str], block_row
     rows = rows.unionByName(of(asks, 1), allowMissingColumns=True).select(*columns)
     if begin is not None:
         rows = rows.unionByName(of(begin, 0).select(*columns))
-    return carried(rows, [*keys, "period"], ["day", "rank"], ", ".join(f"`{k}` {typed[k]}" for k in keys) + ", as_of date, median_line long, median_unit long", _Medians)
+    # Days go by as whole numbers, which are cheap to hand over.
+    found = carried(rows.withColumn("day", F.unix_date("day")), [*keys, "period"], ["day", "rank"], ", ".join(f"`{k}` {typed[k]}" for k in keys) + ", as_of int, median_line long, median_unit long", _Medians)
+    return found.withColumn("as_of", F.date_from_unix_date("as_of"))
 
 
-def historical_statistics(lines: DataFrame, obs: DataFrame, policy: Policy = Policy(), keys: tuple[str, ...] = ("item_id",), block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row for each line of lines(line_id, keys, as_of): what its item's history before that day says.
+def historical_statistics(lines: DataFrame, obs: DataFrame, policy: Policy = Policy(), keys: tuple[str, ...] = ("item_id",), block_rows: int = BLOCK_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each line of lines(line_id, keys, as_of, keep): what its item's history before that day says.
 
     obs(keys, observed_at, document_type, eligible, unit_compatible, scope_equivalent, comparability, total, unit, quantity,
     lineage), money in pence. A missing total is unit price times quantity, a missing unit price total by quantity. Returns
     line_id, eligible_count, excluded_count, excluded_reasons (array of reason and count, by reason; observations that
     aren't past count as not_past_observation), median_line, median_unit (weighted, in pence), weak_sample, preferred_count
-    (totals as given), derived_count, observed_from, observed_to, lineages (sorted). A line without an item has no history.
+    (totals as given), derived_count, observed_from, observed_to, lineages (sorted), and the columns to keep. A line without an
+    item has no history.
     """
     keys = list(keys)
     told = derived(obs.where("observed_at IS NOT NULL")).select(
@@ -187,7 +190,7 @@ def historical_statistics(lines: DataFrame, obs: DataFrame, policy: Policy = Pol
     )
     # Observations that are alike on a day count together; everything below rests on this table.
     told = written(told.groupBy(*told.columns[:-3], "line", "unit").agg(F.count("*").alias("n"), F.sum("share").alias("share")), "history")
-    lines = written(lines.select("line_id", *keys, "as_of"), "lines")
+    lines = written(lines.select("line_id", *keys, "as_of", *keep), "lines")
     asks = lines.select(*keys, "as_of").where(" AND ".join(f"{k} IS NOT NULL" for k in [*keys, "as_of"])).distinct()
     good = told.where("reason IS NULL")
     count = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
@@ -219,7 +222,7 @@ def historical_statistics(lines: DataFrame, obs: DataFrame, policy: Policy = Pol
     n = zero("eligible_count")
     return lines.join(state, [*keys, "as_of"], "left").select(
         "line_id", n.alias("eligible_count"), F.aggregate(found, F.lit(0).cast("long"), lambda a, x: a + x["count"]).alias("excluded_count"), found.alias("excluded_reasons"), "median_line", "median_unit",
-        (n < policy.least_history).alias("weak_sample"), zero("preferred_count").alias("preferred_count"), (n - zero("preferred_count")).alias("derived_count"), "observed_from", "observed_to", F.coalesce("lineages", F.array().cast("array<string>")).alias("lineages"),
+        (n < policy.least_history).alias("weak_sample"), zero("preferred_count").alias("preferred_count"), (n - zero("preferred_count")).alias("derived_count"), "observed_from", "observed_to", F.coalesce("lineages", F.array().cast("array<string>")).alias("lineages"), *keep,
     )
 
 

@@ -16,7 +16,8 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each invoice line: keys, names, money in pounds (decimal) and in pence, quantity, role and review status.
 
     The joins are plain equi-joins; Spark broadcasts a dimension where its size allows it. Pence (billed, unit_cost,
-    reference) are made from the stored doubles without decimals, which are slow; queries take what they need.
+    reference) and ten-thousandths of quantities (times) are made from the stored doubles without decimals, which are slow;
+    queries take what they need.
     """
     line, order, part = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
     customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
@@ -46,6 +47,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("p_retailprice").cast("decimal(20,2)").alias("reference_price"),
         F.rint(F.col("l_tax") * 100).cast("int").alias("vat_rate"),
         "billed",
+        "times",
         half_up(F.col("billed") * 10000, F.col("times")).alias("unit_cost"),
         "reference",
         F.when(F.col("o_orderstatus") == "P", "estimate").otherwise("invoice").alias("role"),

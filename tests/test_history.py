@@ -127,3 +127,16 @@ def test_carried_state_over_batches_and_keys(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert len(got) == 103 and {r.k: r.s for r in got if r.v is None} == {None: 1683, 1: 1617, 2: 1650}
+
+
+def test_values_of_a_batch_and_the_lines_of_a_history_joined_once(spark):
+    import pyarrow as pa
+
+    from repairbench.operators.carried import values
+    from repairbench.plans.claim_queries import _compared
+
+    big = (1 << 62) + 1
+    for a in (pa.array([1, None, big]), pa.array([big, -1]), pa.array([None, None], pa.string()), pa.array(["a", None, ""]), pa.array([0.5, None]), pa.array([], pa.int64()), pa.array([True, None])):
+        assert values(a) == a.to_pylist() and [type(x) for x in values(a)] == [type(x) for x in a.to_pylist()]
+    plan = _compared(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan  # the tables are joined once, before anything reads the lines
