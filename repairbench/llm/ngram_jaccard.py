@@ -6,7 +6,8 @@
    n - ceil(t n) + 1 are its prefix: two sets of similarity t or more share one.
 3. Classes of identical prefix and size collapse into one group, and only groups post their prefixes.
 4. Lists of a shingle give group pairs that pass the size and position filters; groups then expand to
-   their classes, and pairs are verified on whole sets.
+   their classes. Pairs meet on bitmaps of their sets first, which bound what the sets differ in from below; only
+   pairs that this leaves are verified on whole sets.
 
 A list is never expanded into all its pairs. In star rounds its members are verified against a few pivots, and
 what is linked shares a label. Later rounds keep only lists with several labels. What is left in the end, pairs
@@ -37,6 +38,10 @@ PIVOTS, LONG, FEW_BLOCK, ALL_BLOCK = (1, 4, 4, 4), 48, 64, 1024
 LIST_ROWS = 100_000
 #: Tasks that the copies of one text are dealt to.
 SALTS = 16
+#: Places that postings are dealt to, at least, most postings of a place on average, and postings packed at once in a task.
+PLACES, PLACE_ROWS, PACKED = 256, 1 << 22, 1 << 19
+#: Bits of a document's bitmap for each of its shingles, at least.
+MARK_BITS = 4
 _MASK = np.uint64((1 << SKETCH_BITS) - 1)
 
 
@@ -98,24 +103,66 @@ def _prefixes(batches, size: int, percent: int, sketch):
 
 
 @tidied
-def _postings(batches):
+def _postings(batches, places: int):
+    """Postings of many classes as lists by place. A key is 32 bits of a shingle beside its place: shingles that share one share a list."""
+    held, many = [], 0
     for batch in batches:
-        ids, n, prefix = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_pylist()
-        for i in range(0, len(ids), 2000):
-            part = [np.frombuffer(p, np.int64) for p in prefix[i : i + 2000]]
-            k = np.fromiter(map(len, part), np.int64, len(part))
-            if k.sum():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(part)), pa.array(np.repeat(ids[i : i + 2000], k)), pa.array(np.repeat(n[i : i + 2000], k).astype(np.int32)), pa.array(np.concatenate([np.arange(x, dtype=np.int32) for x in k]))],
-                    ["token", "cid", "n", "pos"],
-                )
+        held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), [np.frombuffer(p, np.uint64) for p in batch.column(2).to_pylist()]))
+        many += sum(map(len, held[-1][2]))
+        if many >= PACKED:
+            yield _packed(held, places)
+            held, many = [], 0
+    if many:
+        yield _packed(held, places)
+
+
+def _packed(held: list, places: int) -> pa.RecordBatch:
+    prefixes = [p for _, _, ps in held for p in ps]
+    k, token = np.fromiter(map(len, prefixes), np.int64, len(prefixes)), np.concatenate(prefixes)
+    place = (token % np.uint64(places)).astype(np.int32)
+    order = np.argsort(place, kind="stable")
+    there, start = np.unique(place[order], return_index=True)
+    ends = pa.array(np.append(start, len(order)).astype(np.int32))
+    pos = np.arange(len(order)) - np.repeat(np.cumsum(k) - k, k)
+    columns = [(token >> np.uint64(32)).astype(np.uint32).view(np.int32), np.repeat(np.concatenate([c for c, _, _ in held]), k)]
+    columns += [np.repeat(np.concatenate([n for _, n, _ in held]), k).astype(np.int32), pos.astype(np.int32)]
+    return pa.RecordBatch.from_arrays([pa.array(there), *[pa.ListArray.from_arrays(ends, pa.array(c[order])) for c in columns]], ["place", "keys", "cids", "ns", "poss"])
+
+
+@tidied
+def _marks(batches, size: int):
+    """Bitmaps of sets, of a power of two of bits: a shingle sets the bit of its lowest bits, so the halves of one make the next smaller one."""
+    for batch in batches:
+        rows = []
+        for doc_id, s in _sets(batch, size):
+            if len(s):
+                m = np.zeros(max(64, MARK_BITS << (len(s) - 1).bit_length()), np.uint8)
+                m[(s & np.uint64(len(m) - 1)).astype(np.int64)] = 1
+                rows.append((doc_id, len(s), np.packbits(m).tobytes()))
+        ids, n, mark = zip(*rows, strict=True) if rows else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(mark, pa.binary())], ["cid", "n", "m"])
+
+
+@tidied
+def _near(batches, percent: int):
+    """Pairs with whether their bitmaps allow a link: sets differ in a shingle at least for each bit in which these do."""
+    for batch in batches:
+        a, b, na, nb, ma, mb = (c.to_pylist() for c in batch.columns)
+        keep = []
+        for m, k, x, y in zip(na, nb, ma, mb, strict=True):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            if len(x) > len(y):
+                x, y = y, x
+            apart = int(np.bitwise_count(x ^ np.bitwise_or.reduce(y.reshape(-1, len(x)))).sum())
+            keep.append((100 + percent) * apart <= (100 - percent) * (m + k))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(keep, pa.bool_())], ["a", "b", "near"])
 
 
 @tidied
 def _whole_sets(batches, size: int):
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
-            rows = [(d, s.tobytes()) for d, s in _sets(batch.slice(i, 500), size)]
+            rows = [(d, s.tobytes()) for d, s in _sets(batch.slice(i, 500), size) if len(s)]
             yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array([s for _, s in rows], pa.binary())], ["cid", "s"])
 
 
@@ -266,13 +313,18 @@ def _lists(sigs: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
     group = scratch.save(sigs.select("cid", "n", "digest").join(small(several), ["n", "digest"]).select("gid", "cid", "n").distinct())
     rest = group.where("cid <> gid").select("cid", F.col("n").alias("gn")).distinct()
     posting = sigs.join(small(rest), (sigs.cid == rest.cid) & (sigs.n == rest.gn), "left_anti").select("cid", "n", "prefix")
-    posting = posting.mapInArrow(_postings, "token long, cid long, n int, pos int")
+    # Postings shuffle in lists by place, which take half the room of rows; a place's rows are already where its windows need them.
+    expected = (sigs.agg(F.sum("n")).first()[0] or 0) * (100 - percent) // 100
+    places = max(PLACES, expected // PLACE_ROWS)
+    posting = posting.mapInArrow(partial(_postings, places=places), "place int, keys array<int>, cids array<long>, ns array<int>, poss array<int>").repartition("place")
+    posting = posting.select("place", F.explode(F.arrays_zip("keys", "cids", "ns", "poss")).alias("p")).select("place", F.col("p.keys").alias("key"), F.col("p.cids").alias("cid"), F.col("p.ns").alias("n"), F.col("p.poss").alias("pos"))
     # A row stays if some row of its list can pass the position filter with it, as far as the list's extremes tell.
-    by_token = Window.partitionBy("token")
+    by_token = Window.partitionBy("place", "key")
     reach = (F.lit(100).cast("long") * F.col("n")) - (100 + percent) * F.col("pos").cast("long")
     told = posting.withColumn("reach", reach).withColumn("most", F.max("reach").over(by_token)).withColumn("least", F.min("n").over(by_token)).withColumn("c", F.count("*").over(by_token))
     told = told.where((F.col("c") > 1) & (F.col("most") >= percent * F.col("n").cast("long")) & (F.col("reach") >= percent * F.col("least").cast("long")))
-    lists = scratch.save(told.withColumn("c", F.count("*").over(by_token)).where("c > 1").select("token", "cid", "n", "pos"))
+    token = F.col("key").cast("long") * places + F.col("place")
+    lists = scratch.save(told.withColumn("c", F.count("*").over(by_token)).where("c > 1").select(token.alias("token"), "cid", "n", "pos"))
     scratch.drop(sigs)
     others = group.where("cid <> gid").select(F.col("gid").alias("cid"), F.col("cid").alias("other"), F.col("n").cast("int").alias("n"))
     expanded = lists.join(small(others), ["cid", "n"]).select("token", F.col("other").alias("cid"), "n", "pos")
@@ -323,14 +375,25 @@ def _long_links(now: DataFrame, most: DataFrame, base: DataFrame, scratch: Scrat
 
 
 def _verify(pairs: DataFrame, tested: DataFrame | None, base: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
-    """a, b, linked: the pairs not tested yet, verified on whole sets."""
+    """a, b, linked: the pairs not tested yet; those that bitmaps leave are verified on whole sets."""
     pairs = pairs.distinct()
     pairs = scratch.save(pairs if tested is None else pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"))
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = scratch.save(base.join(small(needed), "doc_id", "left_semi").mapInArrow(partial(_whole_sets, size=size), "cid long, s binary"))
+
+    def texts(some: DataFrame) -> DataFrame:
+        needed = some.select(F.col("a").alias("doc_id")).union(some.select("b")).distinct()
+        return base.join(small(needed), "doc_id", "left_semi")
+
+    marks = scratch.save(texts(pairs).mapInArrow(partial(_marks, size=size), "cid long, n long, m binary"))
+    first, second = (marks.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("m").alias(f"m{x}")) for x in "ab")
+    both = pairs.join(first, "a").join(second, "b").select("a", "b", "na", "nb", "ma", "mb")
+    near = scratch.save(both.mapInArrow(partial(_near, percent=percent), "a long, b long, near boolean").groupBy("a", "b").agg(F.max("near").alias("near")))
+    scratch.drop(marks)
+    left = near.where("near").select("a", "b")
+    sets = scratch.save(texts(left).mapInArrow(partial(_whole_sets, size=size), "cid long, s binary"))
     first, second = (sets.select(F.col("cid").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
-    both = pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb")
-    done = scratch.save(both.mapInArrow(partial(_verified, percent=percent), "a long, b long, linked boolean"))
+    both = left.join(first, "a").join(second, "b").select("a", "b", "sa", "sb")
+    done = both.mapInArrow(partial(_verified, percent=percent), "a long, b long, linked boolean")
+    done = scratch.save(done.unionByName(near.where("NOT near").select("a", "b", F.lit(False).alias("linked"))))
     scratch.drop(sets)
     return done
 

@@ -2,6 +2,10 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
+from repairbench.llm import ngram_jaccard as J
 from repairbench.llm.common import Scratch
 from repairbench.llm.components import connected_components
 from repairbench.llm.ngram_jaccard import ngram_jaccard_join
@@ -67,6 +71,41 @@ def test_many_copies_and_very_long_texts(spark):
     assert run(spark, rows) == sorted([(i, 5, 0) for i in range(400)] + brute(rows[400:]), key=repr)
 
 
+def test_empty_texts_of_shared_ids_link_nothing(spark):
+    base = [f"w{i}" for i in range(40)]
+    other = base[:34] + [f"x{i}" for i in range(6)]
+    rows = [(1, " ".join(base)), (1, ""), (2, " ".join(other)), (2, " ")] + [(i, " ".join(w[30:])) for i, w in ((4, base), (5, other), (6, base), (7, other))]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_postings_are_packed_whole(monkeypatch):
+    monkeypatch.setattr(J, "PACKED", 50)
+    rng = np.random.default_rng(3)
+    prefixes = [rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (3, 0, 40, 17, 1, 30)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(range(60, 66)), pa.array([p.tobytes() for p in prefixes])], ["cid", "n", "prefix"])
+    packed = list(J._postings([batch.slice(0, 3), batch.slice(3)], 7))
+    found = [(place, *row) for b in packed for place, *lists in zip(*(c.to_pylist() for c in b.columns)) for row in zip(*lists, strict=True)]
+    wanted = [(int(x) % 7, int(np.uint32(x >> np.uint64(32)).astype(np.int32)), i, 60 + i, k) for i, p in enumerate(prefixes) for k, x in enumerate(p)]
+    assert sorted(found) == sorted(wanted) and sum(b.num_rows for b in packed) <= 14
+
+
+def test_bitmaps_drop_unlike_pairs_and_no_link():
+    rng = random.Random(5)
+    texts, pairs = [], []
+    for i in range(300):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 400))]
+        texts += [" ".join(words), " ".join(words[: rng.randrange(1, len(words) + 1)] + [f"u{k}" for k in range(rng.randrange(9))])]
+        pairs += [(2 * i, 2 * i + 1), (2 * i, rng.randrange(2 * i + 1))]
+    sets = [set(s.tolist()) for s in shingle_sets([t.encode() for t in texts])]
+    marks = [b.column(k).to_pylist() for b in J._marks([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["i", "t"])], 5) for k in (1, 2)]
+    a, b = zip(*pairs)
+    columns = [pa.array(a), pa.array(b), *[pa.array([m[i] for i in side]) for m in marks for side in (a, b)]]
+    (near,) = J._near([pa.RecordBatch.from_arrays(columns, ["a", "b", "na", "nb", "ma", "mb"])], 75)
+    near = near.column(2).to_pylist()
+    linked = [100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y]) for x, y in pairs]
+    assert all(n for n, l in zip(near, linked) if l) and 50 < sum(linked) <= sum(near) < 1.5 * sum(linked) < 0.7 * len(pairs)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
 
