@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+from functools import lru_cache, partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repairbench.functions.exact import half_up
-from repairbench.functions.text import normalise_operation, registration_key
+from repairbench.functions.text import normalise_operation, registration_key, with_operation
 from repairbench.operators.carried import State, carried
 
 
@@ -56,41 +59,76 @@ def name_score(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(shared)
 
 
+@lru_cache(maxsize=1 << 16)
+def _words(name: str) -> frozenset[str]:
+    return frozenset(w for w in name.split(" ") if w)
+
+
 class _Greedy(State):
-    """The lines that are taken, and the best free line of the operation at hand."""
+    """The free lines of a group by their words, and the operation at hand."""
 
-    def __init__(self, key: tuple):
+    def __init__(self, key: tuple, least: float):
         super().__init__(key)
-        self.taken, self.operation, self.best = set(), None, None
+        self.least, self.free, self.taken, self.lines, self.operation, self.wanted = least, {}, set(), 0, None, []
 
     def step(self, row: tuple):
-        number, operation, _, line, score = row
-        out = []
+        side, _, line, number, operation, name = row
+        if not side:
+            self.free.setdefault(_words(name), deque()).append((self.lines, line))
+            self.lines += 1
+            return ()
+        out = ()
         if (number, operation) != self.operation:
-            out, self.operation, self.best = self.end(), (number, operation), None
-        if line not in self.taken and (self.best is None or score > self.best[1]):  # the first of equal ones stays
-            self.best = (line, score)
+            out, self.operation = self.end(), (number, operation)
+        self.wanted.append(_words(name))
         return out
 
+    def first(self, words: frozenset[str]) -> tuple | None:
+        """Place and id of the first free line of these words; lines taken under other words are dropped on the way."""
+        lines = self.free.get(words)
+        while lines and lines[0][1] in self.taken:
+            lines.popleft()
+        if not lines:
+            self.free.pop(words, None)
+        return lines[0] if lines else None
+
     def end(self):
-        if self.best is None:
-            return []
-        self.taken.add(self.best[0])
-        return [(self.key[0], self.operation[1], *self.best)]
+        best = None
+        for wanted in set(self.wanted):
+            # Lines of the very same words score 1, no others do.
+            for words in [wanted] if self.first(wanted) else list(self.free):
+                score = 1.0 if words == wanted else len(words & wanted) / len(words | wanted)
+                if score >= self.least and (best is None or score >= best[0]) and (line := self.first(words)) and (best is None or (score, -line[0]) > (best[0], -best[1][0])):
+                    best = (score, line)
+        self.wanted = []
+        if best is None:
+            return ()
+        self.taken.add(best[1][1])
+        return [(self.key[0], self.operation[1], best[1][1], best[0])]
 
 
 def match_operations(operations: DataFrame, lines: DataFrame, least: float = 0.34) -> DataFrame:
     """group_id, op_id, line_id, score: each operation in turn takes the best line that is left, ties to the first line.
 
     operations(group_id, op_id, op_no, description), lines(group_id, line_id, line_no, description): the numbers are
-    the places in the assessment and on the invoice. Pairs below `least` never match. The pairs of a group go by in
-    order; a task holds which lines are taken.
+    the places in the assessment and on the invoice. Pairs below `least` never match, nor what has no description. See `match_sides`.
+    """
+    kind, other = dict(operations.dtypes), dict(lines.dtypes)
+    none = lambda of, c: F.lit(None).cast(of[c]).alias(c)
+    o = operations.select("group_id", F.lit(1).alias("side"), none(other, "line_no"), none(other, "line_id"), "op_no", "op_id", "description")
+    i = lines.select("group_id", F.lit(0).alias("side"), "line_no", "line_id", none(kind, "op_no"), none(kind, "op_id"), "description")
+    return match_sides(i.unionByName(o), least)
+
+
+def match_sides(rows: DataFrame, least: float = 0.34) -> DataFrame:
+    """`match_operations` of one table: rows(group_id, side, line_no, line_id, op_no, op_id, description), lines with side 0, operations with side 1.
+
+    No pairs are formed: the lines of a group go by first, then its operations, in their order. A task holds the ids of
+    a group's lines by the distinct words that they have, and an operation is scored against those that are left.
     """
-    words = lambda df: df.withColumn("_name", normalise_operation(F.col("description")))
-    o, i = words(operations).alias("o"), words(lines).alias("i")
-    pairs = o.join(i, F.col("o.group_id") == F.col("i.group_id")).select("o.group_id", "o.op_no", "o.op_id", "i.line_no", "i.line_id", name_score(F.col("o._name"), F.col("i._name")).alias("score")).where(F.col("score") >= least)
-    kind = dict(pairs.dtypes)
-    return carried(pairs, ["group_id"], ["op_no", "op_id", "line_no", "line_id"], f"group_id {kind['group_id']}, op_id {kind['op_id']}, line_id {kind['line_id']}, score double", _Greedy)
+    kind = dict(rows.dtypes)
+    told = with_operation(rows.where("group_id IS NOT NULL AND description IS NOT NULL"), "description", "_name").select("group_id", "side", "line_no", "line_id", "op_no", "op_id", "_name")
+    return carried(told, ["group_id"], ["side", "line_no", "line_id", "op_no", "op_id"], f"group_id {kind['group_id']}, op_id {kind['op_id']}, line_id {kind['line_id']}, score double", partial(_Greedy, least=least))
 
 
 def assessment_variance(matches: DataFrame) -> DataFrame:

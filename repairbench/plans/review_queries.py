@@ -106,10 +106,11 @@ def j16_assessment_variance(spark, sf_dir):
 SELECT o.group_id, 'op-' || o.line_id AS op_id, l.line_id, 2 / 3.0::DOUBLE AS score FROM n o JOIN n l ON o.group_id = l.group_id AND o.item_name = l.item_name AND o.down = l.up""")
 def j15_match_operations(spark, sf_dir):
     """Lines of an order against operations named after the parts of the same order, greedily, the last operation first."""
-    place = F.row_number().over(Window.partitionBy("invoice_ref").orderBy("line_id"))
-    rows = _lines(spark, sf_dir).select(F.col("invoice_ref").alias("group_id"), "line_id", place.alias("line_no"), F.col("item_name").alias("description"))
-    operations = rows.select("group_id", F.concat(F.lit("op-"), "line_id").alias("op_id"), (-F.col("line_no")).alias("op_no"), F.concat(F.lit("replace "), "description").alias("description"))
-    return E.match_operations(operations, rows)
+    rows = _lines(spark, sf_dir).select(F.col("invoice_ref").alias("group_id"), "line_id", F.col("item_name").alias("description"))
+    rows = rows.withColumn("line_no", F.row_number().over(Window.partitionBy("group_id").orderBy("line_id")))
+    line = (F.lit(0).alias("side"), F.col("line_no"), F.col("line_id"), F.lit(None).cast("int").alias("op_no"), F.lit(None).cast("string").alias("op_id"), F.col("description"))
+    operation = (F.lit(1).alias("side"), F.lit(None).cast("int").alias("line_no"), F.lit(None).cast("string").alias("line_id"), (-F.col("line_no")).alias("op_no"), F.concat(F.lit("op-"), "line_id").alias("op_id"), F.concat(F.lit("replace "), "description").alias("description"))
+    return E.match_sides(rows.select("group_id", F.inline(F.array(F.struct(*line), F.struct(*operation)))))
 
 
 @query("""WITH a AS (SELECT o_orderkey AS assessment_id, o_custkey % 40 AS case_id, o_orderkey % 9 AS reg FROM orders WHERE o_orderstatus = 'F'), i AS (SELECT o_orderkey AS invoice_id, o_custkey % 40 AS case_id, o_orderkey % 9 AS reg FROM orders WHERE o_orderstatus = 'O'),

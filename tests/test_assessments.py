@@ -5,7 +5,9 @@ from __future__ import annotations
 import datetime
 import random
 
-from repairbench.operators.assessments import match_operations, pair_assessments
+from pyspark.sql import functions as F
+
+from repairbench.operators.assessments import match_operations, match_score, pair_assessments
 from repairbench.operators.reports_read import parse_assessments, report_operations
 
 HEAD = "Assessment Number: A-1\nClaim Reference\n  CL 9 \nCreated: 05/03/2024\nDate of Incident: 2024-02-30\nRegistration : AB12 CDE\nOdometer: 12,345 miles\nDamage Areas: front,, rear left\nGrand Total Excl VAT\n£1,200.50\nVAT: 240.10"
@@ -32,6 +34,29 @@ def test_operations_are_matched_in_their_order(spark):
     assert found == {"op-2": ("a", 1.0), "op-10": ("b", 0.67)}
 
 
+def test_operations_equal_greedy_pairs_and_meet_no_pairs(spark):
+    random.seed(5)
+    some = ["fit", "front", "bumper", "door", "r and r", "remove-refit", "", "Radiator grille", "paint"]
+    name = lambda: random.choice([None, " ".join(random.choice(some) for _ in range(random.randint(0, 3)))])
+    ops = [(random.choice([1, 2, 3, None]), f"o{random.randint(0, 40)}", random.randint(0, 4), name()) for _ in range(90)]
+    lines = [(random.choice([1, 2, 3, None]), random.randint(0, 50), random.randint(0, 9), name()) for _ in range(90)]
+    o, i = spark.createDataFrame(ops, "group_id long, op_id string, op_no int, description string"), spark.createDataFrame(lines, "group_id long, line_id long, line_no long, description string")
+    pairs = o.withColumnRenamed("description", "d").join(i, "group_id").where("d IS NOT NULL AND description IS NOT NULL").withColumn("score", match_score(F.col("d"), F.col("description")))
+    for least in (0.34, 0.0):
+        want, taken, done = set(), set(), set()
+        rows = pairs.where(F.col("score") >= least).collect()
+        for group, number, op in sorted({(r.group_id, r.op_no, r.op_id) for r in rows}):
+            free = [(-r.score, r.line_no, r.line_id) for r in rows if (r.group_id, r.op_no, r.op_id) == (group, number, op) and (group, r.line_id) not in taken]
+            if free:
+                score, _, line = min(free)
+                taken.add((group, line))
+                want.add((group, op, line, -score))
+                done.add((group, number, op))
+        found = match_operations(o, i, least)
+        assert {tuple(r) for r in found.collect()} == want
+        assert len(done) == found.count() and "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_pairs_of_a_claim_are_never_formed(spark):
     random.seed(3)
     word = lambda most: "".join(random.choice("a1") for _ in range(random.randint(0, most)))
