@@ -45,8 +45,20 @@ def clean(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "[█▉▊▋▌▍▎▏]+", " "), r"(?U)\s+", " "))
 
 
+#: White space that `quick_clean` turns into one space, of ASCII texts.
+_WHITE = ["  ", "\t", "\n", "\u000b", "\f", "\r"]
+
+
+def quick_clean(c: Column) -> Column:
+    """As `clean`; texts of ASCII and pound signs without such white space, as most are, pass no regular expression. Dearer than `clean` in lambdas, which aren't compiled."""
+    text = F.coalesce(c, F.lit(""))
+    bare = F.replace(text, F.lit("£"), F.lit(""))
+    odd = (F.octet_length(bare) != F.length(bare)) | _has(text, _WHITE)
+    return F.when(odd, clean(text)).otherwise(F.trim(text))
+
+
 def _decimal(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, "[,£]", "")).try_cast("decimal(30,10)")
+    return F.trim(F.replace(F.replace(c, F.lit(","), F.lit("")), F.lit("£"), F.lit(""))).try_cast("decimal(30,10)")
 
 
 def _money(c: Column) -> Column:
@@ -103,9 +115,12 @@ def table_lines(tables: DataFrame, keys: list[str], table_no: str = "table_no",
     return _taxed(told, F.col("_section")).select(*keys, *LINE)
 
 
-def heading(line: Column) -> Column:
-    """The section that a line of text opens, or null; a line with an amount opens none."""
-    token = F.trim(F.regexp_replace(F.lower(line), "[^a-z]+", " "))
+def heading_words(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(line), "[^a-z]+", " "))
+
+
+def heading(token: Column) -> Column:
+    """The section that a line without an amount opens by its `heading_words`, or null."""
     words = F.split(token, " ")
     first, n = F.get(words, F.lit(0)), F.size(words)
     table = F.array_contains(words, "parts") & F.arrays_overlap(words, F.array(*[F.lit(w) for w in PARTS_TABLE]))
@@ -113,7 +128,7 @@ def heading(line: Column) -> Column:
         F.when((first.isin("parts", "part") & (n <= 6)) | table, "parts").when((first == "labour") & (n <= 7), "labour")
         .when((first == "service") & (n <= 6), "service").when(token.isin(*LABOUR_HEADINGS), "labour")
     )
-    return F.when(~F.regexp_like(line, F.lit(MONEY)) & (token != ""), found)
+    return F.when(token != "", found)
 
 
 def text_invoice_lines(pages: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -123,12 +138,15 @@ def text_invoice_lines(pages: DataFrame, keys: list[str], text: str = "text") ->
     the one before the unit price (else the total); their ratio is the quantity, if at most 50, else 1. What is left
     without amounts and numbers describes it and has three characters at least. Lines that speak of an MOT bear no VAT.
     """
-    rows = pages.select(*keys, F.posexplode(F.split(F.coalesce(text, F.lit("")), _BREAKS)).alias("_no", "_raw")).withColumn("_line", clean(F.col("_raw"))).where("_line <> ''")
-    rows = rows.withColumn("_heading", heading(F.col("_line"))).withColumn("_amounts", F.regexp_extract_all("_line", F.lit(MONEY), 1)).withColumn("_lower", F.lower("_line"))
-    rows = carry_section(rows, keys, "_no", "_heading")
-    rows = rows.where(F.col("_heading").isNull() & (F.size("_amounts") > 0) & F.regexp_like("_line", F.lit("[A-Za-z]{3}")) & ~_has(F.col("_lower"), NO_LINE))
-    words = clean(F.regexp_replace(F.regexp_replace("_line", MONEY, " "), r"(?U)\b\d+(?:\.\d+)?\b", " "))
-    rows = rows.withColumn("description", words).where(F.length("description") >= 3)
+    rows = pages.select(*keys, F.posexplode(F.split(F.coalesce(text, F.lit("")), _BREAKS)).alias("_no", "_raw")).withColumn("_line", quick_clean(F.col("_raw")))
+    amounts = F.when(F.contains("_line", F.lit(".")), F.regexp_extract_all("_line", F.lit(MONEY), 1)).otherwise(F.array().cast("array<string>"))
+    rows = rows.withColumn("_amounts", amounts).withColumn("_lower", F.lower("_line"))
+    priced = F.size("_amounts") > 0
+    rows = rows.withColumn("_words", F.when(~priced, heading_words(F.col("_line")))).withColumn("_heading", heading(F.col("_words")))
+    # What describes a line is made below the window, which no filter passes, so that it is made once.
+    words = F.regexp_replace(F.regexp_replace("_line", MONEY, " "), r"(?U)\b\d+(?:\.\d+)?\b", " ")
+    rows = rows.withColumn("_described", F.when(priced & ~_has(F.col("_lower"), NO_LINE) & F.regexp_like("_line", F.lit("[A-Za-z]{3}")), words)).withColumn("description", F.when(F.col("_described").isNotNull(), quick_clean(F.col("_described"))))
+    rows = carry_section(rows.drop("_raw", "_line", "_words", "_described"), keys, "_no", "_heading").where(F.length("description") >= 3)
     rows = rows.withColumn("line_total", _money(F.element_at("_amounts", -1))).withColumn("unit_price", _money(F.when(F.size("_amounts") > 1, F.get("_amounts", F.size("_amounts") - 2)).otherwise(F.element_at("_amounts", -1))))
     sound = (F.col("unit_price") > 0) & (F.col("line_total") > 0) & (F.col("line_total") <= 50 * F.col("unit_price"))
     rows = rows.withColumn("quantity", F.when(sound, F.round(F.col("line_total") / F.nullif("unit_price", F.lit(0)), 4)).otherwise(1).cast("decimal(20,4)"))

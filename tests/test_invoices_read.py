@@ -5,6 +5,8 @@ from decimal import Decimal as D
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from repairbench.operators import invoices_read as R
 
 NATIVE = """Sunny Garage Ltd
@@ -55,6 +57,14 @@ def test_lines_of_a_text(spark):
     assert [r.sequence_no for r in rows] == [1, 2, 3, 4, 5] and {r.page for r in rows} == {1}
 
 
+def test_texts_are_cleaned_and_described_once(spark):
+    texts = [None, "", "a", " £1.00 ", "a  b", "\ta", "a\n", "a\u000bb", "a\fb", "a\rb", "a\u00a0 b", "é  x", "█ a▏", "a\u2003b", "£ £", "\u00a0", "a\u001fb", "  "]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(R.clean(F.col("text")).alias("a"), R.quick_clean(F.col("text")).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows]
+    plan = R.text_invoice_lines(spark.createDataFrame([(1, "Wiper 2.00")], "page int, text string"), ["page"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?U)\b\d+") == 1
+
+
 def test_lines_of_tables(spark):
     tables = [
         (1, 1, [["Item description", "Part No", "QTY", "Rate", "Line Total"], ["Oil filter", "OF-1", "2", "", "£30.00"], ["", "x", "1", "1", "1"], ["Odd", "", "one", "1", "2"], ["Short", "y"], ["No total", "", "1", "1", ""], ["Wiper", None, "", "5", "1,005.005"]]),
