@@ -15,7 +15,7 @@ from repairbench.functions.exact import half_even, half_up
 from repairbench.functions.text import repairer_key
 from repairbench.operators.benchmarks import benchmark_statistics
 from repairbench.operators.carried import State, carried
-from repairbench.sources.shared import written
+from repairbench.sources.shared import small, written
 
 
 class _Batch(State):
@@ -58,7 +58,7 @@ class _Batch(State):
         self.waiting = []
 
     def step(self, row: tuple):
-        rank, line, item, category, cost = row
+        rank, item, category, cost = row
         if rank != self.rank:
             self._enter()
             self.rank = rank
@@ -71,19 +71,20 @@ class _Batch(State):
             p90 = (2 * (low * 10 + (high - low) * part) + 10) // 20
         if cost is not None and cost > 0:
             self.waiting.append((item, category, cost))
-        return [(line, cost, n, p90)]
+        return [(cost, n, p90)]
 
 
-def batch_p90(lines: DataFrame, threshold: int = 10, least: int = 3, least_pence: int = 500) -> DataFrame:
+def batch_p90(lines: DataFrame, threshold: int = 10, least: int = 3, least_pence: int = 500, keep: tuple[str, ...] = ("line_id",)) -> DataFrame:
     """line_id, history, p90, difference, percent (tenths of a percent, half even), above_p90, challenged.
 
     lines(line_id, case_id, rank, item_key, category, cost): earlier invoices of the claim have a smaller rank. A prior line
     counts once if its item key or its category is the same. Rejected lines are left out before. Ordered passes, no pairs of
     lines, no list of a line's earlier prices: a category whose items have no lines outside it is a place of its own, and
     a task holds its prices, eight bytes each. Only the categories of a claim that share items go through one task together.
+    Columns to `keep` go along, so that what is found needn't meet its lines again.
     """
-    kind = dict(lines.dtypes)
-    rows = lines.select("case_id", "rank", "line_id", "item_key", "category", "cost")
+    kept = {f"kept_{c}": c for c in keep}
+    rows = lines.select("case_id", "rank", "item_key", "category", "cost", *[F.col(c).alias(k) for k, c in kept.items()])
     same = lambda keys: [F.col(f"r.{k}").eqNullSafe(F.col(f"s.{k}")) for k in keys]
     spread = rows.where("item_key IS NOT NULL").groupBy("case_id", "item_key").agg(F.min("category").alias("low"), F.max("category").alias("high"), F.count("category").alias("named"), F.count("*").alias("n"))
     spread = written(spread.where("low <> high OR (named > 0 AND named < n)").select("case_id", "item_key"), "spread")
@@ -95,13 +96,13 @@ def batch_p90(lines: DataFrame, threshold: int = 10, least: int = 3, least_pence
         bare = rows.where("category IS NULL").alias("r").join(spread.alias("s"), same(["case_id", "item_key"]), "left").select("r.*", F.col("s.item_key").isNotNull().alias("shared"))
         rows = named.unionByName(bare)
     name = F.when(F.col("shared"), None).otherwise(F.coalesce(F.concat(F.lit("c"), F.col("category").cast("string")), F.concat(F.lit("i"), F.col("item_key").cast("string"))))
-    rows = rows.select("case_id", "shared", name.alias("place"), "rank", "line_id", "item_key", "category", F.col("cost").cast("long").alias("cost"))
-    rows = carried(rows, ["case_id", "shared", "place"], ["rank", "line_id"], f"line_id {kind['line_id']}, cost long, history long, p90 long", _Batch)
+    rows = rows.select("case_id", "shared", name.alias("place"), "rank", "item_key", "category", F.col("cost").cast("long").alias("cost"), *kept)
+    rows = carried(rows, ["case_id", "shared", "place"], ["rank"], "cost long, history long, p90 long", _Batch, tuple(kept))
     rows = rows.withColumn("p90", F.when((F.col("history") >= least) & (F.col("p90") > 0), F.col("p90")))
     rows = rows.withColumn("difference", F.greatest(F.col("cost") - F.col("p90"), F.lit(0))).withColumn("percent", half_even(F.col("difference") * 1000, F.col("p90")))
     known = F.col("p90").isNotNull()
     over = (F.col("difference") >= least_pence) & (F.col("percent") > 10 * threshold)
-    return rows.select("line_id", "history", "p90", F.when(known, F.col("difference")).alias("difference"), F.when(known, F.col("percent")).alias("percent"), F.coalesce((F.col("difference") > 0) & known, F.lit(False)).alias("above_p90"), F.coalesce(over & known, F.lit(False)).alias("challenged"))
+    return rows.select(*[F.col(k).alias(c) for k, c in kept.items()], "history", "p90", F.when(known, F.col("difference")).alias("difference"), F.when(known, F.col("percent")).alias("percent"), F.coalesce((F.col("difference") > 0) & known, F.lit(False)).alias("above_p90"), F.coalesce(over & known, F.lit(False)).alias("challenged"))
 
 
 def _mean(total: Column, count: Column) -> Column:
@@ -113,36 +114,52 @@ def batch_dashboard(lines: DataFrame, judged: DataFrame, min_count: int = 1, veh
 
     lines(line_id, case_id, invoice_ref, invoice_date, sequence, identity, item, vehicle_label, repairer, kind, unit_cost, cost): what
     was not rejected, money in pence; identity is the item, or the category of a line without one. judged is `batch_p90` of
-    the same lines. Filters hide lines and exceptions but change no P90. Groups of fewer than `min_count` lines go, with their
-    exceptions; quality and the P90s look at all lines. `only` names the tables that are wanted, if not all are; lines are judged
-    once, and not at all if no wanted table tells of exceptions.
+    the same lines; if it keeps what is told of exceptions, these don't meet their lines again. Filters hide lines and exceptions
+    but change no P90. Groups of fewer than `min_count` lines go, with their exceptions, before anything is counted in them;
+    quality and the P90s look at all lines. `only` names the tables that are wanted, if not all are; lines are judged once, and not
+    at all if no wanted table tells of exceptions. Without sequence there are no sources, without repairer no repairers.
     """
-    records = lines.where("cost > 0").withColumn("repairer", F.coalesce(F.nullif(F.trim("repairer"), F.lit("")), F.lit("Unknown repairer"))).withColumn("vehicle_label", F.coalesce("vehicle_label", F.lit("Unclassified")))
-    shown = records
-    for column, value in (("vehicle_label", vehicle_label), ("identity", identity)):
-        shown = shown if value is None else shown.where(F.col(column) == value)
-    shown = shown if date_from is None else shown.where(F.col("invoice_date") >= F.lit(date_from))
-    shown = shown if date_to is None else shown.where(F.col("invoice_date") <= F.lit(date_to))
+    def told(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What is recorded, and what of it is shown."""
+        records = rows.where("cost > 0").withColumn("vehicle_label", F.coalesce("vehicle_label", F.lit("Unclassified")))
+        if "repairer" in rows.columns:
+            records = records.withColumn("repairer", F.coalesce(F.nullif(F.trim("repairer"), F.lit("")), F.lit("Unknown repairer")))
+        shown = records
+        for column, value in (("vehicle_label", vehicle_label), ("identity", identity)):
+            shown = shown if value is None else shown.where(F.col(column) == value)
+        shown = shown if date_from is None else shown.where(F.col("invoice_date") >= F.lit(date_from))
+        return records, shown if date_to is None else shown.where(F.col("invoice_date") <= F.lit(date_to))
+
+    wants = lambda *names: only is None or bool(set(names) & set(only))
+    records, shown = told(lines)
     keys = ["case_id", "identity", "item", "vehicle_label"]
+    groups = shown.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("count"), F.sum("cost").alias("total")).where(F.col("count") >= max(1, min_count))
+    if min_count > 1 and wants("benchmarks", "sources", "repairers", "repairer_items"):
+        stays = small(written(groups.select(*keys), "groups"))
+        held = lambda rows: rows.join(stays, keys, "left_semi")
+    else:
+        held = lambda rows: rows.dropna(subset=keys)
     pounds = lambda c: (F.col(c).cast("decimal(20,0)") / 100).cast("decimal(20,2)")
     hourly = (F.col("kind") == "labour") & (F.col("unit_cost") > 0)
-    priced = shown.withColumn("price", pounds("cost")).withColumn("rate", F.when(hourly, pounds("unit_cost")))
+    lasting = held(shown)
+    priced = lasting.withColumn("price", pounds("cost")).withColumn("rate", F.when(hourly, pounds("unit_cost")))
     stats, labour = benchmark_statistics(priced, keys, "price"), benchmark_statistics(priced, keys, "rate")
     labour = labour.select(*keys, *[F.col(c).alias(f"labour_{c}") for c in labour.columns if c not in keys])
-    whole = shown.groupBy(*keys).agg(F.count("*").alias("source_count"), F.countDistinct("invoice_ref").alias("invoice_count"), F.max("invoice_date").alias("latest_date"), F.sum("cost").alias("total"))
-    groups = shown.dropna(subset=keys).groupBy(*keys).agg(F.count("*").alias("count"), F.sum("cost").alias("total")).where(F.col("count") >= max(1, min_count))
-    held = lambda rows: rows.dropna(subset=keys) if min_count <= 1 else rows.join(groups.select(*keys), keys, "left_semi")
-    found = shown.join(judged.where("challenged").select("line_id", "p90", "difference", "percent", "history"), "line_id")
-    if only is None or {"benchmarks", "repairers", "repairer_items"} & set(only):
-        found = written(found, "exceptions")
+    whole = lasting.groupBy(*keys).agg(F.count("*").alias("source_count"), F.countDistinct("invoice_ref").alias("invoice_count"), F.max("invoice_date").alias("latest_date"), F.sum("cost").alias("total"))
+    challenged = judged.where("challenged")
+    if {*keys, "invoice_ref", "invoice_date", "cost", *({"repairer", "line_id"} & set(lines.columns))} <= set(judged.columns):
+        found = told(challenged)[1]
+    else:
+        found = shown.join(challenged.select("line_id", "p90", "difference", "percent", "history"), "line_id")
+    if wants("benchmarks", "repairers", "repairer_items"):
+        found = written(held(found), "exceptions")
     over = found.groupBy(*keys).agg(F.count("*").alias("exception_count"), F.countDistinct("invoice_ref").alias("exception_invoice_count"))
     strength = F.when(F.col("count") >= 10, "strong").when(F.col("count") >= 3, "usable").otherwise("insufficient")
-    rows = stats.where(F.col("count") >= max(1, min_count)).join(whole, keys).join(labour, keys, "left").join(over, keys, "left")
+    rows = stats.join(whole, keys).join(labour, keys, "left").join(over, keys, "left")
     zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("labour_count", "exception_count", "exception_invoice_count")}
     benchmarks = rows.withColumns(zero).withColumn("sample_strength", strength)
-    kept = held(found)
     order = Window.partitionBy(*keys).orderBy("invoice_date", "invoice_ref", "sequence")
-    sources = held(shown).withColumn("place", F.row_number().over(order))
+    sources = lasting.withColumn("place", F.row_number().over(order)) if "sequence" in lines.columns else None
     totals = shown.groupBy("case_id").agg(F.sum("cost").alias("s"), F.count("*").alias("observation_count"), F.sum(F.when(hourly, F.col("unit_cost"))).alias("r"), F.sum(F.when(hourly, 1).otherwise(0)).alias("k"))
     ranked = groups.withColumn("m", _mean(F.col("total"), F.col("count")))
     tops = ranked.groupBy("case_id").agg(F.min_by("item", F.struct(-F.col("count"), "item")).alias("most_observed"), F.min_by("item", F.struct(-F.col("m"), -F.col("count"), "item")).alias("most_expensive"), F.max("m").alias("highest_mean"))
@@ -151,12 +168,14 @@ def batch_dashboard(lines: DataFrame, judged: DataFrame, min_count: int = 1, veh
     named = F.sum(F.when(F.col("vehicle_label") != "Unclassified", 1).otherwise(0))
     quality = records.groupBy("case_id").agg(F.count("*").alias("line_count"), named.alias("classified"), F.max("invoice_date").alias("latest_date"))
     quality = quality.withColumn("coverage", half_even(F.col("classified") * 1000, F.col("line_count")))
-    kept = kept.withColumn("repairer_key", repairer_key(F.col("repairer")))
-    first = F.min_by("repairer", F.struct("invoice_ref", "line_id"))
-    sums = [F.count("*").alias("challenge_count"), F.countDistinct("invoice_ref").alias("invoice_count"), F.sum("difference").alias("total_difference"), F.max("difference").alias("maximum_difference")]
-    repairers = kept.groupBy("case_id", "repairer_key").agg(first.alias("repairer"), *sums, F.countDistinct("identity", "item").alias("item_count"))
-    items = kept.groupBy("case_id", "repairer_key", "identity", "item").agg(*sums, F.max("percent").alias("maximum_percent"))
-    return {"benchmarks": benchmarks.drop("total"), "sources": sources, "summary": summary, "categories": categories, "quality": quality, "repairers": repairers, "repairer_items": items}
+    out = {"benchmarks": benchmarks.drop("total"), "sources": sources, "summary": summary, "categories": categories, "quality": quality}
+    if "repairer" in lines.columns:
+        kept = found.withColumn("repairer_key", repairer_key(F.col("repairer")))
+        first = F.min_by("repairer", F.struct("invoice_ref", "line_id"))
+        sums = [F.count("*").alias("challenge_count"), F.countDistinct("invoice_ref").alias("invoice_count"), F.sum("difference").alias("total_difference"), F.max("difference").alias("maximum_difference")]
+        out["repairers"] = kept.groupBy("case_id", "repairer_key").agg(first.alias("repairer"), *sums, F.countDistinct("identity", "item").alias("item_count"))
+        out["repairer_items"] = kept.groupBy("case_id", "repairer_key", "identity", "item").agg(*sums, F.max("percent").alias("maximum_percent"))
+    return {name: table for name, table in out.items() if table is not None}
 
 
 def reviewed_summary(challenges: DataFrame, key: str, final: bool) -> DataFrame:

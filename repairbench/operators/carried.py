@@ -38,36 +38,49 @@ class State:
         return ()
 
 
-def carried(rows: DataFrame, keys: list[str], order: list, schema: str, start: Callable[[tuple], State]) -> DataFrame:
+def carried(rows: DataFrame, keys: list[str], order: list, schema: str, start: Callable[[tuple], State], beside: tuple[str, ...] = ()) -> DataFrame:
     """Results of `start(key)` over each key's rows in order (nulls first); rows have the keys first, then other columns.
 
     Spark deals the keys and sorts within tasks, spilling where it must; a task holds one state and one batch, never a
-    key's rows.
+    key's rows. Columns `beside` go by untouched: what a step gives has those of its row behind it, so that results needn't meet
+    their rows again; `end` gives nothing then.
     """
-    told = rows.select(*keys, *[c for c in rows.columns if c not in keys])
-    kinds, n = StructType.fromDDL(schema), len(keys)
-    form = to_arrow_schema(kinds)
+    used = [c for c in rows.columns if c not in {*keys, *beside}]
+    told = rows.select(*keys, *used, *beside)
+    made, n, width = StructType.fromDDL(schema), len(keys), len(keys) + len(used)
+    kinds = StructType(made.fields + [rows.schema[c] for c in beside])
+    form = to_arrow_schema(made)
 
     def work(batches):
         key, state, out = None, None, []
 
-        def flush(some: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), form.types, strict=True)], schema=form)
+        def flush(some: list[tuple], gone: pa.RecordBatch | None = None) -> pa.RecordBatch:
+            columns = [pa.array(c, t) for c, t in zip(zip(*some, strict=True), form.types, strict=True)]
+            more = gone.columns if gone else []
+            return pa.RecordBatch.from_arrays(columns + more, names=kinds.names)
 
         for batch in batches:
-            for row in zip(*map(values, batch.columns), strict=True):
+            at: list[int] = []
+            for i, row in enumerate(zip(*map(values, batch.columns[:width]), strict=True)):
                 if state is None or row[:n] != key:
                     if state is not None:
                         out += state.end()
                     key = row[:n]
                     state = start(key)
-                out += state.step(row[n:])
-                if len(out) >= BATCH_ROWS:
+                some = state.step(row[n:])
+                out += some
+                if beside:
+                    at += [i] * len(some)
+                elif len(out) >= BATCH_ROWS:
                     yield flush(out)
                     out = []
+            if beside and out:
+                yield flush(out, batch.select(list(beside)).take(pa.array(at)))
+                out = []
         if state is not None:
             out += state.end()
         if out:
             yield flush(out)
 
     return told.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, kinds)
+

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repairbench.functions.exact import half_up
+from repairbench.sources.shared import small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,9 +16,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each invoice line: keys, names, money in pounds (decimal) and in pence, quantity, role and review status.
 
-    The joins are plain equi-joins; Spark broadcasts a dimension where its size allows it. Pence (billed, unit_cost,
-    reference) and ten-thousandths of quantities (times) are made from the stored doubles without decimals, which are slow;
-    queries take what they need.
+    The joins are plain equi-joins. Orders meet their customers before any line, and few suppliers are broadcast, so that lines
+    shuffle by order and by part only. Pence (billed, unit_cost, reference) and ten-thousandths of quantities (times) are made
+    from the stored doubles without decimals, which are slow; queries take what they need.
     """
     line, order, part = (table(spark, sf_dir, t) for t in ("lineitem", "orders", "part"))
     customer, supplier = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
@@ -26,10 +27,9 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = line.withColumn("billed", hundredths("l_extendedprice")).withColumn("times", F.rint(F.col("l_quantity") * 10000).cast("long"))
     part = part.withColumn("reference", hundredths("p_retailprice"))
     rows = (
-        line.join(order, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+        line.join(order.join(customer.select("c_custkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(part.select("p_partkey", "p_name", "p_retailprice", "p_type", "reference"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(small(supplier.select("s_suppkey", "s_name")), F.col("l_suppkey") == F.col("s_suppkey"))
     )
     return rows.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "billed", F.col("l_quantity").cast("long"), F.date_format("l_shipdate", "yyyyMMdd")).alias("line_id"),

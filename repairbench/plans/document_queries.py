@@ -129,18 +129,21 @@ def w2_batch_p90(spark, sf_dir):
     return X.batch_p90(rows)
 
 
-def _dashboard(spark, sf_dir, **filters):
+def _dashboard(spark, sf_dir, only, **filters):
     """Batches of the bound lines: lines without an item go by their category; small orders have no vehicle."""
     rows = observations(spark, sf_dir).where("status <> 'rejected'").withColumn("case_id", F.col("case_id") % 25)
-    mapped = F.col("quantity") % 4 != 0
     rows = rows.select(
-        "line_id", "case_id", F.col("invoice_ref").cast("long").alias("invoice_ref"), "invoice_date", F.col("line_id").alias("sequence"), F.when(mapped, F.col("item_id").cast("string")).alias("item_key"), F.col("item_name").alias("category"),
-        F.when(mapped, F.col("item_id").cast("string")).otherwise(F.concat(F.lit("description:"), F.lower("item_name"))).alias("identity"), F.col("item_name").alias("item"),
-        F.when(F.col("vat_rate") != 4, F.col("vehicle_label")).alias("vehicle_label"), F.when(F.col("vat_rate") != 5, F.col("repairer")).alias("repairer"), F.when(F.col("item_type") == "ECONOMY", "labour").otherwise("part").alias("kind"), "unit_cost", F.col("billed").alias("cost"),
+        "case_id", F.col("invoice_ref").cast("long").alias("invoice_ref"), "invoice_date", F.when(F.col("quantity") % 4 != 0, F.col("item_id")).alias("item_id"), F.col("item_name").alias("item"),
+        F.when(F.col("vat_rate") != 4, F.col("vehicle_label")).alias("vehicle_label"), F.when(F.col("item_type") == "ECONOMY", "labour").otherwise("part").alias("kind"), "unit_cost", F.col("billed").alias("cost"),
+        F.when(F.col("vat_rate") != 5, F.col("repairer")).alias("repairer"), "line_id",
     )
-    rows = written(rows, "batch")
-    judged = X.batch_p90(rows.select("line_id", "case_id", F.col("invoice_ref").alias("rank"), "item_key", "category", "cost"))
-    return X.batch_dashboard(rows, judged, **filters)
+    whose = ["repairer", "line_id"]
+    rows = written(rows if {"repairers", "repairer_items"} & set(only) else rows.drop(*whose), "batch")
+    key = F.col("item_id").cast("string")
+    rows = rows.withColumn("identity", F.coalesce(key, F.concat(F.lit("description:"), F.lower("item"))))
+    keep = ["case_id", "invoice_ref", "invoice_date", "identity", "item", "vehicle_label", "cost", *[c for c in whose if c in rows.columns]]
+    judged = X.batch_p90(rows.withColumns({"rank": F.col("invoice_ref"), "item_key": key, "category": F.col("item")}), keep=tuple(keep))
+    return X.batch_dashboard(rows, judged, only=only, **filters)
 
 
 DASHBOARD = OBS + """, b AS (SELECT line_id, case_id % 25 AS case_id, invoice_ref::BIGINT AS rank, invoice_date, CASE WHEN quantity % 4 <> 0 THEN item_id::VARCHAR END AS item_key, item_name AS item, coalesce(item_key, 'description:' || lower(item_name)) AS identity,
