@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repairbench.functions.exact import half_up
@@ -52,9 +52,21 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         "reference",
         F.when(F.col("o_orderstatus") == "P", "estimate").otherwise("invoice").alias("role"),
         F.when(F.col("l_returnflag") == "R", "rejected").when(F.col("l_returnflag") == "A", "approved").otherwise("pending").alias("status"),
+        F.col("l_linenumber").alias("line_no"),
+        F.col("l_suppkey").alias("supplier_id"),
+        F.col("l_shipdate").cast("date").alias("shipped"),
     )
 
 
+#: What a line_id is made of; where lines are written or shuffled these are smaller than the text.
+ID_PARTS = ("invoice_ref", "line_no", "item_id", "supplier_id", "billed", "quantity", "shipped")
+
+
+def id_of_parts() -> Column:
+    """The line_id of a line that has its ID_PARTS."""
+    return F.concat_ws("-", "invoice_ref", "line_no", "item_id", "supplier_id", "billed", F.col("quantity").cast("long"), F.date_format("shipped", "yyyyMMdd"))
+
+
 #: The same rows in DuckDB, with money in whole pence.
 OBS = """
 WITH obs AS (

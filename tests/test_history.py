@@ -7,6 +7,7 @@ from decimal import Decimal as D
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from repairbench.functions.rules import Policy
 from repairbench.operators import history as H
@@ -140,3 +141,24 @@ def test_values_of_a_batch_and_the_lines_of_a_history_joined_once(spark):
         assert values(a) == a.to_pylist() and [type(x) for x in values(a)] == [type(x) for x in a.to_pylist()]
     plan = _compared(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "l_orderkey" not in plan  # the tables are joined once, before anything reads the lines
+
+
+def test_lines_that_are_observations_shuffle_once(spark):
+    _, observations = tables(3, [1, 2, 3, None], 200)
+    rows = spark.createDataFrame([(*o[:2], o[2] if o[1] % 50 else None, *o[3:]) for o in observations], OBS)
+    names = ("observed_at", "document_type", "eligible", "unit_compatible", "scope_equivalent", "comparability", "total", "unit", "lineage")
+    own = {n: F.col(n) for n in names} | {"asked": F.col("obs_id") % 3 != 0}
+    lines = rows.where("obs_id % 3 <> 0").selectExpr("obs_id AS line_id", "item_id", "observed_at AS as_of")
+    want = told(H.historical_statistics(lines, rows))
+    for block in (200_000, 10):
+        got = H.own_statistics(rows, own, keep=("obs_id", "quantity", "item_id"), block_rows=block).withColumnRenamed("obs_id", "line_id")
+        assert told(got) == want and len(want) == 133
+    got = H.own_statistics(rows, own, keep=("obs_id", "quantity")).withColumn("line_id", F.col("obs_id"))
+    assert {r.line_id: r.quantity for r in got.collect()} == {o[1]: o[10] for o in observations if o[1] % 3}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Repartition") == 1 and "Join" not in plan and "Aggregate" not in plan
+
+
+def test_keys_of_many_rows(spark):
+    rows = spark.range(100).selectExpr("IF(id < 60, 7, id) AS item_id")
+    assert [r.item_id for r in H.hot_keys(rows, ["item_id"], 59).collect()] == [7] and H.hot_keys(rows, ["item_id"], 60) is None
