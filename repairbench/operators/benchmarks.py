@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
 from repairbench.functions.exact import div, half_even, half_up, money, pence, pounds
+from repairbench.operators.carried import hot_keys
+from repairbench.sources.shared import written
 
 #: Rows of one key that one task judges; a larger key is cut into periods, each with the counts of all before.
 BLOCK_ROWS = 50_000
@@ -125,34 +129,28 @@ class Ranks:
         return (2 * (a * 10 + (b - a) * part) + 10) // 20
 
 
-def _judge(table: pa.Table) -> pa.Table:
-    """Judges the rows of one key and period; rows without a line id are prices of earlier periods with their counts."""
-    table = table.sort_by([("invoice_date", "ascending"), ("invoice_ref", "ascending"), ("line_id", "ascending")])
-    ids, cost, times = table["line_id"].to_pylist(), table["cost"].to_pylist(), table["times"].to_pylist()
-    days, refs = table["invoice_date"].to_pylist(), table["invoice_ref"].to_pylist()
-    ranks = Ranks(np.array([c for c in cost if c is not None and c > 0], np.int64))
-    own = []
-    for i, x in enumerate(ids):
-        if x is None:
-            ranks.add(cost[i], times[i])
-        else:
-            own.append(i)
-    own.sort(key=lambda i: (days[i] is not None, days[i] or 0, refs[i], ids[i]))
-    out: list[tuple] = []
+def _judge(table: pa.Table, told: dict[str, str]) -> pa.Table:
+    """Judges the rows of one key and period; rows with times are prices of earlier periods and how often they were."""
+    past, own = table.filter(pc.is_valid(table["times"])), table.filter(pc.is_null(table["times"]))
+    own = own.take(pc.sort_indices(own, sort_keys=[("invoice_date", "ascending"), ("invoice_ref", "ascending")], null_placement="at_start"))
+    cost, days, refs = (own[c].to_pylist() for c in ("cost", "invoice_date", "invoice_ref"))
+    ranks = Ranks.counted(past["cost"].to_pylist(), past["times"].to_pylist(), [c for c in cost if c is not None and c > 0])
+    history: list[int] = []
+    p90s: list[int | None] = []
     start = 0
-    while start < len(own):
-        end, head = start, own[start]
-        while end < len(own) and (days[own[end]], refs[own[end]]) == (days[head], refs[head]):
+    while start < len(cost):
+        end = start
+        while end < len(cost) and (days[end], refs[end]) == (days[start], refs[start]):
             end += 1
         n = ranks.total
-        p90 = ranks.p90() if n else None
-        out += [(ids[i], cost[i], n, p90) for i in own[start:end]]
-        for i in own[start:end]:
-            if cost[i] is not None and cost[i] > 0:
-                ranks.add(cost[i])
+        history += [n] * (end - start)
+        p90s += [ranks.p90() if n else None] * (end - start)
+        for c in cost[start:end]:
+            if c is not None and c > 0:
+                ranks.add(c)
         start = end
-    a, d, b, c = zip(*out, strict=True) if out else ((), (), (), ())
-    return pa.table({"line_id": pa.array(a, pa.string()), "cost": pa.array(d, pa.int64()), "history": pa.array(b, pa.int64()), "p90": pa.array(c, pa.int64())})
+    found = {name: own[c] for name, c in told.items()}
+    return pa.table(found | {"judged": own["cost"], "history": pa.array(history, pa.int64()), "p90": pa.array(p90s, pa.int64())})
 
 
 def rolling_p90(obs: DataFrame, keys: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -163,43 +161,51 @@ def rolling_p90(obs: DataFrame, keys: list[str], block_rows: int = BLOCK_ROWS) -
     it has more of these) is cut by date: each period is a group of its own and gets the counts of all earlier prices, not
     the rows, so that all periods together get no more rows than the key has.
     """
-    return _rolled(obs, keys, block_rows).drop("cost")
+    return _rolled(obs, keys, block_rows, ["line_id"]).drop("judged")
 
 
-def _rolled(obs: DataFrame, keys: list[str], block_rows: int) -> DataFrame:
-    """`rolling_p90` with the lines' costs."""
-    rows = obs.select("line_id", *keys, "invoice_date", "invoice_ref", "cost")
+def _rolled(obs: DataFrame, keys: list[str], block_rows: int, keep: list[str]) -> DataFrame:
+    """Columns to keep, judged (the cost), history and p90 of each line; a line shuffles once."""
+    used = [*keys, "invoice_date", "invoice_ref", "cost"]
+    told = {c: c if c in used else f"kept_{c}" for c in keep}
+    rows = obs.select(*keys, "invoice_date", "invoice_ref", F.col("cost").cast("long").alias("cost"), *[F.col(c).alias(k) for c, k in told.items() if c != k])
+    kinds = StructType([StructField(c, rows.schema[k].dataType) for c, k in told.items()] + [StructField(c, LongType()) for c in ("judged", "history", "p90")])
     same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count("*") / F.greatest(F.lit(block_rows), F.approx_count_distinct("cost"))).cast("int").alias("parts"), F.min("invoice_date").alias("first"), F.datediff(F.max("invoice_date"), F.min("invoice_date")).alias("days"))
-    age = F.datediff("r.invoice_date", F.col("s.first"))
-    period = F.coalesce(F.least(F.floor(age * F.col("s.parts") / (F.col("s.days") + 1)), F.col("s.parts") - 1).cast("int"), F.lit(0))
-    placed = rows.alias("r").join(sizes.alias("s"), same("r", "s")).select("r.*", period.alias("period"), F.col("s.parts").alias("parts"))
-    # What a price counts at the end of a period it brings to all periods up to the next that has it.
-    counts = placed.where("parts > 1 AND cost > 0").groupBy(*keys, "period", "parts", "cost").agg(F.count("*").alias("n"))
-    along = Window.partitionBy(*keys, "cost").orderBy("period")
-    ends = counts.select(*keys, "cost", F.sum("n").over(along).alias("times"), F.col("period").alias("at"), F.coalesce(F.lead("period").over(along), F.col("parts") - 1).alias("until")).where("at < until")
-    before = ends.select(*keys, F.explode(F.sequence(F.col("at") + 1, F.col("until"))).alias("period"), "cost", "times")
-    typed = {f.name: f.dataType for f in rows.schema}
-    none = lambda n: F.lit(None).cast(typed[n]).alias(n)
-    past = before.select(none("line_id"), *keys, none("invoice_date"), none("invoice_ref"), "cost", "period", "times")
-    own = placed.drop("parts").withColumn("times", F.lit(1).cast("long"))
+    none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+    hot = hot_keys(rows, keys, block_rows)
+    if hot is None:
+        own = rows.select("*", F.lit(0).alias("period"), none("times", "long"))
+    else:
+        # The keys that are cut are few, as each has many lines: they are broadcast, and lines don't shuffle to meet them.
+        large = rows.alias("r").join(F.broadcast(hot.alias("s")), same("r", "s"), "left_semi")
+        sizes = large.groupBy(*keys).agg(F.ceil(F.count("*") / F.greatest(F.lit(block_rows), F.approx_count_distinct("cost"))).cast("int").alias("parts"), F.min("invoice_date").alias("first"), F.datediff(F.max("invoice_date"), F.min("invoice_date")).alias("days"))
+        sizes = written(sizes.where("parts > 1"), "sizes")
+        age = F.datediff("r.invoice_date", F.col("s.first"))
+        period = F.least(F.floor(age * F.col("s.parts") / (F.col("s.days") + 1)), F.col("s.parts") - 1).cast("int")
+        period = F.coalesce(F.when(age.isNotNull(), period), F.lit(0))  # least() skips nulls, but lines without a date come first
+        placed = rows.alias("r").join(F.broadcast(sizes.alias("s")), same("r", "s"), "left").select("r.*", period.alias("period"), F.coalesce("s.parts", F.lit(1)).alias("parts"))
+        # What a price counts at the end of a period it brings to all periods up to the next that has it.
+        counts = placed.where("parts > 1 AND cost > 0").groupBy(*keys, "period", "parts", "cost").agg(F.count("*").alias("n"))
+        along = Window.partitionBy(*keys, "cost").orderBy("period")
+        ends = counts.select(*keys, "cost", F.sum("n").over(along).alias("times"), F.col("period").alias("at"), F.coalesce(F.lead("period").over(along), F.col("parts") - 1).alias("until")).where("at < until")
+        past = ends.select(*keys, F.explode(F.sequence(F.col("at") + 1, F.col("until"))).alias("period"), "cost", "times")
+        own = placed.drop("parts").withColumn("times", F.lit(None).cast("long")).unionByName(past, allowMissingColumns=True)
 
     def judge(t: pa.Table) -> pa.Table:
-        return _judge(t)
+        return _judge(t, told)
 
-    return own.unionByName(past).groupBy(*keys, "period").applyInArrow(judge, "line_id string, cost long, history long, p90 long")
+    return own.groupBy(*keys, "period").applyInArrow(judge, kinds)
 
 
 def p90_exceptions(obs: DataFrame, keys: list[str], threshold: int = 10, least: int = 3, least_pence: int = 500, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """obs with history, p90, difference (pence) and percent_above (one digit, half even) of lines above both gates.
 
-    The percent gate is strict and takes the unrounded percentage of the P90. Only lines above the gates meet obs again; obs is
-    read several times, so a table serves better than a plan of joins.
+    The percent gate is strict and takes the unrounded percentage of the P90. Lines are judged with all their columns, so that
+    exceptions needn't meet obs again; obs is read several times, so a table of few columns serves better than a plan of joins.
     """
-    judged = _rolled(obs, keys, block_rows).withColumn("difference", F.col("cost") - F.col("p90"))
+    judged = _rolled(obs, keys, block_rows, obs.columns).withColumn("difference", F.col("judged") - F.col("p90")).drop("judged")
     over = (F.col("history") >= least) & (F.col("p90") > 0) & (F.col("difference") >= least_pence) & (F.col("difference") * 100 > F.col("p90") * threshold)
-    found = judged.where(over).withColumn("percent_above", half_even(F.col("difference") * 1000, F.col("p90")) / F.lit(10.0))
-    return obs.join(found.drop("cost"), "line_id")
+    return judged.where(over).withColumn("percent_above", half_even(F.col("difference") * 1000, F.col("p90")) / F.lit(10.0))
 
 
 def labour_rate(explicit: Column, unit_price: Column, item_type: Column, unit: Column) -> Column:
@@ -212,7 +218,7 @@ def benchmark_table(obs: DataFrame, keys: list[str], threshold: int = 10, min_co
     """Statistics of each group with its source rows, distinct invoices, exceptions, sample strength and latest date."""
     stats = benchmark_statistics(obs, keys, "price")
     extra = obs.groupBy(*keys).agg(F.count("*").alias("source_rows"), F.countDistinct("invoice_ref").alias("invoice_count"), F.max("invoice_date").alias("latest_date"))
-    found = p90_exceptions(obs, keys, threshold).groupBy(*keys).agg(F.count("*").alias("exception_count"))
+    found = p90_exceptions(obs.select(*keys, "invoice_date", "invoice_ref", "cost"), keys, threshold).groupBy(*keys).agg(F.count("*").alias("exception_count"))
     strength = F.when(F.col("count") >= 10, "strong").when(F.col("count") >= 3, "usable").otherwise("weak")
     joined = stats.where(F.col("count") >= min_count).join(extra, keys).join(found, keys, "left")
     return joined.withColumn("exception_count", F.coalesce("exception_count", F.lit(0))).withColumn("sample_strength", strength)

@@ -1,4 +1,4 @@
-"""An ordered pass over the rows of each key, with a state that is carried from batch to batch."""
+"""An ordered pass over the rows of each key, with a state that is carried from batch to batch; keys of very many rows."""
 
 from __future__ import annotations
 
@@ -6,11 +6,16 @@ from collections.abc import Callable, Iterable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from repairbench.sources.shared import written
+
 #: Rows of a result batch.
 BATCH_ROWS = 8192
+#: Places that keys are counted by, before any key is counted.
+PLACES = 1 << 16
 
 
 def values(column: pa.Array) -> list:
@@ -84,3 +89,16 @@ def carried(rows: DataFrame, keys: list[str], order: list, schema: str, start: C
 
     return told.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, kinds)
 
+
+def hot_keys(rows: DataFrame, keys: list[str], most: int) -> DataFrame | None:
+    """The keys of more than `most` rows, if there are any.
+
+    Rows are counted by a hash of the key first; only keys in places of more than `most` rows are counted themselves.
+    """
+    place = F.pmod(F.xxhash64(*keys), F.lit(PLACES))
+    full = written(rows.groupBy(place.alias("place")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("place"), "places")
+    if full.isEmpty():
+        return None
+    some = rows.select(*keys, place.alias("place")).join(F.broadcast(full), "place", "left_semi")
+    hot = written(some.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*keys), "hot")
+    return None if hot.isEmpty() else hot

@@ -24,13 +24,11 @@ from pyspark.sql.window import Window
 
 from repairbench.functions.exact import half_up
 from repairbench.functions.rules import Policy
-from repairbench.operators.carried import State, carried, values
+from repairbench.operators.carried import State, carried, hot_keys, values
 from repairbench.sources.shared import written
 
 #: Rows of one key that a task holds; of a larger key, as many day and price sums, and what has more is cut into periods.
 BLOCK_ROWS = 200_000
-#: Places that keys are counted by, before any key is counted.
-PLACES = 1 << 16
 REASONS = ["not_eligible", "estimate_or_non_invoice", "unit_incompatible", "quantity_scope_not_equivalent", "zero_comparability", "missing_comparable_line_total"]
 _ANY_DAY = REASONS[:2]  # told before the date is looked at
 
@@ -187,20 +185,6 @@ def running_medians(asks: DataFrame, sums: DataFrame, keys: list[str], block_row
     return found.withColumn("as_of", F.date_from_unix_date("as_of"))
 
 
-def hot_keys(rows: DataFrame, keys: list[str], most: int) -> DataFrame | None:
-    """The keys of more than `most` rows, if there are any.
-
-    Rows are counted by a hash of the key first; only keys in places of more than `most` rows are counted themselves.
-    """
-    place = F.pmod(F.xxhash64(*keys), F.lit(PLACES))
-    full = written(rows.groupBy(place.alias("place")).agg(F.count("*").alias("n")).where(F.col("n") > most).select("place"), "places")
-    if full.isEmpty():
-        return None
-    some = rows.select(*keys, place.alias("place")).join(F.broadcast(full), "place", "left_semi")
-    hot = written(some.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*keys), "hot")
-    return None if hot.isEmpty() else hot
-
-
 def historical_statistics(lines: DataFrame, obs: DataFrame, policy: Policy = Policy(), keys: tuple[str, ...] = ("item_id",), block_rows: int = BLOCK_ROWS, keep: tuple[str, ...] = ()) -> DataFrame:
     """One row for each line of lines(line_id, keys, as_of, keep): what its item's history before that day says.
 

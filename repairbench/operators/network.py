@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repairbench.functions.exact import pounds
 from repairbench.functions.text import repairer_key
 
 
+def _first(found: DataFrame) -> Column:
+    """The spelling of the first exception by (invoice date, ref, line); if lines have no line_id, the first spelling of that invoice."""
+    return F.min_by(F.trim("repairer"), F.struct("invoice_date", "invoice_ref", "line_id" if "line_id" in found.columns else F.trim("repairer")))
+
+
 def repairer_item_trends(found: DataFrame) -> DataFrame:
     """One row for each repairer and item: challenges, distinct invoices, total and largest difference and percent.
 
-    The shown repairer is the spelling of its first exception by (invoice date, ref, line).
+    The shown repairer is the spelling of its first exception.
     """
-    first = F.min_by(F.trim("repairer"), F.struct("invoice_date", "invoice_ref", "line_id"))
+    first = _first(found)
     return found.withColumn("repairer_key", repairer_key(F.col("repairer"))).groupBy("repairer_key", "item_name").agg(
         first.alias("repairer"), F.count("*").alias("challenge_count"), F.countDistinct("invoice_ref").alias("invoice_count"),
         F.sum("difference").alias("total"), F.max("difference").alias("largest"), F.max("percent_above").alias("maximum_percent"),
@@ -23,7 +28,7 @@ def repairer_item_trends(found: DataFrame) -> DataFrame:
 
 def repairer_trends(found: DataFrame) -> DataFrame:
     """One row for each repairer; ordered by invoices, challenges and name where shown."""
-    first = F.min_by(F.trim("repairer"), F.struct("invoice_date", "invoice_ref", "line_id"))
+    first = _first(found)
     rows = found.withColumn("repairer_key", repairer_key(F.col("repairer"))).groupBy("repairer_key").agg(
         first.alias("repairer"), F.count("*").alias("challenge_count"), F.countDistinct("invoice_ref").alias("invoice_count"),
         F.sum("difference").alias("total"), F.max("difference").alias("largest"), F.countDistinct("item_name").alias("item_count"),

@@ -33,9 +33,9 @@ def _obs(spark, sf_dir):
     return rows.withColumn("cost", F.col("billed")).withColumn("price", F.col("line_total"))
 
 
-def _bound(spark, sf_dir):
-    """What rolling P90 and its readers need of the lines, joined once."""
-    return written(_obs(spark, sf_dir).select("line_id", "repairer", *KEYS, "invoice_date", "invoice_ref", "cost", "price"), "lines")
+def _bound(spark, sf_dir, *columns):
+    """What rolling P90 needs of the lines, and columns for its readers, joined once."""
+    return written(_obs(spark, sf_dir).select(*KEYS, "invoice_date", "invoice_ref", "cost", *columns), "lines")
 
 
 @query(OBS + """SELECT line_id, coalesce(nullif(CASE WHEN quantity % 5 = 0 THEN 0 WHEN quantity % 7 = 0 THEN NULL ELSE cost END, 0), nullif(unit_cost, 0)) / 100.0 AS observed_cost FROM obs""")
@@ -46,25 +46,25 @@ def c1_observed_cost(spark, sf_dir):
 
 @query(JUDGED + "SELECT line_id, history, p90 / 100.0 AS p90 FROM judged")
 def w1_rolling_p90(spark, sf_dir):
-    return B.rolling_p90(_bound(spark, sf_dir), KEYS).select("line_id", "history", pounds(F.col("p90")).alias("p90"))
+    return B.rolling_p90(_bound(spark, sf_dir, "line_id"), KEYS).select("line_id", "history", pounds(F.col("p90")).alias("p90"))
 
 
 @query(JUDGED + "SELECT line_id, repairer, item_name, vehicle_label, cost / 100.0 AS amount, p90 / 100.0 AS p90, difference / 100.0 AS difference, percent_above, history FROM found")
 def w1_p90_exceptions(spark, sf_dir):
-    found = B.p90_exceptions(_bound(spark, sf_dir), KEYS)
+    found = B.p90_exceptions(_bound(spark, sf_dir, "line_id", "repairer"), KEYS)
     return found.select("line_id", "repairer", "item_name", "vehicle_label", pounds(F.col("cost")).alias("amount"), pounds(F.col("p90")).alias("p90"), pounds(F.col("difference")).alias("difference"), "percent_above", "history")
 
 
 @query(JUDGED + """SELECT min(repairer) AS repairer, count(*) AS challenge_count, count(DISTINCT invoice_ref) AS invoice_count, sum(difference)::BIGINT / 100.0 AS total_difference,
   max(difference) / 100.0 AS maximum_difference, count(DISTINCT item_name) AS item_count FROM found GROUP BY lower(trim(repairer))""")
 def w1_g14_repairer_trends(spark, sf_dir):
-    return N.repairer_trends(B.p90_exceptions(_bound(spark, sf_dir), KEYS))
+    return N.repairer_trends(B.p90_exceptions(_bound(spark, sf_dir, "line_id", "repairer"), KEYS))
 
 
 @query(JUDGED + """SELECT min(repairer) AS repairer, item_name, count(*) AS challenge_count, count(DISTINCT invoice_ref) AS invoice_count, sum(difference)::BIGINT AS total, max(difference) AS largest,
   max(percent_above) AS maximum_percent FROM found GROUP BY lower(trim(repairer)), item_name""")
 def g14_repairer_item_trends(spark, sf_dir):
-    return N.repairer_item_trends(B.p90_exceptions(_bound(spark, sf_dir), KEYS)).drop("repairer_key")
+    return N.repairer_item_trends(B.p90_exceptions(_bound(spark, sf_dir, "line_id", "repairer"), KEYS)).drop("repairer_key")
 
 
 SHOWN = JUDGED + """, keyed AS (SELECT *, lower(trim(repairer)) AS repairer_key FROM found),
@@ -77,14 +77,14 @@ shown AS (SELECT * FROM theirs WHERE item_name IN (FROM most))
 
 @query(SHOWN + "SELECT repairer_key, item_name, count(*) AS challenge_count, count(DISTINCT invoice_ref) AS invoice_count, sum(difference)::BIGINT AS total FROM shown GROUP BY 1, 2")
 def g15_repairer_graph(spark, sf_dir):
-    return N.repairer_graph(written(B.p90_exceptions(_bound(spark, sf_dir), KEYS), "exceptions")).select("repairer_key", "item_name", "challenge_count", "invoice_count", "total")
+    return N.repairer_graph(written(B.p90_exceptions(_bound(spark, sf_dir, "repairer"), KEYS), "exceptions")).select("repairer_key", "item_name", "challenge_count", "invoice_count", "total")
 
 
 @query(SHOWN + """SELECT count(DISTINCT invoice_ref) AS invoice_count, count(*) AS challenge_count, sum(difference)::BIGINT AS total,
  (SELECT repairer_key FROM keyed GROUP BY 1 ORDER BY count(DISTINCT invoice_ref) DESC, count(*) DESC, repairer_key LIMIT 1) AS top_repairer,
  (SELECT item_name FROM shown GROUP BY 1 ORDER BY count(DISTINCT invoice_ref) DESC, count(*) DESC, item_name LIMIT 1) AS top_item FROM shown""")
 def g15_graph_totals(spark, sf_dir):
-    return N.graph_totals(written(B.p90_exceptions(_bound(spark, sf_dir), KEYS), "exceptions"))
+    return N.graph_totals(written(B.p90_exceptions(_bound(spark, sf_dir, "repairer"), KEYS), "exceptions"))
 
 
 def _stats(keys: str, value: str = "cost") -> str:
@@ -110,7 +110,7 @@ def g1_benchmark_statistics(spark, sf_dir):
 SELECT stats.*, source_rows, invoice_count, latest_date, coalesce(e, 0) AS exception_count, CASE WHEN count >= 10 THEN 'strong' WHEN count >= 3 THEN 'usable' ELSE 'weak' END AS sample_strength
 FROM stats JOIN extra USING (item_name, vehicle_label) LEFT JOIN over USING (item_name, vehicle_label)""")
 def g2_benchmark_table(spark, sf_dir):
-    return B.benchmark_table(_bound(spark, sf_dir), KEYS)
+    return B.benchmark_table(_bound(spark, sf_dir, "price"), KEYS)
 
 
 @query(OBS + "SELECT vehicle_label, ((2 * sum(cost)::BIGINT + count(*)) // (2 * count(*))) / 100.0 AS average_cost, count(*) AS observation_count FROM obs WHERE role = 'invoice' AND cost > 0 GROUP BY 1")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from repairbench.functions.rules import Policy
 from repairbench.operators import history as H
-from repairbench.operators.carried import State, carried
+from repairbench.operators.carried import State, carried, hot_keys
 from repairbench.operators.compare import compare_lines, invoice_summary
 
 OBS = "item_id long, obs_id long, observed_at date, document_type string, eligible boolean, unit_compatible boolean, scope_equivalent boolean, comparability decimal(10,4), total long, unit long, quantity decimal(20,4), lineage string, label string"
@@ -161,4 +161,4 @@ def test_lines_that_are_observations_shuffle_once(spark):
 
 def test_keys_of_many_rows(spark):
     rows = spark.range(100).selectExpr("IF(id < 60, 7, id) AS item_id")
-    assert [r.item_id for r in H.hot_keys(rows, ["item_id"], 59).collect()] == [7] and H.hot_keys(rows, ["item_id"], 60) is None
+    assert [r.item_id for r in hot_keys(rows, ["item_id"], 59).collect()] == [7] and hot_keys(rows, ["item_id"], 60) is None

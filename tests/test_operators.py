@@ -97,6 +97,20 @@ def test_gate(spark, billed, benchmark, want):
     assert (row.challenge_net, row.vat_impact) == (want, want // 5)
 
 
+def test_lines_shuffle_once_to_be_judged(spark):
+    obs = spark.range(400).selectExpr("CAST(id AS string) AS line_id", "IF(id % 5 = 0, NULL, concat('p', id % 3)) AS item_name", "IF(id % 7 = 0, NULL, date_add(DATE'2024-01-01', cast(id % 90 AS int))) AS invoice_date", "concat('v', id % 40) AS invoice_ref", "id * 37 % 5000 AS cost", "concat('r', id % 4) AS repairer")
+    small = B.p90_exceptions(obs, ["item_name"])
+    plan = small._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    cut = B.p90_exceptions(obs, ["item_name"], block_rows=20)
+    rows = [sorted(map(str, df.select(sorted(df.columns)).collect())) for df in (small, cut)]
+    assert rows[0] == rows[1] and len(rows[0]) > 9 and set(obs.columns) < set(small.columns)
+    history = {r.line_id: r.p90 for r in B.rolling_p90(obs, ["item_name"]).collect()}
+    assert all(r.p90 == history[r.line_id] and r.difference == r.cost - r.p90 for r in small.collect())
+    one, other = (sorted(map(str, N.repairer_item_trends(df).collect())) for df in (small, small.drop("line_id")))
+    assert one == other
+
+
 def test_policy_and_p90(spark):
     with pytest.raises(ValueError):
         R.Policy(history_weight=D("0.5"))
